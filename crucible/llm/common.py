@@ -237,3 +237,18 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def byte_slices(batch: pa.RecordBatch, text: str = "_text", most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) in pieces of about ``most`` bytes; a longer text is a piece of its own, whole."""
+    data, offsets = text_bytes(batch.column(text))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
+
+
+def held_out(doc_id: str = "doc_id", remainder: int = 0):
+    """True where crc32 of the id as text leaves this remainder mod 5; a null id is never held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == remainder, F.lit(False))
