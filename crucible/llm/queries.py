@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crucible.llm import language, mixing, quality, simhash, tokens
+from crucible.llm import language, leaks, mixing, quality, simhash, substrings, tokens
 from crucible.llm.common import table
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op3_substrings, op4_leaks, op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
