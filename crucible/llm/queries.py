@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crucible.llm import language, leaks, mixing, quality, simhash, substrings, tokens
+from crucible.llm import language, leaks, mixing, quality, simhash, substrings, tokens, warc
 from crucible.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,8 +47,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substrings, op4_leaks, op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op3_substrings, op4_leaks, op5_warc, op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.SQL}
+    return {"op5_warc": warc.SQL, "op8_mixing": mixing.SQL}
