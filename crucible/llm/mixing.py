@@ -35,23 +35,27 @@ def targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, most: float = MO
     return levelled.select("source", "source_size", F.least(F.col("_limit"), F.col("_w") * F.max("_level").over(every)).alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", cycle: tuple[float, ...] = CYCLE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", cycle: tuple[float, ...] = CYCLE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, *keep, size, source_size, target, taken), one for each row of ``docs``.
 
     size: words of the text (null: 0). A source takes all its documents as many complete epochs as fit its target, then a fraction: its
     documents ascend by -ln(u)/weight, u a hash of id and seed, and those are taken once more whose middle word is within what is left.
-    Equal keys (repeated ids) are ordered by size. A weight that is null, not finite or not positive counts as 1. Null sources are one
-    source, ordered last. No row, no source: an empty result.
+    Equal keys (repeated ids) are ordered by size. ``weights`` has one row (id, weight) for an id; ids that it lacks, and weights that are
+    null, not finite or not positive count as 1. Null sources are one source, ordered last. No row, no source: an empty result.
 
     The prefix sum is in two steps, so no source gathers in one task: sums over 65,536 key ranges of each source find the range in which
     its budget ends, and only that range's rows are sorted.
     """
-    w = F.lit(1.0) if weight is None else F.coalesce(F.when(weight > 0, F.when(weight < float("inf"), weight.cast("double"))), F.lit(1.0))
     own = [c for c in keep if c != source_col]
     rows = docs.select(
         F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in own], F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"), (-F.log(uniform(F.col(id_col), seed)) / w).alias("_key"),
+        F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
     )
+    w = F.lit(1.0)
+    if weights is not None:  # after the texts are gone: only sizes are shuffled
+        rows = rows.join(weights.select(F.col(weights.columns[0]).alias("_of"), F.col(weights.columns[1]).cast("double").alias("_weight")), F.col("_id") == F.col("_of"), "left").drop("_of")
+        w = F.coalesce(F.when((F.col("_weight") > 0) & (F.col("_weight") < float("inf")), F.col("_weight")), F.lit(1.0))
+    rows = rows.withColumn("_key", -F.log(uniform(F.col("_id"), seed)) / w).drop("_weight")
     rows = written(rows.withColumn("_step", F.floor((1 - F.exp(-F.col("_key"))) * STEPS).cast("int")), "mix-keys")
     ranges = written(rows.groupBy("source", "_step").agg(F.sum("size").alias("_sum")), "mix-ranges")
     whole = targets(ranges.groupBy("source").agg(F.sum("_sum").alias("source_size")), cycle, most)
@@ -73,11 +77,10 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", cycle:
     return clear.unionByName(edge).select(*names, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def quality_weight(docs: DataFrame, labels: DataFrame, good: float = 2.0, bad: float = 0.5, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_weight``: ``good`` or ``bad`` by the label of quality (the best, if it has several), 1 without one."""
-    marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.max("quality").alias("_quality"))
-    joined = docs.join(marks, F.col(id_col) == F.col("_label_id"), "left")
-    return joined.withColumn("_weight", F.when(F.col("_quality") >= 1, good).when(F.col("_quality") < 1, bad).otherwise(1.0)).drop("_label_id", "_quality")
+def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5, id_col: str = "doc_id") -> DataFrame:
+    """(id, weight): ``good`` or ``bad`` by the label of quality, the best if an id has several; ids without one are absent."""
+    marks = labels.where(F.col("quality").isNotNull()).groupBy(id_col).agg(F.max("quality").alias("_quality"))
+    return marks.select(id_col, F.when(F.col("_quality") >= 1, good).otherwise(bad).alias("weight"))
 
 
 SQL = r"""
