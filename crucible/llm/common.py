@@ -119,11 +119,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: in
 # --- pairs within keys, in bounded blocks ------------------------------------------------------------------------
 
 
-def in_blocks(rows: DataFrame, keys: list[str], item: str, probe: str | None = None, block: int = 2048) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: list[str], item: str, probe: str | None = None, block: int = 2048, payload: tuple[DataFrame, str] | None = None) -> DataFrame:
     """Deal rows so that each two rows of a key meet in a block of bounded size.
 
     A key with at most ``block`` rows is one block. A larger one is cut into sub-blocks by a hash of ``item`` and each two of them
     meet in a block of their own, so no task holds a whole hot key. Rows marked by ``probe`` meet unmarked rows only.
+    ``payload`` (a table, its key) is joined after the rows are dealt out, just before they move.
     Adds ``_block`` (a hash of key and block), ``_role`` (0 compares with all after it, 1 and 2 with role 0 only), ``_self``.
     """
     asked = F.col(probe) if probe else F.lit(False)
@@ -145,8 +146,10 @@ def in_blocks(rows: DataFrame, keys: list[str], item: str, probe: str | None = N
         dealt = dealt.withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_b", F.explode(F.when(F.col("_nt").isNull(), one).when(asked, probes).otherwise(tables))).drop("_nt", "_np")
     role = F.when(asked, 2).when((F.col("_b.kind") == 0) & (F.col("_own") != F.col("_b.i")), 1).otherwise(0)
     alone = (F.col("_b.kind") == 2) | ((F.col("_b.kind") == 0) & (F.col("_b.i") == F.col("_b.j")))
-    dealt = dealt.select("*", F.xxhash64(*keys, "_b.kind", "_b.i", "_b.j").alias("_block"), role.cast("int").alias("_role"), alone.alias("_self"))
-    return dealt.drop("_b", "_own").repartition("_block").sortWithinPartitions("_block", "_role")
+    dealt = dealt.select("*", F.xxhash64(*keys, "_b.kind", "_b.i", "_b.j").alias("_block"), role.cast("int").alias("_role"), alone.alias("_self")).drop("_b", "_own")
+    if payload:
+        dealt = dealt.join(payload[0], payload[1])
+    return dealt.repartition("_block").sortWithinPartitions("_block", "_role")
 
 
 def runs(batches: Iterable[pa.RecordBatch], key: str = "_block", rows: int = 60_000) -> Iterator[pa.Table]:

@@ -9,7 +9,7 @@ from crucible.llm.common import WORD, written
 
 CYCLE = (5.0, 2.0, 1.0)
 MOST = 3.0
-STEPS = 1 << 16
+STEPS = 1 << 12
 
 
 def uniform(id_col: Column, seed: str) -> Column:
@@ -43,7 +43,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", cy
     Equal keys (repeated ids) are ordered by size. ``weights`` has one row (id, weight) for an id; ids that it lacks, and weights that are
     null, not finite or not positive count as 1. Null sources are one source, ordered last. No row, no source: an empty result.
 
-    The prefix sum is in two steps, so no source gathers in one task: sums over 65,536 key ranges of each source find the range in which
+    The prefix sum is in two steps, so no source gathers in one task: sums over 4,096 key ranges of each source find the range in which
     its budget ends, and only that range's rows are sorted.
     """
     own = [c for c in keep if c != source_col]

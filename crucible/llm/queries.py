@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crucible.llm import language, leaks, mixing, quality, simhash, substrings, tokens, warc
+from crucible.llm import embeddings, language, leaks, mixing, quality, simhash, substrings, tokens, warc
 from crucible.llm.common import table
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -45,8 +49,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substrings, op4_leaks, op5_warc, op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op2_embeddings, op3_substrings, op4_leaks, op5_warc, op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.SQL, "op8_mixing": mixing.SQL}
+    return {"op2_embeddings": embeddings.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.SQL}
