@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crucible.llm import embeddings, language, leaks, mixing, quality, simhash, substrings, tokens, warc
+from crucible.llm import embeddings, language, leaks, lm, mixing, quality, simhash, substrings, tokens, warc
 from crucible.llm.common import table
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -49,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embeddings, op3_substrings, op4_leaks, op5_warc, op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_lm, op2_embeddings, op3_substrings, op4_leaks, op5_warc, op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
