@@ -14,6 +14,8 @@ from crucible.llm.common import byte_slices, mix, runs, word_hashes, word_spans,
 
 LAST_ID = (1 << 63) - 1
 _STEPS = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd factors for the places of a segment's words: enough for the longest, of ``most`` windows.
+_POWERS = np.random.default_rng(8).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # --- segments: runs of windows that share an anchor ----------------------------------------------------------------
@@ -177,17 +179,33 @@ def earlier(words: np.ndarray, offsets: np.ndarray, order: np.ndarray, window: i
 # --- the job -------------------------------------------------------------------------------------------------------
 
 
+def bit_map(slots: DataFrame, bits: int) -> np.ndarray:
+    """The slots (a column of numbers below 2**bits) as a bit map; at most 2**(bits - 6) rows come to the driver, whatever the input."""
+    words = slots.select(F.shiftright("slot", 6).cast("int").alias("word"), F.pmod("slot", F.lit(64)).cast("int").alias("bit"))
+    rows = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    if len(rows):
+        out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def on_map(seen: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((seen[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+
+
 def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 16_384, map_bits: int = 26) -> DataFrame:
     """Rows (_doc, _mark, spans) for ``docs`` (_doc, _mark, _text): spans are (first word, windows) of windows whose words also start earlier.
 
     1. Anchors of all segments are counted over the whole table. A bit map of fixed size (2**map_bits bits) keeps those that occur twice.
-    2. Segments whose anchor it shows are dealt by anchor. Equal segments are one class with its earliest place: copies elsewhere repeat it.
-    3. Classes that share an anchor, or hold it twice, go to a shard. Each shard builds an FM-index over its classes and streams them
-       through it. An anchor with over ``block`` classes is dealt to several shards, and its windows' earliest places meet by hash after.
-    A false hit of the bit map costs work, not correctness. Words are compared by 64-bit hashes.
+    2. Segments whose anchor it shows are classed by anchor and words: of equal segments all but the earliest repeat it as a whole.
+    3. The earliest segments of classes that share an anchor, or hold it twice, go to a shard by anchor, with their words. Each shard builds
+       an FM-index over its segments and streams them through it. An anchor with over ``block`` classes is dealt to several shards, and
+       the earliest places of its windows meet by hash after.
+    A false hit of a bit map costs work, not correctness. Words are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     texts = docs.where(F.length("_text") >= 2 * window - 1)
+    mask = (1 << map_bits) - 1
 
     def parts(batch: pa.RecordBatch):
         for rows, data, offsets in byte_slices(batch):
@@ -202,40 +220,55 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, block: int
                 n = n + np.isin(a, anchor[twice])
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
-    slot = F.pmod(F.shiftright("anchor", 3), F.lit(1 << map_bits))
     twice = texts.select("_text").mapInArrow(anchors, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    bits = twice.select(F.shiftright(slot, 6).cast("int").alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
-    bits = bits.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()  # at most 2**(map_bits - 6) rows
-    seen = np.zeros(1 << (map_bits - 6), dtype=np.uint64)
-    seen[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64) if len(bits) else 0
-    shared = spark.sparkContext.broadcast(seen)
+    shared = spark.sparkContext.broadcast(bit_map(twice.select(F.shiftright("anchor", 3).bitwiseAND(mask).alias("slot")), map_bits))
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
         for batch in batches:
             for rows, h, first, (doc, start, count, anchor, twice) in parts(batch):
-                at = (anchor.view(np.int64) >> 3) & ((1 << map_bits) - 1)
-                keep = np.flatnonzero((seen[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+                keep = on_map(seen, (anchor.view(np.int64) >> 3) & mask)
                 doc, start, count, anchor, twice = doc[keep], start[keep], count[keep], anchor[keep], twice[keep]
                 size = count + window - 1
                 ends = np.cumsum(size)
-                begin = first[doc] + start
-                words = h[np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))]
-                digest = np.add.reduceat(words * np.repeat(anchor | np.uint64(1), size) ** (np.arange(len(words)) - np.repeat(ends - size, size) + 1).astype(np.uint64), ends - size) if len(keep) else np.zeros(0, np.uint64)
-                content = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keep), [None, pa.py_buffer(np.r_[0, ends * 8].astype(np.int64)), pa.py_buffer(words.tobytes())]).cast(pa.binary())
+                within = np.arange(int(size.sum())) - np.repeat(ends - size, size)
+                words = h[np.repeat(first[doc] + start, size) + within]
+                digest = np.add.reduceat(words * _POWERS[within], ends - size) if len(keep) else np.zeros(0, np.uint64)
+                digest = mix(digest ^ size.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("_doc").take(pa.array(doc)), rows.column("_mark").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(mix(digest).view(np.int64)), pa.array(twice), content],
-                    ["_doc", "_mark", "start", "n", "anchor", "digest", "twice", "words"],
+                    [rows.column("_doc").take(pa.array(doc)), rows.column("_mark").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(twice)],
+                    ["_doc", "_mark", "start", "n", "anchor", "digest", "twice"],
                 )
 
-    found = written(texts.select("_doc", "_mark", "_text").mapInArrow(candidates, "_doc long, _mark long, start int, n int, anchor long, digest long, twice boolean, words binary"), "segments")
+    found = written(texts.select("_doc", "_mark", "_text").mapInArrow(candidates, "_doc long, _mark long, start int, n int, anchor long, digest long, twice boolean"), "segments")
     place = F.struct("_doc", "_mark", "start")
-    classes = found.groupBy("anchor", "digest").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("twice").alias("twice"), F.any_value("words").alias("words"), F.count(F.lit(1)).alias("copies"))
-    classes = written(classes, "segment-classes")
+    classes = written(found.groupBy("anchor", "digest").agg(F.min(place).alias("first"), F.bool_or("twice").alias("twice"), F.count(F.lit(1)).alias("copies")), "segment-classes")
     sizes = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("in_all"), F.bool_or("twice").alias("any_twice")).where("in_all > 1 OR any_twice").select("anchor", "in_all"), "anchors")
-    salt = F.pmod(F.xxhash64("digest"), F.ceil(F.col("in_all") / block))
-    dealt = classes.select("anchor", "digest", "first", "words").join(sizes, "anchor").withColumn("_split", F.col("in_all") > block).withColumn("_block", F.xxhash64("anchor", salt))
-    dealt = dealt.select("_block", "_split", "anchor", "digest", "first.*", "words").repartition("_block").sortWithinPartitions("_block")
+    slot = F.col("first._mark").bitwiseXOR(F.col("first._doc")).bitwiseXOR(F.shiftleft(F.col("first.start").cast("long"), 11)).bitwiseAND(mask)
+    searched = spark.sparkContext.broadcast(bit_map(classes.select("anchor", "first").join(sizes, "anchor").select(slot.alias("slot")), map_bits))
+
+    def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, asked = shared.value, searched.value
+        for batch in batches:
+            for rows, h, first, (doc, start, count, anchor, _) in parts(batch):
+                ids, marks = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_doc", "_mark"))
+                keep = on_map(seen, (anchor.view(np.int64) >> 3) & mask)
+                keep = keep[on_map(asked, (marks[doc[keep]] ^ ids[doc[keep]] ^ (start[keep] << 11)) & mask)]
+                doc, start, count, anchor = doc[keep], start[keep], count[keep], anchor[keep]
+                size = count + window - 1
+                ends = np.cumsum(size)
+                words = h[np.repeat(first[doc] + start - (ends - size), size) + np.arange(int(size.sum()))]
+                content = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keep), [None, pa.py_buffer(np.r_[0, ends * 8].astype(np.int64)), pa.py_buffer(words.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(marks[doc]), pa.array(start.astype(np.int32)), pa.array(anchor.view(np.int64)), content], ["_doc", "_mark", "start", "anchor", "words"])
+
+    rows = texts.select("_doc", "_mark", "_text").mapInArrow(contents, "_doc long, _mark long, start int, anchor long, words binary")
+    hot = sizes.where(F.col("in_all") > block)
+    if hot.isEmpty():
+        dealt = rows.select("*", F.lit(False).alias("_split"), F.col("anchor").alias("_block"))
+    else:
+        salt = F.pmod(F.xxhash64("_doc", "_mark", "start"), F.ceil(F.col("in_all") / block))
+        dealt = rows.join(hot, "anchor", "left").select("_doc", "_mark", "start", "anchor", "words", F.col("in_all").isNotNull().alias("_split"), F.xxhash64("anchor", F.coalesce(salt, F.lit(0).cast("long"))).alias("_block"))
+    dealt = dealt.repartition("_block").sortWithinPartitions("_block")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, rows=20_000):
@@ -251,32 +284,32 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, block: int
             ids[by] = np.cumsum(np.r_[False, (doc[by][1:] != doc[by][:-1]) | (mark[by][1:] != mark[by][:-1])])
             segment, at, again = earlier(words, off, (ids << 32) + start, window)
             split = part.column("_split").combine_chunks().to_numpy(zero_copy_only=False)[segment]
-            # a window of a split anchor may start earlier in another shard: its hash and place go out too
-            out = again | split
-            segment, at, again, split = segment[out], at[out], again[out], split[out]
-            h = np.zeros(len(segment), dtype=np.uint64)
+            # a window of a split anchor may start earlier in another shard: its hash and place go out, one by one
+            lone = np.flatnonzero(split & ~again)
+            segment_, at_ = segment[lone], at[lone]
+            h = np.zeros(len(lone), dtype=np.uint64)
             for k in range(window):
-                h += np.where(split, words[off[segment] + at + k], 0).astype(np.uint64) * _STEPS[k]
+                h += words[off[segment_] + at_ + k] * _STEPS[k]
+            # of the others those that start earlier, as runs of neighbours
+            hit = np.flatnonzero(again)
+            head = np.flatnonzero(np.r_[True, (segment[hit][1:] != segment[hit][:-1]) | (at[hit][1:] != at[hit][:-1] + 1)]) if len(hit) else np.zeros(0, np.int64)
+            length = np.diff(np.r_[head, len(hit)])
+            segment, at = np.r_[segment[hit][head], segment_], np.r_[at[hit][head], at_]
             take = pa.array(segment)
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(c).combine_chunks().take(take) for c in ("anchor", "digest", "_doc", "_mark")], pa.array((start[segment] + at).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(again), pa.array(split), pa.array(mix(h).view(np.int64))],
-                ["anchor", "digest", "_doc", "_mark", "place", "at", "again", "split", "window"],
+                [*[part.column(c).combine_chunks().take(take) for c in ("anchor", "_doc", "_mark")], pa.array((start[segment] + at).astype(np.int32)), pa.array(np.r_[length, np.ones(len(lone), np.int64)].astype(np.int32)), pa.array(np.r_[np.zeros(len(head), bool), np.ones(len(lone), bool)]), pa.array(np.r_[np.zeros(len(head), np.uint64), mix(h)].view(np.int64))],
+                ["anchor", "_doc", "_mark", "start", "n", "open", "window"],
             )
 
-    windows = written(dealt.mapInArrow(search, "anchor long, digest long, _doc long, _mark long, place int, at int, again boolean, split boolean, window long"), "windows")
-    apart = windows.where("split")
-    whole = windows.where("again").select("anchor", "digest", "at")
-    if not apart.isEmpty():
-        least = written(apart.groupBy("anchor", "window").agg(F.min(F.struct("_doc", "_mark", "place")).alias("least")), "earliest-windows")
-        late = apart.join(least, ["anchor", "window"]).where(F.col("least") < F.struct("_doc", "_mark", "place")).select("anchor", "digest", "at")
-        whole = whole.union(late).distinct()
-    # offsets of a class's windows, as an array: at most 64 of them
-    marked = written(whole.groupBy("anchor", "digest").agg(F.array_sort(F.collect_list("at")).alias("late")), "late-windows")
-    kept = classes.where("copies > 1").select("anchor", "digest", "first", F.array().cast("array<int>").alias("none"))
-    copies = found.join(kept, ["anchor", "digest"]).where(place != F.col("first")).select("_doc", "_mark", F.struct("start", "n").alias("span"))
-    own = found.join(marked, ["anchor", "digest"])
-    own = own.join(classes.select("anchor", "digest", "first"), ["anchor", "digest"]).where(place == F.col("first")).select("_doc", "_mark", F.explode(F.transform("late", lambda x: F.struct((F.col("start") + x).alias("start"), F.lit(1).alias("n")))).alias("span"))
-    return written(copies.union(own).groupBy("_doc", "_mark").agg(F.collect_list("span").alias("spans")), "repeated-spans")
+    windows = written(dealt.mapInArrow(search, "anchor long, _doc long, _mark long, start int, n int, open boolean, window long"), "windows")
+    late = windows.where("NOT open").select("_doc", "_mark", "start", "n")
+    apart = windows.where("open")
+    if not hot.isEmpty():
+        least = written(apart.groupBy("anchor", "window").agg(F.min(place).alias("least")), "earliest-windows")
+        late = late.union(apart.join(least, ["anchor", "window"]).where(F.col("least") < place).select("_doc", "_mark", "start", "n"))
+    copied = classes.where("copies > 1").select("anchor", "digest", "first")
+    copies = found.select("_doc", "_mark", "start", "n", "anchor", "digest").join(copied, ["anchor", "digest"]).where(place != F.col("first")).select("_doc", "_mark", "start", "n")
+    return written(copies.union(late).groupBy("_doc", "_mark").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "repeated-spans")
 
 
 def deduplicate(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 16_384, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,7 +325,7 @@ def deduplicate(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 1
     spans = repeated_spans(base, window, gram, block)
     others = [c for c in dict.fromkeys(keep) if c not in (id_col, text_col)]
     rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in others], F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"), mark.alias("_mark"), F.col(text_col).cast("string").alias("_text"))
-    joined = rows.join(spans, ["_doc", "_mark"], "left").drop("_doc", "_mark")
+    joined = rows.join(spans.hint("shuffle_hash"), ["_doc", "_mark"], "left").drop("_doc", "_mark")
     names = ["_id", *[f"_keep_{c}" for c in others]]
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
 
