@@ -33,7 +33,9 @@ class PieceCounter:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         # and spaces are kept as they are, with one put before the text
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces) and self.model.encode("  a  b", out_type=str) == self.model.encode("  a", out_type=str) + self.model.encode(" b", out_type=str)
-        self.seen: dict[str, int] = {}
+        # a single space at the end is a segment without text, which the library would take for no input
+        self.lone = 1 if self.model.piece_to_id("▁") != self.model.unk_id() else len("▁".encode())
+        self.seen: dict[str, int] = {"": self.lone}
 
     def segments(self, text: str) -> list[str]:
         if text[0] != " " and text[-1] != " " and "  " not in text and "▁" not in text:
@@ -51,8 +53,8 @@ class PieceCounter:
             parts = self.segments(text)
             fresh = [p for p in dict.fromkeys(parts) if p not in self.seen]
             if len(self.seen) + len(fresh) > self.most:
-                self.seen.clear()
-                fresh = list(dict.fromkeys(parts))
+                self.seen = {"": self.lone}
+                fresh = [p for p in dict.fromkeys(parts) if p]
             self.seen.update(zip(fresh, map(len, self.model.encode(fresh, num_threads=1)), strict=True))
             out.append(sum(map(self.seen.__getitem__, parts)))
         return out
