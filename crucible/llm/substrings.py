@@ -182,10 +182,9 @@ def earlier(words: np.ndarray, offsets: np.ndarray, order: np.ndarray, window: i
 def bit_map(slots: DataFrame, bits: int) -> np.ndarray:
     """The slots (a column of numbers below 2**bits) as a bit map; at most 2**(bits - 6) rows come to the driver, whatever the input."""
     words = slots.select(F.shiftright("slot", 6).cast("int").alias("word"), F.pmod("slot", F.lit(64)).cast("int").alias("bit"))
-    rows = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    rows = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    if len(rows):
-        out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 
