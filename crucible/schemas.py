@@ -5,8 +5,33 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_ATOMS = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType()}
+
+
+def _split(s: str) -> list[str]:
+    """Parts at commas outside angle brackets."""
+    parts, level, at = [], 0, 0
+    for k, c in enumerate(s):
+        level += (c == "<") - (c == ">")
+        if c == "," and not level:
+            parts.append(s[at:k])
+            at = k + 1
+    return [p.strip() for p in [*parts, s[at:]]]
+
+
+def kind(s: str) -> T.DataType:
+    """A type from its name, without a running session."""
+    if s.startswith("array<"):
+        return T.ArrayType(kind(s[6:-1]))
+    if s.startswith("map<"):
+        return T.MapType(*map(kind, _split(s[4:-1])))
+    if s.startswith("struct<"):
+        return T.StructType([T.StructField(n.strip(), kind(t.strip())) for n, t in (p.split(":", 1) for p in _split(s[7:-1]))])
+    return _ATOMS[s]
+
+
 def schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    return T.StructType([T.StructField(n, kind(t)) for n, t in (p.split(" ", 1) for p in _split(ddl))])
 
 
 #: The canonical record: predictions and gold alike, one for each figure.
