@@ -68,7 +68,8 @@ def split_conditions(c: Column | str) -> Column:
     for p in (DR, YIELD):
         rest = F.regexp_replace(rest, p, "")
     rest = F.regexp_replace(F.regexp_replace(rest, r"\s*([,;])(?:\s*[,;])+", "$1"), r"^[\s,;]+|[\s,;]+$", "")
-    rows = [F.transform(hits, lambda t, role=role: F.struct(F.lit(role).alias("role"), F.trim(t).alias("text"))) for role, hits in found]
+    as_role = lambda role: lambda t: F.struct(F.lit(role).alias("role"), F.trim(t).alias("text"))
+    rows = [F.transform(hits, as_role(role)) for role, hits in found]
     left = F.when(rest != "", F.array(F.struct(F.lit("reagent").alias("role"), rest.alias("text")))).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
     return F.concat(*rows, left)
 

@@ -71,8 +71,10 @@ def box_reaction_match(gold: DataFrame, pred: DataFrame, gold_boxes: DataFrame,
     mapping = match_boxes(pred_boxes, gold_boxes, least)
     molecule = gold_boxes.where("category = 1").select("image", F.col("idx").alias("_i"))
 
+    as_role = lambda c: lambda x: F.struct(F.lit(c).alias("role"), x.alias("box"))
+
     def keyed(df: DataFrame, mapped: bool) -> DataFrame:
-        long = df.select("image", F.col("idx").alias("_r"), F.explode(F.concat(*[F.transform(c, lambda x, c=c: F.struct(F.lit(c).alias("role"), x.alias("box"))) for c in ("reactants", "conditions", "products")])).alias("e")).select("image", "_r", "e.role", "e.box")
+        long = df.select("image", F.col("idx").alias("_r"), F.explode(F.concat(*[F.transform(c, as_role(c)) for c in ("reactants", "conditions", "products")])).alias("e")).select("image", "_r", "e.role", "e.box")
         if mapped:
             long = long.join(mapping.select("image", F.col("idx").alias("box"), F.col("matched").alias("_i")), ["image", "box"], "left").withColumn("_i", F.coalesce("_i", F.lit(-1)))
         else:
