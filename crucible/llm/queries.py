@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embeddings": embeddings.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.SQL}
+    return {"op2_embeddings": embeddings.SQL, "op3_substrings": substrings.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.SQL}

@@ -350,3 +350,15 @@ def deduplicate(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 1
 
     out = joined.mapInArrow(cut, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in others], "n_words", "n_removed", "kept_sha256", "kept_text")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS k FROM s),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r WHERE n > 1),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+q AS (SELECT p.doc_id, count(*) FILTER (g.p IS NOT NULL) AS n_removed, string_agg(x, ' ' ORDER BY p.p) FILTER (g.p IS NULL) AS kept FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.p = g.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN q ON d.doc_id = q.doc_id
+"""
