@@ -44,8 +44,10 @@ def diverse_topn(df: DataFrame, by: list[str], group: str, count: str, tie: str,
     w = Window.partitionBy(*by)
     slots = sizes.withColumn("_s", F.least(F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("_g") / F.sum("_g").over(w)).cast("int")), F.col("_rows")))
     order = w.orderBy(F.desc("_g"), group)
+    # what the rounding left over or overspent is the largest group's
+    spare = F.lit(n) - F.sum("_s").over(w)
+    slots = slots.withColumn("_s", F.when(F.row_number().over(order) == 1, F.least(F.col("_rows"), F.greatest(F.lit(1), F.col("_s") + spare))).otherwise(F.col("_s")))
     slots = slots.withColumn("_before", F.coalesce(F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_s", F.greatest(F.lit(0), F.least("_s", F.lit(n) - F.col("_before"))))
-    slots = slots.withColumn("_s", F.when(F.row_number().over(order) == 1, F.col("_s") + F.greatest(F.lit(0), F.lit(n) - F.sum("_s").over(w))).otherwise(F.col("_s")))
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by, group).orderBy(F.desc(count), tie)))
     return ranked.join(slots.select(*by, group, "_s"), [*by, group]).where(F.col("_n") <= F.col("_s")).drop("_n", "_s")
 
