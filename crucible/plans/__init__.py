@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from crucible.plans import analytics as _analytics  # noqa: F401  registers its queries
 from crucible.plans import evaluation
 from crucible.plans import hierarchy as _hierarchy  # noqa: F401
+from crucible.plans import more as _more  # noqa: F401
 from crucible.plans.registry import QUERIES, SQL, Query
 
 
