@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Score of the worst code of a kind.
-HEALTH = ((10, ("H330", "H310", "H300", "H340", "H350", "H360")), (9, ("H331", "H311", "H301", "H341", "H351", "H361", "H370", "H372")), (7, ("H314", "H318", "H334", "H373")), (6, ("H332", "H312", "H302", "H315", "H317", "H319")), (4, ("H335", "H336", "H304", "H371")))
-ENVIRONMENT = ((10, ("H420", "H410", "H400")), (7, ("H411",)), (5, ("H412", "H413")))
+#: Health and environment scores by the worst hazard code.
+HEALTH = (
+    (9, ("H300", "H310", "H330", "H340", "H350", "H360")), (7, ("H314",)), (6, ("H301", "H311", "H331", "H341", "H351", "H361", "H370", "H372")), (4, ("H318", "H334")),
+    (2, ("H302", "H304", "H315", "H317", "H319", "H332", "H335", "H336", "H371", "H373")),
+)
+ENVIRONMENT = ((10, ("H420",)), (7, ("H400", "H410", "H411")), (5, ("H412", "H413")))
 SEVERITY = ("recommended", "problematic", "hazardous")
 
 
@@ -21,21 +24,21 @@ def _worst(codes: Column, table, otherwise: int) -> Column:
 
 
 def ehs_scores(df: DataFrame) -> DataFrame:
-    """Health, environment and safety scores of solvents, from 1 (best) to 10, and a ranking in three levels.
+    """Health, environment and safety scores of solvents (the more, the worse) and a ranking in three levels.
 
-    Boiling points below 85 °C add to the health score of a hazardous solvent; a boiling-point score feeds the environment score only.
+    Safety sums scores of flash point, auto-ignition, peroxides and resistivity. The boiling point adds one to health from 85 °C, and its own
+    score is the least that the environment's counts; it is no part of safety. An unknown property scores 0.
     """
     codes = F.coalesce("codes", F.array().cast("array<string>"))
     bp, fp = F.col("ExpBP"), F.col("FP")
-    bp_score = F.when(bp.isNull(), 5).when(bp < 50, 7).when(bp < 70, 5).when(bp <= 139, 3).when(bp <= 200, 5).otherwise(7)
-    safety = F.when(fp.isNull(), 3).when(fp < -20, 7).when(fp < 0, 5).when(fp < 24, 4).when(fp < 60, 3).otherwise(1) + F.when(F.col("AIT") < 200, 1).otherwise(0) + F.coalesce("peroxide", F.lit(0)) + F.coalesce("resistivity", F.lit(0))
-    health = _worst(codes, tuple((9 if s == 10 and "H350" in g else s, g) for s, g in HEALTH), 2)
-    out = df.withColumns({"bp_score": bp_score, "safety_score": F.least(F.lit(10), safety), "health_score": health, "env_score": _worst(codes, ENVIRONMENT, 3)})
-    out = out.withColumns({"corrected_health_score": F.least(F.lit(10), F.col("health_score") + F.when((bp < 85) | ((F.col("health_score") >= 9) & F.col("env_score").isNotNull()), 1).otherwise(0)), "corrected_env_score": F.greatest("env_score", "bp_score")})
+    bp_score = F.when(bp.isNull(), 0).when(bp < 50, 7).when(bp < 70, 5).when(bp < 140, 3).when(bp < 200, 5).otherwise(7)
+    fp_score = F.when(fp.isNull(), 0).when(fp < -20, 7).when(fp < 0, 5).when(fp < 24, 4).when(fp < 60, 3).otherwise(1)
+    safety = fp_score + F.when(F.col("AIT") <= 200, 1).otherwise(0) + F.coalesce("peroxide", F.lit(0)) + F.coalesce("resistivity", F.lit(0))
+    out = df.withColumns({"bp_score": bp_score, "safety_score": safety, "health_score": _worst(codes, HEALTH, 1), "env_score": _worst(codes, ENVIRONMENT, 3)})
+    out = out.withColumns({"corrected_health_score": F.col("health_score") + F.when(bp >= 85, 1).otherwise(0), "corrected_env_score": F.greatest("env_score", "bp_score")})
     three = F.array("safety_score", "corrected_health_score", "corrected_env_score")
-    high = F.size(F.filter(three, lambda x: x >= 7))
-    top = F.array_max(three)
-    return out.withColumn("ranking", F.when((top >= 8) | (high >= 2), "hazardous").when((high == 1) | (F.size(F.filter(three, lambda x: x >= 4)) >= 2), "problematic").otherwise("recommended"))
+    many = lambda low, high: F.size(F.filter(three, lambda x: (x >= low) & (x <= high)))
+    return out.withColumn("ranking", F.when((many(8, 99) > 0) | (many(7, 99) > 1), "hazardous").when((F.array_max(three) == 7) | (many(4, 6) > 1), "problematic").otherwise("recommended"))
 
 
 def severity(ranking: Column | str) -> Column:
@@ -95,12 +98,17 @@ def druglike_counts(df: DataFrame) -> DataFrame:
 
 
 def cns_score(df: DataFrame, pka: str | None = None) -> DataFrame:
-    """Sum of six desirabilities from 0 to 1; an unknown pKa gives none."""
+    """Sum of six desirabilities of a central-nervous-system drug; an unknown pKa counts none.
+
+    Between 360 and 500 the term of the molecular weight is (360 - mw) / 140, below zero, as in the scores it has to match.
+    """
     c = F.col
-    fall = lambda name, low, high: F.when(c(name) <= low, 1.0).when(c(name) >= high, 0.0).otherwise((high - c(name)) / (high - low))
-    hump = F.when(c("tpsa") <= 20, 0.0).when(c("tpsa") < 40, (c("tpsa") - 20) / 20).when(c("tpsa") <= 90, 1.0).when(c("tpsa") < 120, (120 - c("tpsa")) / 30).otherwise(0.0)
+    fall = lambda name, low, high: F.when(c(name) < low, 1.0).when(c(name) > high, 0.0).otherwise((high - c(name)) / (high - low))
+    weight = F.when(c("mw") < 360, 1.0).when(c("mw") > 500, 0.0).otherwise((360 - c("mw")) / 140)
+    hump = F.when(c("tpsa") < 20, 0.0).when(c("tpsa") < 40, (c("tpsa") - 20) / 20).when(c("tpsa") < 90, 1.0).when(c("tpsa") < 120, (120 - c("tpsa")) / 30).otherwise(0.0)
+    donors = F.greatest(F.lit(0.0), 1 - c("hbd") / 4)
     base = fall(pka, 8.0, 10.0) if pka else F.lit(0.0)
-    return df.withColumn("cns", fall("mw", 360, 500) + fall("logp", 3.0, 5.0) + fall("logd", 2.0, 4.0) + hump + fall("hbd", 0.5, 3.5) + base)
+    return df.withColumn("cns", fall("logp", 3.0, 5.0) + fall("logd", 2.0, 4.0) + weight + hump + donors + base)
 
 
 def inclusion(df: DataFrame, by: list[str], reaction_id: str = "reaction_id", wildcard: str = "wildcard") -> DataFrame:

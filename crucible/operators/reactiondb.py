@@ -60,16 +60,23 @@ def buyability(routes: DataFrame, prices: DataFrame, by: list[str], molecule: st
 
 
 def score_routes(steps: DataFrame, prices: DataFrame, path: str = "path", k: int = 10) -> DataFrame:
-    """Routes by length, similarity, references, share for sale and price (no price costs 100); the best k."""
+    """The k routes of least penalty: 10 a step, up to 100 for what isn't for sale, the price (100 if there is none), less 3 times the mean
+    references and 20 times the mean similarity of its steps. ``steps``: (path, similarity, references, leaves: its starting materials)."""
     bought = buyability(steps.select(path, F.explode("leaves").alias("molecule")).distinct(), prices, [path])
-    own = steps.groupBy(path).agg(F.count(F.lit(1)).alias("length"), F.avg("similarity").alias("similarity"), F.sum("references").alias("references"))
-    scored = own.join(bought, path, "left").withColumn("penalty", F.when(F.coalesce("price", F.lit(0.0)) == 0, 100.0).otherwise(F.col("price")))
-    score = F.col("similarity") + F.coalesce("share", F.lit(0.0)) + F.log10(1 + F.col("references")) - 0.1 * F.col("length") - 0.01 * F.col("penalty")
-    return scored.withColumn("score", score).orderBy(F.desc("score"), path).limit(k)
+    own = steps.groupBy(path).agg(F.count(F.lit(1)).alias("length"), F.avg("similarity").alias("similarity"), F.avg("references").alias("references"))
+    cost = F.when(F.coalesce("price", F.lit(0.0)) == 0, 100.0).otherwise(F.col("price"))
+    penalty = 10 * F.col("length") + 100 * (1 - F.coalesce("share", F.lit(0.0))) + cost - 3 * F.col("references") - 20 * F.col("similarity")
+    return own.join(bought, path, "left").withColumn("penalty", F.round(penalty, 2)).orderBy("penalty", path).limit(k)
 
 
-def score_disconnections(candidates: DataFrame, least: float = 0.0, k: int = 10, most_references: int = 10) -> DataFrame:
-    """Disconnections with equal reactions merged (the first kept, references added up to a ceiling, templates listed), above ``least``, the best k."""
-    merged = candidates.groupBy("reaction").agg(F.min_by(F.struct("similarity", "simplification"), "ord").alias("f"), F.sum("references").alias("references"), F.array_sort(F.collect_set("template")).alias("templates"))
-    score = F.col("f.similarity") * 0.5 + F.col("f.simplification") * 0.3 + F.least("references", F.lit(most_references)) / most_references * 0.2
-    return merged.withColumn("score", score).where(F.col("score") > least).orderBy(F.desc("score"), "reaction").limit(k).select("reaction", "references", "templates", "score")
+def score_disconnections(candidates: DataFrame, least: float = 10.0, k: int = 10, buyable: bool = False, flow: bool = False) -> DataFrame:
+    """The k best disconnections above ``least``; equal reactions are merged: the first kept, references added, templates listed.
+
+    20 for similarity, 1 for each of up to ten references and 20 for the gain in accessibility (10 less if it is a loss); with ``buyable``
+    10 for the share for sale, with ``flow`` 20 for the flow factor.
+    """
+    columns = ["similarity", "accessibility", *(["buyable"] if buyable else []), *(["flow"] if flow else [])]
+    merged = candidates.groupBy("reaction").agg(F.min_by(F.struct(*columns), "ord").alias("f"), F.sum("references").alias("references"), F.array_sort(F.collect_set("template")).alias("templates"))
+    score = 20 * F.col("f.similarity") + F.least("references", F.lit(10)) + 20 * F.col("f.accessibility") - F.when(F.col("f.accessibility") < 0, 10).otherwise(0)
+    score = score + (10 * F.col("f.buyable") if buyable else 0) + (20 * F.col("f.flow") if flow else 0)
+    return merged.withColumn("score", score.cast("double")).where(F.col("score") > least).orderBy(F.desc("score"), "reaction").limit(k).select("reaction", "references", "templates", "score")

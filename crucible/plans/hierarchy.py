@@ -150,11 +150,11 @@ def quota_subset(t: Tables) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT p_partkey AS key, CASE WHEN p_size % 3 = 0 THEN ['H350', 'H411'] WHEN p_size % 3 = 1 THEN ['H315'] ELSE ['H412', 'H301'] END AS codes, p_size * 5.0 AS bp, p_size * 2.0 - 30 AS fp, p_retailprice - 800 AS ait FROM part),
-a AS (SELECT key, CASE WHEN list_contains(codes, 'H350') OR list_contains(codes, 'H301') THEN 9 ELSE 6 END AS health, CASE WHEN list_contains(codes, 'H411') THEN 7 WHEN list_contains(codes, 'H412') THEN 5 ELSE 3 END AS env, bp,
-  CASE WHEN bp < 50 THEN 7 WHEN bp < 70 THEN 5 WHEN bp <= 139 THEN 3 WHEN bp <= 200 THEN 5 ELSE 7 END AS bps, least(10, CASE WHEN fp < -20 THEN 7 WHEN fp < 0 THEN 5 WHEN fp < 24 THEN 4 WHEN fp < 60 THEN 3 ELSE 1 END + CASE WHEN ait < 200 THEN 1 ELSE 0 END) AS safety FROM s),
-b AS (SELECT *, least(10, health + CASE WHEN bp < 85 OR health >= 9 THEN 1 ELSE 0 END) AS ch, greatest(env, bps) AS ce FROM a),
-c AS (SELECT *, greatest(safety, ch, ce) AS top, CASE WHEN safety >= 7 THEN 1 ELSE 0 END + CASE WHEN ch >= 7 THEN 1 ELSE 0 END + CASE WHEN ce >= 7 THEN 1 ELSE 0 END AS high, CASE WHEN safety >= 4 THEN 1 ELSE 0 END + CASE WHEN ch >= 4 THEN 1 ELSE 0 END + CASE WHEN ce >= 4 THEN 1 ELSE 0 END AS mid FROM b)
-SELECT key, CAST(safety AS BIGINT) AS safety, CAST(ch AS BIGINT) AS health, CAST(ce AS BIGINT) AS env, CASE WHEN top >= 8 OR high >= 2 THEN 'hazardous' WHEN high = 1 OR mid >= 2 THEN 'problematic' ELSE 'recommended' END AS ranking FROM c""")
+a AS (SELECT key, CASE WHEN list_contains(codes, 'H350') THEN 9 WHEN list_contains(codes, 'H301') THEN 6 ELSE 2 END AS health, CASE WHEN list_contains(codes, 'H411') THEN 7 WHEN list_contains(codes, 'H412') THEN 5 ELSE 3 END AS env, bp,
+  CASE WHEN bp < 50 THEN 7 WHEN bp < 70 THEN 5 WHEN bp < 140 THEN 3 WHEN bp < 200 THEN 5 ELSE 7 END AS bps, CASE WHEN fp < -20 THEN 7 WHEN fp < 0 THEN 5 WHEN fp < 24 THEN 4 WHEN fp < 60 THEN 3 ELSE 1 END + CASE WHEN ait <= 200 THEN 1 ELSE 0 END AS safety FROM s),
+b AS (SELECT *, health + CASE WHEN bp >= 85 THEN 1 ELSE 0 END AS ch, greatest(env, bps) AS ce FROM a),
+c AS (SELECT *, greatest(safety, ch, ce) AS top, CASE WHEN safety >= 7 THEN 1 ELSE 0 END + CASE WHEN ch >= 7 THEN 1 ELSE 0 END + CASE WHEN ce >= 7 THEN 1 ELSE 0 END AS high, CASE WHEN safety BETWEEN 4 AND 6 THEN 1 ELSE 0 END + CASE WHEN ch BETWEEN 4 AND 6 THEN 1 ELSE 0 END + CASE WHEN ce BETWEEN 4 AND 6 THEN 1 ELSE 0 END AS mid FROM b)
+SELECT key, CAST(safety AS BIGINT) AS safety, CAST(ch AS BIGINT) AS health, CAST(ce AS BIGINT) AS env, CASE WHEN top >= 8 OR high > 1 THEN 'hazardous' WHEN top = 7 OR mid > 1 THEN 'problematic' ELSE 'recommended' END AS ranking FROM c""")
 def ehs_scores(t: Tables) -> DataFrame:
     k = F.col("p_size") % 3
     rows = t.part.select(F.col("p_partkey").alias("key"), F.when(k == 0, F.array(F.lit("H350"), F.lit("H411"))).when(k == 1, F.array(F.lit("H315"))).otherwise(F.array(F.lit("H412"), F.lit("H301"))).alias("codes"), (F.col("p_size") * 5.0).alias("ExpBP"), (F.col("p_size") * 2.0 - 30).alias("FP"), (F.col("p_retailprice") - 800).alias("AIT"), F.lit(0).alias("peroxide"), F.lit(0).alias("resistivity"))

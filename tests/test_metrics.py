@@ -241,3 +241,14 @@ def test_bootstrap_of_one_row_is_null(spark):
     assert got["a"] == (None, None) and got["b"][0] < got["b"][1]
 
 
+
+
+def test_routes_disconnections_and_cns(spark):
+    steps = spark.createDataFrame([("p", 0.5, 2, ["a", "b"]), ("p", 1.0, 4, ["a", "b"]), ("q", 1.0, 0, ["z"])], "path string, similarity double, references int, leaves array<string>")
+    got = {r.path: r.penalty for r in reactiondb.score_routes(steps, spark.createDataFrame([("a", 7.0)], "molecule string, price double")).collect()}
+    assert got == {"p": 20 + 50 + 7 - 9 - 15, "q": 10 + 100 + 100 - 20}
+    found = spark.createDataFrame([("r", 0.5, 0.1, 8, "t1", 0), ("r", 0.9, 0.9, 7, "t2", 1), ("s", 0.1, -0.1, 1, "t", 0)], "reaction string, similarity double, accessibility double, references int, template string, ord int")
+    r = reactiondb.score_disconnections(found).collect()
+    assert [(x.reaction, x.references, x.templates, round(x.score, 6)) for x in r] == [("r", 15, ["t1", "t2"], 22.0)]
+    df = spark.createDataFrame([(4.0, 1.0, 430.0, 30.0, 1, 9.0)], "logp double, logd double, mw double, tpsa double, hbd int, pka double")
+    assert hazards.cns_score(df, "pka").first().cns == pytest.approx(0.5 + 1 - 0.5 + 0.5 + 0.75 + 0.5)
