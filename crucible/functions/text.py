@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-YIELD = r"\d{1,3}(?:\.\d+)?\s*%(?:\s*yield)?"
-EE = r"\d{1,3}(?:\.\d+)?\s*%\s*(?:ee|er)\b"
-DR = r"\d+(?:\.\d+)?\s*:\s*\d+(?:\.\d+)?\s*(?:dr|er)\b"
+#: What counts as a yield, an enantiomeric excess and a diastereomeric ratio.
+YIELD = r"(?i)\d+(?:\.\d+)?\s*%(?:\s*yield)?"
+EE = r"(?i)\d+(?:\.\d+)?\s*%\s*ee"
+DR = r"(?i)\d+(?::\d+)+\s*dr"
 
 
 def column(c: Column | str) -> Column:
@@ -33,7 +34,7 @@ def condition_text(c: Column | str) -> Column:
 def lenient_text(c: Column | str) -> Column:
     """Condition text without parentheses, and with amounts written one way: ``5 mol%``, ``80%``, ``2 equiv``."""
     c = F.lower(column(c))
-    for old, new in ((r"[()\[\]]", " "), (r"mol\s*%", "mol%"), (r"(\d)\s+%", "$1%"), (r"(\d)\s*equiv(?:alents?|s)?\.?", "$1 equiv"), (r"\s+", " ")):
+    for old, new in ((r"[()]", " "), (r"(\d+(?:\.\d+)?)\s*mol\s*%", "$1 mol%"), (r"(\d+(?:\.\d+)?)\s*%", "$1%"), (r"(\d+(?:\.\d+)?)\s*equiv", "$1 equiv"), (r"\s+", " ")):
         c = F.regexp_replace(c, old, new)
     return F.trim(c)
 
@@ -65,35 +66,39 @@ def split_conditions(c: Column | str) -> Column:
     c = F.coalesce(column(c), F.lit(""))
     found = [(role, F.regexp_extract_all(c, F.lit(p), F.lit(0))) for role, p in (("yield", YIELD), ("ee", EE), ("dr", DR))]
     rest = c
-    for p in (DR, YIELD):
+    for p in (YIELD, EE, DR):
         rest = F.regexp_replace(rest, p, "")
-    rest = F.regexp_replace(F.regexp_replace(rest, r"\s*([,;])(?:\s*[,;])+", "$1"), r"^[\s,;]+|[\s,;]+$", "")
+    rest = F.regexp_replace(rest, r"^[ ,;]+|[ ,;]+$", "")
     as_role = lambda role: lambda t: F.struct(F.lit(role).alias("role"), F.trim(t).alias("text"))
     rows = [F.transform(hits, as_role(role)) for role, hits in found]
     left = F.when(rest != "", F.array(F.struct(F.lit("reagent").alias("role"), rest.alias("text")))).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
     return F.concat(*rows, left)
 
 
-#: Words that tell a condition's role, in the order they are tried.
+#: Strings that tell a condition's role, in the order they are tried.
 ROLE_WORDS = (
-    ("yield", r"\byield\b|%\s*$"), ("temperature", r"°\s*c|\bk\b|\brt\b|reflux|room temp"), ("time", r"\b\d+(?:\.\d+)?\s*(?:h|hr|hrs|hours?|min|minutes?|d|days?)\b"), ("atmosphere", r"\bargon\b|\bn2\b|nitrogen|\bair\b|\bar\b|atmosphere"),
-    ("catalyst", r"\bcat\b|catalyst|mol\s*%"), ("solvent", r"solvent|\bdmf\b|\bthf\b|\bdcm\b|\bdmso\b|toluene|mecn|meoh|etoh|dioxane|\bh2o\b|water"),
+    ("yield", ("yield",)), ("temperature", ("°c", "* c", " c,", " c.", " r.t", "rt,", " rt", "room temp", "reflux")), ("time", (" h ", " h,", " h.", " min", " hour", " day", " week")), ("atmosphere", ("atm", "n2", "ar,", " air")),
 )
 
 
 def condition_role(c: Column | str) -> Column:
-    """The role that a condition's wording suggests, else ``reagent``."""
+    """The role that a condition's wording suggests, else ``reagent``; a percentage of something isolated is a yield."""
     low = F.lower(column(c))
-    out = F.when(F.lit(False), F.lit(""))
+    has = lambda w: F.contains(low, F.lit(w))
+    out = F.when(has("%") & has("isolat"), "yield")
     for role, words in ROLE_WORDS:
-        out = out.when(low.rlike(words), role)
+        test = F.lit(False)
+        for w in words:
+            test = test | has(w)
+        out = out.when(test, role)
     return out.otherwise("reagent")
 
 
 def suffix_role(role: Column | str, text: Column | str) -> Column:
-    """A missing role taken from the text's ending ``ee``, ``er`` or ``dr``."""
+    """A role in the singular; a missing one taken from the text's ending ``ee``, ``er`` or ``dr``."""
     ending = F.regexp_extract(F.lower(F.trim(column(text))), "(ee|er|dr)$", 1)
-    return F.coalesce(F.nullif(column(role), F.lit("")), F.nullif(ending, F.lit("")))
+    one = F.regexp_replace(F.lower(F.trim(column(role))), "^(reagent|solvent|catalyst)s$", "$1")
+    return F.coalesce(F.nullif(one, F.lit("")), F.nullif(ending, F.lit("")))
 
 
 def path_stem(c: Column | str) -> Column:

@@ -93,7 +93,7 @@ def druglike_counts(df: DataFrame) -> DataFrame:
         "ghose": count(outside("mw", 160, 480), outside("logp", -0.4, 5.6), outside("atoms", 20, 70), outside("refractivity", 40, 130)),
         "egan": count(c("logp") > 5.88, c("tpsa") > 131.6),
         "veber": count(c("rotatable") > 10, c("tpsa") > 140),
-        "muegge": count(outside("mw", 200, 600), outside("logp", -2, 5), c("tpsa") > 150, c("rings") > 7, c("carbons") <= 4, c("hetero") <= 1, c("rotatable") > 15, c("hba") > 10, c("hbd") > 5),
+        "muegge": count(outside("mw", 200, 400), outside("logp", -2, 5), c("tpsa") > 150, c("rings") > 7, c("carbons") <= 4, c("hetero") <= 1, c("rotatable") > 15, c("hba") > 10, c("hbd") > 5),
     })
 
 

@@ -29,11 +29,11 @@ def species_summary(c: Column | str, kind: str = "reactant") -> Column:
 
 def flatten_products(extractions: DataFrame) -> DataFrame:
     """The flat product table: a row for each figure, reaction and product; a reaction without products keeps one row."""
-    r = extractions.select("stem", F.explode("reactions").alias("r")).select("stem", "r", F.explode_outer("r.products").alias("p"))
+    r = extractions.select("stem", "figure_caption", F.explode("reactions").alias("r")).select("stem", "figure_caption", "r", F.explode_outer("r.products").alias("p"))
     t = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return r.select(
-        F.col("stem").alias("figure"), t("r.entry_id").alias("entry_id"), t("r.title").alias("title"), F.coalesce(species_summary("r.reactants"), F.lit("")).alias("reactants"), F.coalesce(species_summary("r.reagents", "reagent"), F.lit("")).alias("reagents"),
-        t("r.conditions.temperature").alias("temperature"), t("r.conditions.time").alias("time"), t("r.conditions.atmosphere").alias("atmosphere"), t("r.conditions.solvent").alias("solvent"), t("r.conditions.other").alias("other_conditions"),
+        F.col("stem").alias("source_image"), t("figure_caption").alias("figure_caption"), t("r.entry_id").alias("entry_id"), t("r.title").alias("reaction_title"), F.coalesce(species_summary("r.reactants"), F.lit("")).alias("reactants"), F.coalesce(species_summary("r.reagents", "reagent"), F.lit("")).alias("reagents"),
+        t("r.conditions.solvent").alias("solvent"), t("r.conditions.temperature").alias("temperature"), t("r.conditions.time").alias("time"), t("r.conditions.atmosphere").alias("atmosphere"),
         t("p.label").alias("product_label"), t("p.name").alias("product_name"), t("p.smiles").alias("product_smiles"), F.col("p.yield_pct").alias("yield_pct"), t("p.yield_note").alias("yield_note"), t("r.notes").alias("notes"),
     )
 
@@ -42,7 +42,7 @@ def conditions_of(r: Column) -> Column:
     """Conditions of an extracted reaction: reagents, then the scalar ones, then product yields (``87 %``)."""
     condition = lambda role, words, smiles=None, raw=None: F.struct(role.alias("role"), words.alias("text"), (smiles if smiles is not None else F.lit(None).cast("string")).alias("smiles"), (raw if raw is not None else F.lit(None).cast("double")).alias("raw_value"))
     reagents = F.transform(F.coalesce(r["reagents"], F.array().cast("array<struct<label: string, name: string, smiles: string, role_note: string, loading: string, role: string>>")), lambda x: condition(coerce_role(x["role"]), text.first_filled(x["name"], x["label"], x["smiles"]), F.nullif(x["smiles"], F.lit(""))))
-    scalar = F.array_compact(F.array(*[F.when(F.coalesce(r["conditions"][c], F.lit("")) != "", condition(F.lit("other" if c == "other" else c), r["conditions"][c])) for c in ("temperature", "time", "atmosphere", "solvent", "other")]))
+    scalar = F.array_compact(F.array(*[F.when(F.coalesce(r["conditions"][c], F.lit("")) != "", condition(F.lit("reagent" if c == "other" else c), r["conditions"][c])) for c in ("temperature", "time", "atmosphere", "solvent", "other")]))
     made = F.filter(F.coalesce(r["products"], F.array().cast("array<struct<label: string, name: string, smiles: string, role_note: string, yield_pct: double, yield_note: string>>")), lambda p: p["yield_pct"].isNotNull())
     yields = F.transform(made, lambda p: condition(F.lit("yield"), F.concat(text.plain_number(p["yield_pct"]), F.lit(" %")), raw=p["yield_pct"]))
     return F.concat(reagents, scalar, yields)
@@ -60,16 +60,15 @@ def to_record(extractions: DataFrame) -> DataFrame:
 
 
 def coerce_role(c: Column | str, roles: tuple[str, ...] = ROLES) -> Column:
-    """A role's usual name; anything unknown is a reagent."""
-    low = F.lower(F.trim(text.column(c)))
-    same = F.create_map(*[F.lit(x) for pair in (("cat", "catalyst"), ("precatalyst", "catalyst"), ("co-catalyst", "catalyst"), ("temp", "temperature"), ("gas", "atmosphere"), ("reactant", "reagent"), ("oxidant", "reagent"), ("reductant", "reagent")) for x in pair])
-    named = F.coalesce(F.element_at(same, low), low)
-    return F.when(named.isin(*roles), named).otherwise("reagent")
+    """A role of the enumeration in lower case; anything else (bases, additives, oxidants, nothing) is a reagent."""
+    low = F.lower(text.column(c))
+    return F.when(low.isin(*roles), low).otherwise("reagent")
 
 
 def bucket_role(c: Column | str) -> Column:
-    """Roles that are hard to tell apart count as one."""
-    return F.when(text.column(c).isin("reagent", "catalyst", "ligand", "base", "additive", "acid", "oxidant", "reductant"), "reagent_bucket").otherwise(text.column(c))
+    """Roles that are hard to tell apart count as one; no role is an empty one."""
+    low = F.lower(F.coalesce(text.column(c), F.lit("")))
+    return F.when(low.isin("reagent", "catalyst", "additive", "base", "oxidant", "reductant", "trap", "other"), "reagent_bucket").otherwise(low)
 
 
 def clean_compounds(c: Column | str) -> Column:
@@ -87,7 +86,7 @@ def info_text(c: Column | str) -> Column:
 
 def normalise_record(records: DataFrame) -> DataFrame:
     """Records with cleaned compounds, roles from the enumeration (from the text's ending where missing) and no empty conditions."""
-    condition = lambda c: F.struct(coerce_role(text.suffix_role(c["role"], c["text"]), (*ROLES, "ee", "er", "dr")).alias("role"), F.nullif(F.trim(c["text"]), F.lit("")).alias("text"), text.blank_to_null(c["smiles"]).alias("smiles"), c["raw_value"].alias("raw_value"))
+    condition = lambda c: F.struct(coerce_role(text.suffix_role(c["role"], c["text"]), (*ROLES, "er")).alias("role"), F.nullif(F.trim(c["text"]), F.lit("")).alias("text"), text.blank_to_null(c["smiles"]).alias("smiles"), c["raw_value"].alias("raw_value"))
     reaction = lambda r: F.struct(r["reaction_id"].alias("reaction_id"), clean_compounds(r["reactants"]).alias("reactants"), clean_compounds(r["products"]).alias("products"), F.filter(F.transform(F.coalesce(r["conditions"], F.array().cast(CONDITION)), condition), lambda c: c["text"].isNotNull() | c["smiles"].isNotNull()).alias("conditions"), F.filter(r["additional_info"], lambda x: x.isNotNull()).alias("additional_info"))
     return records.withColumn("reactions", F.transform("reactions", reaction))
 

@@ -74,23 +74,32 @@ def subclass_gain(table: DataFrame, template: str, n: int, small: int = 5) -> Da
     return met.groupBy("tier", "class", "reactions", "coverage").agg(F.count(F.lit(1)).alias("children"), (F.sum(F.col("_r") * F.col("_c")) / F.sum("_r")).alias("children_coverage")).withColumn("gain", F.col("children_coverage") - F.col("coverage"))
 
 
-def recommend_tiers(table: DataFrame, template: str, n: int, enough: float = 0.9, least: int = 5, max_tier: int = 4, gain: float = 0.02) -> DataFrame:
-    """(class, reactions, coverage, decision): which class of each branch to keep.
+def recommend_tiers(table: DataFrame, template: str, n: int, enough: float = 0.9, least: int = 5, max_tier: int = 4, gain: float = 0.05) -> DataFrame:
+    """(tier, class, reactions, coverage, decision, recommended): which class of each branch to keep.
 
-    From the deepest tier up: a class is kept if it has no recommended children worth more than it; else its children are. ``decision``:
-    ``small`` below ``least`` reactions (they count at their parent), ``leaf`` without children, ``enough`` where its own coverage is,
-    ``split`` where children gain ``gain`` at least, ``whole`` otherwise. A class below one that is not split is not recommended.
+    A class stays if its own coverage is ``enough``, it is at ``max_tier`` (deepest), it has no subclasses (leaf), its only subclass stays (single)
+    or its subclasses gain less than ``gain`` (whole). Otherwise its subclasses take its place: all of one, else those of at least ``least``
+    reactions; smaller ones are dropped. Recommended are the classes that stay and whose place it is. One join a tier up, one down.
     """
-    cov = _coverage(table.where(F.col("tier") <= max_tier), template, n)
-    gains = subclass_gain(table.where(F.col("tier") <= max_tier), template, n, least).select("tier", "class", "gain", "children")
-    decided = cov.join(gains, ["tier", "class"], "left").withColumn("decision", F.when(F.col("reactions") < least, "small").when(F.col("children").isNull(), "leaf").when(F.col("coverage") >= enough, "enough").when((F.col("gain") >= gain) | (F.col("children") == 1), "split").otherwise("whole"))
-    open_ = decided.where("tier = 1").withColumn("reached", F.lit(True))
-    out = open_
-    for tier in range(2, max_tier + 1):  # as many joins as there are tiers
-        above = out.where(F.col("tier") == tier - 1).select(F.col("class").alias("_p"), (F.col("reached") & (F.col("decision") == "split")).alias("_open"))
-        level = decided.where(F.col("tier") == tier).withColumn("_p", classes.parent("class")).join(above, "_p", "left").withColumn("reached", F.coalesce("_open", F.lit(False))).drop("_p", "_open")
-        out = out.unionByName(level)
-    return out.withColumn("recommended", F.col("reached") & ~F.col("decision").isin("split", "small"))
+    kept = table.where(F.col("tier") <= max_tier)
+    gains = subclass_gain(kept, template, n, least).select("tier", "class", "gain", "children")
+    all_ = _coverage(kept, template, n).join(gains, ["tier", "class"], "left").withColumns({"_p": classes.parent("class"), "children": F.coalesce("children", F.lit(0))})
+    below, levels = None, {}
+    for tier in range(max_tier, 0, -1):
+        level = all_.where(F.col("tier") == tier)
+        if below is None:
+            level = level.withColumn("_only", F.lit(None).cast("boolean"))
+        else:
+            level = level.join(below.groupBy(F.col("_p").alias("class")).agg(F.bool_and("_stays").alias("_only")), "class", "left")
+        reason = F.when(F.col("coverage") >= enough, "enough").when(F.col("tier") == max_tier, "deepest").when(F.col("children") == 0, "leaf").when(F.col("children") == 1, F.when(F.col("_only"), "single").otherwise("pass")).when(F.col("gain") < gain, "whole").otherwise("split")
+        below = levels[tier] = level.select("tier", "class", "_p", "reactions", "coverage", "children", reason.alias("decision")).withColumn("_stays", ~F.col("decision").isin("pass", "split"))
+    out = levels[1].withColumn("_reached", F.lit(True))
+    above = out
+    for tier in range(2, max_tier + 1):
+        parent = above.select(F.col("class").alias("_p"), (F.col("_reached") & ~F.col("_stays")).alias("_open"), F.col("children").alias("_siblings"))
+        above = levels[tier].join(parent, "_p", "left").withColumn("_reached", F.coalesce(F.col("_open") & ((F.col("_siblings") == 1) | (F.col("reactions") >= least)), F.lit(False))).drop("_open", "_siblings")
+        out = out.unionByName(above)
+    return out.select("tier", "class", "reactions", "coverage", "decision", (F.col("_reached") & F.col("_stays")).alias("recommended"))
 
 
 def match_type(df: DataFrame, predicted: str, truth: str) -> DataFrame:

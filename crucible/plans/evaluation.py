@@ -184,8 +184,8 @@ def norm_text(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", text.condition_text("text").alias("text"))
 
 
-@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[()\[\]]', ' ', 'g'), 'mol[\x20\x09-\x0D]*%', 'mol%', 'g'), '([0-9])[\x20\x09-\x0D]+%', '\1%', 'g'),
-  '([0-9])[\x20\x09-\x0D]*equiv(?:alents?|s)?\.?', '\1 equiv', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS text FROM conversations""")
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[()]', ' ', 'g'), '([0-9]+(?:\.[0-9]+)?)[\x20\x09-\x0D]*mol[\x20\x09-\x0D]*%', '\1 mol%', 'g'), '([0-9]+(?:\.[0-9]+)?)[\x20\x09-\x0D]*%', '\1%', 'g'),
+  '([0-9]+(?:\.[0-9]+)?)[\x20\x09-\x0D]*equiv', '\1 equiv', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS text FROM conversations""")
 def lenient_text(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", text.lenient_text("text").alias("text"))
 

@@ -53,10 +53,14 @@ def subclass_gain(t: Tables) -> DataFrame:
     return rounded(out, "coverage", "children_coverage", "gain").withColumns({c: F.col(c).cast("long") for c in ("tier", "reactions", "children")})
 
 
-@query(GAINS + """d AS (SELECT v.tier, v.class, v.parent, v.reactions, v.coverage, CASE WHEN v.reactions < 5 THEN 'small' WHEN g.children IS NULL THEN 'leaf' WHEN v.coverage >= 0.9 THEN 'enough' WHEN cc - v.coverage >= 0.02 OR g.children = 1 THEN 'split' ELSE 'whole' END AS decision
-  FROM v LEFT JOIN g ON v.tier = g.tier AND v.class = g.class),
-a AS (SELECT *, true AS reached FROM d WHERE tier = 1), b AS (SELECT d.*, a.reached AND a.decision = 'split' AS reached FROM d JOIN a ON d.parent = a.class WHERE d.tier = 2), e AS (SELECT d.*, b.reached AND b.decision = 'split' AS reached FROM d JOIN b ON d.parent = b.class WHERE d.tier = 3)
-SELECT class, decision, reached AND decision NOT IN ('split', 'small') AS recommended FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM e)""")
+@query(GAINS + """d AS (SELECT v.tier, v.class, v.parent, v.reactions, v.coverage, coalesce(g.children, 0) AS children, cc - v.coverage AS gain FROM v LEFT JOIN g ON v.tier = g.tier AND v.class = g.class),
+e3 AS (SELECT *, CASE WHEN coverage >= 0.9 THEN 'enough' ELSE 'deepest' END AS decision FROM d WHERE tier = 3),
+e2 AS (SELECT *, CASE WHEN coverage >= 0.9 THEN 'enough' WHEN children = 0 THEN 'leaf' WHEN children = 1 THEN 'single' WHEN gain < 0.05 THEN 'whole' ELSE 'split' END AS decision FROM d WHERE tier = 2),
+o AS (SELECT parent, bool_and(decision <> 'split') AS lone FROM e2 GROUP BY 1),
+e1 AS (SELECT d.*, CASE WHEN coverage >= 0.9 THEN 'enough' WHEN children = 0 THEN 'leaf' WHEN children = 1 THEN CASE WHEN lone THEN 'single' ELSE 'pass' END WHEN gain < 0.05 THEN 'whole' ELSE 'split' END AS decision FROM d LEFT JOIN o ON o.parent = d.class WHERE tier = 1),
+r2 AS (SELECT e2.*, e1.decision IN ('pass', 'split') AND (e1.children = 1 OR e2.reactions >= 5) AS reached FROM e2 JOIN e1 ON e2.parent = e1.class),
+r3 AS (SELECT e3.*, r2.reached AND r2.decision = 'split' AND (r2.children = 1 OR e3.reactions >= 5) AS reached FROM e3 JOIN r2 ON e3.parent = r2.class)
+SELECT class, decision, decision NOT IN ('pass', 'split') AS recommended FROM e1 UNION ALL SELECT class, decision, reached AND decision <> 'split' FROM r2 UNION ALL SELECT class, decision, reached FROM r3""")
 def recommend_tiers(t: Tables) -> DataFrame:
     out = tiers.recommend_tiers(tiers.tier_table(coded(t), "code", "template", 3), "template", 5, max_tier=3)
     return out.select("class", "decision", "recommended")

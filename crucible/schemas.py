@@ -59,8 +59,8 @@ USAGE = "struct<model: string, prompt_tokens: long, completion_tokens: long, tot
 SUITE = schema(f"suite_id string, kind string, model string, vision_model string, per_image array<struct<image: string, stem: string, rc: int, elapsed_s: double, run_dir: string, error: string, usage: {USAGE}>>, usage_total {USAGE}, elapsed_total_s double, elapsed_s double")
 PATTERN = schema("class string, name string, smirks string, pos long")
 #: The roles a condition may have.
-ROLES = ("reagent", "catalyst", "solvent", "ligand", "base", "additive", "temperature", "time", "atmosphere", "yield", "other")
-#: The 16 columns of the flat product table, in order.
+ROLES = ("reagent", "solvent", "catalyst", "temperature", "time", "yield", "atmosphere", "loading", "ee", "dr", "pressure")
+#: The 16 columns of the flat product table, in order.
 FLAT_COLUMNS = (
-    "figure", "entry_id", "title", "reactants", "reagents", "temperature", "time", "atmosphere", "solvent", "other_conditions", "product_label", "product_name", "product_smiles", "yield_pct", "yield_note", "notes",
+    "source_image", "figure_caption", "entry_id", "reaction_title", "reactants", "reagents", "solvent", "temperature", "time", "atmosphere", "product_label", "product_name", "product_smiles", "yield_pct", "yield_note", "notes",
 )

@@ -182,7 +182,7 @@ def test_reshape(spark):
     assert [(r.entry_id, r.product_smiles) for r in flat] == [("e1", ""), ("e2", "C"), ("e2", "CO")] and flat[0].reactants == "1a: CC" and flat[0].reagents == "Pd (5%, cat)"
     record = reshape.to_record(df)
     rows = reshape.explode_reactions(record, "stem").orderBy("idx").collect()
-    assert rows[0].reaction_id == "0_1" and [(c.role, c.text) for c in rows[0].conditions] == [("catalyst", "Pd"), ("solvent", "THF")]
+    assert rows[0].reaction_id == "0_1" and [(c.role, c.text) for c in rows[0].conditions] == [("reagent", "Pd"), ("solvent", "THF")]
     assert [(c.role, c.text) for c in rows[1].conditions] == [("yield", "87 %")] and rows[1].products == ["C", "CO"]
     full = record.select(F.lit("f.json").alias("file_name"), F.lit(None).cast("string").alias("slice"), F.lit(None).cast(RECORD["reaction_template"].dataType).alias("reaction_template"), F.col("reactions").cast(RECORD["reactions"].dataType).alias("reactions"))
     assert metrics.conformance(full).first().valid and reshape.normalise_record(full).count() == 1
@@ -252,3 +252,12 @@ def test_routes_disconnections_and_cns(spark):
     assert [(x.reaction, x.references, x.templates, round(x.score, 6)) for x in r] == [("r", 15, ["t1", "t2"], 22.0)]
     df = spark.createDataFrame([(4.0, 1.0, 430.0, 30.0, 1, 9.0)], "logp double, logd double, mw double, tpsa double, hbd int, pka double")
     assert hazards.cns_score(df, "pka").first().cns == pytest.approx(0.5 + 1 - 0.5 + 0.5 + 0.75 + 0.5)
+
+
+def test_recommended_tiers(spark):
+    """1 splits: 1.1 covers itself, 1.2 has only 1.2.1, which passes on to 1.2.1.1 and 1.2.1.2; 1.3 is too small. 2 gains nothing."""
+    rows = [("1.1", f"a{k % 2}") for k in range(20)] + [("1.2.1.1", f"b{k % 2}") for k in range(20)] + [("1.2.1.2", f"c{k % 2}") for k in range(20)] + [("1.3", "d")] * 2
+    rows += [(f"2.{k % 2 + 1}", f"e{k // 2}") for k in range(20)]
+    table = tiers.tier_table(spark.createDataFrame(rows, "code string, t string"), "code", "t", 4)
+    got = {r["class"]: r.decision for r in tiers.recommend_tiers(table, "t", 2).where("recommended").collect()}
+    assert got == {"1.1": "enough", "1.2.1.1": "enough", "1.2.1.2": "enough", "2": "whole"}
