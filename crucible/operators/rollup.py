@@ -42,7 +42,7 @@ def bootstrap(df: DataFrame, by: list[str], value: str, order: str, resamples: i
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), (F.row_number().over(own) - 1).cast("long").alias("_i"))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
     m = 2_147_483_647
-    b = sizes.where("n > 1").crossJoin(df.sparkSession.range(resamples).select(F.col("id").alias("_b"))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    b = rows.select(*by, F.col("_i").alias("_k")).join(sizes.where("n > 1").select(*by, "n"), by).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
     x = F.pmod(F.col("_b") * 1_000_003 + F.col("_k") * 7919 + seed, F.lit(m))
     drawn = b.withColumn("_i", F.pmod(F.pmod(F.pmod(x * x, F.lit(m)) * 48_271, F.lit(m)), F.col("n"))).select(*by, "_b", "_i")
     means = drawn.join(rows, [*by, "_i"]).groupBy(*by, "_b").agg(F.avg("_v").alias("_m"))
