@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crucible.llm import leaks, mixing, quality, simhash, substrings
+from crucible.llm import jaccard, leaks, mixing, quality, substrings
 from crucible.llm.common import table, written
 
 #: Two stages decide by a fitted model and by fingerprints that SQL lacks.
@@ -29,8 +29,8 @@ def reject_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    groups = simhash.near_duplicates(docs)
+    """The document with the smallest id of each group linked by Jaccard similarity of five-word shingles, 0.8 at least."""
+    groups = jaccard.groups(docs, similarity=(4, 5), shingle=5)
     return by_id(docs, written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "kept-ids"))
 
 

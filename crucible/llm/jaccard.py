@@ -1,0 +1,155 @@
+"""Groups of texts whose sets of word shingles are alike: prefix filter for candidates, exact Jaccard similarity for links."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from crucible.llm.common import LOWER, byte_slices, components, in_blocks, mix, pairs, runs, word_hashes, word_spans, written
+
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _chained(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k words in a row."""
+    g = np.full(len(h) - k + 1, k, dtype=np.uint64)
+    for i in range(k):
+        g = mix(g * _STEP + h[i : i + len(g)])
+    return g
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles; a shorter text is one shingle, one without words has none."""
+    data = LOWER[data]
+    starts, ends, first = word_spans(data, offsets)
+    h = word_hashes(data, starts, ends)
+    grams = _chained(h, shingle) if len(h) >= shingle else h[:0]
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        yield np.unique(grams[a : b - shingle + 1]) if b - a >= shingle else _chained(h[a:b], b - a) if b > a else h[:0]
+
+
+def set_class(items: np.ndarray) -> int:
+    """A signed 64-bit hash of a whole set: equal sets are one class."""
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), 7)).view(np.int64)))
+
+
+def groups(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: int = 5, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, component_id), one for each row of ``docs``: the smallest id reachable by links of at least this Jaccard similarity.
+
+    ``similarity``: numerator and denominator. No pair is missed: in any fixed order of the shingles, two sets that are similar enough share one
+    among the first n - ceil(similarity n) + 1 of each, and the first they share leaves room for the overlap they need. Shingles that are frequent
+    in a sample of the texts come last in the order; this saves work and decides nothing. Equal sets are one class. Each key's rows meet its
+    least class first; only those still in different components then meet in blocks. All candidates are verified on their whole sets.
+    Texts without words are alike. Rows with a null id get the component of their text. Words and shingles are compared by 64-bit hashes.
+    """
+    spark, (num, den) = docs.sparkSession, similarity
+    if not 0 < num <= den:
+        raise ValueError("a similarity above 0, up to 1")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+
+    def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in byte_slices(batch):
+                found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(data, offsets, shingle)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64("_id"), F.lit(16)) == 0)
+    often = max(8, some.count() // 2000)  # so the list stays short at any size
+    late = some.mapInArrow(sampled, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("key").toArrow()
+    shared = spark.sparkContext.broadcast(np.sort(late["key"].to_numpy().view(np.uint64)))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for batch in batches:
+            for part, data, offsets in byte_slices(batch):
+                classes, sizes, keys = [], [], []
+                for items in shingle_sets(data, offsets, shingle):
+                    n = len(items)
+                    first = n - -(-num * n // den) + 1 if n else 0
+                    if n and len(hot):
+                        last = hot[np.minimum(np.searchsorted(hot, items), len(hot) - 1)] == items
+                        head = np.concatenate([items[~last][:first], items[last][:first]])[:first]
+                    else:
+                        head = items[:first]
+                    classes.append(set_class(items))
+                    sizes.append(n)
+                    keys.append(head.view(np.int64))
+                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_id"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))],
+                    ["_id", "cls", "size", "keys"],
+                )
+
+    marks = written(rows.mapInArrow(scan, "_id long, cls long, size int, keys array<long>"), "shingle-prefixes")
+    classes = written(marks.groupBy("cls").agg(F.min("_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")), "set-classes")
+    every = classes.select("cls", "size", F.posexplode("keys").alias("at", "key"))
+    repeated = written(every.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
+    heads = written(every.join(repeated, "key", "left_semi"), "prefix-rows")  # only keys that two classes have
+
+    def fits(n, m, i, j):
+        """Whether sets of n and m items whose first common item has places i and j can share enough."""
+        return F.least(n - i, m - j).cast("long") * (num + den) >= (n + m).cast("long") * num
+
+    def verified(found: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes whose whole sets are similar enough."""
+        found = written(found.distinct(), "set-pairs")
+        nodes = written(found.select(F.col("a").alias("cls")).union(found.select("b")).distinct(), "set-nodes")
+        wanted = nodes.join(classes, "cls").select(F.col("least").alias("_want")).distinct()
+
+        def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, data, offsets in byte_slices(batch):
+                    items = list(shingle_sets(data, offsets, shingle))
+                    yield pa.RecordBatch.from_arrays([pa.array([set_class(x) for x in items], pa.int64()), pa.array([x.tobytes() for x in items], pa.binary())], ["cls", "items"])
+
+        texts = rows.join(wanted, rows._id.eqNullSafe(wanted._want), "left_semi").select("_text")
+        items = written(texts.mapInArrow(sets, "cls long, items binary").join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+
+        def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                left, right = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+                good = []
+                for x, y in zip(left, right, strict=True):
+                    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                    n = len(both)
+                    both.sort(kind="stable")
+                    overlap = int((both[1:] == both[:-1]).sum())
+                    good.append(overlap * den >= num * (n - overlap))
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        full = found.join(items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
+        return written(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "set-links")
+
+    led = written(heads.groupBy("key").agg(F.min(F.struct("cls", "size", "at")).alias("lead")), "leads")
+    star = heads.join(led, "key").where((F.col("cls") != F.col("lead.cls")) & fits(F.col("size"), F.col("lead.size"), F.col("at"), F.col("lead.at")))
+    near = verified(star.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")))
+    known = written(components(near), "star-components")
+    placed = heads.join(known, F.col("cls") == F.col("node"), "left").select("key", "cls", "size", "at", F.coalesce("component", "cls").alias("component"))
+    placed = written(placed, "placed")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")
+    rest = written(placed.join(open_, "key", "left_semi"), "open-rows")
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches):
+            get = lambda c: part.column(c).combine_chunks().to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            cls, size, at, component = get("cls"), get("size").astype(np.int64), get("at").astype(np.int64), get("component")
+            for i, j in pairs(get("_block"), get("_role"), get("_self")):
+                good = (component[i] != component[j]) & (np.minimum(size[i] - at[i], size[j] - at[j]) * (num + den) >= (size[i] + size[j]) * num)
+                i, j = i[good], j[good]
+                if len(i):
+                    both = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    dealt = in_blocks(rest, ["key"], "cls", block=block)
+    far = verified(dealt.select("cls", "size", "at", "component", "_block", "_role", "_self").mapInArrow(meet, "a long, b long"))
+    linked = components(near.union(far))
+    members = linked.join(classes.select("cls", "least"), F.col("node") == F.col("cls")).select("cls", "component", "least")
+    least = written(members.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
+    of_class = members.join(least, "component").select("cls", "component_id")
+    per_class = written(classes.select("cls", "least").join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id")), "set-components")
+    return marks.select("_id", "cls").join(per_class, "cls").select(F.col("_id").alias(id_col), "component_id")

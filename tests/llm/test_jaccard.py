@@ -1,0 +1,68 @@
+"""The near-copy stage of the pipeline against brute force over all pairs of texts."""
+
+import random
+import re
+
+import corpus_pipeline
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles(text):
+    w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(text or "")]
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def least_ids(rows):
+    """The ids that brute force keeps: the smallest of each component; None where a group has no id."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both) > 0:
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    ids = {}
+    for i, (x, _) in enumerate(rows):
+        ids.setdefault(top(i), []).append(x)
+    return {min((x for x in g if x is not None), default=None) for g in ids.values()}
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], DOCS)
+    return [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()]
+
+
+def test_near_copies_like_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    line = " ".join(word() for _ in range(12))
+    rows = [(-1, ""), (-2, None), (-3, "one"), (-4, "One"), (-5, "one two three four"), (None, line)]
+    for k in range(25):
+        base = [word() for _ in range(rng.choice([9, 40, 120, 300]))]
+        for n in range(6):
+            t = list(base)
+            for _ in range(n * len(t) // 120):
+                t[rng.randrange(len(t))] = word()
+            rows.append((10 * k + n, " ".join(t) + (" " + line if k % 3 == 0 else "")))
+    rng.shuffle(rows)
+    got = kept(spark, rows)
+    assert len(got) == len(set(got))
+    assert set(got) == least_ids(rows)
+
+
+def test_given_documents_like_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert set(kept(spark, rows)) == least_ids(rows)
+
+
+def test_no_documents(spark):
+    assert kept(spark, []) == []
