@@ -1,0 +1,22 @@
+"""The score of a text does not depend on how many words' counts each task has at hand."""
+
+import random
+
+import public_tokenizers
+import pytest
+
+from crucible.llm import lm
+
+
+def test_words_outside_the_head_count_in_score(spark):
+    rng = random.Random(8)
+    lexicon = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(lexicon[: 5 + i]) for _ in range(30)) if i % 9 else None) for i in range(50)] + [(90, "neverseen " + lexicon[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda n: {r.doc_id: r for r in lm.score_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), head_words=n, steps=20).collect()}
+    few, many = score(3), score(1 << 17)
+    assert len(few) == len(rows)
+    for i, r in many.items():
+        assert (few[i].n_known, few[i].n_tokens) == (r.n_known, r.n_tokens)
+        assert few[i].score == pytest.approx(r.score, rel=1e-6)
+        assert few[i].base_score == pytest.approx(r.base_score, rel=1e-6)
