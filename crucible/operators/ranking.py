@@ -6,6 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions import similarity
+from crucible.scratch import written
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str, ranges: int | None = None) -> DataFrame:
+    """The row number from 1 of each row in its group by ``order``, which must decide all ties that matter.
+
+    Rows are dealt to ranges of (group, order) and ranked there; a range starts at what the ranges before it hold of the group. So a group of
+    any size is ranked by many tasks, and the driver sees nothing.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(n, *by, *keys).withColumn("_range", F.spark_partition_id()), "ranges")  # so that the ranges stay
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *by).orderBy(*keys)))
+    counts = dealt.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", *by, F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    same = [own[c].eqNullSafe(before[c]) for c in ("_range", *by)]
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    return own.join(before, condition).select(*[own[c] for c in df.columns], (F.col("_own") + F.col("_before")).alias(name))
 
 
 def latest_by(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -18,9 +38,17 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
 
 
 def pareto(df: DataFrame, by: list[str], cost: str, quality: str, tie: str) -> DataFrame:
-    """Rows whose quality is strictly above that of all cheaper ones, by ascending cost."""
-    w = Window.partitionBy(*by).orderBy(cost, F.desc(quality), tie).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_m", F.max(quality).over(w)).where(F.col("_m").isNull() | (F.col(quality) > F.col("_m"))).drop("_m")
+    """Rows whose quality is strictly above that of all cheaper ones, by ascending cost.
+
+    Of equal costs only the best row can stay, and of ranges of cost each is first held against the best of the ranges before it: what is
+    left for the window of a group is its front within each range.
+    """
+    best = df.groupBy(*by, cost).agg(F.min_by(F.struct(*df.columns), F.struct((-F.col(quality)).alias("q"), F.col(tie))).alias("_r")).select("_r.*")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = best.repartitionByRange(n, *by, cost).withColumn("_range", F.spark_partition_id())
+    before = lambda *part: Window.partitionBy(*by, *part).orderBy(cost, F.desc(quality), tie).rowsBetween(Window.unboundedPreceding, -1)
+    front = dealt.withColumn("_m", F.max(quality).over(before("_range"))).where(F.col("_m").isNull() | (F.col(quality) > F.col("_m")))
+    return front.withColumn("_m", F.max(quality).over(before())).where(F.col("_m").isNull() | (F.col(quality) > F.col("_m"))).drop("_m", "_range")
 
 
 def minmax(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

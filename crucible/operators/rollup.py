@@ -128,6 +128,24 @@ def pair_manifest(manifest: DataFrame, pred: DataFrame, key: str, missing: str =
     return joined.withColumns(arrays | {"predicted": F.coalesce("predicted", F.lit(False))})
 
 
+def pair_gold(pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:
+    """Predictions with their gold, whose arrays are empty where there is none (``has_gold``)."""
+    arrays = {c: F.coalesce(c, F.array().cast(t)) for c, t in gold.dtypes if t.startswith("array")}
+    joined = pred.join(gold.withColumn("has_gold", F.lit(True)), key, "left")
+    return joined.withColumns(arrays | {"has_gold": F.coalesce("has_gold", F.lit(False))})
+
+
+def crosstab(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:
+    """Counts of ``values`` of one column by another, and of all, with a last row (null) for all together."""
+    counts = [F.count_if(F.col(columns) == v).alias(v) for v in values]
+    return df.rollup(rows).agg(*counts, F.count(F.lit(1)).alias("total"))
+
+
+def counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """Counts by every subset of ``by``; a column that is summed over is null."""
+    return df.cube(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def filter_manifest(rows: DataFrame, manifest: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows of valid manifest keys, valid keys without a row); no flag means valid."""
     valid = manifest.where(F.coalesce("valid", F.lit(True))).select(key).distinct()

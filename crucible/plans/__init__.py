@@ -8,6 +8,8 @@ from crucible.plans import analytics as _analytics  # noqa: F401  registers its
 from crucible.plans import evaluation
 from crucible.plans import hierarchy as _hierarchy  # noqa: F401
 from crucible.plans import more as _more  # noqa: F401
+from crucible.plans import records as _records  # noqa: F401
+from crucible.plans import scoring as _scoring  # noqa: F401
 from crucible.plans.registry import QUERIES, SQL, Query
 
 

@@ -64,3 +64,9 @@ ROLES = ("reagent", "solvent", "catalyst", "temperature", "time", "yield", "atmo
 FLAT_COLUMNS = (
     "source_image", "figure_caption", "entry_id", "reaction_title", "reactants", "reagents", "solvent", "temperature", "time", "atmosphere", "product_label", "product_name", "product_smiles", "yield_pct", "yield_note", "notes",
 )
+#: The columns of the annotated table, in order.
+ENRICHED_COLUMNS = (
+    "ENTRY_ID", "REACTION", "REACTANTS", "PRODUCTS", "SANITIZED_REACTION", "MAPPED_REACTION", "N_REACTANTS", "N_PRODUCTS", "CLASS", "NAME", "FG_REACTANTS", "FG_PRODUCTS", "PARTICIPATING_RINGS_REACTANTS",
+    "PARTICIPATING_RINGS_PRODUCTS", "ALL_RINGS_PRODUCTS", "BY-PRODUCTS", "TEMPLATE", "TEMPLATE_NR", "TAG", "TAG2", "SCAFFOLD", "rxn_str_patt_fp", "rxn_dif_patt_fp", "rxn_str_morgan_fp", "rxn_dif_morgan_fp",
+    "SOLVENT", "REAGENT", "CATALYST", "YIELD", "REF", "STATUS", "ERROR",
+)

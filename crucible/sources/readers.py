@@ -117,6 +117,17 @@ def flatten_ord(df: DataFrame) -> DataFrame:
     )
 
 
+def read_db(spark: SparkSession, path: str) -> DataFrame:
+    """A reaction database as ``write_db`` left it."""
+    return spark.read.parquet(path)
+
+
+def read_db_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A reaction database from CSV with a header: text, but for the yield."""
+    df = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
+    return df.withColumns({c: F.col(c).try_cast("double") for c in df.columns if c == "YIELD"})
+
+
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """A pattern database of JSON lines, ordered by its ``pos`` column."""
     return spark.read.schema(schemas.PATTERN).json(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crucible.schemas import FLAT_COLUMNS
+from crucible.schemas import ENRICHED_COLUMNS, FLAT_COLUMNS
 
 
 def flat_text(df: DataFrame, join: str = "|") -> DataFrame:
@@ -33,6 +33,11 @@ def write_flat_csv(df: DataFrame, path: str) -> None:
     write_csv(df, path, FLAT_COLUMNS)
 
 
+def write_enriched_csv(df: DataFrame, path: str) -> None:
+    """Annotated reactions with their fixed columns; those that an annotator didn't give are empty."""
+    write_csv(df, path, ENRICHED_COLUMNS)
+
+
 def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
     """A workbook as one table for each sheet."""
     for name, df in sheets.items():
@@ -46,10 +51,13 @@ def write_report(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def write_patterns(df: DataFrame, path: str, order: list[str]) -> None:
-    """JSON lines with a ``pos`` column: the order of files isn't one to rely on."""
-    from pyspark.sql import Window
+    """JSON lines with a ``pos`` column from 1: the order of files isn't one to rely on.
+
+    Ranges of the order are ranked apart and start where the ranges before them end, so no task holds the whole table.
+    """
+    from crucible.operators.ranking import numbered
 
-    df.withColumn("pos", F.row_number().over(Window.orderBy(*order))).write.mode("overwrite").json(path)
+    numbered(df, [], order, "pos").write.mode("overwrite").json(path)
 
 
 def merge_chunks(chunks: list[DataFrame]) -> DataFrame:
