@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crucible.scratch import scratch_path, written  # noqa: F401  the operators take them from here
+
 #: A word is a maximal run of bytes other than these six; the same pattern as a regular expression for SQL.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, dtype=bool)
@@ -19,31 +19,6 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_local: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="crucible-")
-    return _local[app]
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -116,6 +91,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: in
     return mix(out)
 
 
+# --- bit maps ------------------------------------------------------------------------------------------------------
+
+
+def bit_map(slots: DataFrame, bits: int) -> np.ndarray:
+    """The slots (a column of numbers below 2**bits) as a bit map; at most 2**(bits - 6) rows come to the driver, whatever the input."""
+    words = slots.select(F.shiftright("slot", 6).cast("int").alias("word"), F.pmod("slot", F.lit(64)).cast("int").alias("bit"))
+    rows = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def on_map(seen: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((seen[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+
+
 # --- pairs within keys, in bounded blocks ------------------------------------------------------------------------
 
 

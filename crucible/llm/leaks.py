@@ -1,19 +1,19 @@
-"""Benchmark decontamination by spaced seeds: hashes under fixed masks, then substitution-tolerant overlaps around the hits."""
+"""Benchmark decontamination by spaced seeds: hashes under fixed masks are joined, then substitution-tolerant overlaps around the hits verified."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crucible.llm.common import LOWER, byte_slices, mix, word_hashes, word_spans
+from crucible.llm.common import LOWER, bit_map, byte_slices, mix, on_map, word_hashes, word_spans, written
 
-#: 1 takes part in the hash, 0 is ignored: a substitution there doesn't hide the seed.
-MASKS = ("11111", "111011", "110111", "1110011", "1101011")
+#: 1 takes part in the hash, 0 is ignored: a substitution there doesn't hide the seed. Six words in a row that agree are found under any of them.
+MASKS = ("111011", "110111", "1110011", "1101011", "1011101")
+SHORTEST = min(map(len, MASKS))
 #: Everything but letters, digits and non-ASCII bytes separates words here, so that punctuation doesn't matter.
 _GAP = np.ones(256, dtype=bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -26,160 +26,160 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return word_hashes(LOWER[data], starts, ends), first
 
 
-def seeds(h: np.ndarray, first: np.ndarray, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
+def seeds(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) under a mask, for all places where it lies within one document."""
     n = len(h) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(doc[:n] == doc[len(mask) - 1 :])
-    out = np.full(len(at), number + 1, dtype=np.uint64)
+    out = np.full(len(at), int(mask, 2), dtype=np.uint64)
     for k, taken in enumerate(mask):
         if taken == "1":
             out += h[at + k] * _FACTOR[k]
     return at, mix(out)
 
 
-@dataclass
-class SeedIndex:
-    """Seeds of a block of benchmark items: sorted hashes, where each stands, and a small bit map that turns most lookups away."""
-
-    ids: np.ndarray
-    words: np.ndarray
-    first: np.ndarray
-    hashes: np.ndarray
-    spots: np.ndarray
-    sieve: np.ndarray
-
-    @classmethod
-    def of(cls, ids: list[int], texts: list[str]) -> SeedIndex:
-        raw = [(t or "").encode() for t in texts]
-        h, first = plain_words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])].astype(np.int64))
-        spots, hashes = (np.concatenate(x) for x in zip(*(seeds(h, first, m, k) for k, m in enumerate(MASKS)), strict=True))
-        order = np.argsort(hashes, kind="stable")
-        bits = max(16, int(len(hashes)).bit_length() + 4)
-        sieve = np.zeros(1 << bits, dtype=bool)
-        sieve[hashes >> np.uint64(64 - bits)] = True
-        return cls(np.array(ids, dtype=np.int64), h, first, hashes[order], spots[order], sieve)
-
-    def hits(self, h: np.ndarray, first: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(place in the texts, place in the items) of equal seeds, in pieces."""
-        shift = np.uint64(64 - int(len(self.sieve)).bit_length() + 1)
-        for k, mask in enumerate(MASKS):
-            at, hashes = seeds(h, first, mask, k)
-            maybe = self.sieve[hashes >> shift]
-            at, hashes = at[maybe], hashes[maybe]
-            low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-            some = high > low
-            at, low, n = at[some], low[some], (high - low)[some]
-            total, a = np.cumsum(n), 0
-            while a < len(n):
-                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
-                c = n[a:b]
-                yield np.repeat(at[a:b], c), self.spots[np.repeat(low[a:b], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-                a = b
-
-    def overlaps(self, h: np.ndarray, first: np.ndarray, penalty: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, matched words) of the best overlap of each two that share a seed.
-
-        Along each diagonal with a hit, words that agree count 1 and those that differ -``penalty``; the best-scoring stretch is the
-        overlap, and matched is its number of agreeing words.
-        """
-        found = []
-        n_items = len(self.ids)
-        for at, spot in self.hits(h, first):
-            doc = np.searchsorted(first, at, "right") - 1
-            item = np.searchsorted(self.first, spot, "right") - 1
-            shift = at - spot  # of one diagonal: equal for all its hits
-            key = np.unique(np.stack([doc * n_items + item, shift]), axis=1)
-            found.append(key)
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pair, shift = np.unique(np.concatenate(found, axis=1), axis=1)
-        doc, item = pair // n_items, pair % n_items
-        low = np.maximum(self.first[item], first[doc] - shift)
-        high = np.minimum(self.first[item + 1], first[doc + 1] - shift)
-        matched = np.zeros(len(pair), dtype=np.int64)
-        order, a = np.argsort(high - low, kind="stable"), 0
-        while a < len(order):  # rows of about the same length together, a few million words at a time
-            longest = int((high - low)[order[min(len(order), a + 4096) - 1]])
-            rows = order[a : a + max(1, min(4096, (1 << 22) // max(1, longest)))]
-            a += len(rows)
-            width = int((high - low)[rows].max())
-            place = low[rows, None] + np.arange(width)
-            inside = place < high[rows, None]
-            place = np.minimum(place, len(self.words) - 1)
-            same = inside & (self.words[place] == h[np.clip(place + shift[rows, None], 0, len(h) - 1)])
-            score = np.cumsum(np.where(same, 1, np.where(inside, -penalty, -(1 << 20))), axis=1)
-            ones = np.cumsum(same, axis=1)
-            floor = np.minimum.accumulate(np.c_[np.zeros(len(rows), np.int64), score], axis=1)[:, :-1]
-            end = (score - floor).argmax(axis=1)
-            line = np.arange(len(rows))
-            padded = np.c_[np.zeros(len(rows), np.int64), score]
-            begin = np.argmax(padded == floor[line, end][:, None], axis=1)
-            matched[rows] = ones[line, end] - np.where(begin > 0, ones[line, begin - 1], 0)
-        best = np.lexsort((-matched, pair))
-        pair, matched = pair[best], matched[best]
-        lead = np.r_[True, pair[1:] != pair[:-1]]
-        return pair[lead] // n_items, pair[lead] % n_items, matched[lead]
-
-    def leaked(self, h: np.ndarray, first: np.ndarray, words: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        doc, item, matched = self.overlaps(h, first)
-        size = np.diff(self.first)[item]
-        good = matched >= np.maximum(np.minimum(words, np.ceil(share * size)), np.minimum(size, 6))
-        return doc[good], item[good], matched[good]
-
-
-def index_blocks(benchmark: DataFrame, most_bytes: int = 16 << 20, id_col: str = "item_id", text_col: str = "text") -> Iterator[SeedIndex]:
-    """The benchmark as a query set, in blocks of about ``most_bytes`` of text; each is small enough to broadcast, whatever the whole is."""
-    items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(total // most_bytes) + 1
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).orderBy("id", "text").collect()
-        if rows:
-            yield SeedIndex.of([r["id"] for r in rows], [r["text"] for r in rows])
+def best_stretches(same: np.ndarray, sizes: np.ndarray, penalty: int) -> np.ndarray:
+    """Of rows laid end to end (``sizes`` places each, whether their words agree) the agreeing places of the best stretch of each.
+
+    Places that agree count 1, the others -``penalty``. Rows of about the same length go together, a few million places at a time.
+    """
+    matched, begin_of = np.zeros(len(sizes), dtype=np.int64), np.cumsum(sizes) - sizes
+    order, a = np.argsort(sizes, kind="stable"), 0
+    while a < len(order):
+        longest = int(sizes[order[min(len(order), a + 4096) - 1]])
+        rows = order[a : a + max(1, min(4096, (1 << 22) // max(1, longest)))]
+        a += len(rows)
+        width = int(sizes[rows].max())
+        if not width:
+            continue
+        inside = np.arange(width) < sizes[rows, None]
+        hit = inside & same[np.minimum(begin_of[rows, None] + np.arange(width), len(same) - 1)]
+        score = np.cumsum(np.where(hit, 1, np.where(inside, -penalty, -(1 << 20))), axis=1)
+        ones = np.cumsum(hit, axis=1)
+        floor = np.minimum.accumulate(np.c_[np.zeros(len(rows), np.int64), score], axis=1)[:, :-1]
+        end, line = (score - floor).argmax(axis=1), np.arange(len(rows))
+        begin = np.argmax(np.c_[np.zeros(len(rows), np.int64), score] == floor[line, end][:, None], axis=1)
+        matched[rows] = ones[line, end] - np.where(begin > 0, ones[line, begin - 1], 0)
+    return matched
+
+
+def long_binary(words: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Rows of word hashes laid end to end, as binary values."""
+    ends = np.r_[0, np.cumsum(sizes) * 8].astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(words.tobytes())]).cast(pa.binary())
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = 12, share: float = 0.6, penalty: int = 2, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", most_bits: int = 27) -> DataFrame:
+    """Rows (_doc, _mark, item_id, matched, item_words) of the overlaps that are long enough; _mark is xxhash64 of the document's text.
+
+    1. Seeds of all items under all masks; a bit map of them (2**``most_bits`` bits at most) lets tasks drop most seeds of documents.
+    2. The seeds left are joined with the items' by hash: each hit is a diagonal of a document and an item.
+    3. Documents with hits are read again for the words along their diagonals, which meet the item's words in a join and are verified.
+    Items shorter than the shortest mask are seeds as a whole, for each length that occurs.
+    """
+    spark = docs.sparkSession
+    kept = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
+    kept = kept.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("_text")).distinct().select("*", F.xxhash64("item_id", "_text").alias("_item"))
+
+    def items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in byte_slices(batch):
+                h, first = plain_words(data, offsets)
+                yield pa.RecordBatch.from_arrays([part.column("_item"), part.column("item_id"), pa.array(np.diff(first).astype(np.int32)), long_binary(h, np.diff(first))], ["_item", "item_id", "size", "words"])
+
+    item_rows = written(kept.mapInArrow(items, "_item long, item_id long, size int, words binary"), "items")
+
+    def item_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("size").to_numpy().astype(np.int64)
+            h, first = np.frombuffer(b"".join(batch.column("words").to_pylist()), dtype=np.uint64), np.r_[0, np.cumsum(sizes)]
+            found = [seeds(h, first, m) for m in MASKS]
+            for n in range(1, SHORTEST):
+                at, hashes = seeds(h, first, "1" * n)
+                whole = sizes[np.searchsorted(first, at, "right") - 1] == n
+                found.append((at[whole], hashes[whole]))
+            at, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+            item = np.searchsorted(first, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("_item").take(pa.array(item)), pa.array((at - first[item]).astype(np.int32)), batch.column("size").take(pa.array(item))], ["hash", "_item", "spot", "size"])
+
+    seeded = written(item_rows.select("_item", "size", "words").mapInArrow(item_seeds, "hash long, _item long, spot int, size int"), "item-seeds")
+    bits = max(16, min(most_bits, seeded.count().bit_length() + 4))
+    sieve = bit_map(seeded.select(F.shiftrightunsigned("hash", 64 - bits).alias("slot")), bits)
+    short = [r[0] for r in item_rows.where(F.col("size").between(1, SHORTEST - 1)).select("size").distinct().collect()]  # lengths, a few at most
+    shared = spark.sparkContext.broadcast(sieve)
+    masks = (*MASKS, *("1" * n for n in sorted(short)))
+    texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(F.col(text_col).cast("string")).alias("_mark"), F.col(text_col).cast("string").alias("_text"))
+
+    def sieved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, shift = shared.value, np.uint64(64 - bits)
+        for batch in batches:
+            for part, data, offsets in byte_slices(batch):
+                h, first = plain_words(data, offsets)
+                for mask in masks:
+                    at, hashes = seeds(h, first, mask)
+                    maybe = on_map(seen, (hashes >> shift).astype(np.int64))
+                    at, hashes = at[maybe], hashes[maybe]
+                    doc = np.searchsorted(first, at, "right") - 1
+                    yield pa.RecordBatch.from_arrays([part.column("_doc").take(pa.array(doc)), part.column("_mark").take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int64)), pa.array(hashes.view(np.int64))], ["_doc", "_mark", "at", "hash"])
+
+    hits = texts.mapInArrow(sieved, "_doc long, _mark long, at long, hash long").join(seeded, "hash")
+    lines = written(hits.select("_doc", "_mark", "_item", "size", (F.col("at") - F.col("spot")).alias("shift")).distinct(), "diagonals")
+    asked = lines.groupBy(F.col("_doc").alias("_d"), F.col("_mark").alias("_m")).agg(F.collect_list(F.struct("_item", "size", "shift")).alias("lines"))
+    asked = written(asked, "documents-with-hits")
+
+    def along(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in byte_slices(batch):
+                h, first = plain_words(data, offsets)
+                lists = part.column("lines")
+                n = np.diff(lists.offsets.to_numpy())
+                line = lists.flatten()
+                item, size, shift = (line.field(k) for k in range(3))
+                doc, shift = np.repeat(np.arange(part.num_rows), n), shift.to_numpy()
+                low, high = np.maximum(shift, 0), np.minimum(shift + size.to_numpy(), np.diff(first)[doc])
+                for a in range(0, len(doc), 4096):
+                    cut = slice(a, a + 4096)
+                    length = (high - low)[cut]
+                    ends = np.cumsum(length)
+                    taken = h[np.repeat((first[doc] + low)[cut] - (ends - length), length) + np.arange(int(length.sum()))]
+                    take = pa.array(doc[cut])
+                    yield pa.RecordBatch.from_arrays([part.column("_doc").take(take), part.column("_mark").take(take), item.slice(a, len(length)), pa.array((low - shift)[cut]), long_binary(taken, length)], ["_doc", "_mark", "_item", "low", "found"])
+
+    found = texts.join(asked, texts._doc.eqNullSafe(asked._d) & (texts._mark == asked._m)).select("_doc", "_mark", "_text", "lines").mapInArrow(along, "_doc long, _mark long, _item long, low long, found binary")
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, item = batch.column("found").to_pylist(), batch.column("words").to_pylist()
+            low = batch.column("low").to_numpy()
+            sizes = np.array([len(x) // 8 for x in found], dtype=np.int64)
+            own = b"".join(w[8 * a : 8 * a + len(x)] for x, w, a in zip(found, item, low.tolist(), strict=True))
+            same = np.frombuffer(b"".join(found), np.uint64) == np.frombuffer(own, np.uint64)
+            matched = best_stretches(same, sizes, penalty)
+            whole = batch.column("size").to_numpy().astype(np.int64)
+            good = pa.array(matched >= np.maximum(np.minimum(words, np.ceil(share * whole)), np.minimum(whole, SHORTEST)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).filter(good) for c in ("_doc", "_mark", "item_id")], pa.array(matched).filter(good), pa.array(whole).filter(good)], ["_doc", "_mark", "item_id", "matched", "item_words"])
+
+    met = found.join(item_rows, "_item").select("_doc", "_mark", "low", "found", "item_id", "size", "words")
+    return written(met.mapInArrow(verify, "_doc long, _mark long, item_id long, matched long, item_words long").where("matched > 0"), "overlaps")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 12, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, item_id, matched, item_words): each document and benchmark item whose overlap is long enough.
 
     An overlap counts if at least ``words`` of its words, or ``share`` of the item's where that is fewer, agree in place (substitutions cost
-    two words each), and never fewer than six unless the item is shorter. An item of fewer words than the shortest mask has no seeds and
-    is never found. Null texts and items, and items with null ids, match nothing. Repeated rows give one row; documents with null ids are
-    reported together under a null id. Empty tables give an empty result.
+    two words each), and never fewer than six unless the item is shorter, when it must agree whole. Null texts and items, and items with null
+    ids or without words, match nothing. Repeated rows give one row, items that share an id count as one, documents with null ids are reported
+    together under a null id. Texts and items of any length are compared whole. Empty tables give an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], "_id long, item_id long, matched long, item_words long")
-    for index in index_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for rows, data, offsets in byte_slices(batch):
-                    h, first = plain_words(data, offsets)
-                    doc, item, matched = index.leaked(h, first, words, share)
-                    yield pa.RecordBatch.from_arrays([rows.column("_id").take(pa.array(doc)), pa.array(index.ids[item]), pa.array(matched), pa.array(np.diff(index.first)[item])], ["_id", "item_id", "matched", "item_words"])
+    found = overlaps(docs, benchmark, words, share, id_col=id_col, text_col=text_col)
+    best = found.groupBy("_doc", "item_id").agg(F.max(F.struct("matched", "item_words")).alias("best"))
+    return best.select(F.col("_doc").alias(id_col), "item_id", "best.matched", "best.item_words")
 
-        out = out.unionByName(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(search, "_id long, item_id long, matched long, item_words long"))
-    best = out.groupBy("_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))
-    return best.withColumnRenamed("_id", id_col)
 
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 12, share: float = 0.6, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found (see ``leaks``), unchanged; decided row by row, without a shuffle."""
-    spark = docs.sparkSession
-    for index in index_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def clean(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for rows, data, offsets in byte_slices(batch, text_col):
-                    h, first = plain_words(data, offsets)
-                    keep = np.ones(rows.num_rows, dtype=bool)
-                    keep[shared.value.leaked(h, first, words, share)[0]] = False
-                    yield rows.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+def without_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 12, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found (see ``leaks``), with all their columns, unchanged."""
+    found = overlaps(docs, benchmark, words, share, id_col=id_col, text_col=text_col)
+    found = written(found.select("_doc", "_mark").distinct(), "leaked")
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_doc"]) & (F.xxhash64(docs[text_col].cast("string")) == found["_mark"]), "left_anti")

@@ -1,4 +1,8 @@
-"""SimHash near-duplicates by multi-index hashing: Hamming balls within fingerprint halves, table matches, full distances."""
+"""SimHash near-duplicates by multi-index hashing: Hamming balls within fingerprint halves, table matches, full distances.
+
+``near_duplicates`` links fingerprints. ``near_texts`` links texts by the Jaccard similarity of their shingles: multi-index hashing finds the close
+ones, and as 64 bits can't tell all pairs near the threshold from others, an exact pass over rare shingles adds what lies beyond the balls.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crucible.llm.common import components, in_blocks, local_roots, pairs, runs, written
+from crucible.llm.common import LOWER, byte_slices, components, in_blocks, local_roots, mix, pairs, runs, word_hashes, word_spans, written
+
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of the parity map of a set: sets whose maps differ in so many bits differ in as many items at least.
+PARITY = 1024
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -53,7 +61,8 @@ def near_links(fps: DataFrame, distance: int = 3, block: int = 2048) -> DataFram
     """
     if distance not in (0, 1, 2, 3):
         raise ValueError("halves with balls of radius 1 serve distances up to 3")
-    halves = fps.select("fp", F.posexplode(F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(0xFFFFFFFF))).alias("half", "v"))
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes up to 34: spread them before
+    halves = fps.repartition(spread, "fp").select("fp", F.posexplode(F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(0xFFFFFFFF))).alias("half", "v"))
     flips = F.filter(F.transform(F.array(*[F.lit(1 << b) for b in range(32)]), lambda bit: F.when(F.col("v").bitwiseAND(bit) == 0, F.col("v").bitwiseOR(bit))), lambda x: x.isNotNull())
     near = F.transform(flips, lambda x: F.struct(x.alias("key"), F.lit(True).alias("probe")))
     own = F.array(F.struct(F.col("v").alias("key"), F.lit(False).alias("probe")))
@@ -95,3 +104,178 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, seed:
     linked = written(members.join(least, "component").select("fp", "component_id"), "fingerprint-groups")
     per_class = written(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "fingerprint-components")
     return marks.join(per_class, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- texts alike by their shingles -------------------------------------------------------------------------------------
+
+
+def _chained(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k words in a row."""
+    g = np.full(len(h) - k + 1, k, dtype=np.uint64)
+    for i in range(k):
+        g = mix(g * _STEP + h[i : i + len(g)])
+    return g
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles; a shorter text is one shingle, one without words has none."""
+    data = LOWER[data]
+    starts, ends, first = word_spans(data, offsets)
+    h = word_hashes(data, starts, ends)
+    grams = _chained(h, shingle) if len(h) >= shingle else h[:0]
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        yield np.unique(grams[a : b - shingle + 1]) if b - a >= shingle else _chained(h[a:b], b - a) if b > a else h[:0]
+
+
+def set_class(items: np.ndarray) -> int:
+    """A signed 64-bit hash of a whole set: equal sets are one class."""
+    return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), 7)).astype(np.int64))
+
+
+def set_mark(items: np.ndarray) -> tuple[int, bytes]:
+    """(SimHash of a set as a signed long, its parity map)."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(items), 1 << 16):
+        ones += np.unpackbits(items[at : at + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    fp = np.packbits(ones * 2 > len(items)).view(np.int64)[0]
+    return int(fp), np.packbits(np.bincount((items >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).tobytes()
+
+
+def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: int = 5, distance: int = 3, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, component_id), one for each row of ``docs``: the smallest id reachable by links of at least this Jaccard similarity.
+
+    ``similarity``: numerator and denominator. Texts whose fingerprints are at most ``distance`` bits apart are found by multi-index hashing
+    (``near_links``) and verified. The pairs that lie beyond are found by their rarest shingles: in any fixed order of the shingles, two sets that
+    are similar enough share one among the first n - ceil(similarity n) + 1 of each, and the first they share leaves room for the overlap
+    they need. Shingles that are frequent in a sample of the texts come last in the order; this saves work and decides nothing. Each shingle's
+    rows meet its least set first; only those still in different components then meet in blocks. So no pair is missed, whatever its distance.
+
+    Candidates are weighed by the parity maps of their sets, which bound the overlap from above, and those left are verified on whole sets.
+    Equal sets are one class; texts without words are alike. Rows with a null id get the component of their text, repeated ids keep a row each,
+    an empty table gives an empty result, other columns are not read. Words, shingles and sets are compared by 64-bit hashes.
+    """
+    spark, (num, den) = docs.sparkSession, similarity
+    if not 0 < num <= den:
+        raise ValueError("a similarity above 0, up to 1")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+
+    def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in byte_slices(batch):
+                found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(data, offsets, shingle)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64("_id"), F.lit(16)) == 0)
+    often = max(8, some.count() // 2000)  # so the list stays short at any size
+    late = some.mapInArrow(sampled, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("key").toArrow()
+    shared = spark.sparkContext.broadcast(np.sort(late["key"].to_numpy().view(np.uint64)))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for batch in batches:
+            for part, data, offsets in byte_slices(batch):
+                classes, sizes, marks, keys = [], [], [], []
+                for items in shingle_sets(data, offsets, shingle):
+                    n = len(items)
+                    first = n - -(-num * n // den) + 1 if n else 0
+                    if n and len(hot):
+                        last = hot[np.minimum(np.searchsorted(hot, items), len(hot) - 1)] == items
+                        head = np.concatenate([items[~last][:first], items[last][:first]])[:first]
+                    else:
+                        head = items[:first]
+                    classes.append(set_class(items))
+                    sizes.append(n)
+                    marks.append(set_mark(items))
+                    keys.append(head.view(np.int64))
+                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_id"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)],
+                    ["_id", "cls", "size", "fp", "parity", "keys"],
+                )
+
+    marks = written(rows.mapInArrow(scan, "_id long, cls long, size int, fp long, parity binary, keys array<long>"), "set-marks")
+    copies = marks.groupBy("cls").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    kinds = written(copies, "set-classes")
+    # one row a class: where a class has copies, that of a least id (any of them, as equal sets have equal marks)
+    lone = marks.join(kinds.where("n = 1").select("cls"), "cls", "left_semi").select("cls", "size", "fp", "parity", "keys")
+    many = marks.join(kinds.where("n > 1").select("cls"), "cls", "left_semi").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("size", "fp", "parity", "keys")])
+    classes = written(lone.unionByName(many).join(kinds.select("cls", "least"), "cls"), "class-marks")
+
+    def fits(n, m, i, j):
+        """Whether sets of n and m items whose first common item has places i and j can share enough."""
+        return F.least(n - i, m - j).cast("long") * (num + den) >= (n + m).cast("long") * num
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("pa", "pb"))
+            n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            most = (n - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+            yield batch.select(["a", "b"]).filter(pa.array(most * (num + den) >= num * n))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                n = len(both)
+                both.sort(kind="stable")
+                overlap = int((both[1:] == both[:-1]).sum())
+                good.append(overlap * den >= num * (n - overlap))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in byte_slices(batch):
+                items = list(shingle_sets(data, offsets, shingle))
+                yield pa.RecordBatch.from_arrays([pa.array([set_class(x) for x in items], pa.int64()), pa.array([x.tobytes() for x in items], pa.binary())], ["cls", "items"])
+
+    def verified(found: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes whose whole sets are similar enough."""
+        light = lambda c: classes.select(F.col("cls").alias(c), F.col("size").alias("n" + c), F.col("parity").alias("p" + c))
+        maybe = found.distinct().join(light("a"), "a").join(light("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(weigh, "a long, b long")
+        maybe = written(maybe, "set-pairs")
+        nodes = written(maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct(), "set-nodes")
+        wanted = nodes.join(classes, "cls").select(F.col("least").alias("_want")).distinct()
+        texts = rows.join(wanted, rows._id.eqNullSafe(wanted._want), "left_semi").select("_text")
+        items = written(texts.mapInArrow(sets, "cls long, items binary").join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+        full = maybe.join(items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
+        return written(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "set-links")
+
+    # by fingerprints: links of near fingerprints, between the least class of each; classes of one fingerprint meet its least
+    lead = written(classes.groupBy("fp").agg(F.min("cls").alias("lead")), "fingerprint-leads")
+    near = near_links(lead.select("fp"), distance, block)
+    ends = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    equal = classes.select("cls", "fp").join(lead, "fp").where("cls != lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
+    links = verified(ends.union(equal))
+    known = written(components(links), "near-components")
+
+    # by rare shingles: the rows of keys that two components have
+    every = classes.select("cls", "size", F.posexplode("keys").alias("at", "key")).join(known.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "size", "at", F.coalesce("component", "cls").alias("component"))
+    leads = every.groupBy("key").agg(F.min(F.struct("cls", "size", "at", "component")).alias("lead"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key", "lead")
+    heads = written(every.join(written(leads, "leads"), "key"), "prefix-rows")
+    star = heads.where((F.col("component") != F.col("lead.component")) & fits(F.col("size"), F.col("lead.size"), F.col("at"), F.col("lead.at")))
+    links = written(links.union(verified(star.select(F.least("lead.cls", "cls").alias("a"), F.greatest("lead.cls", "cls").alias("b")))), "links-so-far")
+    known = written(components(links), "star-components")
+    placed = written(heads.drop("component", "lead").join(known.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "size", "at", F.coalesce("component", "cls").alias("component")), "placed")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")
+    rest = written(placed.join(open_, "key", "left_semi"), "open-rows")
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches):
+            get = lambda c: part.column(c).combine_chunks().to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            cls, size, at, component = get("cls"), get("size").astype(np.int64), get("at").astype(np.int64), get("component")
+            for i, j in pairs(get("_block"), get("_role"), get("_self")):
+                good = (component[i] != component[j]) & (np.minimum(size[i] - at[i], size[j] - at[j]) * (num + den) >= (size[i] + size[j]) * num)
+                i, j = i[good], j[good]
+                if len(i):
+                    both = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    dealt = in_blocks(rest, ["key"], "cls", block=block)
+    linked = components(links.union(verified(dealt.select("cls", "size", "at", "component", "_block", "_role", "_self").mapInArrow(meet, "a long, b long"))))
+    members = linked.join(kinds.select("cls", "least"), F.col("node") == F.col("cls")).select("cls", "component", "least")
+    least = written(members.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
+    of_class = members.join(least, "component").select("cls", "component_id")
+    per_class = written(kinds.select("cls", "least").join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id")), "set-components")
+    return marks.select("_id", "cls").join(per_class, "cls").select(F.col("_id").alias(id_col), "component_id")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crucible.llm.common import byte_slices, mix, runs, word_hashes, word_spans, written
+from crucible.llm.common import bit_map, byte_slices, mix, on_map, runs, word_hashes, word_spans, written
 
 LAST_ID = (1 << 63) - 1
 _STEPS = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -179,19 +179,6 @@ def earlier(words: np.ndarray, offsets: np.ndarray, order: np.ndarray, window: i
 # --- the job -------------------------------------------------------------------------------------------------------
 
 
-def bit_map(slots: DataFrame, bits: int) -> np.ndarray:
-    """The slots (a column of numbers below 2**bits) as a bit map; at most 2**(bits - 6) rows come to the driver, whatever the input."""
-    words = slots.select(F.shiftright("slot", 6).cast("int").alias("word"), F.pmod("slot", F.lit(64)).cast("int").alias("bit"))
-    rows = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-def on_map(seen: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((seen[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
-
-
 def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 16_384, map_bits: int = 26) -> DataFrame:
     """Rows (_doc, _mark, spans) for ``docs`` (_doc, _mark, _text): spans are (first word, windows) of windows whose words also start earlier.
 
@@ -318,11 +305,12 @@ def deduplicate(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 1
     judged on the input. kept_text is the text itself where no word goes (null stays null), else its kept words joined by one space;
     kept_sha256 is always that of the joined words. Null ids count as the largest id; rows that share an id are told apart by a hash of the
     text, and rows with equal id and text are one document. Texts with fewer words than a window keep all; an empty table stays empty.
+    Columns of ``keep`` that have the name of a result column are left out.
     """
     mark = F.xxhash64(F.col(text_col).cast("string"))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"), mark.alias("_mark"), F.col(text_col).cast("string").alias("_text"))
     spans = repeated_spans(base, window, gram, block)
-    others = [c for c in dict.fromkeys(keep) if c not in (id_col, text_col)]
+    others = [c for c in dict.fromkeys(keep) if c not in (id_col, text_col, "n_words", "n_removed", "kept_sha256", "kept_text")]
     rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in others], F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"), mark.alias("_mark"), F.col(text_col).cast("string").alias("_text"))
     joined = rows.join(spans.hint("shuffle_hash"), ["_doc", "_mark"], "left").drop("_doc", "_mark")
     names = ["_id", *[f"_keep_{c}" for c in others]]

@@ -14,7 +14,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from crucible.llm import embeddings, language, leaks, mixing, quality, simhash, substrings, tokens, warc
+from crucible.llm import embeddings, leaks, mixing, quality, simhash, substrings, tokens, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -204,27 +204,6 @@ def test_token_counts_and_cache(spark, docs, nothing, tmp_path):
     assert tokens.count_tokens(nothing, PIECES, str(tmp_path / "none")).count() == 0
 
 
-# --- 7
-
-
-def test_language(spark, nothing):
-    rng = random.Random(6)
-    style = {"xx": ["ba", "do", "ki", "mu"], "yy": ["str", "angl", "ent", "éa"]}
-    rows = [(k, " ".join("".join(rng.choice(style[name]) for _ in range(3)) for _ in range(30)), name) for k, name in enumerate(["xx", "yy"] * 40)]
-    rows += [(200, None, "xx"), (201, "12 %% 3", "yy"), (202, "", None), (203, "bado kimu", None)]
-    got = {r.doc_id: r for r in language.classify(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, _lang int")).collect()}
-    assert all(got[i].lang_pred == name and got[i].score > 0.9 for i, _, name in rows[:80])
-    assert [got[i].lang_pred for i in (200, 201, 202, 203)] == ["und", "und", "und", "xx"]
-    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
-    assert language.classify(nothing).count() == 0
-
-
-def test_context_tree_sums_to_one():
-    rng = np.random.default_rng(7)
-    p = language.context_tree(rng.poisson(0.3, (6, 6, 6, 6)))
-    assert np.allclose(p.sum(axis=-1), 1) and (p[..., 1:] > 0).all()
-
-
 # --- 8
 
 
