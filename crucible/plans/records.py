@@ -126,7 +126,8 @@ def read_reaction_xml(t: Tables) -> DataFrame:
         F.lit("<reaction><source><documentId>"), S("p_partkey").cast("string"), F.lit("</documentId></source><reactionSmiles>C.N&gt;O&gt;"), "p_brand", F.lit('</reactionSmiles><productList><product><identifier dictRef="cml:smiles">'), "p_brand", F.lit("</identifier></product></productList><reactantList>"),
         F.when(k % 2 == 0, one("reactant", "C") + one("reactant", "N")).otherwise(one("reactant", "C")), F.lit("</reactantList><spectatorList>"), agents, F.lit("</spectatorList></reaction>"),
     )
-    t.part.select(doc.alias("value")).write.text(path)
+    lists = t.part.groupBy(S("p_brand").alias("file")).agg(F.concat(F.lit("<reactionList>"), F.array_join(F.collect_list(doc), ""), F.lit("</reactionList>")).alias("value"))
+    lists.write.partitionBy("file").text(path)  # a document for each brand
     got = readers.read_reaction_xml(t.spark, path)
     return got.select(S("REF").cast("long").alias("key"), "REACTANTS", "PRODUCTS", "product", "reactant", "SOLVENT", "CATALYST")
 
@@ -359,7 +360,7 @@ def rows_to_records(t: Tables) -> DataFrame:
 def condition_texts(t: Tables) -> DataFrame:
     words = F.concat((S("event_id") % 90 + 1).cast("string"), F.lit("% yield, 91% ee, 3:1 dr"))
     told = F.when(S("event_type") == "view", "stirred 3 h ").when(S("event_type") == "click", "at 80 °C").when(S("event_type") == "signup", "81% isolated").when(S("event_type") == "error", "under N2").otherwise("NaH")
-    shown = F.array_join(F.transform(text.split_conditions(words), lambda c: F.concat_ws("=", c["role"], F.regexp_replace(c["text"], "[, ]+(?=ee)", ""))), ";")
+    shown = F.array_join(F.transform(text.split_conditions(words), lambda c: F.concat_ws("=", c["role"], c["text"])), ";")
     return t.events.select("event_id", text.percent_text(F.round("value", 2).cast("string")).alias("percent"), shown.alias("parts"), text.condition_role(told).alias("role"))
 
 

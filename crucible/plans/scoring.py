@@ -46,8 +46,8 @@ def molecules_of(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 GREEDY = """
-WITH RECURSIVE o AS (SELECT o_custkey AS f, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders),
-r AS (SELECT f, n // 2 AS i, n % 2 = 0 AS pred, s, p, k % 3 AS y FROM o WHERE n < 6),
+WITH RECURSIVE o AS (SELECT o_custkey AS f, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+r AS (SELECT f, (n - 1) // 2 AS i, n % 2 = 1 AS pred, s, p, k % 3 AS y FROM o WHERE n <= 6),
 c AS (SELECT a.f, a.i AS pi, b.i AS gi, CASE WHEN a.p = b.p THEN 1 ELSE 0 END AS products, CASE WHEN a.s = b.s THEN 1 ELSE 0 END AS reactants, a.y AS py, b.y AS gy FROM r a JOIN r b ON a.f = b.f AND a.pred AND NOT b.pred WHERE a.p = b.p OR a.s = b.s),
 w AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY products * 1e12 + reactants * 1e6 - abs(gi - pi) DESC, pi, gi) AS rank FROM c),
 g AS (SELECT f, 0 AS step, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS gs, CAST(0 AS BIGINT) AS last FROM (SELECT DISTINCT f FROM w)
@@ -92,7 +92,7 @@ def composition_distance(t: Tables) -> DataFrame:
     return rounded(metrics.composition_distance(rows.where("k % 2 = 1"), rows.where("k % 2 = 0"), ["nation"]).select("nation", *big("n_pred", "n_gold"), "distance"), "distance")
 
 
-@query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'no reactants' WHEN 1 THEN 'no products' WHEN 2 THEN 'unparseable' WHEN 3 THEN 'gained C,N' ELSE '' END AS issues FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'no reactants' WHEN 1 THEN 'no products' WHEN 2 THEN 'unparseable; gained O' WHEN 3 THEN 'gained C,N' ELSE '' END AS issues FROM part""")
 def reaction_issues(t: Tables) -> DataFrame:
     k = S("p_size") % 5
     none = F.array().cast("array<string>")
@@ -290,8 +290,8 @@ def cns_score(t: Tables) -> DataFrame:
     return rounded(hazards.cns_score(rows).select("p_partkey", "cns"), "cns")
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 20 AS mw, l_linenumber AS lp, l_suppkey % 80 AS at, l_partkey % 150 AS mr, l_quantity * 4 AS ts, l_suppkey % 9 AS ri, l_suppkey % 7 AS ca, l_partkey % 3 AS he, l_suppkey % 20 AS ro, l_partkey % 13 AS ha, l_suppkey % 8 AS hd FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, CAST((mw < 160 OR mw > 480)::INT + (lp < -0.4 OR lp > 5.6)::INT + (at < 20 OR at > 70)::INT + (mr < 40 OR mr > 130)::INT AS BIGINT) AS ghose,
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 20 AS mw, l_linenumber AS lp, l_suppkey % 80 AS atoms, l_partkey % 150 AS mr, l_quantity * 4 AS ts, l_suppkey % 9 AS ri, l_suppkey % 7 AS ca, l_partkey % 3 AS he, l_suppkey % 20 AS ro, l_partkey % 13 AS ha, l_suppkey % 8 AS hd FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CAST((mw < 160 OR mw > 480)::INT + (lp < -0.4 OR lp > 5.6)::INT + (atoms < 20 OR atoms > 70)::INT + (mr < 40 OR mr > 130)::INT AS BIGINT) AS ghose,
 CAST((mw < 200 OR mw > 400)::INT + (lp < -2 OR lp > 5)::INT + (ts > 150)::INT + (ri > 7)::INT + (ca <= 4)::INT + (he <= 1)::INT + (ro > 15)::INT + (ha > 10)::INT + (hd > 5)::INT AS BIGINT) AS muegge FROM x""")
 def druglike_more(t: Tables) -> DataFrame:
     part, supplier = S("l_partkey"), S("l_suppkey")

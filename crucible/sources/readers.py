@@ -14,7 +14,7 @@ def _json(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.j
     """One JSON document (or array of them) for each file, with ``stem``, ``run`` (its folder) and ``_corrupt_record``."""
     whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     df = spark.read.schema(whole).option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(path, multiLine=True)
-    name = F.col("_metadata.file_path")
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # a path comes as a URI
     return df.select("*", text.path_stem(name).alias("stem") if "stem" not in df.columns else F.coalesce("stem", text.path_stem(name)).alias("_stem"), text.path_parent(name).alias("run"))
 
 
@@ -83,7 +83,7 @@ def read_reaction_xml(spark: SparkSession, path: str) -> DataFrame:
     schema = schemas.schema(f"reactionSmiles string, productList struct<product: array<{smiles}>>, reactantList struct<reactant: array<{smiles}>>, spectatorList struct<spectator: array<{smiles}>>, source struct<documentId: string, paragraphText: string>")
     df = spark.read.format("xml").schema(schema).option("rowTag", "reaction").option("valueTag", "_value").load(path)
     one = lambda x: F.get(F.transform(F.filter(x["identifier"], lambda i: F.endswith(i["_dictRef"], F.lit("smiles"))), lambda i: i["_value"]), F.lit(0))
-    joined = lambda c, role=None: F.array_join(F.filter(F.transform(F.filter(c, lambda x: F.lit(True) if role is None else x["_role"] == role), one), lambda s: s.isNotNull()), ".")
+    joined = lambda c, role=None: F.coalesce(F.array_join(F.filter(F.transform(F.filter(c, lambda x: F.lit(True) if role is None else x["_role"] == role), one), lambda s: s.isNotNull()), "."), F.lit(""))
     sides = F.split("reactionSmiles", ">")
     return df.select(
         "reactionSmiles", F.get(sides, F.lit(0)).alias("REACTANTS"), F.element_at(sides, -1).alias("PRODUCTS"), joined(F.col("productList.product")).alias("product"), joined(F.col("reactantList.reactant")).alias("reactant"),
