@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crucible.operators.graph import components
+from crucible.scratch import written
+
 
 def hungarian(cost: np.ndarray) -> list[int]:
     """The column of each row (rows <= columns) at least total cost, by shortest augmenting paths."""
@@ -37,16 +40,30 @@ def hungarian(cost: np.ndarray) -> list[int]:
     return out
 
 
-def assign(pairs: DataFrame, by: list[str], left: str, right: str, score: str, optimal: bool = True) -> DataFrame:
+def connected(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+    """The connected set of each pair (a < n on the left, b < m on the right): its least node."""
+    label, b = np.arange(n + m), b + n
+    while True:
+        low = np.minimum(label[a], label[b])
+        if (label[a] == low).all() and (label[b] == low).all():
+            return low
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+
+
+def assign(pairs: DataFrame, by: list[str], left: str, right: str, score: str, optimal: bool = True, most: int = 200_000) -> DataFrame:
     """(by, left, right, score) of the pairs chosen in each group: no row twice on either side.
 
     optimal: the greatest total score; otherwise the best pair first, then the best of what is left, ties by left then right. Pairs that are
-    not in ``pairs`` score 0 and are never chosen. Groups are figures: tens of reactions, so their number is what scales.
+    not in ``pairs`` score 0 and are never chosen. Groups are figures of tens of reactions. Each connected set of a group's pairs is solved
+    alone; where some group has over ``most`` pairs, Spark finds the connected sets of all groups first and deals them out one by one. What
+    is left in one task is a connected set.
     """
-    rows = pairs.select(*by, F.col(left).cast("long").alias(left), F.col(right).cast("long").alias(right), F.col(score).cast("double").alias("score"))
-    # bound outside the closure: grouped rows come as one frame
+    rows = written(pairs.select(*by, F.col(left).cast("long").alias(left), F.col(right).cast("long").alias(right), F.col(score).cast("double").alias("score")), "pairs")
+    schema = rows.schema
+
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([left, right], kind="stable")
+        group = group[schema.names].sort_values([left, right], kind="stable")
         if not optimal:
             used_l, used_r, keep = set(), set(), []
             for k in np.lexsort((group[right], group[left], -group["score"])):
@@ -56,14 +73,23 @@ def assign(pairs: DataFrame, by: list[str], left: str, right: str, score: str, o
                     used_r.add(b)
                     keep.append(k)
             return group.iloc[keep]
-        a, rows_ = pd.factorize(group[left])
-        b, columns = pd.factorize(group[right], sort=True)
-        gain = np.zeros((len(rows_), len(columns)))
-        where = np.full(gain.shape, -1)
-        gain[a, b], where[a, b] = group["score"], np.arange(len(group))
-        turned = gain.shape[0] > gain.shape[1]
-        match = hungarian(-(gain.T if turned else gain))
-        chosen = [where[j, i] if turned else where[i, j] for i, j in enumerate(match)]
-        return group.iloc[[k for k in chosen if k >= 0]]
+        lefts, rows_ = pd.factorize(group[left])
+        rights, columns = pd.factorize(group[right], sort=True)
+        gains, sets, keep = group["score"].to_numpy(), connected(lefts, rights, len(rows_), len(columns)), []
+        order = np.argsort(sets, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(sets[order])) + 1):
+            a, b = (pd.factorize(x[part], sort=True) for x in (lefts, rights))
+            gain = np.zeros((len(a[1]), len(b[1])))
+            where = np.full(gain.shape, -1)
+            gain[a[0], b[0]], where[a[0], b[0]] = gains[part], part
+            turned = gain.shape[0] > gain.shape[1]
+            chosen = (where[j, i] if turned else where[i, j] for i, j in enumerate(hungarian(-(gain.T if turned else gain))))
+            keep += [k for k in chosen if k >= 0]
+        return group.iloc[sorted(keep)]
 
-    return rows.groupBy(*by).applyInPandas(solve, rows.schema)
+    biggest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if biggest <= most:
+        return rows.groupBy(*by).applyInPandas(solve, schema)
+    node = lambda side, c: F.xxhash64(F.lit(side), *by, c)
+    sets = components(rows.select(node("left", left).alias("a"), node("right", right).alias("b"))).select(F.col("node").alias("_node"), F.col("component").alias("_set"))
+    return rows.withColumn("_node", node("left", left)).join(sets, "_node").drop("_node").groupBy("_set", *by).applyInPandas(solve, schema)

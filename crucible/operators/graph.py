@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions import similarity
+from crucible.scratch import written
 
 #: column of the database, node label, edge type, from the reaction or to it
 ROLES = (("PRODUCTS", "Molecule", "HAS_PRODUCT", True), ("REACTANTS", "Molecule", "IS_REACTANT_OF", False), ("SOLVENT", "Solvent", "USES_SOLVENT", True), ("CATALYST", "Catalyst", "USES_CATALYST", True), ("REAGENT", "Reagent", "USES_REAGENT", True), ("REF", "Reference", "REPORTS", False))
@@ -36,13 +37,23 @@ def precedes(edges: DataFrame) -> DataFrame:
     return made.join(used, "molecule").where("src != dst").select("src", "dst").distinct()
 
 
+def precedes_counts(edges: DataFrame) -> DataFrame:
+    """(molecule, makers, users) of each molecule that some reactions make and others consume: ``precedes`` without its pairs, which for a
+    common molecule are makers times users."""
+    side = edges.where("type IN ('HAS_PRODUCT', 'IS_REACTANT_OF')").select(F.when(F.col("type") == "HAS_PRODUCT", F.col("dst")).otherwise(F.col("src")).alias("molecule"), (F.col("type") == "HAS_PRODUCT").alias("_made"))
+    return side.groupBy("molecule").agg(F.count_if("_made").alias("makers"), F.count_if(~F.col("_made")).alias("users")).where("makers > 0 AND users > 0")
+
+
 def khop(edges: DataFrame, start: DataFrame, k: int) -> DataFrame:
-    """(node, hops) within k steps of the start nodes, each at its least distance. One join a step, against nodes not seen before."""
-    seen = start.select("node").distinct().withColumn("hops", F.lit(0))
+    """(node, hops) within k steps of the start nodes, each at its least distance. One join a step, against nodes not seen before.
+
+    Each step's front is written, so no step computes those before it again.
+    """
+    seen = written(start.select("node").distinct().withColumn("hops", F.lit(0)), "front")
     front = seen
     for step in range(1, k + 1):
         reached = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        front = reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(step))
+        front = written(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(step)), "front")
         seen = seen.union(front)
     return seen
 
@@ -79,3 +90,31 @@ def align_labels(labels: DataFrame, structures: DataFrame) -> DataFrame:
 
 def ranked_in(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """Connected components of links (a, b) as rows (node, component), component the smallest node reachable; nodes without links are absent.
+
+    Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond"), each written to the shared folder.
+    Hub nodes don't gather in one task: minima are partial aggregates, and the joins are plain equi-joins that adaptive execution splits.
+    """
+    edge = lambda a, b: [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+    now = written(links.where(F.col("a") != F.col("b")).select(*edge("a", "b")).distinct(), "links")
+    seen = None
+    for _ in range(most_rounds):
+        if now.isEmpty():
+            break
+        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        star = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        now = written(star, "large-star")
+        low = written(now.groupBy("a").agg(F.min("b").alias("m")), "least")
+        star = now.join(low, "a").where(F.col("b") != F.col("m")).select(*edge("b", "m")).union(low.select("a", F.col("m").alias("b"))).distinct()
+        now = written(star, "small-star")
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == seen:
+            break
+        seen = state
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

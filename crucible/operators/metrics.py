@@ -33,11 +33,11 @@ def set_overlap(pred: DataFrame, gold: DataFrame, by: list[str], value: str) ->
 
     Groups of either table appear. An empty union has IoU 1; an empty side alone has precision or recall 0.
     """
-    a = pred.where(F.col(value).isNotNull()).select(*by, value).distinct().withColumn("_p", F.lit(1))
-    b = gold.where(F.col(value).isNotNull()).select(*by, value).distinct().withColumn("_g", F.lit(1))
-    groups = pred.select(*by).union(gold.select(*by)).distinct()
-    hits = a.join(b, [*by, value], "full").groupBy(*by).agg(F.count_if(F.col("_p").isNotNull() & F.col("_g").isNotNull()).alias("both"), F.count_if(F.col("_g").isNull()).alias("extra"), F.count_if(F.col("_p").isNull()).alias("missing"))
-    out = groups.join(hits, by, "left").na.fill(0, ["both", "extra", "missing"])
+    # a value's sides meet in one shuffle; null values stand for the group alone
+    side = lambda df, p: df.select(*by, F.col(value).alias("_v"), F.lit(p).alias("_p"))
+    seen = side(pred, True).union(side(gold, False)).groupBy(*by, "_v").agg(F.bool_or("_p").alias("_p"), F.bool_or(~F.col("_p")).alias("_g"))
+    real, p, g = F.col("_v").isNotNull(), F.col("_p"), F.col("_g")
+    out = seen.groupBy(*by).agg(F.count_if(real & p & g).alias("both"), F.count_if(real & p & ~g).alias("extra"), F.count_if(real & g & ~p).alias("missing"))
     both, extra, missing = (F.col(c).cast("double") for c in ("both", "extra", "missing"))
     share = lambda top, bottom, empty: F.when(bottom == 0, empty).otherwise(top / bottom)
     out = out.withColumns({"iou": share(both, both + extra + missing, 1.0), "precision": share(both, both + extra, 0.0), "recall": share(both, both + missing, 0.0)})
@@ -91,17 +91,17 @@ def hard_match(pred: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
     Stage one matches (structures, conditions) keys of gold reactions that have conditions. Stage two matches the others by structures with
     the predictions that stage one left. Columns strict, lenient, skipped_cond_check and the usual counts.
     """
-    keyed = lambda df: df.select(*by, "idx", signature(F.col("reactants"), F.col("products")).alias("_soft"), F.to_json(F.struct(condition_keys(F.col("conditions")).alias("c"))).alias("_cond"), (F.size(F.coalesce("conditions", F.array().cast(df.schema["conditions"].dataType))) > 0).alias("_has"))
-    p, g = keyed(pred), keyed(gold)
-    need = g.where("_has").groupBy(*by, "_soft", "_cond").agg(F.count(F.lit(1)).alias("_need"))
-    order = Window.partitionBy(*by, "_soft", "_cond").orderBy("idx")
-    ranked = p.withColumn("_rank", F.row_number().over(order)).join(need, [*by, "_soft", "_cond"], "left").withColumn("_used", F.coalesce(F.col("_rank") <= F.col("_need"), F.lit(False)))
-    strict = ranked.where("_used").groupBy(*by).agg(F.count(F.lit(1)).alias("strict"))
-    left = ranked.where("NOT _used").groupBy(*by, "_soft").agg(F.count(F.lit(1)).alias("_p"))
-    free = g.where("NOT _has").groupBy(*by, "_soft").agg(F.count(F.lit(1)).alias("_g"))
-    lenient = left.join(free, [*by, "_soft"]).groupBy(*by).agg(F.sum(F.least("_p", "_g")).alias("lenient"))
-    counts = p.select(*by, F.lit(1).alias("_p"), F.lit(0).alias("_g"), F.lit(0).alias("_s")).union(g.select(*by, F.lit(0), F.lit(1), F.when(F.col("_has"), 0).otherwise(1)))
-    out = counts.groupBy(*by).agg(F.sum("_p").alias("n_pred"), F.sum("_g").alias("n_gold"), F.sum("_s").alias("skipped_cond_check")).join(strict, by, "left").join(lenient, by, "left").na.fill(0, ["strict", "lenient"])
+    def keyed(df: DataFrame, pred_: bool) -> DataFrame:
+        cond = F.to_json(F.struct(condition_keys(F.col("conditions")).alias("c")))
+        has = F.size(F.coalesce("conditions", F.array().cast(df.schema["conditions"].dataType))) > 0
+        return df.select(*by, signature(F.col("reactants"), F.col("products")).alias("_soft"), cond.alias("_cond"), F.lit(pred_).alias("_pred"), has.alias("_has"))
+
+    # both sides in one pass: counts by (structures, conditions), then by structures, then by group
+    p = F.col("_pred")
+    fine = keyed(pred, True).union(keyed(gold, False)).groupBy(*by, "_soft", "_cond").agg(F.count_if(p).alias("_p"), F.count_if(~p & F.col("_has")).alias("_need"), F.count_if(~p & ~F.col("_has")).alias("_free"))
+    soft = fine.withColumn("_hit", F.least("_p", "_need")).groupBy(*by, "_soft").agg(*[F.sum(c).alias(c) for c in ("_p", "_need", "_free", "_hit")])
+    lenient = F.least(F.col("_p") - F.col("_hit"), F.col("_free"))
+    out = soft.groupBy(*by).agg(F.sum("_p").alias("n_pred"), F.sum(F.col("_need") + F.col("_free")).alias("n_gold"), F.sum("_free").alias("skipped_cond_check"), F.sum("_hit").alias("strict"), F.sum(lenient).alias("lenient"))
     return with_prf(out.withColumn("matched", F.col("strict") + F.col("lenient")))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions import text
+from crucible.operators.ranking import numbered
 
 
 def micro(df: DataFrame, by: list[str], matched: str = "matched", n_pred: str = "n_pred", n_gold: str = "n_gold") -> DataFrame:
@@ -32,22 +35,30 @@ def group_report(df: DataFrame, labels: Column, metrics: list[str]) -> DataFrame
     return macro(df.withColumn("group", F.explode(labels)), ["group"], metrics)
 
 
+#: 2**31 - 1, a prime, and the cumulative Poisson(1) distribution in its units: how often a row is drawn by a number below it.
+PRIME = 2_147_483_647
+POISSON = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12))
+
+
 def bootstrap(df: DataFrame, by: list[str], value: str, order: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """(mean, low, high): the 95 % percentile interval of the mean over resamples of each group; null below two rows.
+    """(n, mean, low, high): the 95 % percentile interval of the mean over resamples of each group; null below two rows.
 
-    Draws come from arithmetic on (resample, draw, seed), so they are the same on every engine. The work is resamples times rows, dealt by
-    group and resample.
+    A resample draws each row a Poisson(1) number of times, by arithmetic on (resample, the integer ``order``, seed) that every SQL engine
+    repeats. So rows are weighted where they are, and what moves is a sum and a count for each group and resample. Resamples that draw no
+    row don't count.
     """
-    own = Window.partitionBy(*by).orderBy(order)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), (F.row_number().over(own) - 1).cast("long").alias("_i"))
+    key = F.pmod(F.col(order).cast("long"), F.lit(PRIME))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), key.alias("_k"))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
-    m = 2_147_483_647
-    b = rows.select(*by, F.col("_i").alias("_k")).join(sizes.where("n > 1").select(*by, "n"), by).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    x = F.pmod(F.col("_b") * 1_000_003 + F.col("_k") * 7919 + seed, F.lit(m))
-    drawn = b.withColumn("_i", F.pmod(F.pmod(F.pmod(x * x, F.lit(m)) * 48_271, F.lit(m)), F.col("n"))).select(*by, "_b", "_i")
-    means = drawn.join(rows, [*by, "_i"]).groupBy(*by, "_b").agg(F.avg("_v").alias("_m"))
+    drawn = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
+    x = F.pmod(F.col("_b") * 1_000_003 + F.pmod(F.col("_k") * 7919, F.lit(PRIME)) + seed, F.lit(PRIME))
+    u = F.pmod(F.pmod(x * x, F.lit(PRIME)) * 48_271, F.lit(PRIME))
+    times = sum((F.when(F.col("_u") >= limit, 1).otherwise(0) for limit in POISSON[1:]), F.when(F.col("_u") >= POISSON[0], 1).otherwise(0))
+    weighed = drawn.withColumn("_u", u).select(*by, "_b", "_v", times.alias("_w")).where("_w > 0")
+    means = weighed.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
     ends = means.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
-    return sizes.join(ends, by, "left").select(*by, "n", F.round("mean", 4).alias("mean"), F.round(F.col("_p")[0], 4).alias("low"), F.round(F.col("_p")[1], 4).alias("high"))
+    low, high = (F.when(F.col("n") > 1, F.round(F.col("_p")[k], 4)).alias(c) for k, c in enumerate(("low", "high")))
+    return sizes.join(ends, by, "left").select(*by, "n", F.round("mean", 4).alias("mean"), low, high)
 
 
 def cost_summary(sidecars: DataFrame, by: list[str]) -> DataFrame:
@@ -175,7 +186,7 @@ def agent_stats(a: DataFrame, b: DataFrame, agent: str = "agent") -> DataFrame:
 def align_turns(a: DataFrame, b: DataFrame, order: str, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Turns of two conversations side by side, by position."""
     by = by or []
-    ranked = lambda df, side: df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(order))).select(*by, "position", *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    ranked = lambda df, side: numbered(df.select(*by, order, *[c for c in columns if c not in (*by, order)]), by, [order], "position").select(*by, "position", *[F.col(c).alias(f"{side}_{c}") for c in columns])
     return ranked(a, "a").join(ranked(b, "b"), [*by, "position"], "full")
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from crucible.operators.ranking import numbered
 
 PRIME = 2_147_483_647
 
@@ -25,31 +28,36 @@ def split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     return df.withColumn("test", hash_rank(key, seed) < int(share * PRIME))
 
 
+def _ranked(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """Rows with their place ``_r`` in their label's order of hashes, and the label's size ``_n``; no label is ranked in one task."""
+    ranked = numbered(df, [label], [hash_rank(key, seed), key], "_r")
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.join(sizes, ranked[label].eqNullSafe(sizes._label)).drop("_label")
+
+
 def stratified(df: DataFrame, key: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """``test`` for a share of each label; labels too rare to give one row stay in training."""
-    own = Window.partitionBy(label)
-    n = F.count(F.lit(1)).over(own)
-    rank = F.row_number().over(own.orderBy(hash_rank(key, seed), key))
-    return df.withColumn("test", (n * share >= 1) & (rank <= F.floor(n * share)))
+    n = F.col("_n")
+    return _ranked(df, key, label, seed).withColumn("test", (n * share >= 1) & (F.col("_r") <= F.floor(n * share))).drop("_r", "_n")
 
 
 def cold(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """``test`` for whole groups, a share of them and one at least; rows without a group stay in training.
 
-    Groups are ranked by hash at their cut, found from the distinct groups alone.
+    Distinct groups are ranked by ranges of their hash: arithmetic for whole numbers, else a hash of their text.
     """
     groups = df.where(F.col(group).isNotNull()).select(group).distinct()
-    ranked = groups.withColumn("_n", F.row_number().over(Window.orderBy(F.xxhash64(F.col(group).cast("string"), F.lit(seed)), group)))
-    chosen = ranked.join(groups.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("_k"))).where("_n <= _k").select(group, F.lit(True).alias("_test"))
+    whole = isinstance(df.schema[group].dataType, T.IntegralType)
+    rank = hash_rank(group, seed) if whole else F.xxhash64(F.col(group).cast("string"), F.lit(seed))
+    n = groups.count()
+    chosen = numbered(groups, [], [rank, group], "_n").where(F.col("_n") <= max(1, int(n * share))).select(group, F.lit(True).alias("_test"))
     return df.join(chosen, group, "left").withColumn("test", F.coalesce("_test", F.lit(False))).drop("_test")
 
 
 def per_class(df: DataFrame, key: str, label: str, share: float = 0.2, least: int = 5, seed: int = 42) -> DataFrame:
     """``test`` for a share of each class of ``least`` rows or more, one row at least; smaller classes are left out."""
-    own = Window.partitionBy(label)
-    n = F.count(F.lit(1)).over(own)
-    rank = F.row_number().over(own.orderBy(hash_rank(key, seed), key))
-    return df.withColumns({"_n": n, "_r": rank}).where(F.col("_n") >= least).withColumn("test", F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_n", "_r")
+    ranked = _ranked(df, key, label, seed).where(F.col("_n") >= least)
+    return ranked.withColumn("test", F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_n", "_r")
 
 
 def quota_subset(df: DataFrame, key: str, source: str, reactions: str, quota: dict[str, int], total: int, seed: int = 42) -> DataFrame:
@@ -57,9 +65,12 @@ def quota_subset(df: DataFrame, key: str, source: str, reactions: str, quota: di
     whole = sum(quota.values())
     k = F.create_map(*[F.lit(x) for s, q in quota.items() for x in (s, round(q * total / whole))])
     tier = F.when(F.col(reactions) <= 2, 0).when(F.col(reactions) <= 8, 1).otherwise(2)
-    tiered = df.withColumn("_tier", tier).withColumn("_r", F.row_number().over(Window.partitionBy(source, "_tier").orderBy(hash_rank(key, seed), key)))
-    ranked = tiered.withColumn("_n", F.row_number().over(Window.partitionBy(source).orderBy("_r", "_tier")))
-    return ranked.where(F.col("_n") <= F.coalesce(F.element_at(k, F.col(source)), F.lit(0))).drop("_tier", "_r", "_n")
+    wanted = df.where(F.col(source).isin(*quota)).withColumn("_tier", tier)
+    tiered = numbered(wanted, [source, "_tier"], [hash_rank(key, seed), key], "_r")
+    # of each tier no more than the quota can be taken, so the last window is over a few rows
+    few = tiered.where(F.col("_r") <= F.element_at(k, F.col(source)))
+    ranked = few.withColumn("_n", F.row_number().over(Window.partitionBy(source).orderBy("_r", "_tier")))
+    return ranked.where(F.col("_n") <= F.element_at(k, F.col(source))).drop("_tier", "_r", "_n")
 
 
 def coverage_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

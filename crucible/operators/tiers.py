@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions import classes
+from crucible.scratch import written
 
 
 def topn_coverage(df: DataFrame, by: list[str], template: str, n: int) -> DataFrame:
@@ -68,7 +69,10 @@ def subclass_gain(table: DataFrame, template: str, n: int, small: int = 5) -> Da
 
     Children of fewer than ``small`` reactions count at their parent's coverage.
     """
-    cov = _coverage(table, template, n)
+    return _gain(_coverage(table, template, n), small)
+
+
+def _gain(cov: DataFrame, small: int) -> DataFrame:
     child = cov.withColumn("_parent", classes.parent("class")).where(F.col("_parent").isNotNull()).select(F.col("_parent").alias("class"), F.col("reactions").alias("_r"), F.col("coverage").alias("_c"))
     met = cov.join(child, "class").withColumn("_c", F.when(F.col("_r") < small, F.col("coverage")).otherwise(F.col("_c")))
     return met.groupBy("tier", "class", "reactions", "coverage").agg(F.count(F.lit(1)).alias("children"), (F.sum(F.col("_r") * F.col("_c")) / F.sum("_r")).alias("children_coverage")).withColumn("gain", F.col("children_coverage") - F.col("coverage"))
@@ -81,9 +85,9 @@ def recommend_tiers(table: DataFrame, template: str, n: int, enough: float = 0.9
     or its subclasses gain less than ``gain`` (whole). Otherwise its subclasses take its place: all of one, else those of at least ``least``
     reactions; smaller ones are dropped. Recommended are the classes that stay and whose place it is. One join a tier up, one down.
     """
-    kept = table.where(F.col("tier") <= max_tier)
-    gains = subclass_gain(kept, template, n, least).select("tier", "class", "gain", "children")
-    all_ = _coverage(kept, template, n).join(gains, ["tier", "class"], "left").withColumns({"_p": classes.parent("class"), "children": F.coalesce("children", F.lit(0))})
+    cov = written(_coverage(table.where(F.col("tier") <= max_tier), template, n), "class-coverage")  # a row a class: every step below reads it
+    gains = _gain(cov, least).select("tier", "class", "gain", "children")
+    all_ = cov.join(gains, ["tier", "class"], "left").withColumns({"_p": classes.parent("class"), "children": F.coalesce("children", F.lit(0))})
     below, levels = None, {}
     for tier in range(max_tier, 0, -1):
         level = all_.where(F.col("tier") == tier)

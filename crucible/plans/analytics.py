@@ -87,10 +87,10 @@ def turn_alignment(t: Tables) -> DataFrame:
     return out.withColumn("position", F.col("position").cast("long"))
 
 
-@query("SELECT o_orderstatus AS key, o_orderpriority AS model, round(sum(CAST(o_totalprice AS DECIMAL(18, 2))), 2)::DOUBLE AS cost, count(*) AS calls FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+@query("SELECT o_orderstatus AS key, o_orderpriority AS model, round(sum(CAST(o_totalprice AS DECIMAL(18, 2))), 2)::DOUBLE AS cost, count(*) AS calls, CAST(sum(o_orderkey % 100) AS BIGINT) AS input_tokens, CAST(sum(o_custkey) AS BIGINT) AS output_tokens FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def rollup_billing(t: Tables) -> DataFrame:
-    rows = t.orders.select(F.col("o_orderstatus").alias("key"), F.col("o_orderpriority").alias("model"), F.col("o_totalprice").cast("decimal(18,2)").alias("cost"), F.lit(1).cast("long").alias("calls"), F.lit(0).alias("input_tokens"), F.lit(0).alias("output_tokens"))
-    return rollup.billing(rows).select("key", "model", F.col("cost").cast("double").alias("cost"), "calls")
+    rows = t.orders.select(F.col("o_orderstatus").alias("key"), F.col("o_orderpriority").alias("model"), F.col("o_totalprice").cast("decimal(18,2)").alias("cost"), F.lit(1).cast("long").alias("calls"), (F.col("o_orderkey") % 100).alias("input_tokens"), F.col("o_custkey").alias("output_tokens"))
+    return rollup.billing(rows).select("key", "model", F.col("cost").cast("double").alias("cost"), "calls", "input_tokens", "output_tokens")
 
 
 @query("SELECT p_brand AS brand, round(regr_slope(p_size, log10(p_retailprice)), 4) AS slope, round(regr_r2(p_size, log10(p_retailprice)), 6) AS r2 FROM part WHERE p_type <> 'ECONOMY' GROUP BY 1")
@@ -234,22 +234,33 @@ o AS (SELECT CAST(o_orderkey AS VARCHAR) AS r, CAST(o_custkey AS VARCHAR) AS c,
 
 
 @query(GRAPH + """n AS (SELECT 'Reaction' AS label, r AS key FROM o UNION SELECT 'Molecule', p FROM l UNION SELECT 'Molecule', s FROM l UNION SELECT 'Reference', c FROM o UNION SELECT 'Solvent', v FROM o)
-SELECT label, count(*) AS count, min(key) AS first, max(key) AS last FROM n GROUP BY 1""")
+SELECT label, key FROM n""")
 def kg_nodes(t: Tables) -> DataFrame:
-    return graph.nodes_and_edges(db(t))[0].groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.min("key").alias("first"), F.max("key").alias("last"))
+    return graph.nodes_and_edges(db(t))[0].select("label", "key")
 
 
-@query(GRAPH + "e AS (SELECT 'HAS_PRODUCT' AS type, r AS a, p AS b FROM l UNION SELECT 'IS_REACTANT_OF', s, r FROM l UNION SELECT 'REPORTS', c, r FROM o UNION SELECT 'USES_SOLVENT', r, v FROM o) SELECT type, count(*) AS count FROM e GROUP BY 1")
+@query(GRAPH + "e AS (SELECT 'HAS_PRODUCT' AS type, r AS a, p AS b FROM l UNION SELECT 'IS_REACTANT_OF', s, r FROM l UNION SELECT 'REPORTS', c, r FROM o UNION SELECT 'USES_SOLVENT', r, v FROM o) SELECT type, a, b FROM e")
 def kg_edges(t: Tables) -> DataFrame:
-    return graph.nodes_and_edges(db(t))[1].groupBy("type").agg(F.count(F.lit(1)).alias("count"))
+    """Edges by the keys of their ends."""
+    nodes, edges = graph.nodes_and_edges(db(t))
+    end = lambda c, name: nodes.select(F.col("id").alias(c), F.col("key").alias(name))
+    return edges.join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("type", "a", "b")
 
 
 @query("""WITH m AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS x FROM lineitem), u AS (SELECT DISTINCT l_orderkey AS dst, l_suppkey AS x FROM lineitem WHERE l_returnflag = 'R'),
-e AS (SELECT DISTINCT src, dst FROM m JOIN u USING (x) WHERE src <> dst) SELECT src, count(*) AS followers, min(dst) AS first FROM e GROUP BY 1""")
+e AS (SELECT DISTINCT src, dst FROM m JOIN u USING (x) WHERE src <> dst) SELECT src, dst FROM e""")
 def precedes(t: Tables) -> DataFrame:
+    return graph.precedes(makers(t))
+
+
+@query("""WITH m AS (SELECT l_partkey AS x, count(DISTINCT l_orderkey) AS makers FROM lineitem GROUP BY 1), u AS (SELECT l_suppkey AS x, count(DISTINCT l_orderkey) AS users FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT x AS molecule, makers, users FROM m JOIN u USING (x)""")
+def precedes_counts(t: Tables) -> DataFrame:
+    return graph.precedes_counts(makers(t))
+
+
+def makers(t: Tables) -> DataFrame:
     line = t.lineitem
-    edges = line.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("HAS_PRODUCT").alias("type")).union(line.where("l_returnflag = 'R'").select("l_suppkey", "l_orderkey", F.lit("IS_REACTANT_OF"))).distinct()
-    return graph.precedes(edges).groupBy("src").agg(F.count(F.lit(1)).alias("followers"), F.min("dst").alias("first"))
+    return line.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("HAS_PRODUCT").alias("type")).union(line.where("l_returnflag = 'R'").select("l_suppkey", "l_orderkey", F.lit("IS_REACTANT_OF"))).distinct()
 
 
 @query("SELECT p_type AS \"PATTERN\", p_brand AS \"TEMPLATE\", count(DISTINCT CASE WHEN p_size > 25 THEN p_size END) AS papers FROM part GROUP BY ALL")

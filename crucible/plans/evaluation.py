@@ -99,11 +99,18 @@ def condition_coverage(t: Tables) -> DataFrame:
     return rounded(metrics.condition_coverage(*conditions(t), ["user_id"]), "recall", "precision")
 
 
-@query(EVENTS + f"""p AS (SELECT DISTINCT user_id, k FROM e WHERE gold = 0), g AS (SELECT DISTINCT user_id, k FROM e WHERE gold = 1),
-s AS (SELECT coalesce(p.user_id, g.user_id) AS user_id, count(*) FILTER (p.k IS NOT NULL AND g.k IS NOT NULL) AS matched, count(p.k) AS n_pred, count(g.k) AS n_gold FROM p FULL JOIN g ON p.user_id = g.user_id AND p.k = g.k GROUP BY 1)
+@query(f"""WITH e AS (SELECT user_id AS u, event_id AS i, event_id % 2 AS gold, CASE WHEN event_type IN ('view', 'click') THEN 'reagent_bucket' ELSE event_type END AS b, CASE WHEN event_id % 3 > 0 THEN event_id % 11 END AS s, json_extract_string(props, '$.k') AS t FROM events),
+d AS (SELECT u, gold, b, s, t, min(i) AS i FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY u, gold, b, s ORDER BY i) AS n FROM d WHERE s IS NOT NULL), f AS (SELECT p.u, p.i AS pi, g.i AS gi FROM r p JOIN r g ON p.u = g.u AND p.b = g.b AND p.s = g.s AND p.n = g.n AND p.gold = 0 AND g.gold = 1),
+l AS (SELECT * FROM d WHERE NOT (gold = 0 AND i IN (SELECT pi FROM f)) AND NOT (gold = 1 AND i IN (SELECT gi FROM f))), z AS (SELECT u, b, t, least(count(*) FILTER (gold = 0), count(*) FILTER (gold = 1)) AS m FROM l GROUP BY ALL),
+c AS (SELECT u, count(*) FILTER (gold = 0) AS n_pred, count(*) FILTER (gold = 1) AS n_gold FROM d GROUP BY 1), a AS (SELECT u, sum(m) AS m FROM (SELECT u, m FROM z UNION ALL SELECT u, count(*) FROM f GROUP BY 1) GROUP BY 1), s AS (SELECT u AS user_id, CAST(m AS BIGINT) AS matched, n_pred, n_gold FROM c JOIN a USING (u))
 SELECT user_id, matched, n_pred, n_gold, {PRF} FROM s""")
 def lenient_coverage(t: Tables) -> DataFrame:
-    p, g = (df.withColumn("bucket", reshape.bucket_role("role")) for df in conditions(t))
+    """Two types share a bucket; two of three conditions have a structure, by which they match first."""
+    def side(df: DataFrame) -> DataFrame:
+        kind = F.when(F.col("role") == "view", "Catalyst").when(F.col("role") == "click", "base").otherwise(F.col("role"))
+        return df.withColumns({"bucket": reshape.bucket_role(kind), "smiles": F.when(F.col("idx") % 3 > 0, (F.col("idx") % 11).cast("string")).otherwise("")})
+
+    p, g = map(side, conditions(t))
     return counted(metrics.lenient_coverage(p, g, ["user_id"]), "user_id")
 
 
@@ -155,14 +162,15 @@ def group_report(t: Tables) -> DataFrame:
     return rollup.group_report(marks(t), rollup.group_labels(held, dev, F.col("lang")), ["quality", "toxic"])
 
 
-@query(LABELS + """r AS (SELECT lang, v, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM d), n AS (SELECT lang, count(*) AS n, avg(v) AS mean FROM r GROUP BY 1),
-k AS (SELECT lang, b, (((((b * 1000003 + k * 7919 + 42) % 2147483647) * ((b * 1000003 + k * 7919 + 42) % 2147483647)) % 2147483647) * 48271 % 2147483647) % n AS i
-  FROM n, range(200) AS x(b), range(100000) AS y(k) WHERE k < n AND n > 1),
-m AS (SELECT k.lang, b, avg(v) AS m FROM k JOIN r ON k.lang = r.lang AND k.i = r.i GROUP BY ALL),
+DRAWS = " + ".join(f"(u >= {limit})::INT" for limit in rollup.POISSON)
+
+
+@query(LABELS + f"""n AS (SELECT lang, count(*) AS n, avg(v) AS mean FROM d GROUP BY 1), x AS (SELECT lang, v, b, (b * 1000003 + doc_id % 2147483647 * 7919 % 2147483647 + 42) % 2147483647 AS x FROM d, range(10000) AS y(b)),
+w AS (SELECT lang, v, b, (x * x) % 2147483647 * 48271 % 2147483647 AS u FROM x), m AS (SELECT lang, b, sum(({DRAWS}) * v) / sum({DRAWS}) AS m FROM w GROUP BY ALL HAVING sum({DRAWS}) > 0),
 q AS (SELECT lang, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1)
-SELECT lang, n, round(mean, 4) AS mean, round(low, 4) AS low, round(high, 4) AS high FROM n LEFT JOIN q USING (lang)""")
+SELECT lang, n, round(mean, 4) AS mean, CASE WHEN n > 1 THEN round(low, 4) END AS low, CASE WHEN n > 1 THEN round(high, 4) END AS high FROM n LEFT JOIN q USING (lang)""")
 def bootstrap_ci(t: Tables) -> DataFrame:
-    return rollup.bootstrap(marks(t), ["lang"], "quality", "doc_id", resamples=200)
+    return rollup.bootstrap(marks(t), ["lang"], "quality", "doc_id")
 
 
 @query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY source, doc_id) AS n FROM documents WHERE text <> '')

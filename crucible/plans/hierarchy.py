@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions import classes
 from crucible.operators import boxes, hazards, splits, tiers
 from crucible.plans.registry import Tables, big, query, rounded
+from crucible.scratch import scratch_path
 from crucible.streaming import streams
 
 # --- tiers
@@ -78,9 +79,9 @@ def predicted(t: Tables) -> DataFrame:
 
 
 @query(PAIRED + """m AS (SELECT o_orderkey, CASE WHEN predicted IS NULL THEN 'unmatched' WHEN predicted = truth THEN 'exact' WHEN starts_with(truth, predicted || '.') THEN 'ancestor' WHEN starts_with(predicted, truth || '.') THEN 'descendant' ELSE 'mismatch' END AS match_type FROM p)
-SELECT match_type, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM m GROUP BY 1""")
+SELECT o_orderkey, match_type FROM m""")
 def match_type(t: Tables) -> DataFrame:
-    return tiers.match_type(predicted(t), "predicted", "truth").groupBy("match_type").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    return tiers.match_type(predicted(t), "predicted", "truth").select("o_orderkey", "match_type")
 
 
 @query(PAIRED + """f AS (SELECT truth, predicted, count(*) AS weight FROM p WHERE predicted <> truth AND NOT starts_with(truth, predicted || '.') AND NOT starts_with(predicted, truth || '.') GROUP BY ALL),
@@ -135,9 +136,9 @@ def splits_per_class(t: Tables) -> DataFrame:
     return splits.per_class(t.customer, "c_custkey", "c_nationkey").select("c_custkey", "test")
 
 
-@query()
+@query(f"WITH g AS (SELECT c_nationkey, row_number() OVER (ORDER BY {hashed('k')}, k) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT c_nationkey, CAST(c_nationkey AS BIGINT) AS k FROM customer)) SELECT c_custkey, c_nationkey, r <= greatest(1, floor(n * 0.2)) AS test FROM customer JOIN g USING (c_nationkey)")
 def splits_cold(t: Tables) -> DataFrame:
-    """Whole nations held out, by a hash that SQL lacks."""
+    """Whole nations held out."""
     return splits.cold(t.customer, "c_nationkey").select("c_custkey", "c_nationkey", "test")
 
 
@@ -216,14 +217,20 @@ def dedupe_boxes(t: Tables) -> DataFrame:
     return boxes.dedupe_boxes(line_boxes(t), 0.3).select("image", "idx")
 
 
-@query()
+@query(BOXES + """g AS (SELECT * FROM b WHERE f <> 'N'), p AS (SELECT * FROM b WHERE f <> 'A'), c AS (SELECT image, ai, ci, i / (s + r - i) AS iou FROM (SELECT * FROM o WHERE af <> 'A' AND cf <> 'N')),
+m AS (SELECT image, ai, CASE WHEN iou >= 0.5 THEN ci ELSE -1 END AS t FROM (SELECT *, row_number() OVER (PARTITION BY image, ai ORDER BY iou DESC, ci) AS n FROM c) WHERE n = 1),
+pk AS (SELECT p.image, list_sort(list(coalesce(t, -1))) AS k, bool_and(coalesce(t, -1) >= 0) AS ok, count(*) AS size FROM p LEFT JOIN m ON p.image = m.image AND p.idx = m.ai GROUP BY 1), gk AS (SELECT image, list_sort(list(idx)) AS k, count(*) AS size FROM g GROUP BY 1),
+r AS (SELECT gk.size, CAST(gk.image % 3 AS VARCHAR) AS kind, CASE WHEN ok AND pk.k = gk.k THEN 1 ELSE 0 END AS g, 1 AS ng, 0 AS p, 0 AS np FROM gk LEFT JOIN pk USING (image) UNION ALL SELECT pk.size, CAST(pk.image % 3 AS VARCHAR), 0, 0, CASE WHEN ok AND pk.k = gk.k THEN 1 ELSE 0 END, 1 FROM pk LEFT JOIN gk USING (image)),
+s AS (SELECT CAST(size AS BIGINT) AS size, kind, CAST(sum(g) AS BIGINT) AS gold_hits, CAST(sum(ng) AS BIGINT) AS n_gold, CAST(sum(p) AS BIGINT) AS pred_hits, CAST(sum(np) AS BIGINT) AS n_pred FROM r GROUP BY GROUPING SETS ((), (size), (kind))), v AS (SELECT *, pred_hits / greatest(n_pred, 1) AS a, gold_hits / greatest(n_gold, 1) AS c FROM s)
+SELECT size, kind, gold_hits, n_gold, pred_hits, n_pred, round(a, 6) AS precision, round(c, 6) AS recall, round(CASE WHEN a + c = 0 THEN 0 ELSE 2 * a * c / (a + c) END, 6) AS f1 FROM v""")
 def box_reaction_match(t: Tables) -> DataFrame:
-    """Box-based reaction hits of orders; the matching is tested on fixtures."""
+    """Orders as single reactions over their boxes; predicted boxes leave one flag out, gold boxes another."""
     b = line_boxes(t)
     as_reaction = lambda df: df.groupBy("image").agg(F.collect_list("idx").alias("reactants")).withColumns({"idx": F.lit(0), "conditions": F.array().cast("array<long>"), "products": F.array().cast("array<long>")})
     gold, pred = boxes.box_reaction_match(as_reaction(b.where("l_returnflag <> 'N'")), as_reaction(b.where("l_returnflag <> 'A'")), b.where("l_returnflag <> 'N'"), b.where("l_returnflag <> 'A'"))
     sized = lambda df: df.withColumns({"size": F.size("reactants"), "kind": (F.col("image") % 3).cast("string")})
-    return boxes.box_scores(sized(gold), sized(pred))
+    out = boxes.box_scores(sized(gold), sized(pred))
+    return rounded(out, "precision", "recall", "f1").select(F.col("size").cast("long").alias("size"), "kind", *big("gold_hits", "n_gold", "pred_hits", "n_pred"), "precision", "recall", "f1")
 
 
 # --- trends and cross-tabs
@@ -253,7 +260,9 @@ def source_counts(t: Tables) -> DataFrame:
 
 
 def event_stream(t: Tables) -> DataFrame:
-    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet" if _is_dir(t) else f"{t.sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    read = t.spark.readStream.schema(t.events.schema)
+    found = read.parquet(f"{t.sf_dir}/events.parquet") if _is_dir(t) else read.option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    return found.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _is_dir(t: Tables) -> bool:
@@ -262,27 +271,73 @@ def _is_dir(t: Tables) -> bool:
 
 
 def through(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = scratch_path(t.spark, "stream")
     return streams.to_table(stream, f"{path}/out", f"{path}/checkpoint", mode)
 
 
-@query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def clock(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+@query("SELECT user_id AS run, count(*) AS figures, CAST(sum(event_id % 1000) AS BIGINT) AS input_tokens, CAST(sum(event_id % 77) AS BIGINT) AS output_tokens, CAST(floor(avg(event_id % 1000)) AS BIGINT) AS mean_input FROM events GROUP BY 1")
 def stream_running_totals(t: Tables) -> DataFrame:
-    out = event_stream(t).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return rounded(through(t, out, "complete"), "total", digits=2)
+    sidecars = event_stream(t).select(F.col("user_id").alias("run"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("event_id") % 77).alias("output_tokens"), F.col("value").alias("elapsed_s"))
+    return through(t, streams.running_costs(sidecars), "complete").select("run", *big("figures", "input_tokens", "output_tokens", "mean_input"))
+
+
+def window_sql(starts: str) -> str:
+    return f"SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS \"end\", event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT event_type, value, unnest({starts}) AS s FROM events) GROUP BY ALL"
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query(window_sql("[date_trunc('hour', ts)]"))
 def stream_windows(t: Tables) -> DataFrame:
-    """Hourly windows per type, summed again: what the windows hold is what the table holds."""
-    out = streams.windowed_counts(event_stream(t), "ts", ["event_type"], "1 hour")
-    return through(t, out, "complete").groupBy("event_type").agg(F.sum("n").alias("n"))
+    out = streams.windowed_counts(event_stream(t), "ts", ["event_type"], "1 hour", value="value")
+    return rounded(through(t, out, "complete"), "total", digits=2).select(clock("start"), clock("end"), "event_type", "n", "total")
+
+
+@query(window_sql("[date_trunc('hour', ts - INTERVAL 30 MINUTE) + INTERVAL 30 MINUTE, date_trunc('hour', ts)]"))
+def stream_sliding_windows(t: Tables) -> DataFrame:
+    out = streams.windowed_counts(event_stream(t), "ts", ["event_type"], "1 hour", slide="30 minutes", value="value")
+    return rounded(through(t, out, "complete"), "total", digits=2).select(clock("start"), clock("end"), "event_type", "n", "total")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 5 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(t: Tables) -> DataFrame:
+    out = streams.session_counts(event_stream(t), "ts", ["user_id"], "5 hours")
+    return through(t, out, "complete").select("user_id", clock("start"), clock("end"), "n")
 
 
-@query("SELECT DISTINCT user_id FROM events")
+@query("""WITH f AS (SELECT user_id, arg_min(event_id, ts) AS a, arg_max(event_id, ts) AS z FROM events GROUP BY 1) SELECT user_id, CASE WHEN user_id % 2 = 0 THEN a ELSE z END AS event_id FROM f""")
 def stream_first_wins(t: Tables) -> DataFrame:
-    return through(t, streams.first_wins(event_stream(t), "user_id", "ts", "10000 days").select("user_id"), "append")
+    """The first events of even users arrive, then the last ones of all: of two of a user the earlier stays."""
+    ends = t.events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id").agg(F.min_by("event_id", "ts").alias("a"), F.min("ts").alias("ta"), F.max_by("event_id", "ts").alias("z"), F.max("ts").alias("tz"))
+    path = scratch_path(t.spark, "arrivals")
+    ends.where("user_id % 2 = 0").select("user_id", F.col("a").alias("event_id"), F.col("ta").alias("ts")).coalesce(1).write.parquet(path)
+    late = ends.select("user_id", F.col("z").alias("event_id"), F.col("tz").alias("ts"))
+    late.coalesce(1).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(late.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return through(t, streams.first_wins(stream, "user_id", "ts", "10000 days").select("user_id", "event_id"), "append")
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_write_once(t: Tables) -> DataFrame:
+    """The same events through two queries onto one table: the second changes nothing."""
+    path = scratch_path(t.spark, "once")
+    for k in range(2):
+        streams.write_once(event_stream(t).select("event_id", "event_type"), f"{path}/out", "event_type", f"{path}/checkpoint-{k}").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out").select("event_id", "event_type")
+
+
+@query("""WITH r AS (SELECT event_id % 97 AS run, count(*) AS n FROM events GROUP BY 1) SELECT CAST(run AS VARCHAR) AS run, 'steps' AS alert, n AS steps FROM r WHERE n > 8""")
+def stream_stuck_runs(t: Tables) -> DataFrame:
+    """Runs of too many steps; those of few events are done with each of them."""
+    rows = event_stream(t).select((F.col("event_id") % 97).alias("run"), "ts", F.lit("done").alias("kind"))
+    return through(t, streams.stuck_runs(rows, "run", "ts", "kind", steps=8), "append")
+
+
+@query("SELECT event_id, event_type AS model, CASE event_type WHEN 'view' THEN 1.5 WHEN 'click' THEN 2.0 END AS input_per_m FROM events")
+def stream_with_prices(t: Tables) -> DataFrame:
+    prices = t.spark.createDataFrame([("view", 1.5, 3.0), ("click", 2.0, 4.0)], "model string, input_per_m double, output_per_m double")
+    runs = event_stream(t).select("event_id", F.col("event_type").alias("model"))
+    return through(t, streams.with_prices(runs, prices).select("event_id", "model", "input_per_m"), "append")

@@ -87,9 +87,9 @@ def map_names(t: Tables) -> DataFrame:
     return reshape.map_names(t.part, mapping, "p_type").select("p_partkey", "p_type")
 
 
-@query("""SELECT conv_id, substr(string_agg('[Page ' || turn || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn), 1, 200) AS text FROM conversations WHERE trim(text) <> '' GROUP BY 1""")
+@query("""SELECT conv_id, substr(string_agg('[Page ' || turn || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn), 1, 80000) AS text FROM conversations WHERE trim(text) <> '' GROUP BY 1""")
 def manuscript_text(t: Tables) -> DataFrame:
-    return reshape.manuscript_text(t.conversations.select("conv_id", F.col("turn").alias("page"), "text"), "conv_id", most=200)
+    return reshape.manuscript_text(t.conversations.select("conv_id", F.col("turn").alias("page"), "text"), "conv_id")
 
 
 @query("SELECT l_orderkey, word FROM (SELECT l_orderkey, unnest(string_split(l_returnflag || '.' || l_linestatus, '.')) AS word FROM lineitem) WHERE word <> ''")

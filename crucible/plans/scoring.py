@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from crucible.functions import molecules, similarity, text
 from crucible.operators import assign, boxes, enrich, graph, hazards, lookups, metrics, ranking, reactiondb, reshape, rollup, tiers
 from crucible.plans.analytics import db
-from crucible.plans.evaluation import PRF, counted
-from crucible.plans.hierarchy import BOXES, CODED, coded, line_boxes
+from crucible.plans.evaluation import PRF, counted, figures
+from crucible.plans.hierarchy import CODED, coded
 from crucible.plans.records import species
 from crucible.plans.registry import Tables, big, query, rounded
 
@@ -126,22 +126,6 @@ def similarity_alignment(t: Tables) -> DataFrame:
 
 # --- detection
 
-TWO_SIDES = BOXES + "g AS (SELECT * FROM b WHERE f <> 'N'), p AS (SELECT * FROM b WHERE f <> 'A'), "
-
-
-@query(TWO_SIDES + """c AS (SELECT image, ai, ci, i / (s + r - i) AS iou FROM (SELECT * FROM o WHERE af <> 'A' AND cf <> 'N')), m AS (SELECT image, ai, CASE WHEN iou >= 0.5 THEN ci ELSE -1 END AS t FROM (SELECT *, row_number() OVER (PARTITION BY image, ai ORDER BY iou DESC, ci) AS n FROM c) WHERE n = 1),
-pk AS (SELECT p.image, list_sort(list(coalesce(t, -1))) AS k, bool_and(coalesce(t, -1) >= 0) AS ok, count(*) AS size FROM p LEFT JOIN m ON p.image = m.image AND p.idx = m.ai GROUP BY 1), gk AS (SELECT image, list_sort(list(idx)) AS k, count(*) AS size FROM g GROUP BY 1),
-r AS (SELECT gk.size, CAST(gk.image % 3 AS VARCHAR) AS kind, CASE WHEN ok AND pk.k = gk.k THEN 1 ELSE 0 END AS g, 1 AS ng, 0 AS p, 0 AS np FROM gk LEFT JOIN pk USING (image) UNION ALL SELECT pk.size, CAST(pk.image % 3 AS VARCHAR), 0, 0, CASE WHEN ok AND pk.k = gk.k THEN 1 ELSE 0 END, 1 FROM pk LEFT JOIN gk USING (image))
-SELECT CAST(size AS BIGINT) AS size, kind, CAST(sum(g) AS BIGINT) AS gold_hits, CAST(sum(ng) AS BIGINT) AS n_gold, CAST(sum(p) AS BIGINT) AS pred_hits, CAST(sum(np) AS BIGINT) AS n_pred FROM r GROUP BY GROUPING SETS ((), (size), (kind))""")
-def box_reaction_hits(t: Tables) -> DataFrame:
-    """Orders as single reactions over their boxes; predicted boxes leave one flag out, gold boxes another."""
-    b = line_boxes(t)
-    as_reaction = lambda df: df.groupBy("image").agg(F.collect_list("idx").alias("reactants")).withColumns({"idx": F.lit(0), "conditions": F.array().cast("array<long>"), "products": F.array().cast("array<long>")})
-    gold, pred = boxes.box_reaction_match(as_reaction(b.where("l_returnflag <> 'N'")), as_reaction(b.where("l_returnflag <> 'A'")), b.where("l_returnflag <> 'N'"), b.where("l_returnflag <> 'A'"))
-    sized = lambda df: df.withColumns({"size": F.size("reactants"), "kind": (S("image") % 3).cast("string")})
-    return boxes.box_scores(sized(gold), sized(pred)).select(S("size").cast("long").alias("size"), "kind", *big("gold_hits", "n_gold", "pred_hits", "n_pred"))
-
-
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS image, l_linenumber AS i, l_linenumber % 3 + 1 AS c FROM lineitem), m AS (SELECT image, i AS molecule FROM l WHERE c = 1), b AS (SELECT image, i AS label FROM l WHERE c = 3),
 g AS (SELECT image, molecule, label FROM m JOIN b USING (image)), x AS (SELECT g.*, (SELECT count(*) FROM l WHERE l.image = g.image AND c <> 3 AND i > molecule AND i < label) AS n FROM g), h AS (SELECT image, count(*) AS hits FROM x WHERE n = 0 AND label > molecule AND (molecule + label) % 2 = 1 GROUP BY 1)
 SELECT image, coalesce(hits, 0) AS hits, count(*) AS n_gold, count(*) FILTER ((molecule + label) % 2 = 1) AS n_pred FROM g LEFT JOIN h USING (image) GROUP BY ALL""")
@@ -471,3 +455,18 @@ def optimal_assignment(t: Tables) -> DataFrame:
     """Two lines of an order on two suppliers: the better of the two ways."""
     pairs = t.lineitem.where("l_linenumber <= 2 AND l_suppkey % 3 < 2").groupBy(S("l_orderkey").alias("figure"), S("l_linenumber").alias("a"), (S("l_suppkey") % 3).alias("b")).agg(F.max("l_quantity").alias("s"))
     return assign.assign(pairs, ["figure"], "a", "b", "s").groupBy("figure").agg(F.sum("score").alias("total"))
+
+
+@query("""WITH l AS (SELECT DISTINCT o_custkey AS f, l_orderkey AS i, l_suppkey AS m, l_returnflag AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('R', 'A')), k AS (SELECT *, dense_rank() OVER (PARTITION BY f, g ORDER BY i) AS r FROM l), x AS (SELECT * FROM k WHERE r <= 2),
+n AS (SELECT f, g, r, count(*) AS n FROM x GROUP BY ALL), s AS (SELECT p.f, p.r AS a, q.r AS b, count(*) AS c FROM x p JOIN x q ON p.f = q.f AND p.m = q.m AND p.g = 'R' AND q.g = 'A' GROUP BY ALL),
+j AS (SELECT s.f, s.a, s.b, c / (u.n + v.n - c) AS j FROM s JOIN n u ON u.f = s.f AND u.g = 'R' AND u.r = s.a JOIN n v ON v.f = s.f AND v.g = 'A' AND v.r = s.b),
+w AS (SELECT f, coalesce(sum(j) FILTER (a = b), 0) AS x, coalesce(sum(j) FILTER (a <> b), 0) AS y FROM j GROUP BY 1), z AS (SELECT f, count(*) FILTER (g = 'R') AS n_pred, count(*) FILTER (g = 'A') AS n_gold FROM n GROUP BY 1)
+SELECT f AS figure, n_pred, n_gold, round(CASE WHEN least(n_pred, n_gold) = 0 THEN 0 ELSE coalesce(greatest(x, y), 0) / least(n_pred, n_gold) END, 6) AS mean_jaccard FROM z LEFT JOIN w USING (f)""")
+def partial_match_small(t: Tables) -> DataFrame:
+    """The first two reactions of each side of a customer, where SQL can try both ways."""
+    def two(flag: str) -> DataFrame:
+        own = Window.partitionBy("figure").orderBy("idx")
+        rows = figures(t, flag).withColumn("_r", F.row_number().over(own)).where("_r <= 2").drop("_r")
+        return rows.withColumnRenamed("molecules", "reactants").withColumn("products", F.array().cast("array<string>"))
+
+    return rounded(metrics.partial_match(two("R"), two("A"), ["figure"], stereo=True), "mean_jaccard").select("figure", *big("n_pred", "n_gold"), "mean_jaccard")

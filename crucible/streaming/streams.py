@@ -93,10 +93,14 @@ def run_now(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """All that is there now, through the stream, as Parquet at ``path``; complete mode keeps the last batch only."""
-    def put(batch: DataFrame, _: int) -> None:
-        (finish(batch) if finish else batch).write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    """All that is there now, through the stream, as Parquet at ``path``; complete mode keeps the last batch only.
+
+    Each batch has a folder of its own and replaces it, so a batch that is tried again is not written twice.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        out = finish(batch) if finish else batch
+        out.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
     query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+    return stream.sparkSession.read.parquet(path).drop("batch")
