@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crucible.operators.graph import components  # noqa: F401
 from crucible.scratch import scratch_path, written  # noqa: F401  the operators take them from here
 
 #: A word is a maximal run of bytes other than these six; the same pattern as a regular expression for SQL.
@@ -205,34 +206,6 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """Connected components of links (a, b) as rows (node, component), component the smallest node reachable; nodes without links are absent.
-
-    Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond"), each written to the shared folder.
-    Hub nodes don't gather in one task: minima are partial aggregates, and the joins are plain equi-joins that adaptive execution splits.
-    """
-    edge = lambda a, b: [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
-    now = written(links.where(F.col("a") != F.col("b")).select(*edge("a", "b")).distinct(), "links")
-    seen = None
-    for _ in range(most_rounds):
-        if now.isEmpty():
-            break
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        star = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        now = written(star, "large-star")
-        low = written(now.groupBy("a").agg(F.min("b").alias("m")), "least")
-        star = now.join(low, "a").where(F.col("b") != F.col("m")).select(*edge("b", "m")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        now = written(star, "small-star")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
 def byte_slices(batch: pa.RecordBatch, text: str = "_text", most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) in pieces of about ``most`` bytes; a longer text is a piece of its own, whole."""
     data, offsets = text_bytes(batch.column(text))

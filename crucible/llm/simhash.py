@@ -174,15 +174,17 @@ def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: i
         hot = shared.value
         for batch in batches:
             for part, data, offsets in byte_slices(batch):
-                classes, sizes, marks, keys = [], [], [], []
+                classes, sizes, marks, keys, rare = [], [], [], [], []
                 for items in shingle_sets(data, offsets, shingle):
                     n = len(items)
                     first = n - -(-num * n // den) + 1 if n else 0
                     if n and len(hot):
                         last = hot[np.minimum(np.searchsorted(hot, items), len(hot) - 1)] == items
                         head = np.concatenate([items[~last][:first], items[last][:first]])[:first]
+                        rare.append(min(first, n - int(last.sum())))
                     else:
                         head = items[:first]
+                        rare.append(first)
                     classes.append(set_class(items))
                     sizes.append(n)
                     marks.append(set_mark(items))
@@ -190,17 +192,14 @@ def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: i
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                    ["_id", "cls", "size", "fp", "parity", "keys"],
+                    [part.column("_id"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(rare, pa.int32())],
+                    ["_id", "cls", "size", "fp", "parity", "keys", "rare"],
                 )
 
-    marks = written(rows.mapInArrow(scan, "_id long, cls long, size int, fp long, parity binary, keys array<long>"), "set-marks")
-    copies = marks.groupBy("cls").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    kinds = written(copies, "set-classes")
-    # one row a class: where a class has copies, that of a least id (any of them, as equal sets have equal marks)
-    lone = marks.join(kinds.where("n = 1").select("cls"), "cls", "left_semi").select("cls", "size", "fp", "parity", "keys")
-    many = marks.join(kinds.where("n > 1").select("cls"), "cls", "left_semi").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("size", "fp", "parity", "keys")])
-    classes = written(lone.unionByName(many).join(kinds.select("cls", "least"), "cls"), "class-marks")
+    marks = written(rows.mapInArrow(scan, "_id long, cls long, size int, fp long, parity binary, keys array<long>, rare int"), "set-marks")
+    kinds = written(marks.groupBy("cls").agg(F.min("_id").alias("least")), "set-classes")
+    leading = marks.join(kinds.withColumnRenamed("cls", "_c"), (F.col("cls") == F.col("_c")) & F.col("_id").eqNullSafe(F.col("least")))  # a row a class, or more where ids repeat
+    classes = written(leading.select("cls", "least", "size", "fp", "parity").dropDuplicates(["cls"]), "class-marks")
 
     def fits(n, m, i, j):
         """Whether sets of n and m items whose first common item has places i and j can share enough."""
@@ -236,7 +235,7 @@ def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: i
         maybe = found.distinct().join(light("a"), "a").join(light("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(weigh, "a long, b long")
         maybe = written(maybe, "set-pairs")
         nodes = written(maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct(), "set-nodes")
-        wanted = nodes.join(classes, "cls").select(F.col("least").alias("_want")).distinct()
+        wanted = nodes.join(kinds, "cls").select(F.col("least").alias("_want")).distinct()
         texts = rows.join(wanted, rows._id.eqNullSafe(wanted._want), "left_semi").select("_text")
         items = written(texts.mapInArrow(sets, "cls long, items binary").join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
         full = maybe.join(items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
@@ -250,10 +249,25 @@ def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: i
     links = verified(ends.union(equal))
     known = written(components(links), "near-components")
 
-    # by rare shingles: the rows of keys that two components have
-    every = classes.select("cls", "size", F.posexplode("keys").alias("at", "key")).join(known.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "size", "at", F.coalesce("component", "cls").alias("component"))
-    leads = every.groupBy("key").agg(F.min(F.struct("cls", "size", "at", "component")).alias("lead"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key", "lead")
-    heads = written(every.join(written(leads, "leads"), "key"), "prefix-rows")
+    # by rare shingles: the rows of those that two classes have. Shingles that are not frequent have few rows each, and meet in one shuffle
+    every = leading.select("cls", "size", "rare", F.posexplode("keys").alias("at", "key"))
+    plain = every.where(F.col("at") < F.col("rare")).select("key", "cls", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("at")).alias("spot"))
+
+    def repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, "key"):
+            key, cls, spot = (part.column(c).combine_chunks().to_numpy() for c in ("key", "cls", "spot"))
+            same = key[1:] == key[:-1]
+            again = np.r_[False, same & (cls[1:] == cls[:-1])]
+            key, cls, spot = key[~again], cls[~again], spot[~again]
+            same = key[1:] == key[:-1]
+            good = np.r_[False, same] | np.r_[same, False] if len(key) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(key[good]), pa.array(cls[good]), pa.array((spot[good] >> 32).astype(np.int32)), pa.array((spot[good] & 0xFFFFFFFF).astype(np.int32))], ["key", "cls", "size", "at"])
+
+    met = plain.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(repeated, "key long, cls long, size int, at int")
+    shared_keys = written(met.union(every.where(F.col("at") >= F.col("rare")).select("key", "cls", "size", "at").distinct()), "shared-keys")
+    rows_of = shared_keys.join(known.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "size", "at", F.coalesce("component", "cls").alias("component"))
+    leads = rows_of.groupBy("key").agg(F.min(F.struct("cls", "size", "at", "component")).alias("lead"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key", "lead")
+    heads = written(rows_of.join(written(leads, "leads"), "key"), "prefix-rows")
     star = heads.where((F.col("component") != F.col("lead.component")) & fits(F.col("size"), F.col("lead.size"), F.col("at"), F.col("lead.at")))
     links = written(links.union(verified(star.select(F.least("lead.cls", "cls").alias("a"), F.greatest("lead.cls", "cls").alias("b")))), "links-so-far")
     known = written(components(links), "star-components")
