@@ -66,20 +66,37 @@ def segments(h: np.ndarray, first: np.ndarray, window: int, gram: int, most: int
 # --- the index -----------------------------------------------------------------------------------------------------
 
 
+class Bits:
+    """A bit vector with counts on two levels, 1.31 bits a bit: one number for each 512 bits, a small one for each 64."""
+
+    def __init__(self, bit: np.ndarray):
+        packed = np.packbits(bit.astype(np.uint8), bitorder="little")
+        self.words = np.zeros((len(bit) // 512 + 1) * 8, dtype=np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        each = np.bitwise_count(self.words).reshape(-1, 8).astype(np.int64)
+        self.big = np.r_[0, np.cumsum(each.sum(axis=1))[:-1]].astype(np.uint32)
+        self.small = (np.cumsum(each, axis=1) - each).astype(np.uint16).ravel()
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand before each place."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.big[at >> 9].astype(np.int64) + self.small[word] + np.bitwise_count(self.words[word] & mask)
+
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.big.nbytes + self.small.nbytes
+
+
 class WaveletTree:
-    """Rank over a sequence of small integers: a bit vector for each level, with a running count for each 64 bits."""
+    """Rank over a sequence of small integers: a bit vector for each level, as many levels as the alphabet needs."""
 
     def __init__(self, values: np.ndarray, symbols: int):
         self.levels = max(1, int(symbols - 1).bit_length())
-        self.bits, self.counts, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         now = values.astype(np.int64)
         for level in range(self.levels - 1, -1, -1):
             bit = (now >> level) & 1
-            packed = np.packbits(bit.astype(np.uint8), bitorder="little")
-            words = np.zeros(len(bit) // 64 + 1, dtype=np.uint64)
-            words.view(np.uint8)[: len(packed)] = packed
-            self.bits.append(words)
-            self.counts.append(np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+            self.bits.append(Bits(bit))
             self.zeros.append(int((bit == 0).sum()))
             now = np.concatenate([now[bit == 0], now[bit == 1]])
 
@@ -88,48 +105,50 @@ class WaveletTree:
         low, high = np.zeros(len(at), dtype=np.int64), at
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
             one = (symbol >> level) & 1 == 1
-            low, high = (np.where(one, self.zeros[k] + self._ones(k, x), x - self._ones(k, x)) for x in (low, high))
+            low, high = (np.where(one, self.zeros[k] + self.bits[k].rank(x), x - self.bits[k].rank(x)) for x in (low, high))
         return high - low
 
-    def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
-        word = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.counts[k][word] + np.bitwise_count(self.bits[k][word] & mask)
-
 
 class FMIndex:
-    """Backward search over symbols 1..; 0 ends each segment. Suffixes are sorted by their first ``depth`` symbols, enough for patterns up to it."""
+    """Backward search over symbols 1..; 0 ends each segment. Suffixes are sorted by their first ``threshold`` + 1 symbols, enough for patterns up to it.
+
+    What stays after building: the wavelet tree of the transform, where each symbol begins, the stretches of suffixes with equal first
+    ``threshold`` symbols as a bit vector and their first places, and each stretch's least ``position``. The suffixes themselves go.
+    """
 
-    def __init__(self, text: np.ndarray, threshold: int):
+    def __init__(self, text: np.ndarray, threshold: int, position: np.ndarray):
         n, depth = len(text), threshold + 1
         rank, width = text.astype(np.int64), 1
         while True:
             nxt = np.zeros(n, dtype=np.int64)
             nxt[: n - width] = rank[width:] + 1
             key = rank * (nxt.max() + 1) + nxt if width < n else rank
-            self.suffixes = np.argsort(key, kind="stable")
-            ordered = key[self.suffixes]
+            suffixes = np.argsort(key, kind="stable")
+            ordered = key[suffixes]
             fresh = np.r_[False, ordered[1:] != ordered[:-1]]
             rank = np.empty(n, dtype=np.int64)
-            rank[self.suffixes] = np.cumsum(fresh)
+            rank[suffixes] = np.cumsum(fresh)
             width *= 2
             if width >= depth or width >= n:
                 break
         self.threshold = threshold
         symbols = int(text.max()) + 1
-        self.tree = WaveletTree(text[self.suffixes - 1], symbols)
+        self.tree = WaveletTree(text[suffixes - 1], symbols)
         self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=symbols))]
-        # the stretch of suffixes with equal first `threshold` symbols around each suffix
         equal = np.ones(n, dtype=bool)
         for k in range(threshold):
             shifted = np.zeros(n, dtype=text.dtype)
             shifted[: n - k] = text[k:]
-            s = shifted[self.suffixes]
+            s = shifted[suffixes]
             equal[1:] &= s[1:] == s[:-1]
         equal[0] = False
+        self.opens = Bits(~equal)
         heads = np.flatnonzero(~equal)
-        self.heads = heads
-        self.stretch = np.cumsum(~equal) - 1
+        self.least = np.minimum.reduceat(position[suffixes], heads)
+        self.heads = np.r_[heads, n].astype(np.uint32 if n < 1 << 32 else np.int64)
+
+    def nbytes(self) -> int:
+        return sum(b.nbytes() for b in [*self.tree.bits, self.opens]) + self.before.nbytes + self.heads.nbytes + self.least.nbytes
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of suffixes that begin with a symbol and then what [low, high) begin with."""
@@ -151,9 +170,9 @@ class FMIndex:
             at, low, high = at[:n], low[:n], high[:n]
             low, high = self.extend(text[at], low, high)
             if step + 1 >= self.threshold:
-                s = self.stretch[low]
+                s = self.opens.rank(low + 1) - 1
                 found[at] = s
-                low, high = self.heads[s], np.r_[self.heads, len(self.stretch)][s + 1]
+                low, high = self.heads[s].astype(np.int64), self.heads[s + 1].astype(np.int64)
             at = at - 1
         return found
 
@@ -165,24 +184,24 @@ def earlier(words: np.ndarray, offsets: np.ndarray, order: np.ndarray, window: i
     text = np.zeros(len(words) + len(lengths), dtype=np.int64)
     place = np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)
     text[place] = symbol + 1
-    index = FMIndex(text, window)
     starts = offsets[:-1] + np.arange(len(lengths))
-    found = index.matches(starts, lengths, text)
     position = np.full(len(text), np.iinfo(np.int64).max)
     position[place] = np.repeat(order, lengths) + np.arange(len(words)) - np.repeat(offsets[:-1], lengths)
-    least = np.minimum.reduceat(position[index.suffixes], index.heads)
+    index = FMIndex(text, window, position)
+    found = index.matches(starts, lengths, text)
     at = np.flatnonzero(found >= 0)
     segment = np.searchsorted(starts, at, "right") - 1
-    return segment, at - starts[segment], least[found[at]] < position[at]
+    return segment, at - starts[segment], index.least[found[at]] < position[at]
 
 
 # --- the job -------------------------------------------------------------------------------------------------------
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 16_384, map_bits: int = 26) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 512, map_bits: int = 26) -> DataFrame:
     """Rows (_doc, _mark, spans) for ``docs`` (_doc, _mark, _text): spans are (first word, windows) of windows whose words also start earlier.
 
-    1. Anchors of all segments are counted over the whole table. A bit map of fixed size (2**map_bits bits) keeps those that occur twice.
+    1. Anchors of all segments are counted over the whole table. A bit map of fixed size (2**map_bits bits) keeps those that occur twice;
+       where they are more than a sixteenth of its bits, segments are joined with them instead, and so are texts with what is searched in them.
     2. Segments whose anchor it shows are classed by anchor and words: of equal segments all but the earliest repeat it as a whole.
     3. The earliest segments of classes that share an anchor, or hold it twice, go to a shard by anchor, with their words. Each shard builds
        an FM-index over its segments and streams them through it. An anchor with over ``block`` classes is dealt to several shards, and
@@ -206,14 +225,15 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, block: int
                 n = n + np.isin(a, anchor[twice])
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
-    twice = texts.select("_text").mapInArrow(anchors, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    shared = spark.sparkContext.broadcast(bit_map(twice.select(F.shiftright("anchor", 3).bitwiseAND(mask).alias("slot")), map_bits))
+    twice = texts.select("_text").mapInArrow(anchors, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    twice = written(twice, "repeated-anchors")
+    many = twice.count() > (1 << map_bits) // 16
+    shared = None if many else spark.sparkContext.broadcast(bit_map(twice.select(F.shiftright("anchor", 3).bitwiseAND(mask).alias("slot")), map_bits))
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared.value
         for batch in batches:
             for rows, h, first, (doc, start, count, anchor, twice) in parts(batch):
-                keep = on_map(seen, (anchor.view(np.int64) >> 3) & mask)
+                keep = on_map(shared.value, (anchor.view(np.int64) >> 3) & mask) if shared else np.arange(len(doc))
                 doc, start, count, anchor, twice = doc[keep], start[keep], count[keep], anchor[keep], twice[keep]
                 size = count + window - 1
                 ends = np.cumsum(size)
@@ -226,14 +246,17 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, block: int
                     ["_doc", "_mark", "start", "n", "anchor", "digest", "twice"],
                 )
 
-    found = written(texts.select("_doc", "_mark", "_text").mapInArrow(candidates, "_doc long, _mark long, start int, n int, anchor long, digest long, twice boolean"), "segments")
+    found = texts.select("_doc", "_mark", "_text").mapInArrow(candidates, "_doc long, _mark long, start int, n int, anchor long, digest long, twice boolean")
+    found = written(found.join(twice, "anchor", "left_semi") if many else found, "segments")
     place = F.struct("_doc", "_mark", "start")
-    classes = written(found.groupBy("anchor", "digest").agg(F.min(place).alias("first"), F.bool_or("twice").alias("twice"), F.count(F.lit(1)).alias("copies")), "segment-classes")
+    classes = written(found.groupBy("anchor", "digest").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.bool_or("twice").alias("twice"), F.count(F.lit(1)).alias("copies")), "segment-classes")
     sizes = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("in_all"), F.bool_or("twice").alias("any_twice")).where("in_all > 1 OR any_twice").select("anchor", "in_all"), "anchors")
-    slot = F.col("first._mark").bitwiseXOR(F.col("first._doc")).bitwiseXOR(F.shiftleft(F.col("first.start").cast("long"), 11)).bitwiseAND(mask)
-    searched = spark.sparkContext.broadcast(bit_map(classes.select("anchor", "first").join(sizes, "anchor").select(slot.alias("slot")), map_bits))
+    def pieces(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+        ends = np.cumsum(size)
+        words = h[np.repeat(at - (ends - size), size) + np.arange(int(size.sum()))]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.r_[0, ends * 8].astype(np.int64)), pa.py_buffer(words.tobytes())]).cast(pa.binary())
 
-    def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_map(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, asked = shared.value, searched.value
         for batch in batches:
             for rows, h, first, (doc, start, count, anchor, _) in parts(batch):
@@ -241,13 +264,30 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, block: int
                 keep = on_map(seen, (anchor.view(np.int64) >> 3) & mask)
                 keep = keep[on_map(asked, (marks[doc[keep]] ^ ids[doc[keep]] ^ (start[keep] << 11)) & mask)]
                 doc, start, count, anchor = doc[keep], start[keep], count[keep], anchor[keep]
-                size = count + window - 1
-                ends = np.cumsum(size)
-                words = h[np.repeat(first[doc] + start - (ends - size), size) + np.arange(int(size.sum()))]
-                content = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keep), [None, pa.py_buffer(np.r_[0, ends * 8].astype(np.int64)), pa.py_buffer(words.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(marks[doc]), pa.array(start.astype(np.int32)), pa.array(anchor.view(np.int64)), content], ["_doc", "_mark", "start", "anchor", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(marks[doc]), pa.array(start.astype(np.int32)), pa.array(anchor.view(np.int64)), pieces(h, first[doc] + start, count + window - 1)], ["_doc", "_mark", "start", "anchor", "words"])
 
-    rows = texts.select("_doc", "_mark", "_text").mapInArrow(contents, "_doc long, _mark long, start int, anchor long, words binary")
+    def by_join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in byte_slices(batch):
+                starts, ends, first = word_spans(data, offsets)
+                h = word_hashes(data, starts, ends)
+                lists = rows.column("asked")
+                n, each = np.diff(lists.offsets.to_numpy()), lists.flatten()
+                start, count = (each.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                doc = np.repeat(np.arange(rows.num_rows), n)
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([rows.column("_doc").take(take), rows.column("_mark").take(take), each.field(0), each.field(2), pieces(h, first[doc] + start, count + window - 1)], ["_doc", "_mark", "start", "anchor", "words"])
+
+    content = "_doc long, _mark long, start int, anchor long, words binary"
+    looked_up = classes.select("anchor", "first", "n").join(sizes.select("anchor"), "anchor")
+    if many:
+        asked = looked_up.groupBy("first._doc", "first._mark").agg(F.collect_list(F.struct("first.start", "n", "anchor")).alias("asked"))
+        once = texts.select("_doc", "_mark", "_text").dropDuplicates(["_doc", "_mark"])
+        rows = once.join(asked, ["_doc", "_mark"]).select("_doc", "_mark", "_text", "asked").mapInArrow(by_join, content)
+    else:
+        slot = F.col("first._mark").bitwiseXOR(F.col("first._doc")).bitwiseXOR(F.shiftleft(F.col("first.start").cast("long"), 11)).bitwiseAND(mask)
+        searched = spark.sparkContext.broadcast(bit_map(looked_up.select(slot.alias("slot")), map_bits))
+        rows = texts.select("_doc", "_mark", "_text").mapInArrow(by_map, content)
     hot = sizes.where(F.col("in_all") > block)
     if hot.isEmpty():
         dealt = rows.select("*", F.lit(False).alias("_split"), F.col("anchor").alias("_block"))
@@ -298,7 +338,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, block: int
     return written(copies.union(late).groupBy("_doc", "_mark").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "repeated-spans")
 
 
-def deduplicate(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 16_384, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 512, map_bits: int = 26, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, *keep, n_words, n_removed, kept_sha256, kept_text), one for each row of ``docs``.
 
     A word goes if a window of ``window`` words over it also starts earlier: in a smaller id, or earlier in the same document. Windows are
@@ -309,7 +349,7 @@ def deduplicate(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 1
     """
     mark = F.xxhash64(F.col(text_col).cast("string"))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"), mark.alias("_mark"), F.col(text_col).cast("string").alias("_text"))
-    spans = repeated_spans(base, window, gram, block)
+    spans = repeated_spans(base, window, gram, block, map_bits)
     others = [c for c in dict.fromkeys(keep) if c not in (id_col, text_col, "n_words", "n_removed", "kept_sha256", "kept_text")]
     rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in others], F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"), mark.alias("_mark"), F.col(text_col).cast("string").alias("_text"))
     joined = rows.join(spans.hint("shuffle_hash"), ["_doc", "_mark"], "left").drop("_doc", "_mark")

@@ -116,10 +116,10 @@ def kept_words(rows, window=20):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("block", [16_384, 2])
-def test_substrings(docs, nothing, block):
+@pytest.mark.parametrize(("block", "bits"), [(16_384, 26), (2, 26), (512, 10)])
+def test_substrings(docs, nothing, block, bits):
     rows, df = docs
-    got = substrings.deduplicate(df, block=block, keep=("source", "_text")).collect()
+    got = substrings.deduplicate(df, block=block, map_bits=bits, keep=("source", "_text")).collect()
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == kept_words(rows)
     assert sum(r.n_removed for r in got) > 500
     assert all(r.kept_text == next(t for i, t, *_ in rows if i == r.doc_id) for r in got if not r.n_removed)
@@ -141,6 +141,17 @@ def test_fm_index_against_counting():
         assert {(int(k), int(i)): bool(x) for k, i, x in zip(*got, strict=True)} == {(k, i): first[tuple(s[i : i + w])] < order[k] + i for k, s in enumerate(cut) for i in range(len(s) - w + 1)}
 
 
+def test_index_is_smaller_than_its_words():
+    rng = np.random.default_rng(1)
+    text = np.minimum(rng.zipf(1.3, 200_000), 4000)
+    text[::40] = 0
+    index = substrings.FMIndex(text, 20, np.arange(len(text)))
+    assert index.tree.levels * 1.4 / 8 + 14 > index.nbytes() / len(text)  # the tree, and 12 bytes for each stretch, here nearly one a symbol
+    at = rng.integers(0, len(text), 500)
+    bits = substrings.Bits(text % 3 == 0)
+    assert (bits.rank(at) == np.cumsum(np.r_[0, text % 3 == 0])[at]).all()
+
+
 # --- 4
 
 
