@@ -105,7 +105,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = 12, share: floa
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("_item").take(pa.array(item)), pa.array((at - first[item]).astype(np.int32)), batch.column("size").take(pa.array(item))], ["hash", "_item", "spot", "size"])
 
     seeded = written(item_rows.select("_item", "size", "words").mapInArrow(item_seeds, "hash long, _item long, spot int, size int"), "item-seeds")
-    bits = max(16, min(most_bits, seeded.count().bit_length() + 4))
+    bits = max(16, min(most_bits, seeded.count().bit_length() + 7))  # one in a hundred strangers passes
     sieve = bit_map(seeded.select(F.shiftrightunsigned("hash", 64 - bits).alias("slot")), bits)
     short = [r[0] for r in item_rows.where(F.col("size").between(1, SHORTEST - 1)).select("size").distinct().collect()]  # lengths, a few at most
     shared = spark.sparkContext.broadcast(sieve)

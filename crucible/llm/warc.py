@@ -99,8 +99,12 @@ def parsed(member: bytes) -> dict:
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder as Spark names it, and the path on it: ``s3a`` is ``s3`` here, ``dbfs`` is mounted."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), re.sub("^file:/*", "/", uri)
+    if uri.startswith("dbfs:"):
+        return fs.LocalFileSystem(), re.sub("^dbfs:/*", "/dbfs/", uri)
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
@@ -152,7 +156,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
 
 
 def write_index(manifest: DataFrame, lines: int = 300) -> tuple[DataFrame, DataFrame]:
-    """(blocks, directory): captures sorted by key in compressed blocks of ``lines`` lines, and each block's first key and place.
+    """(blocks, directory): captures sorted by key in compressed blocks of ``lines`` lines, and each block's first and last key and place.
 
     Ranges of keys are dealt to tasks, so the blocks of all tasks in order are one sorted list.
     """
@@ -166,7 +170,8 @@ def write_index(manifest: DataFrame, lines: int = 300) -> tuple[DataFrame, DataF
             nonlocal n
             n += 1
             packed = zlib.compress("\n".join(held).encode(), 6)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([held[0].split("\t", 1)[0]]), pa.array([packed], pa.binary())], ["block", "first_key", "packed"])
+            ends = [pa.array([line.split("\t", 1)[0]]) for line in (held[0], held[-1])]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), *ends, pa.array([packed], pa.binary())], ["block", "first_key", "last_key", "packed"])
 
         for batch in batches:
             for line in batch.column("line").to_pylist():
@@ -177,46 +182,47 @@ def write_index(manifest: DataFrame, lines: int = 300) -> tuple[DataFrame, DataF
         if held:
             yield block()
 
-    blocks = written(ordered.mapInArrow(cut, "block long, first_key string, packed binary"), "index-blocks")
-    return blocks, blocks.select("first_key", "block")
+    blocks = written(ordered.mapInArrow(cut, "block long, first_key string, last_key string, packed binary"), "index-blocks")
+    return blocks, blocks.select("first_key", "last_key", "block")
 
 
-def lookup(keys: DataFrame, blocks: DataFrame, directory: DataFrame, most: int = 200_000) -> DataFrame:
+def lookup(keys: DataFrame, blocks: DataFrame, directory: DataFrame, stretches: int | None = None) -> DataFrame:
     """Captures (key, file, offset, length) of the distinct keys in ``keys``, by binary search in the directory, then within blocks.
 
-    The directory goes to the tasks in stretches of at most ``most`` entries, each with the keys between its ends; so what is broadcast is
-    bounded, whatever the index holds.
+    Directory and keys are cut alike into ``stretches`` of keys (as many as shuffle partitions, by default) and meet stretch by stretch. An
+    entry goes to every stretch that its block's keys reach into, so each stretch holds all it needs; the driver gets the cuts alone.
     """
-    spark = keys.sparkSession
-    n = directory.count()
-    stretches = -(-n // most)
-    edges = [None]
-    if stretches > 1:
-        ranked = directory.repartitionByRange(stretches, "first_key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("first_key").alias("k")).orderBy("k").collect()
-        edges = [None, *[r["k"] for r in ranked[1:]]]
-    asked = None
-    for low, high in zip(edges, [*edges[1:], None], strict=True):
-        own = directory
-        if low is not None:
-            own = own.where(F.col("first_key") >= low)
-        if high is not None:
-            own = own.where(F.col("first_key") <= high)
-        rows = own.orderBy("first_key", "block").collect()
-        shared = spark.sparkContext.broadcast(([r["first_key"] for r in rows], [r["block"] for r in rows]))
-        part = keys
-        if low is not None:
-            part = part.where(F.col("key") >= low)
-        if high is not None:
-            part = part.where(F.col("key") < high)
-
-        def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            first, block = shared.value
-            for batch in batches:
-                found = [(block[b], k) for k in batch.column("key").to_pylist() for b in range(max(0, bisect_left(first, k) - 1), bisect_right(first, k))]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([k for _, k in found], pa.string())], ["_block", "key"])
-
-        got = part.select("key").mapInArrow(search, "_block long, key string")
-        asked = got if asked is None else asked.unionByName(got)
+    n = stretches or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = directory.repartitionByRange(n, "first_key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("first_key").alias("k")).collect()
+    cuts = sorted(r["k"] for r in ranked if r["k"] is not None)[1:]
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last, block = (batch.column(c).to_pylist() for c in ("first", "last", "block"))
+            rows = [(s, k, b) for k, z, b in zip(first, last, block, strict=True) for s in range(bisect_right(cuts, k), bisect_right(cuts, z) + 1)]
+            s, k, b = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(b, pa.int64()), pa.array(k, pa.string())], ["stretch", "block", "key"])
+
+    entries = directory.select(F.col("first_key").alias("first"), F.col("last_key").alias("last"), "block").mapInArrow(deal, "stretch int, block long, key string")
+    wanted_ = keys.select(F.col("key").alias("first"), F.col("key").alias("last"), F.lit(None).cast("long").alias("block")).mapInArrow(deal, "stretch int, block long, key string")
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each stretch first its directory, then its keys, in order."""
+        now, first, block = None, [], []
+        for batch in batches:
+            found = []
+            for s, b, k in zip(*(batch.column(c).to_pylist() for c in ("stretch", "block", "key")), strict=True):
+                if s != now:
+                    now, first, block = s, [], []
+                if b is not None:
+                    first.append(k)
+                    block.append(b)
+                else:
+                    found += [(block[i], k) for i in range(max(0, bisect_left(first, k) - 1), bisect_right(first, k))]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([k for _, k in found], pa.string())], ["_block", "key"])
+
+    both = entries.union(wanted_).repartition(n, "stretch").sortWithinPartitions("stretch", F.col("block").isNull(), "key", "block")
+    asked = both.mapInArrow(search, "_block long, key string")
     # a block has at most its number of lines of distinct keys
     wanted = written(asked.groupBy("_block").agg(F.collect_set("key").alias("keys")), "index-lookups")
 

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -172,6 +173,55 @@ def test_leaks(spark, docs, nothing):
     assert leaks.leaks(df, bench.limit(0)).count() == 0 and leaks.leaks(nothing, bench).count() == 0 and leaks.without_leaks(df, bench.limit(0)).count() == 8
 
 
+def brute_leaks(docs_, items, words_=12, share=0.6):
+    """Every diagonal of every document and item that holds a seed; the best stretch along it by trying all."""
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    split = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", lower(t).encode())
+    out = {}
+    for d, text in docs_:
+        w = split(text)
+        for i, item in items:
+            v = split(item)
+            if i is None or not v:
+                continue
+            masks = leaks.MASKS if len(v) >= leaks.SHORTEST else ("1" * len(v),)
+            best = 0
+            for shift in range(-len(v), len(w)):
+                same = [0 <= k + shift < len(w) and w[k + shift] == v[k] for k in range(len(v))]
+                inside = [0 <= k + shift < len(w) for k in range(len(v))]
+                if not any(all(x == "0" or same[k + j] for j, x in enumerate(m)) and all(inside[k : k + len(m)]) for m in masks for k in range(len(v) - len(m) + 1)):
+                    continue
+                runs = [(sum(1 if s else -2 for s in same[a:b]), -(b - a), sum(same[a:b])) for a in range(len(v)) for b in range(a + 1, len(v) + 1) if all(inside[a:b])]
+                top = max(r[0] for r in runs)
+                best = max(best, max(r[2] for r in runs if r[0] == top))
+            if best >= max(min(words_, math.ceil(share * len(v))), min(len(v), leaks.SHORTEST)):
+                out[d, i] = best
+    return out
+
+
+def test_leaks_like_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(2)) + rng.choice(["", "É", "9"])
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 9, 14, 25, 40])]
+    docs_ = []
+    for d in range(160):
+        t = [word() for _ in range(rng.randrange(0, 50))]
+        for _ in range(rng.randrange(3)):
+            v = rng.choice(items)[1].split()
+            a = rng.randrange(len(v))
+            v = [word() if rng.random() < 0.12 else x for x in v[a:]]
+            at = rng.randrange(len(t) + 1)
+            t[at:at] = v
+        docs_.append((d, rng.choice([" ", ", ", "\n"]).join(t).upper() if d % 3 else " ".join(t)))
+    docs_ += [(100, None), (101, ""), (102, items[9][1] + " " + items[10][1])]
+    df = spark.createDataFrame([*docs_, docs_[3], docs_[3]], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in leaks.leaks(df, spark.createDataFrame([*items, (None, "x y"), (50, None), (51, "...")], "item_id long, text string")).collect()}
+    want = brute_leaks(docs_, items)
+    assert set(got) == set(want) and len(want) > 60
+    assert {i for _, i in want} >= set(range(11))
+    assert sum(got[k] != want[k] for k in want) <= 0.02 * len(want)  # stretches of equal score may agree in different numbers of places
+
+
 # --- 5
 
 
@@ -195,8 +245,15 @@ def test_capture_index_lookups(spark, tmp_path):
     manifest = spark.createDataFrame(keys, warc.MANIFEST).repartition(4)
     blocks, directory = warc.write_index(manifest, 50)
     asked = spark.createDataFrame([(k[0],) for k in keys[::7]] + [("com,host)/none",), ("",), ("zzz",)], "key string")
-    for most in (200_000, 6):
-        assert sorted(r.offset for r in warc.lookup(asked, blocks, directory, most).collect()) == [k[3] for k in keys[::7]]
+    for stretches in (1, 6, 200):
+        assert sorted(r.offset for r in warc.lookup(asked, blocks, directory, stretches).collect()) == [k[3] for k in keys[::7]]
+    assert warc.lookup(asked, blocks.limit(0), directory.limit(0)).count() == 0
+    same = spark.createDataFrame([("com,host)/one", k, "f", k * 10, 10) for k in range(40)] + [("com,host)/two", 50, "f", 500, 10)], warc.MANIFEST)
+    assert warc.lookup(spark.createDataFrame([("com,host)/one",)], "key string"), *warc.write_index(same, 7), 9).count() == 40  # one key over several blocks
+
+
+def test_places():
+    assert warc._place("file:///a/b")[1] == warc._place("/a/b")[1] == "/a/b" and warc._place("dbfs:/a")[1] == "/dbfs/a"
 
 
 # --- 6
@@ -297,6 +354,42 @@ def test_quality(spark, nothing):
     assert {r.score for r in quality.classify(spark.createDataFrame(rows[:3], "doc_id long, text string, score string"), labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_like_numpy(spark):
+    """The same statistics, class moments and log densities without Spark; with ties, repeated rows and a very long text."""
+    rng = random.Random(11)
+    good = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n)) + "."
+    rows = [(k, good(rng.randint(5, 60)).upper() if k % 3 == 0 else good(rng.randint(20, 90))) for k in range(150)] + [(500, None), (501, ""), (502, good(30_000))]
+    rows += [rows[4], rows[4], (600, rows[5][1]), (None, good(9))]
+    labels = [(k, int(k % 3 > 0), 0) for k in range(0, 150, 2)] + [(4, 1, 0), (600, 0, 0)]
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+
+    def statistics(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return quality.features(data, np.array([0, len(data)]))[0]
+
+    x = {}
+    for i, t in rows:
+        x[i, t] = statistics(t)
+    seen = [(x[i, t], y) for i, t in rows for k, y, _ in labels if i == k and not zlib.crc32(str(i).encode()) % 5 == 0]
+    side = [np.array([v for v, y in seen if y == c]) for c in (0, 1)]
+    means, covs = [s.mean(axis=0) for s in side], [np.cov(s.T, bias=True) for s in side]
+    n = [len(s) for s in side]
+    pooled = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    d = len(scale)
+
+    def density(v, c):
+        cov = (0.9 * covs[c] + 0.1 * pooled) / np.outer(scale, scale) + 1e-3 * np.eye(d)
+        z = (v - means[c]) / scale
+        return -0.5 * z @ np.linalg.solve(cov, z) - 0.5 * np.linalg.slogdet(cov)[1]
+
+    prior = (n[1] + 0.5) / (sum(n) + 1)
+    score = lambda v: 1 / (1 + math.exp(-max(-500, min(500, density(v, 1) - density(v, 0) + math.log(prior / (1 - prior))))))
+    want = collections.Counter((i, round(score(x[i, t]), 6)) for i, t in rows)
+    assert collections.Counter((r.doc_id, round(r.score, 6)) for r in got) == want
+    assert all(r.predicted == int(r.score >= 0.3) for r in got)
+
+
 def test_components_of_a_long_chain(spark):
     from crucible.llm.common import components as spark_components
 
