@@ -19,6 +19,8 @@ _GAP = np.ones(256, dtype=bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _FACTOR = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_DIGIT = 1 << 30
+
 
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, first word of each document) of lower-cased words."""
@@ -43,7 +45,7 @@ def seeds(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.n
 def best_stretches(same: np.ndarray, sizes: np.ndarray, penalty: int) -> np.ndarray:
     """Of rows laid end to end (``sizes`` places each, whether their words agree) the agreeing places of the best stretch of each.
 
-    Places that agree count 1, the others -``penalty``. Rows of about the same length go together, a few million places at a time.
+    Places that agree count 1, the others -``penalty``; of equal stretches that with most agreeing places counts. Rows of about the same length go together, a few million places at a time.
     """
     matched, begin_of = np.zeros(len(sizes), dtype=np.int64), np.cumsum(sizes) - sizes
     order, a = np.argsort(sizes, kind="stable"), 0
@@ -56,12 +58,10 @@ def best_stretches(same: np.ndarray, sizes: np.ndarray, penalty: int) -> np.ndar
             continue
         inside = np.arange(width) < sizes[rows, None]
         hit = inside & same[np.minimum(begin_of[rows, None] + np.arange(width), len(same) - 1)]
-        score = np.cumsum(np.where(hit, 1, np.where(inside, -penalty, -(1 << 20))), axis=1)
-        ones = np.cumsum(hit, axis=1)
-        floor = np.minimum.accumulate(np.c_[np.zeros(len(rows), np.int64), score], axis=1)[:, :-1]
-        end, line = (score - floor).argmax(axis=1), np.arange(len(rows))
-        begin = np.argmax(np.c_[np.zeros(len(rows), np.int64), score] == floor[line, end][:, None], axis=1)
-        matched[rows] = ones[line, end] - np.where(begin > 0, ones[line, begin - 1], 0)
+        # a step that agrees weighs one in the low digits too: of equal scores the one with most agreeing places counts
+        total = np.cumsum(np.where(hit, _DIGIT + 1, -penalty * _DIGIT), axis=1)
+        floor = np.minimum.accumulate(np.c_[np.zeros(len(rows), np.int64), total], axis=1)[:, :-1]
+        matched[rows] = np.maximum((total - floor).max(axis=1), 0) % _DIGIT
     return matched
 
 

@@ -217,9 +217,8 @@ def test_leaks_like_brute_force(spark):
     df = spark.createDataFrame([*docs_, docs_[3], docs_[3]], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.matched for r in leaks.leaks(df, spark.createDataFrame([*items, (None, "x y"), (50, None), (51, "...")], "item_id long, text string")).collect()}
     want = brute_leaks(docs_, items)
-    assert set(got) == set(want) and len(want) > 60
+    assert got == want and len(want) > 60
     assert {i for _, i in want} >= set(range(11))
-    assert sum(got[k] != want[k] for k in want) <= 0.02 * len(want)  # stretches of equal score may agree in different numbers of places
 
 
 # --- 5
