@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,70 @@ def plan(most: int, dims: int, threshold: float, miss: float = 1e-6) -> tuple[in
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - same**bits)))
 
 
+#: Bit planes of a quantised vector, the other side of an estimate.
+PLANES = 6
+CODED = "cid long, label long, keys array<long>, packed binary, factor double, low double, step double, total double"
+
+
+def pack(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    n, d = bits.shape
+    wide = np.zeros((n, -(-d // 64) * 64), dtype=np.uint8)
+    wide[:, :d] = bits
+    return np.packbits(wide, axis=1).view(np.uint64).reshape(n, -1)
+
+
+@dataclass
+class Codes:
+    """Codes of rotated vectors: a sign bit for each coordinate, the factor that corrects for it, and the vector in ``PLANES`` bit planes.
+
+    With c the code as a unit vector, f = <c, x>: <c, y> / f is an unbiased estimate of <x, y>, off by more than sqrt(1 / f^2 - 1) ``sure`` /
+    sqrt(dims - 1) with vanishing probability. y itself is in planes: values low + step q, whose rounding adds step / sqrt(12) at random.
+    """
+
+    dims: int
+    words: np.ndarray  # (n, 1 + PLANES, words): the code, then the planes
+    factor: np.ndarray
+    low: np.ndarray
+    step: np.ndarray
+    total: np.ndarray  # sum of the rotated vector's coordinates
+
+    @classmethod
+    def of(cls, y: np.ndarray) -> Codes:
+        n, d = y.shape
+        low = y.min(axis=1)
+        step = np.maximum((y.max(axis=1) - low) / ((1 << PLANES) - 1), 1e-300)
+        q = np.rint((y - low[:, None]) / step[:, None]).astype(np.int64)
+        words = np.stack([pack(y > 0), *(pack((q >> b) & 1) for b in range(PLANES))], axis=1)
+        return cls(d, words, np.abs(y).sum(axis=1) / math.sqrt(d), low, step, y.sum(axis=1))
+
+    @classmethod
+    def read(cls, part: pa.Table, dims: int) -> Codes:
+        words = np.frombuffer(b"".join(part.column("packed").to_pylist()), np.uint64).reshape(part.num_rows, 1 + PLANES, -1)
+        return cls(dims, words, *(part.column(c).to_numpy() for c in ("factor", "low", "step", "total")))
+
+    def arrays(self) -> list[pa.Array]:
+        n = len(self.factor)
+        kind = pa.binary(self.words[0].nbytes if n else 8)
+        packed = pa.FixedSizeBinaryArray.from_buffers(kind, n, [None, pa.py_buffer(np.ascontiguousarray(self.words).tobytes())]).cast(pa.binary())
+        return [packed, *map(pa.array, (self.factor, self.low, self.step, self.total))]
+
+    def upper(self, i: np.ndarray, j: np.ndarray, sure: float) -> np.ndarray:
+        """The upper bounds of the inner products of rows i and j, by popcounts."""
+        code = self.words[i, 0]
+        hits = sum((np.bitwise_count(code & self.words[j, 1 + b]).sum(axis=1, dtype=np.int64) << b for b in range(PLANES)), np.zeros(len(i), np.int64))
+        ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
+        dot = (2 * (self.low[j] * ones + self.step[j] * hits) - self.total[j]) / math.sqrt(self.dims)
+        slack = np.sqrt(np.maximum(1 / self.factor[i] ** 2 - 1, 0)) / math.sqrt(max(1, self.dims - 1)) + self.step[j] / (math.sqrt(12) * self.factor[i])
+        return dot / self.factor[i] + sure * slack
+
+
 def near_links(classes: DataFrame, dims: int, threshold: float, most: int, block: int = 2048, sure: float = 6.0) -> DataFrame:
     """Rows (node, links, root) whose links add up to each class's number of linked vectors outside it; (node, root) span the groups.
 
-    ``classes``: (cid, label, x: array<double> of unit length, copies). Signs of rotated coordinates are the code; its factor f, the inner product
-    of a vector with its own code, makes <code, y> / f an unbiased estimate of <x, y>, off by more than sqrt(1 / f^2 - 1) * ``sure`` / sqrt(dims - 1)
-    with vanishing probability. Keys are stretches of the code under several rotations. Where keys meet, pairs whose estimate's upper bound is
-    below the threshold go; the others' cosines are computed exactly. A pair that meets in several tables counts in the first.
+    ``classes``: (cid, label, x: array<double> of unit length, copies). Keys are stretches of the sign bits under several rotations. Where keys
+    meet, packed codes alone tell which rows have a partner whose bound reaches the threshold; only these fetch their vectors, for that
+    block, and there the cosines of the pairs within the bound are computed exactly. A pair that meets in several tables counts in the first.
     """
     bits, tables = plan(most, dims, threshold)
     turns = rotations(dims, -(-bits * tables // dims))
@@ -49,15 +107,30 @@ def near_links(classes: DataFrame, dims: int, threshold: float, most: int, block
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
             y = np.einsum("nd,rde->nre", x, turns).reshape(len(x), -1)
             keys = ((y[:, : bits * tables] > 0).reshape(len(x), tables, bits).astype(np.int64) << np.arange(bits)).sum(axis=2)
-            factor = np.abs(y[:, :dims]).sum(axis=1) / math.sqrt(dims)
             listed = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), tables).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("label"), batch.column("x"), batch.column("copies"), listed, pa.array(factor)], ["cid", "label", "x", "copies", "keys", "factor"])
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("label"), listed, *Codes.of(y[:, :dims]).arrays()], ["cid", "label", "keys", "packed", "factor", "low", "step", "total"])
 
-    coded = written(classes.select("cid", "label", "x", "copies").mapInArrow(encode, "cid long, label long, x array<double>, copies long, keys array<long>, factor double"), "codes")
+    coded = written(classes.select("cid", "label", "x").mapInArrow(encode, CODED), "codes")
     spread = coded.select("cid", "label", F.posexplode("keys").alias("table", "key"))
     shared = written(spread.groupBy("label", "table", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "shared-keys")
     rows = written(spread.join(shared, ["label", "table", "key"]), "met-keys")
-    half = 1 / math.sqrt(dims)
+    code = ["packed", "factor", "low", "step", "total"]
+
+    def candidates(part: pa.Table, codes: Codes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in pairs(part.column("_block").to_numpy(), part.column("_role").to_numpy(), part.column("_self").combine_chunks().to_numpy(zero_copy_only=False), most=1 << 17):
+            maybe = codes.upper(i, j, sure) >= threshold
+            yield i[maybe], j[maybe]
+
+    def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, rows=20_000):
+            kept = np.zeros(part.num_rows, dtype=bool)
+            for i, j in candidates(part, Codes.read(part, dims)):
+                kept[i] = kept[j] = True
+            yield from part.select(["cid", "table", "_block", "_role", "_self"]).filter(pa.array(kept)).combine_chunks().to_batches()
+
+    dealt = in_blocks(rows, ["label", "table", "key"], "cid", block=block, payload=(coded.select("cid", *code), "cid"))
+    sifted = dealt.select("cid", "table", *code, "_block", "_role", "_self").mapInArrow(sift, "cid long, table int, _block long, _role int, _self boolean")
+    sifted = written(sifted, "met-rows")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, rows=20_000):
@@ -65,17 +138,11 @@ def near_links(classes: DataFrame, dims: int, threshold: float, most: int, block
             cid, copies, table = (part.column(c).to_numpy() for c in ("cid", "copies", "table"))
             x = part.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, dims)
             keys = part.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, tables)
-            factor = part.column("factor").to_numpy()
-            y = x @ turns[0]
-            code = np.where(y > 0, half, -half)
-            slack = np.sqrt(np.maximum(1 / factor**2 - 1, 0)) * sure / math.sqrt(max(1, dims - 1))
             links = np.zeros(n, dtype=np.int64)
             a, b = [], []
-            for i, j in pairs(part.column("_block").to_numpy(), part.column("_role").to_numpy(), part.column("_self").combine_chunks().to_numpy(zero_copy_only=False), most=1 << 17):
+            for i, j in candidates(part, Codes.read(part, dims)):
                 fresh = ~((keys[i] == keys[j]) & (np.arange(tables) < table[i][:, None])).any(axis=1)
                 i, j = i[fresh], j[fresh]
-                maybe = np.einsum("nd,nd->n", code[i], y[j]) / factor[i] + slack[i] >= threshold
-                i, j = i[maybe], j[maybe]
                 near = np.einsum("nd,nd->n", x[i], x[j]) >= threshold
                 i, j = i[near], j[near]
                 np.add.at(links, i, copies[j])
@@ -88,8 +155,8 @@ def near_links(classes: DataFrame, dims: int, threshold: float, most: int, block
             a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
             yield pa.RecordBatch.from_arrays([pa.array(cid[np.r_[hit, a]]), pa.array(np.r_[links[hit], np.zeros(len(a), np.int64)]), pa.array(cid[np.r_[hit, b]])], ["node", "links", "root"])
 
-    dealt = in_blocks(rows, ["label", "table", "key"], "cid", block=block, payload=(coded.select("cid", "x", "copies", "keys", "factor"), "cid"))
-    return dealt.select("cid", "table", "x", "copies", "keys", "factor", "_block", "_role", "_self").mapInArrow(verify, "node long, links long, root long")
+    whole = sifted.join(coded.select("cid", "keys", *code), "cid").join(classes.select("cid", "x", "copies"), "cid")
+    return whole.repartition("_block").sortWithinPartitions("_block", "_role").select("cid", "table", "keys", *code, "x", "copies", "_block", "_role", "_self").mapInArrow(verify, "node long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -104,11 +171,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 20
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     square = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)
     good = F.coalesce(F.col("label").isNotNull() & (F.size("_v") > 0) & ~F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (square > 0) & (square < float("inf")), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("long").alias("label"), v.alias("_v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("label"), v.alias("_v"))
     rows = rows.select("*", F.when(good, F.xxhash64("label", "_v")).alias("cid"), square.alias("_square"))
     marks = written(rows.select("_id", "cid"), "vectors")
     unit = F.transform("_v", lambda x: x / F.sqrt(F.col("_square")))
-    classes = written(rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.any_value("label").alias("label"), F.any_value(unit).alias("x"), F.count(F.lit(1)).alias("copies"), F.min("_id").alias("least")), "vector-classes")
+    classes = written(rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.any_value(F.xxhash64("label")).alias("label"), F.any_value(unit).alias("x"), F.count(F.lit(1)).alias("copies"), F.min("_id").alias("least")), "vector-classes")
     found = None
     sizes = classes.groupBy(F.size("x").alias("dims"), "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dims").agg(F.max("n").alias("n")).where("n > 1").collect()  # a row for each vector length
     for r in sorted(sizes):

@@ -95,6 +95,34 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embedding_bounds():
+    """Bounds by popcounts hold, and estimates are unbiased, for near and far pairs of any length."""
+    rng = np.random.default_rng(3)
+    for d in (16, 64, 100, 768):
+        x = rng.standard_normal((400, d))
+        x[200:] = x[:200] + rng.standard_normal((200, d)) * rng.choice([0.05, 0.3, 2], (200, 1))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        codes = embeddings.Codes.of(x @ embeddings.rotations(d, 1)[0])
+        i, j = np.r_[np.arange(200), rng.integers(0, 400, 2000)], np.r_[np.arange(200, 400), rng.integers(0, 400, 2000)]
+        true = np.einsum("nd,nd->n", x[i], x[j])
+        assert (codes.upper(i, j, 6.0) >= true - 1e-9).mean() > 0.999
+        assert abs((codes.upper(i, j, 0.0) - true).mean()) < 0.02
+
+
+def test_embeddings_of_many_dimensions(spark):
+    """Text labels, 384 coordinates, 1,500 rows: every link of all pairs."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((300, 384))
+    rows = [(k, [float(np.float32(v)) for v in base[k % 300] + rng.standard_normal(384) * rng.choice([0.05, 0.15, 0.2, 0.22])], "pq"[k % 300 % 2]) for k in range(1500)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    assert near.sum() > 400 and [got[k] for k in range(1500)] == near.sum(axis=1).tolist()
+
+
 # --- 3
 
 
