@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from crucible.llm.common import LOWER, byte_slices, components, in_blocks, local_roots, mix, pairs, runs, word_hashes, word_spans, written
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-#: Bits of the parity map of a set: sets whose maps differ in so many bits differ in as many items at least.
+#: Least bits of the parity map of a set, which has two for each item at least: sets whose maps differ in so many bits differ in as many items
+#: at least. A map folds to half its length, so maps of any two sets compare.
 PARITY = 1024
 
 
@@ -138,7 +139,16 @@ def set_mark(items: np.ndarray) -> tuple[int, bytes]:
     for at in range(0, len(items), 1 << 16):
         ones += np.unpackbits(items[at : at + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     fp = np.packbits(ones * 2 > len(items)).view(np.int64)[0]
-    return int(fp), np.packbits(np.bincount((items >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).tobytes()
+    bits = max(PARITY, 1 << max(0, 2 * len(items) - 1).bit_length())
+    return int(fp), np.packbits(np.bincount((items >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """The differing bits of two parity maps, the longer one folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        x, y = (x, y[: len(y) // 2] ^ y[len(y) // 2 :]) if len(x) < len(y) else (x[: len(x) // 2] ^ x[len(x) // 2 :], y)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: int = 5, distance: int = 3, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,9 +217,9 @@ def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: i
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("pa", "pb"))
             n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-            most = (n - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+            apart = np.fromiter(map(differing, batch.column("pa").to_pylist(), batch.column("pb").to_pylist()), np.int64, count=len(n))
+            most = (n - apart) // 2
             yield batch.select(["a", "b"]).filter(pa.array(most * (num + den) >= num * n))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

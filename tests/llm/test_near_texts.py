@@ -66,3 +66,17 @@ def test_given_documents_like_brute_force(spark, sf):
 
 def test_no_documents(spark):
     assert kept(spark, []) == []
+
+
+def test_parity_maps_bound_differences():
+    import numpy as np
+
+    from crucible.llm import simhash
+
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    for n, m, shared in [(10, 12, 8), (300, 320, 280), (4000, 3000, 2900), (4000, 300, 100), (5000, 4000, 0)]:
+        a, b = pool[:n], pool[n - shared : n - shared + m]
+        apart = simhash.differing(simhash.set_mark(np.sort(a))[1], simhash.set_mark(np.sort(b))[1])
+        truly = n + m - 2 * shared
+        assert apart <= truly and (apart - truly) % 2 == 0 and apart > 0.25 * min(truly, 2 * min(n, m))
