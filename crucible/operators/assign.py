@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crucible.operators.graph import components
 from crucible.scratch import written
@@ -40,6 +43,27 @@ def hungarian(cost: np.ndarray) -> list[int]:
     return out
 
 
+def per_group(df: DataFrame, by: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
+    """``work`` on the rows of each group, for many small groups: they are sorted together and come one after the other, not as a frame each."""
+    names = df.columns
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(columns=names)
+        for frame in frames:
+            held = pd.concat([held, frame]) if len(held) else frame
+            keys = held[by]
+            new = ~((keys == keys.shift()) | (keys.isna() & keys.shift().isna())).all(axis=1).to_numpy()
+            edges = np.flatnonzero(new)
+            done = [work(held.iloc[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]  # the last may go on
+            held = held.iloc[edges[-1] :] if len(edges) else held
+            if done:
+                yield pd.concat(done)
+        if len(held):
+            yield work(held)
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
+
+
 def connected(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
     """The connected set of each pair (a < n on the left, b < m on the right): its least node."""
     label, b = np.arange(n + m), b + n
@@ -89,7 +113,7 @@ def assign(pairs: DataFrame, by: list[str], left: str, right: str, score: str, o
 
     biggest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if biggest <= most:
-        return rows.groupBy(*by).applyInPandas(solve, schema)
+        return per_group(rows, by, solve, schema)
     node = lambda side, c: F.xxhash64(F.lit(side), *by, c)
     sets = components(rows.select(node("left", left).alias("a"), node("right", right).alias("b"))).select(F.col("node").alias("_node"), F.col("component").alias("_set"))
-    return rows.withColumn("_node", node("left", left)).join(sets, "_node").drop("_node").groupBy("_set", *by).applyInPandas(solve, schema)
+    return rows.withColumn("_node", node("left", left)).join(sets, "_node").drop("_node").groupBy("_set", *by).applyInPandas(solve, schema)  # few and large

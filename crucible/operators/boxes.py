@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crucible.operators.assign import per_group
+
 
 def iou(a: str, b: str) -> Column:
     """Intersection over union of boxes under two column prefixes; boxes that only touch have 0."""
@@ -59,7 +61,7 @@ def dedupe_kept(boxes: DataFrame, by: list[str], most: float = 0.6) -> DataFrame
                 kept.append(k)
         return group.iloc[kept]
 
-    return boxes.groupBy(*by).applyInPandas(keep, boxes.schema)
+    return per_group(boxes, by, keep, boxes.schema)
 
 
 def box_reaction_match(gold: DataFrame, pred: DataFrame, gold_boxes: DataFrame, pred_boxes: DataFrame, molecules_only: bool = False, merge_conditions: bool = False, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -125,15 +127,18 @@ def detection_ap(gold: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFr
 
     def take(group: pd.DataFrame) -> pd.DataFrame:
         gold_, pred_, keep = set(), set(), []
-        for r in group.sort_values(["score", "b_idx", "iou", "a_idx"], ascending=[False, True, False, True]).itertuples():
-            if r.a_idx not in gold_ and r.b_idx not in pred_:
-                gold_.add(r.a_idx)
-                pred_.add(r.b_idx)
-                keep.append(r.Index)
-        return group.loc[keep, ["image", "b_idx"]]
+        order = np.lexsort((group.a_idx, -group.iou, group.b_idx, -group.score)).tolist()
+        a, b = group.a_idx.tolist(), group.b_idx.tolist()
+        for k in order:
+            if a[k] not in gold_ and b[k] not in pred_:
+                gold_.add(a[k])
+                pred_.add(b[k])
+                keep.append(k)
+        return group.iloc[keep][["image", "b_idx"]]
 
     b_kind = dict(met.dtypes)
-    hit = met.groupBy("image", "a_category").applyInPandas(take, f"image {b_kind['image']}, b_idx {b_kind['b_idx']}").withColumnRenamed("b_idx", "idx").withColumn("_hit", F.lit(1))
+    slim = met.select("image", "a_category", "a_idx", "b_idx", "score", "iou")
+    hit = per_group(slim, ["image", "a_category"], take, f"image {b_kind['image']}, b_idx {b_kind['b_idx']}").withColumnRenamed("b_idx", "idx").withColumn("_hit", F.lit(1))
     rows = pred.join(hit, ["image", "idx"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
     order = Window.partitionBy("category").orderBy(F.desc("score"), "image", "idx")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
