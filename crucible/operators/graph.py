@@ -102,19 +102,16 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     now = written(links.where(F.col("a") != F.col("b")).select(*edge("a", "b")).distinct(), "links")
     seen = None
     for _ in range(most_rounds):
-        if now.isEmpty():
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == seen or not state[0]:
             break
+        seen = state
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        star = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        now = written(star, "large-star")
-        low = written(now.groupBy("a").agg(F.min("b").alias("m")), "least")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        now = written(both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        low = now.groupBy("a").agg(F.min("b").alias("m"))
         star = now.join(low, "a").where(F.col("b") != F.col("m")).select(*edge("b", "m")).union(low.select("a", F.col("m").alias("b"))).distinct()
         now = written(star, "small-star")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     else:
         raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
