@@ -286,18 +286,23 @@ def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: i
     rest = written(placed.join(open_, "key", "left_semi"), "open-rows")
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs(batches):
+        for part in runs(batches, rows=20_000):
             get = lambda c: part.column(c).combine_chunks().to_numpy(zero_copy_only=False)  # noqa: E731, B023
             cls, size, at, component = get("cls"), get("size").astype(np.int64), get("at").astype(np.int64), get("component")
+            parity = part.column("parity").to_pylist()
             for i, j in pairs(get("_block"), get("_role"), get("_self")):
                 good = (component[i] != component[j]) & (np.minimum(size[i] - at[i], size[j] - at[j]) * (num + den) >= (size[i] + size[j]) * num)
                 i, j = i[good], j[good]
+                # weighed here, so that only pairs within the bound leave the block
+                apart = np.fromiter((differing(parity[x], parity[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)), np.int64, count=len(i))
+                good = (size[i] + size[j] - apart) // 2 * (num + den) >= (size[i] + size[j]) * num
+                i, j = i[good], j[good]
                 if len(i):
                     both = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    dealt = in_blocks(rest, ["key"], "cls", block=block)
-    linked = components(links.union(verified(dealt.select("cls", "size", "at", "component", "_block", "_role", "_self").mapInArrow(meet, "a long, b long"))))
+    dealt = in_blocks(rest, ["key"], "cls", block=block, payload=(classes.select("cls", "parity"), "cls"))
+    linked = components(links.union(verified(dealt.select("cls", "size", "at", "component", "parity", "_block", "_role", "_self").mapInArrow(meet, "a long, b long"))))
     members = linked.join(kinds.select("cls", "least"), F.col("node") == F.col("cls")).select("cls", "component", "least")
     least = written(members.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
     of_class = members.join(least, "component").select("cls", "component_id")
