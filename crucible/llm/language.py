@@ -160,7 +160,7 @@ def classify(docs: DataFrame, lang_col: str = "lang", fold: int = 0, most_grams:
                 better = ~(had[0] <= low)  # none before is NaN
                 before = [names[b] if up else old for b, up, old in zip(best.tolist(), better.tolist(), part.column("lang_pred").to_pylist(), strict=True)]
                 top = np.where(better, low, had[0])
-                was = np.where(np.isnan(had[0]), 0, had[1] * np.exp2(np.maximum(top - np.nan_to_num(had[0]), -1000)))
+                was = had[1] * np.exp2(np.maximum(np.where(np.isnan(had[0]), 0, top - had[0]), -1000))  # the share before the first group is 0
                 out = [pa.array(before, pa.string()), pa.array(top), pa.array(was + share * np.exp2(np.maximum(top - low, -1000)))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *out], [*kept, "lang_pred", "bits", "share"])
 
