@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crucible.llm import embeddings, language, leaks, lm, mixing, quality, simhash, substrings, tokens, warc
+from crucible.llm import embeddings, language, leaks, lm, mixing, quality, secret_scan, simhash, substrings, tokens, warc
 from crucible.llm.common import table
 
 
@@ -54,8 +54,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return secret_scan.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm, op2_embeddings, op3_substrings, op4_leaks, op5_warc, op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_lm, op2_embeddings, op3_substrings, op4_leaks, op5_warc, op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality, op11_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
