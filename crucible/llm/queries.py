@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crucible.llm import embeddings, language, leaks, lm, mixing, negatives, quality, secret_scan, simhash, substrings, tokens, warc
+from crucible.llm import embeddings, language, leaks, lm, mixing, negatives, quality, ranked, secret_scan, simhash, substrings, tokens, warc
 from crucible.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_, label = F.col("vec_id"), F.col("label")
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(id_ % 7 == 0, (label.cast("long") + 1) % 10).otherwise(label.cast("long")))
@@ -68,8 +72,8 @@ def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm, op2_embeddings, op3_substrings, op4_leaks, op5_warc, op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality, op11_secrets, op13_negatives)}
+    return {f.__name__: f for f in (op1_lm, op2_embeddings, op3_substrings, op4_leaks, op5_warc, op6_token_counts, op7_language, op8_mixing, op9_simhash, op10_quality, op11_secrets, op12_ranked, op13_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embeddings": embeddings.SQL, "op3_substrings": substrings.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.SQL, "op13_negatives": negatives.SQL}
+    return {"op2_embeddings": embeddings.SQL, "op3_substrings": substrings.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.SQL, "op12_ranked": ranked.SQL, "op13_negatives": negatives.SQL}
