@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from crucible.operators.graph import components
+from crucible.operators.graph import components, least_reachable
+from crucible.operators.matching import auction, greedy, per_group, sparse_assignment
 from crucible.scratch import written
 
 
@@ -43,72 +41,45 @@ def hungarian(cost: np.ndarray) -> list[int]:
     return out
 
 
-def per_group(df: DataFrame, by: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
-    """``work`` on the rows of each group, for many small groups: they are sorted together and come one after the other, not as a frame each."""
-    names = df.columns
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(columns=names)
-        for frame in frames:
-            held = pd.concat([held, frame]) if len(held) else frame
-            keys = held[by]
-            new = ~((keys == keys.shift()) | (keys.isna() & keys.shift().isna())).all(axis=1).to_numpy()
-            edges = np.flatnonzero(new)
-            done = [work(held.iloc[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]  # the last may go on
-            held = held.iloc[edges[-1] :] if len(edges) else held
-            if done:
-                yield pd.concat(done)
-        if len(held):
-            yield work(held)
-
-    return df.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
+def chosen_of(left: np.ndarray, right: np.ndarray, gain: np.ndarray, dense: int = 10_000) -> list[int]:
+    """Places of the pairs of one connected set with the greatest total: a full matrix of up to ``dense`` cells, or the pairs alone."""
+    if len(gain) == 1:
+        return [0]
+    (a, lefts), (b, rights) = (pd.factorize(x, sort=True) for x in (left, right))
+    if len(lefts) * len(rights) > dense:
+        return sparse_assignment(a, b, gain)
+    cells = np.zeros((len(lefts), len(rights)))
+    where = np.full(cells.shape, -1)
+    cells[a, b], where[a, b] = gain, np.arange(len(gain))
+    turned = cells.shape[0] > cells.shape[1]
+    found = (where[j, i] if turned else where[i, j] for i, j in enumerate(hungarian(-(cells.T if turned else cells))))
+    return [k for k in found if k >= 0]
 
 
-def connected(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
-    """The connected set of each pair (a < n on the left, b < m on the right): its least node."""
-    label, b = np.arange(n + m), b + n
-    while True:
-        low = np.minimum(label[a], label[b])
-        if (label[a] == low).all() and (label[b] == low).all():
-            return low
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-
-
-def assign(pairs: DataFrame, by: list[str], left: str, right: str, score: str, optimal: bool = True, most: int = 200_000) -> DataFrame:
+def assign(pairs: DataFrame, by: list[str], left: str, right: str, score: str, optimal: bool = True, most: int = 200_000, largest: int = 2_000_000, gap: float = 0.001) -> DataFrame:
     """(by, left, right, score) of the pairs chosen in each group: no row twice on either side.
 
-    optimal: the greatest total score; otherwise the best pair first, then the best of what is left, ties by left then right. Pairs that are
-    not in ``pairs`` score 0 and are never chosen. Groups are figures of tens of reactions. Each connected set of a group's pairs is solved
-    alone; where some group has over ``most`` pairs, Spark finds the connected sets of all groups first and deals them out one by one. What
-    is left in one task is a connected set.
+    optimal: the greatest total score; otherwise the best pair first, then the best of what is left, ties by left then right
+    (``matching.greedy``). Pairs that are not in ``pairs`` score 0 and are never chosen.
+
+    Each connected set of a group's pairs is solved alone, in memory that grows with its pairs. Where some group has over ``most`` pairs,
+    Spark finds the connected sets of all groups first and deals them out one by one. Sets of over ``largest`` pairs are not given to a task: an
+    auction finds their pairs, in rounds of joins, to within ``gap`` times the largest score for each pair chosen.
     """
     rows = written(pairs.select(*by, F.col(left).cast("long").alias(left), F.col(right).cast("long").alias(right), F.col(score).cast("double").alias("score")), "pairs")
+    if not optimal:
+        return greedy(rows, by, left, right, [-F.col("score")], most)
     schema = rows.schema
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group[schema.names].sort_values([left, right], kind="stable")
-        if not optimal:
-            used_l, used_r, keep = set(), set(), []
-            for k in np.lexsort((group[right], group[left], -group["score"])):
-                a, b = group[left].iat[k], group[right].iat[k]
-                if a not in used_l and b not in used_r:
-                    used_l.add(a)
-                    used_r.add(b)
-                    keep.append(k)
-            return group.iloc[keep]
         lefts, rows_ = pd.factorize(group[left])
-        rights, columns = pd.factorize(group[right], sort=True)
-        gains, sets, keep = group["score"].to_numpy(), connected(lefts, rights, len(rows_), len(columns)), []
+        rights = pd.factorize(group[right], sort=True)[0]
+        gains, keep = group["score"].to_numpy(), []
+        sets = least_reachable(len(rows_) + len(rights), lefts, rights + len(rows_))[lefts]
         order = np.argsort(sets, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(sets[order])) + 1):
-            a, b = (pd.factorize(x[part], sort=True) for x in (lefts, rights))
-            gain = np.zeros((len(a[1]), len(b[1])))
-            where = np.full(gain.shape, -1)
-            gain[a[0], b[0]], where[a[0], b[0]] = gains[part], part
-            turned = gain.shape[0] > gain.shape[1]
-            chosen = (where[j, i] if turned else where[i, j] for i, j in enumerate(hungarian(-(gain.T if turned else gain))))
-            keep += [k for k in chosen if k >= 0]
+            keep += part[chosen_of(lefts[part], rights[part], gains[part])].tolist()
         return group.iloc[sorted(keep)]
 
     biggest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -116,4 +87,11 @@ def assign(pairs: DataFrame, by: list[str], left: str, right: str, score: str, o
         return per_group(rows, by, solve, schema)
     node = lambda side, c: F.xxhash64(F.lit(side), *by, c)
     sets = components(rows.select(node("left", left).alias("a"), node("right", right).alias("b"))).select(F.col("node").alias("_node"), F.col("component").alias("_set"))
-    return rows.withColumn("_node", node("left", left)).join(sets, "_node").drop("_node").groupBy("_set", *by).applyInPandas(solve, schema)  # few and large
+    dealt = written(rows.withColumn("_node", node("left", left)).join(sets, "_node").drop("_node"), "sets-of-pairs")
+    huge = written(dealt.groupBy("_set").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > largest).select("_set"), "huge-sets")
+    small = per_group(dealt.join(huge, "_set", "left_anti").select(*schema.names, "_set"), ["_set"], solve, schema)
+    if huge.isEmpty():
+        return small
+    rest = dealt.join(huge, "_set", "left_semi").select(*schema.names)
+    top = rest.agg(F.max("score")).first()[0]
+    return small.union(auction(rest, by, left, right, "score", gap * top).select(*schema.names))

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crucible.operators.assign import per_group
+from crucible.operators.matching import greedy, per_group
+from crucible.operators.ranking import numbered
 
 
 def iou(a: str, b: str) -> Column:
@@ -118,32 +119,21 @@ def coref_score(gold_pairs: DataFrame, pred_pairs: DataFrame, gold_boxes: DataFr
     return sizes.join(hits, "image", "left").na.fill(0, ["hits"])
 
 
-def detection_ap(gold: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
+def detection_ap(gold: DataFrame, pred: DataFrame, least: float = 0.5, step: int = 100_000) -> DataFrame:
     """Average precision of each category: predictions by score, each takes its best free gold box; precision is interpolated.
 
-    The greedy choice is per image; the curve is a window over each category's predictions.
+    The greedy choice is ``matching.greedy``; the curve is read at its hits, which are numbered by ranges, and the best precision from a hit on
+    is taken within ``step`` hits and then over such stretches. So no task holds a category.
     """
-    met = _named(gold, "a_").join(_named(pred.drop("score"), "b_").join(pred.select("image", F.col("idx").alias("b_idx"), "score"), ["image", "b_idx"]), "image").where("a_category = b_category").withColumn("iou", iou("a_", "b_")).where(F.col("iou") >= least)
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        gold_, pred_, keep = set(), set(), []
-        order = np.lexsort((group.a_idx, -group.iou, group.b_idx, -group.score)).tolist()
-        a, b = group.a_idx.tolist(), group.b_idx.tolist()
-        for k in order:
-            if a[k] not in gold_ and b[k] not in pred_:
-                gold_.add(a[k])
-                pred_.add(b[k])
-                keep.append(k)
-        return group.iloc[keep][["image", "b_idx"]]
-
-    b_kind = dict(met.dtypes)
-    slim = met.select("image", "a_category", "a_idx", "b_idx", "score", "iou")
-    hit = per_group(slim, ["image", "a_category"], take, f"image {b_kind['image']}, b_idx {b_kind['b_idx']}").withColumnRenamed("b_idx", "idx").withColumn("_hit", F.lit(1))
-    rows = pred.join(hit, ["image", "idx"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
-    order = Window.partitionBy("category").orderBy(F.desc("score"), "image", "idx")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col
+    scored = _named(pred.drop("score"), "b_").join(pred.select("image", c("idx").alias("b_idx"), "score"), ["image", "b_idx"])
+    met = _named(gold, "a_").join(scored, "image").where("a_category = b_category").withColumn("iou", iou("a_", "b_")).where(c("iou") >= least)
+    order = [-c("score"), c("b_idx"), -c("iou")]
+    hit = greedy(met.select("image", "a_category", "a_idx", "b_idx", "score", "iou"), ["image", "a_category"], "a_idx", "b_idx", order).select("image", c("b_idx").alias("idx"), F.lit(1).alias("_hit"))
+    rows = numbered(pred.select("category", "image", "idx", "score"), ["category"], [F.desc("score"), "image", "idx"], "_n")
+    hits = numbered(rows.join(hit, ["image", "idx"]).select("category", "_n"), ["category"], ["_n"], "_tp").withColumns({"_precision": c("_tp") / c("_n"), "_stretch": F.floor((c("_tp") - 1) / step)})
+    later = hits.groupBy("category", "_stretch").agg(F.max("_precision").alias("_m")).withColumn("_after", F.max("_m").over(Window.partitionBy("category").orderBy("_stretch").rowsBetween(1, Window.unboundedFollowing))).drop("_m")
+    own = Window.partitionBy("category", "_stretch").orderBy("_tp").rowsBetween(0, Window.unboundedFollowing)
+    best = hits.withColumn("_own", F.max("_precision").over(own)).join(later, ["category", "_stretch"]).groupBy("category").agg(F.sum(F.greatest("_own", "_after")).alias("_sum"))
     totals = gold.groupBy("category").agg(F.count(F.lit(1)).alias("_total"))
-    curve = rows.withColumns({"_tp": F.sum("_hit").over(run), "_n": F.row_number().over(order)}).join(totals, "category").withColumn("_precision", F.col("_tp") / F.col("_n"))
-    best = curve.withColumn("_best", F.max("_precision").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    ap = best.groupBy("category").agg((F.sum(F.when(F.col("_hit") == 1, F.col("_best")).otherwise(0.0)) / F.max("_total")).alias("ap"))
-    return totals.select("category").join(ap, "category", "left").na.fill(0.0, ["ap"])
+    return totals.join(best, "category", "left").select("category", F.coalesce(c("_sum") / c("_total"), F.lit(0.0)).alias("ap"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions import text
@@ -57,4 +57,4 @@ def multiset(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
 
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
     """Distinct keys in order of their first appearance."""
-    return df.groupBy(key).agg(F.min(order).alias(order)).withColumn("position", F.row_number().over(Window.orderBy(order, key)))
+    return ranking.numbered(df.groupBy(key).agg(F.min(order).alias(order)), [], [order, key], "position")

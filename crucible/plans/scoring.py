@@ -40,14 +40,14 @@ def constitution_match(t: Tables) -> DataFrame:
 def molecules_of(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(predicted, gold) reactions: an order of a customer and the one after it; products come with yields."""
     own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    rows = t.orders.withColumn("_n", F.row_number().over(own) - 1).where("_n < 6").select(S("o_custkey").alias("figure"), (S("_n") / 2).cast("int").alias("idx"), (S("_n") % 2 == 0).alias("_pred"), "o_orderstatus", "o_orderkey", S("o_orderpriority").alias("p"))
+    rows = t.orders.withColumn("_n", F.row_number().over(own) - 1).select(S("o_custkey").alias("figure"), (S("_n") / 2).cast("int").alias("idx"), (S("_n") % 2 == 0).alias("_pred"), "o_orderstatus", "o_orderkey", S("o_orderpriority").alias("p"))
     rows = rows.select("figure", "idx", "_pred", F.array("o_orderstatus").alias("reactants"), F.array(F.struct(S("p").alias("smiles"), (S("o_orderkey") % 3).cast("double").alias("yield_pct"))).alias("products"))
     return rows.where("_pred").drop("_pred"), rows.where("NOT _pred").drop("_pred")
 
 
 GREEDY = """
 WITH RECURSIVE o AS (SELECT o_custkey AS f, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
-r AS (SELECT f, (n - 1) // 2 AS i, n % 2 = 1 AS pred, s, p, k % 3 AS y FROM o WHERE n <= 6),
+r AS (SELECT f, (n - 1) // 2 AS i, n % 2 = 1 AS pred, s, p, k % 3 AS y FROM o),
 c AS (SELECT a.f, a.i AS pi, b.i AS gi, CASE WHEN a.p = b.p THEN 1 ELSE 0 END AS products, CASE WHEN a.s = b.s THEN 1 ELSE 0 END AS reactants, a.y AS py, b.y AS gy FROM r a JOIN r b ON a.f = b.f AND a.pred AND NOT b.pred WHERE a.p = b.p OR a.s = b.s),
 w AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY products * 1e12 + reactants * 1e6 - abs(gi - pi) DESC, pi, gi) AS rank FROM c),
 g AS (SELECT f, 0 AS step, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS gs, CAST(0 AS BIGINT) AS last FROM (SELECT DISTINCT f FROM w)
@@ -114,13 +114,16 @@ def pattern_coverage(t: Tables) -> DataFrame:
     return rounded(metrics.pattern_coverage(fires, rows, ["class"], 0.17), "coverage").select("class", "reactions", "coverage", "enough")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS f, l_linenumber AS i, min(l_quantity) AS q FROM lineitem GROUP BY ALL), p AS (SELECT * FROM l WHERE i = 1), g AS (SELECT * FROM l WHERE i IN (2, 3)), n AS (SELECT f, count(*) AS n FROM g GROUP BY 1),
-m AS (SELECT p.f, max(1 / (1 + abs(p.q - g.q))) AS s FROM p JOIN g USING (f) GROUP BY 1) SELECT f AS figure, round(s / n, 6) AS mean_similarity FROM m JOIN n USING (f)""")
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS f, l_linenumber AS i, min(l_quantity) AS q FROM lineitem GROUP BY ALL),
+c AS (SELECT p.f, p.i AS pi, g.i AS gi, 1 / (1 + abs(p.q - g.q)) AS s FROM l p JOIN l g ON p.f = g.f AND p.i % 2 = 1 AND g.i % 2 = 0), w AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY s DESC, pi, gi) AS rank FROM c),
+g AS (SELECT f, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS gs, CAST(0 AS BIGINT) AS last, 0.0::DOUBLE AS total FROM (SELECT DISTINCT f FROM w)
+  UNION ALL SELECT g.f, list_append(g.ps, w.pi), list_append(g.gs, w.gi), w.rank, g.total + w.s FROM g JOIN w ON w.f = g.f AND w.rank = (SELECT min(v.rank) FROM w v WHERE v.f = g.f AND v.rank > g.last AND NOT list_contains(g.ps, v.pi) AND NOT list_contains(g.gs, v.gi))),
+n AS (SELECT f, greatest(count(*) FILTER (i % 2 = 1), count(*) FILTER (i % 2 = 0)) AS n FROM l GROUP BY 1) SELECT f AS figure, round(max(total) / max(n), 6) AS mean_similarity FROM g JOIN n USING (f) GROUP BY 1""")
 def similarity_alignment(t: Tables) -> DataFrame:
-    """The first line of an order against its second and third: one of them is taken, the nearest in quantity."""
+    """The odd lines of an order against its even ones, aligned by closeness in quantity."""
     line = t.lineitem.groupBy(S("l_orderkey").alias("figure"), S("l_linenumber").alias("i")).agg(F.min("l_quantity").alias("q"))
-    gold = line.where("i IN (2, 3)").select("figure", S("i").alias("gold_idx"), S("q").alias("_g"), F.count(F.lit(1)).over(Window.partitionBy("figure")).alias("n_gold"))
-    pairs = line.where("i = 1").select("figure", S("i").alias("pred_idx"), "q", F.lit(1).alias("n_pred")).join(gold, "figure").withColumn("similarity", 1 / (1 + F.abs(S("q") - S("_g"))))
+    side = lambda odd, i, q, n: line.where(S("i") % 2 == odd).select("figure", S("i").alias(i), S("q").alias(q), F.count(F.lit(1)).over(Window.partitionBy("figure")).alias(n))
+    pairs = side(1, "pred_idx", "_p", "n_pred").join(side(0, "gold_idx", "_g", "n_gold"), "figure").withColumn("similarity", 1 / (1 + F.abs(S("_p") - S("_g"))))
     return rounded(metrics.similarity_alignment(pairs, ["figure"]), "mean_similarity")
 
 
