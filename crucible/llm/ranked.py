@@ -85,8 +85,14 @@ class Index:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The corpus counts, then one pass that writes each document's terms, impacts and sketch to the shared folder."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    counted = docs.select(F.regexp_count(text, F.lit(TERM)).cast("long").alias("n")).where("n > 0")
-    n_docs, n_terms = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.concatenate([np.diff(word_spans(data, offsets, _BREAK)[2]) for _, data, offsets in byte_slices(batch)] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], ["docs", "terms"])
+
+    counted = docs.select(text.alias("_text")).mapInArrow(count, "docs long, terms long")
+    n_docs, n_terms = (int(x or 0) for x in counted.agg(F.sum("docs"), F.sum("terms")).first())
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
