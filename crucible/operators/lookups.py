@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions import text
-from crucible.operators import ranking
+from crucible.operators import fpindex, ranking
 
 
 def resolve_names(df: DataFrame, lexicon: DataFrame, name: str = "name") -> DataFrame:
@@ -22,9 +22,15 @@ def search_product(db: DataFrame, products: DataFrame, key: str = "product_key")
 
 def find_neighbours(queries: DataFrame, db: DataFrame, score: Column, k: int, least: float, mode: str = "tag") -> DataFrame:
     """The k most similar reactions above ``least``: of equal tag, of equal broad tag, or (for a stated query set) of the whole table."""
-    block = {"tag": ["TAG"], "broad": ["TAG2"], "full": []}[mode]
+    block = {"tag": ["TAG"], "broad": ["TAG2"], "scaffold": ["SCAFFOLD"], "full": []}[mode]
     q = queries.select("query_id", "query_fp", *block)
-    return ranking.neighbours(q, db.select("db_id", "fp", *block), block, score, k, least=least).drop("query_fp", "fp", "TAG", "TAG2")
+    return ranking.neighbours(q, db.select("db_id", "fp", *block), block, score, k, least=least).drop("query_fp", "fp", *block)
+
+
+def find_similar(queries: DataFrame, db: DataFrame, k: int, least: float, mode: str = "tag", metric: str = "jaccard") -> DataFrame:
+    """``find_neighbours`` by an index of rare tokens: of equal tag, broad tag or scaffold, or of the whole table. Queries may be a whole table too."""
+    block = {"tag": ["TAG"], "broad": ["TAG2"], "scaffold": ["SCAFFOLD"], "full": []}[mode]
+    return fpindex.search(fpindex.build(db, least, metric, block), queries, k, least)
 
 
 def composition(reactions: DataFrame, slice_: str = "slice") -> tuple[DataFrame, DataFrame]:

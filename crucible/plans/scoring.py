@@ -205,6 +205,36 @@ def find_neighbours_full(t: Tables) -> DataFrame:
     return found(t, "full")
 
 
+def contents(t: Tables) -> DataFrame:
+    """Orders as structures: the suppliers of an order are the set positions of 100, its status is the scaffold."""
+    near = t.lineitem.groupBy("l_orderkey").agg(F.collect_set((S("l_suppkey") % 100).cast("int")).alias("_on"))
+    fp = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.array_contains("_on", k).cast("int"))
+    return near.join(t.orders, S("l_orderkey") == S("o_orderkey")).select(S("l_orderkey").alias("db_id"), fp.alias("fp"), S("o_orderstatus").alias("SCAFFOLD"))
+
+
+def contents_sql(test: str, least: float) -> str:
+    return f"""WITH l AS (SELECT DISTINCT l_orderkey AS i, l_suppkey % 100 AS s FROM lineitem), n AS (SELECT i, count(*) AS n FROM l GROUP BY 1),
+p AS (SELECT a.i AS query_id, b.i AS db_id, count(*) AS c FROM l a JOIN l b ON a.s = b.s AND a.i <> b.i WHERE a.i % 50 = 0 GROUP BY ALL),
+j AS (SELECT query_id, db_id, c / (u.n + v.n - c) AS score FROM p JOIN n u ON u.i = query_id JOIN n v ON v.i = db_id JOIN orders x ON x.o_orderkey = query_id JOIN orders y ON y.o_orderkey = db_id WHERE {test}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, db_id) AS rank FROM j WHERE score > {least}) SELECT query_id, db_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5"""
+
+
+def similar(t: Tables, mode: str, least: float) -> DataFrame:
+    db_ = contents(t)
+    queries = db_.where("db_id % 50 = 0").select(S("db_id").alias("query_id"), S("fp").alias("query_fp"), "SCAFFOLD")
+    return rounded(lookups.find_similar(queries, db_, 5, least, mode).select("query_id", "db_id", *big("rank"), "score"), "score")
+
+
+@query(contents_sql("x.o_orderstatus = y.o_orderstatus", 0.31))
+def search_scaffold(t: Tables) -> DataFrame:
+    return similar(t, "scaffold", 0.31)
+
+
+@query(contents_sql("true", 0.45))
+def search_full(t: Tables) -> DataFrame:
+    return similar(t, "full", 0.45)
+
+
 @query(SEARCH + """z AS (SELECT vec_id, v, (SELECT qv FROM q ORDER BY query_id LIMIT 1) AS qv FROM e), y AS (SELECT vec_id AS id, list_sum(list_transform(range(33, 65), lambda i: CASE WHEN v[i] <> qv[i] THEN 1 ELSE 0 END)) AS d, list_sum(list_transform(range(33, 65), lambda i: CASE WHEN v[i] + qv[i] > 0 THEN 1 ELSE 0 END)) AS u FROM z)
 SELECT id, round(CASE WHEN u = 0 THEN 1 ELSE 1 - d / u END, 6) AS score FROM y WHERE u = 0 OR 1 - d / u >= 0.4""")
 def similar_reactions(t: Tables) -> DataFrame:
