@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from crucible.functions import classes
 from crucible.operators import boxes, hazards, splits, tiers
 from crucible.plans.registry import Tables, big, query, rounded
-from crucible.scratch import scratch_path
-from crucible.streaming import streams
+from crucible.scratch import scratch_path, written
+from crucible.streaming import commits, streams
+
+S = F.col
 
 # --- tiers
 
@@ -320,13 +322,39 @@ def stream_first_wins(t: Tables) -> DataFrame:
     return through(t, streams.first_wins(stream, "user_id", "ts", "10000 days").select("user_id", "event_id"), "append")
 
 
+def landed(t: Tables, files: int = 10) -> tuple[str, DataFrame]:
+    """(folder, stream) of the events, in files that land one after the other by time, one a micro-batch; every file holds rows of most users."""
+    path = scratch_path(t.spark, "once")
+    rows = t.events.select("event_id", "user_id", "event_type", "ts")
+    part = written(rows.repartitionByRange(files, "ts", "event_id").withColumn("_k", F.spark_partition_id() + 1), "landing")
+    for k in range(1, files + 1):
+        part.where(S("_k") == k).drop("_k").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return path, t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
 @query("SELECT event_id, event_type FROM events")
 def stream_write_once(t: Tables) -> DataFrame:
-    """The same events through two queries onto one table: the second changes nothing."""
-    path = scratch_path(t.spark, "once")
-    for k in range(2):
-        streams.write_once(event_stream(t).select("event_id", "event_type"), f"{path}/out", "event_type", f"{path}/checkpoint-{k}").awaitTermination()
-    return t.spark.read.parquet(f"{path}/out").select("event_id", "event_type")
+    """Ten micro-batches onto one table, one of them committed twice and one that dies before its commit; then compacted in part."""
+    path, stream = landed(t)
+
+    def put(batch: DataFrame, number: int) -> None:
+        if number == 5:
+            batch.write.parquet(f"{path}/out/data/w-{number:012d}-dead")
+        for _ in range(2 if number == 3 else 1):
+            commits.commit(batch, number, f"{path}/out", "w")
+        if number == 6:
+            commits.compact(t.spark, f"{path}/out", stream.schema)
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return commits.read_committed(t.spark, f"{path}/out", stream.schema).select("event_id", "event_type")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, CAST(strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS VARCHAR) AS ts FROM events GROUP BY user_id")
+def stream_upsert(t: Tables) -> DataFrame:
+    """The last event of each user, by upserts of ten micro-batches."""
+    path, stream = landed(t)
+    commits.write_once(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return commits.read_committed(t.spark, f"{path}/out", stream.schema, ["user_id"], [S("ts").desc(), S("event_id").desc()]).select("user_id", "event_id", clock("ts"))
 
 
 @query("""WITH r AS (SELECT event_id % 97 AS run, count(*) AS n FROM events GROUP BY 1) SELECT CAST(run AS VARCHAR) AS run, 'steps' AS alert, n AS steps FROM r WHERE n > 8""")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crucible import schemas
 from crucible.operators import rollup
-from crucible.sources.writers import replace_partition
+from crucible.streaming.commits import write_once  # noqa: F401  streams are written by it
 
 
 def sidecar_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -43,11 +43,6 @@ def session_counts(events: DataFrame, time: str, by: list[str], gap: str, late:
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
 
 
-def write_once(stream: DataFrame, path: str, column: str, checkpoint: str):
-    """Each batch replaces the partitions of ``column`` that it holds: a batch that runs again changes nothing."""
-    return stream.writeStream.foreachBatch(lambda batch, _: replace_partition(batch, path, column)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def stuck_runs(events: DataFrame, run: str, time: str, kind: str, steps: int = 16, minutes: int = 30) -> DataFrame:
     """(run, alert, steps): runs over ``steps`` events, or without a ``done`` event ``minutes`` after their last one by event time."""
 

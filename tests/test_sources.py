@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crucible import schemas
 from crucible.operators import graph, ranking, rollup, tiers
 from crucible.sources import readers, writers
-from crucible.streaming import streams
+from crucible.streaming import commits, streams
 
 
 def put(path, text):
@@ -141,11 +141,31 @@ def test_stuck_runs(spark, tmp_path):
     assert [(r.run, r.alert, r.steps) for r in out.collect()] == [("many", "steps", 6)]
 
 
-def test_write_once_twice(spark, tmp_path):
-    stream = events(spark, tmp_path, [("a", at(0), "x"), ("b", at(1), "y")])
-    for k in range(2):
-        streams.write_once(stream, str(tmp_path / "o"), "run", str(tmp_path / f"c{k}")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+def test_write_once_over_many_batches(spark, tmp_path):
+    """Files of shared keys, one a batch; a second writer; a batch that is committed again; a dead one; by key; compacted."""
+    out, kind = str(tmp_path / "o"), "run string, n long"
+    for k in range(4):
+        spark.createDataFrame([("a", k), (f"r{k}", k)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    schema = stream.schema
+    assert commits.read_committed(spark, out, schema).count() == 0
+    streams.write_once(stream, out, str(tmp_path / "c0")).awaitTermination()
+    rows = lambda **k: sorted(map(tuple, commits.read_committed(spark, out, schema, **k).collect()))
+    want = sorted([("a", k) for k in range(4)] + [(f"r{k}", k) for k in range(4)])
+    assert rows() == want and len(commits.commits(spark, out)) == 4
+    streams.write_once(stream, out, str(tmp_path / "c0")).awaitTermination()  # the same checkpoint: nothing is new
+    assert rows() == want
+    writer = commits.commits(spark, out)[0]["writer"]
+    again = spark.read.schema(schema).parquet(f"{out}/{commits.commits(spark, out)[2]['folder']}")
+    commits.commit(again, 2, out, writer)
+    again.write.parquet(f"{out}/data/{writer}-000000000009-dead")
+    assert rows() == want
+    assert rows(key=["run"]) == [("a", 3), *((f"r{k}", k) for k in range(4))]
+    assert commits.sweep(spark, out) == 2 and rows() == want
+    commits.compact(spark, out, schema, ["run"])
+    assert len(commits.commits(spark, out)) == 1 and rows() == [("a", 3), *((f"r{k}", k) for k in range(4))]
+    commits.commit(spark.createDataFrame([("a", 9)], kind), 4, out, writer)
+    assert rows(key=["run"])[0] == ("a", 9) and len(rows()) == 6
 
 
 def test_graph(spark):
