@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions import similarity
+from crucible.operators import knn
 from crucible.scratch import written
 
 
@@ -95,28 +96,13 @@ def first_accepted(neighbours_: DataFrame, accepted: Column) -> DataFrame:
 def nearest(points: DataFrame, key: str, columns: list[str], n: int, bucket: int = 2000) -> DataFrame:
     """The n nearest other rows by Euclidean distance over ``columns``; a row is never its own neighbour. Rows with a null there have none.
 
-    Rows are cut into buckets of about ``bucket`` rows along the first column. The n-th distance within its own bucket bounds a row's
-    search: only buckets that reach into that distance along the column are met, so no pair of far rows is formed and none near is missed.
+    All columns count in the index (``knn``): rows lie in lists of about ``bucket`` rows around pivots, and of these only what the triangle
+    inequality can't exclude is met, so no pair of far rows is formed and none near is missed. Keys must be distinct.
     """
-    whole = points.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])).select(key, *columns)
-    size = whole.count()
-    cuts = max(0, -(-size // bucket) - 1)
-    edges = sorted(set(whole.approxQuantile(columns[0], [(k + 1) / (cuts + 1) for k in range(cuts)], 0.001))) if cuts else []
-    place = lambda x: F.array_size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e < x)) if edges else F.lit(0)
-    right = written(whole.select(F.col(key).alias("other"), *[F.col(c).cast("double").alias(f"_b_{c}") for c in columns], place(F.col(columns[0]).cast("double")).alias("_bucket")), "buckets")
-    left = right.select(F.col("other").alias(key), *[F.col(f"_b_{c}").alias(f"_a_{c}") for c in columns], "_bucket")
-    distance = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"_a_{c}") - F.col(f"_b_{c}")) ** 2 for c in columns]))
-
-    def met(side: DataFrame) -> DataFrame:
-        return top(side.join(right, "_bucket").where(F.col(key) != F.col("other")).withColumn("distance", distance).select(key, "other", "distance"), [key], [F.col("distance"), F.col("other")], n)
-
-    if not edges:
-        return met(left)
-    reach = met(left).groupBy(key).agg(F.max("distance").alias("_r"), F.count(F.lit(1)).alias("_k"))
-    far = F.when(F.col("_k") == n, F.col("_r")).otherwise(float("inf"))
-    x = F.col(f"_a_{columns[0]}")
-    wide = left.join(reach, key, "left").withColumn("_r", F.coalesce(far, F.lit(float("inf"))))
-    return met(wide.withColumn("_bucket", F.explode(F.sequence(place(x - F.col("_r")), place(x + F.col("_r"))))).drop("_r", "_k"))
+    whole = points.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])).select(F.col(key).alias("db_id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("vec"))
+    index = knn.build(whole, "euclidean", bucket)
+    found = knn.search(index, whole.select(F.col("db_id").alias("query_id"), "vec"), n, itself=False)
+    return found.select(F.col("query_id").alias(key), F.col("db_id").alias("other"), "distance", (F.col("rank") + 1).alias("rank"))
 
 
 def closest(candidates: DataFrame, by: list[str], score: str, order: str, least: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions import molecules, similarity
-from crucible.operators import graph, ranking, reactiondb, reshape, rollup
+from crucible.operators import graph, knn, ranking, reactiondb, reshape, rollup
 from crucible.plans.registry import Tables, big, query, rounded
 
 # --- costs: a user's events are a run, its type the model or agent
@@ -192,6 +192,39 @@ def knn_hamming(t: Tables) -> DataFrame:
     return ranking.nearest_hamming(db.where("db_id % 50 = 0").select(F.col("db_id").alias("query_id"), "bits"), db, 5).select("query_id", "db_id", *big("distance", "rank"))
 
 
+def words(t: Tables) -> DataFrame:
+    """Signs of vectors packed in a word, with their label."""
+    word = F.aggregate(F.zip_with("embedding", F.sequence(F.lit(0), F.lit(63)), lambda x, k: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return t.embeddings.select(F.col("vec_id").alias("db_id"), "label", F.array(word).alias("vec"))
+
+
+NEAR_BITS = f"""WITH e AS ({BITS}), q AS (SELECT vec_id AS query_id, v AS a FROM e WHERE vec_id % 50 = 0), s AS (SELECT query_id, e.vec_id AS db_id, label, list_sum(list_transform(range(1, 65), lambda i: abs(a[i] - v[i]))) AS distance FROM q JOIN e ON query_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, db_id) - 1 AS rank FROM s), k AS (SELECT * FROM r WHERE rank < 10)"""
+
+
+@query(NEAR_BITS + " SELECT query_id, db_id, round(distance, 6) AS distance, rank FROM k")
+def knn_index_hamming(t: Tables) -> DataFrame:
+    w = words(t)
+    index = knn.build(w, "hamming", 64, carry=["label"])
+    return rounded(knn.search(index, w.where("db_id % 50 = 0").select(F.col("db_id").alias("query_id"), "vec"), 10, itself=False).select("query_id", "db_id", "distance", *big("rank")), "distance")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS db_id, list_distance(a::DOUBLE[], embedding::DOUBLE[]) AS distance FROM q JOIN embeddings ON query_id <> vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, db_id) - 1 AS rank FROM s) SELECT query_id, db_id, round(distance, 6) AS distance, rank FROM r WHERE rank < 5""")
+def knn_index_euclid(t: Tables) -> DataFrame:
+    v = t.embeddings.select(F.col("vec_id").alias("db_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    found = knn.search(knn.build(v, "euclidean", 64), v.where("db_id % 50 = 0").select(F.col("db_id").alias("query_id"), "vec"), 5, itself=False)
+    return rounded(found.select("query_id", "db_id", "distance", *big("rank")), "distance")
+
+
+@query(NEAR_BITS + """, o AS (SELECT query_id, label, min(rank) AS rank FROM k WHERE label IS NOT NULL GROUP BY ALL) SELECT query_id, arg_min(label, rank) AS label, min(rank) AS rank FROM o WHERE (query_id + label) % 3 = 0 GROUP BY query_id""")
+def first_accepted(t: Tables) -> DataFrame:
+    """The first label of the ten nearest that a rule accepts, and its raw rank."""
+    w = words(t)
+    near = knn.search(knn.build(w, "hamming", 64, carry=["label"]), w.where("db_id % 50 = 0").select(F.col("db_id").alias("query_id"), "vec"), 10, itself=False)
+    return ranking.first_accepted(near.where("label IS NOT NULL"), (F.col("query_id") + F.col("label")) % 3 == 0).select("query_id", "label", *big("rank"))
+
+
 # --- the reaction database: an order is a reaction, its flags and states are its conditions
 
 
