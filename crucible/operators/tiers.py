@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions import classes
+from crucible.operators.ranking import numbered
 from crucible.scratch import written
 
 
@@ -168,9 +169,9 @@ def categorize_fps(pairs: DataFrame) -> DataFrame:
 
 
 def precedence(edges: DataFrame) -> DataFrame:
-    """Classes by net weight of false positives: those that others fire on most come first. The first greedy step of an order only."""
+    """Classes by net weight of false positives: those that others fire on most come first. ``ordering.class_order`` avoids no less."""
     net = edges.select(F.col("true_class").alias("class"), F.col("weight").alias("_w")).union(edges.select("pattern_class", -F.col("weight"))).groupBy("class").agg(F.sum("_w").alias("net"))
-    return net.withColumn("position", F.row_number().over(Window.orderBy(F.desc("net"), "class")))
+    return numbered(net, [], [F.desc("net"), "class"], "position")
 
 
 def order_stats(edges: DataFrame, order: DataFrame) -> DataFrame:

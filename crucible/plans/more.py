@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions import classes, text
-from crucible.operators import boxes, hazards, lookups, ranking, reactiondb, reshape, rollup, splits, tiers
+from crucible.operators import boxes, hazards, lookups, ordering, ranking, reactiondb, reshape, rollup, splits, tiers
 from crucible.plans.hierarchy import BOXES, CODED, COUNTS, PAIRED, coded, hashed, line_boxes, predicted
 from crucible.plans.registry import Tables, big, query, rounded
 
+S = F.col
+
 # --- lookups and sets
 
 
@@ -125,6 +127,28 @@ def order_stats(t: Tables) -> DataFrame:
     return rounded(tiers.order_stats(edges, tiers.precedence(edges)), "share").select(*big("weight", "avoided"), "share")
 
 
+REACH = FPS + "t AS (SELECT truth AS a, predicted AS b FROM f UNION SELECT r.a, f.predicted FROM t r JOIN f ON r.b = f.truth), k AS (SELECT DISTINCT c FROM n), y AS (SELECT k.c, coalesce(max(u.b), k.c) AS top FROM k LEFT JOIN t u ON u.a = k.c AND EXISTS (SELECT 1 FROM t v WHERE v.a = u.b AND v.b = k.c) GROUP BY k.c)"
+
+
+@query(REACH.replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT c AS class, greatest(top, c) AS component FROM y")
+def strong_classes(t: Tables) -> DataFrame:
+    """Classes that misfire on each other, directly or through others."""
+    edges = false_positives(t)
+    return ordering.strong_components(edges.select(F.col("true_class").alias("a"), F.col("pattern_class").alias("b"))).select(F.col("node").alias("class"), "component")
+
+
+@query(REACH.replace("WITH ", "WITH RECURSIVE ", 1) + """ SELECT CAST(sum(w) AS BIGINT) AS weight, CAST(sum(CASE WHEN x.top <> z.top THEN w ELSE 0 END) AS BIGINT) AS across, true AS as_good_as_net FROM f JOIN y x ON f.truth = x.c JOIN y z ON f.predicted = z.c""")
+def class_order(t: Tables) -> DataFrame:
+    """What the whole order avoids: all weight between components, and no less than the order by net weight."""
+    edges = false_positives(t)
+    order = ordering.class_order(edges)
+    own, net = ordering.avoided(edges, order), ordering.avoided(edges, tiers.precedence(edges))
+    at = lambda c, name: order.select(S("class").alias(c), S("component").alias(name))
+    across = edges.join(at("true_class", "_x"), "true_class").join(at("pattern_class", "_y"), "pattern_class").agg(F.sum(F.when(S("_x") != S("_y"), S("weight")).otherwise(0)).alias("across"))
+    both = own.join(F.broadcast(net.select(S("avoided").alias("_net")))).join(F.broadcast(across))  # one row each
+    return both.select(*big("weight", "across"), ((S("avoided") >= S("_net")) & (S("avoided") >= S("across"))).alias("as_good_as_net"))
+
+
 @query(CODED + "s AS (SELECT template, min(o_orderkey) AS k, count(*) AS count FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY length(code), o_orderkey) AS n FROM c) GROUP BY 1), e AS (SELECT template, code AS example FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY length(code), o_orderkey) AS n FROM c) WHERE n = 1) SELECT template, example, count FROM e JOIN s USING (template)")
 def shortest_example(t: Tables) -> DataFrame:
     return tiers.shortest_example(coded(t), "template", "code", "o_orderkey")
