@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions import classes, text
-from crucible.operators import boxes, hazards, lookups, ordering, ranking, reactiondb, reshape, rollup, splits, tiers
+from crucible.operators import boxes, hazards, lookups, ordering, ranking, reactiondb, reshape, rollup, routes, splits, tiers
 from crucible.plans.hierarchy import BOXES, CODED, COUNTS, PAIRED, coded, hashed, line_boxes, predicted
 from crucible.plans.registry import Tables, big, query, rounded
 
@@ -149,6 +149,45 @@ def class_order(t: Tables) -> DataFrame:
     return both.select(*big("weight", "across"), ((S("avoided") >= S("_net")) & (S("avoided") >= S("across"))).alias("as_good_as_net"))
 
 
+# --- routes: a line makes a molecule from two others; small parts are for sale
+
+DEPTH = 3
+ROUTES = """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS reaction, min(l_partkey) % 997 AS product, min(l_suppkey) * 13 % 997 AS x, l_orderkey % 997 AS y, min(l_quantity) AS cost FROM lineitem GROUP BY l_orderkey, l_linenumber),
+g AS (SELECT reaction, product, cost, CASE WHEN x = y THEN 1 ELSE 2 END AS n, x AS m FROM r UNION SELECT reaction, product, cost, CASE WHEN x = y THEN 1 ELSE 2 END, y FROM r),
+c0 AS (SELECT p_partkey % 997 AS m, CAST(min(p_size) AS DOUBLE) AS c FROM part WHERE p_size <= 5 GROUP BY 1)""" + "".join(f""",
+w{d} AS (SELECT g.reaction, g.product, g.cost + sum(s.c) AS total FROM g JOIN c{d - 1} s USING (m) GROUP BY g.reaction, g.product, g.cost, g.n HAVING count(*) = g.n),
+c{d} AS (SELECT m, min(c) AS c FROM (SELECT m, c FROM c{d - 1} UNION ALL SELECT product, total FROM w{d}) GROUP BY m)""" for d in range(1, DEPTH + 1))
+
+
+def hyperedges(t: Tables) -> tuple[DataFrame, DataFrame]:
+    r = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg((F.min("l_partkey") % 997).alias("product"), (F.min("l_suppkey") * 13 % 997).alias("_x"), F.min("l_quantity").alias("cost"))
+    r = r.select((S("l_orderkey") * 10 + S("l_linenumber")).alias("reaction"), "product", F.array("_x", S("l_orderkey") % 997).alias("reactants"), "cost")
+    return r, t.part.where("p_size <= 5").select((S("p_partkey") % 997).alias("molecule"), S("p_size").alias("price"))
+
+
+@query(ROUTES + f" SELECT CAST(m AS BIGINT) AS molecule, round(c, 2) AS cost FROM c{DEPTH}")
+def least_costs(t: Tables) -> DataFrame:
+    return rounded(routes.at_depth(routes.least_costs(*hyperedges(t), DEPTH), DEPTH).select(*big("molecule"), "cost"), "cost", digits=2)
+
+
+@query(ROUTES + f", k AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY total, reaction) AS way FROM w{DEPTH}) SELECT CAST(product AS BIGINT) AS target, way, CAST(reaction AS BIGINT) AS reaction, round(total, 2) AS cost FROM k WHERE way <= 3")
+def best_ways(t: Tables) -> DataFrame:
+    """The three cheapest last reactions of every molecule."""
+    r, prices = hyperedges(t)
+    out = routes.best_ways(r, routes.least_costs(r, prices, DEPTH - 1), r.select(S("product").alias("molecule")), 3, DEPTH)
+    return rounded(out.select(*big("target", "way", "reaction"), "cost"), "cost", digits=2)
+
+
+@query(ROUTES + f", k AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY total, reaction) AS way FROM w{DEPTH}) SELECT CAST(product AS BIGINT) AS target, way, round(total, 2) AS cost FROM k WHERE way <= 2")
+def route_costs(t: Tables) -> DataFrame:
+    """What the steps and leaves of the two best ways of each molecule cost together: their trees, unfolded and added up."""
+    r, prices = hyperedges(t)
+    steps = routes.routes(r, prices, r.select(S("product").alias("molecule")), 2, DEPTH)
+    own = steps.join(r.select("reaction", "cost"), "reaction").select("target", "way", "cost")
+    bought = steps.select("target", "way", F.explode("leaves").alias("molecule")).join(prices.groupBy("molecule").agg(F.min("price").alias("cost")), "molecule").select("target", "way", S("cost").cast("double"))
+    return rounded(own.select("target", "way", S("cost").cast("double")).union(bought).groupBy("target", "way").agg(F.sum("cost").alias("cost")).select(*big("target", "way"), "cost"), "cost", digits=2)
+
+
 @query(CODED + "s AS (SELECT template, min(o_orderkey) AS k, count(*) AS count FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY length(code), o_orderkey) AS n FROM c) GROUP BY 1), e AS (SELECT template, code AS example FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY length(code), o_orderkey) AS n FROM c) WHERE n = 1) SELECT template, example, count FROM e JOIN s USING (template)")
 def shortest_example(t: Tables) -> DataFrame:
     return tiers.shortest_example(coded(t), "template", "code", "o_orderkey")
