@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions import text
-from crucible.operators import fpindex, ranking
+from crucible.operators import containment, fpindex, ranking
 
 
 def resolve_names(df: DataFrame, lexicon: DataFrame, name: str = "name") -> DataFrame:
@@ -47,7 +47,7 @@ def item_counts(df: DataFrame, by: list[str], items: str, name: str = "item") ->
 
 def trend(series: DataFrame, categories: DataFrame, first: int = 1990, end: int = 2026) -> DataFrame:
     """Yearly sums by category from (year, series, value) and (prefix, category); years from ``first`` up to, not with, ``end``."""
-    met = series.join(categories, F.startswith("series", F.col("prefix")))
+    met = series.join(containment.beginning(series, "series", categories, "prefix"), "series").join(categories, "prefix")
     return met.where((F.col("year") >= first) & (F.col("year") < end)).groupBy("year", "category").agg(F.sum("value").alias("value"))
 
 

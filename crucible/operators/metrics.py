@@ -79,6 +79,12 @@ def soft_match(pred: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
     return multiset_match(keyed(pred), keyed(gold), by, "_key")
 
 
+def side_match(pred: DataFrame, gold: DataFrame, by: list[str], side: str) -> DataFrame:
+    """Reactions with equal sets on one side alone, ``reactants`` or ``products``, one-to-one."""
+    keyed = lambda df: df.withColumn("_key", signature(F.col(side)))
+    return multiset_match(keyed(pred), keyed(gold), by, "_key")
+
+
 def constitution_match(pred: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
     """Soft match with stereo marks removed."""
     flat = lambda df: df.withColumns({c: F.transform(c, molecules.without_stereo) for c in ("reactants", "products")})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions import text
+from crucible.operators.containment import holding
 from crucible.operators.ranking import numbered
 
 
@@ -78,13 +79,13 @@ def usage_by_agent(messages: DataFrame, *by: str) -> DataFrame:
 def price_join(runs: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
     """Runs with the price of their model: the same name, else the first by ``ord`` that contains it or is contained in it, in lower case.
 
-    Containment is a theta join, so it runs over distinct models only.
+    Names that hold one another are found by equi-joins on their pieces (``containment.holding``), over distinct models.
     """
-    names = runs.select(model).where(F.col(model).isNotNull()).distinct()
-    a, b = F.lower(model), F.lower("_priced")
-    p = prices.select(F.col("model").alias("_priced"), "input_per_m", "output_per_m", "ord")
+    names = runs.select(model, F.lower(model).alias("_a")).where(F.col(model).isNotNull()).distinct()
+    p = prices.select(F.col("model").alias("_priced"), F.lower("model").alias("_b"), "input_per_m", "output_per_m", "ord")
     exact = F.col(model) == F.col("_priced")
-    met = names.join(p, exact | F.contains(a, b) | F.contains(b, a))
+    pairs = holding(names, "_a", p, "_b").select("_a", "_b").union(holding(p, "_b", names, "_a").select("_a", "_b")).distinct()
+    met = names.join(pairs, "_a").join(p, "_b")
     best = met.groupBy(model).agg(F.min_by(F.struct(F.col("_priced").alias("priced_as"), "input_per_m", "output_per_m"), F.struct((~exact).alias("a"), F.col("ord"))).alias("_p")).select(model, "_p.*")
     return runs.join(best, model, "left")
 

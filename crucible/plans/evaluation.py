@@ -83,6 +83,30 @@ def exact_match(t: Tables) -> DataFrame:
     return counted(metrics.multiset_match(rows.where("o_orderpriority = '1-URGENT'"), rows.where("o_orderpriority = '5-LOW'"), ["segment"], "o_orderstatus"), "segment")
 
 
+def side_sql(key: str) -> str:
+    return f"""WITH l AS (SELECT l_orderkey AS i, string_agg(DISTINCT l_partkey % 5, ',' ORDER BY l_partkey % 5) AS parts, count(DISTINCT l_returnflag) AS kinds FROM lineitem GROUP BY 1),
+r AS (SELECT c_nationkey AS nation, {key} AS k, o_orderpriority AS p FROM orders JOIN l ON i = o_orderkey JOIN customer ON o_custkey = c_custkey),
+b AS (SELECT nation, k, count(*) FILTER (p = '1-URGENT') AS p, count(*) FILTER (p = '2-HIGH') AS g FROM r WHERE p IN ('1-URGENT', '2-HIGH') GROUP BY ALL),
+s AS (SELECT nation, CAST(sum(least(p, g)) AS BIGINT) AS matched, CAST(sum(p) AS BIGINT) AS n_pred, CAST(sum(g) AS BIGINT) AS n_gold FROM b GROUP BY 1) SELECT nation, matched, n_pred, n_gold, {PRF} FROM s"""
+
+
+def sides(t: Tables, priority: str) -> DataFrame:
+    """Orders as reactions: reactants are kinds of their parts, the product is how many flags their lines have."""
+    line = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set((F.col("l_partkey") % 5).cast("string"))).alias("reactants"), F.array(F.countDistinct("l_returnflag").cast("string")).alias("products"))
+    orders = t.orders.where(F.col("o_orderpriority") == priority).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("c_nationkey").alias("nation"), F.col("l_orderkey").alias("idx"), "reactants", "products")
+
+
+@query(side_sql("parts"))
+def reactant_match(t: Tables) -> DataFrame:
+    return counted(metrics.side_match(sides(t, "1-URGENT"), sides(t, "2-HIGH"), ["nation"], "reactants"), "nation")
+
+
+@query(side_sql("kinds"))
+def product_match(t: Tables) -> DataFrame:
+    return counted(metrics.side_match(sides(t, "1-URGENT"), sides(t, "2-HIGH"), ["nation"], "products"), "nation")
+
+
 def conditions(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Events as conditions of a user: the type is the role, the property the text; those of even ids are predicted."""
     rows = t.events.select("user_id", F.col("event_id").alias("idx"), F.col("event_type").alias("role"), F.concat(F.lit("K  "), F.get_json_object("props", "$.k")).alias("text"), F.lit("").alias("smiles"))

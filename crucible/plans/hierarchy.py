@@ -107,6 +107,14 @@ def expand_classes(t: Tables) -> DataFrame:
     return tiers.expand_classes(c.select(F.concat(classes.at_tier("code", 1), F.lit(".*")).alias("spec")).distinct(), known)
 
 
+@query(CODED + "s AS (SELECT DISTINCT t1 || '.**' AS spec, t1 FROM c), k AS (SELECT DISTINCT t2 AS class, t1 FROM c UNION SELECT code, t1 FROM c) SELECT DISTINCT spec, class FROM s JOIN k USING (t1) WHERE class <> t1")
+def expand_below(t: Tables) -> DataFrame:
+    """All classes below each first tier."""
+    c = coded(t)
+    known = c.select(F.col("code").alias("class")).union(c.select(classes.at_tier("code", 2))).union(c.select(classes.at_tier("code", 1))).distinct()
+    return tiers.expand_classes(c.select(F.concat(classes.at_tier("code", 1), F.lit(".**")).alias("spec")).distinct(), known)
+
+
 # --- splits: the hash is arithmetic, so SQL repeats it
 
 

@@ -288,14 +288,26 @@ def extracted(t: Tables) -> DataFrame:
 EXTRACTED = "WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),"
 
 
-@query(EXTRACTED + """x AS (SELECT k, s, p, CASE WHEN k % 3 = 1 THEN NULL ELSE unnest(['2a', '2b']) END AS label FROM o), y AS (SELECT DISTINCT k, s, p, label FROM x)
+FLAT_SQL = EXTRACTED + """x AS (SELECT k, s, p, CASE WHEN k % 3 = 1 THEN NULL ELSE unnest(['2a', '2b']) END AS label FROM o), y AS (SELECT DISTINCT k, s, p, label FROM x)
 SELECT 'f' || k AS source_image, CAST(k AS VARCHAR) AS entry_id, CASE WHEN k % 2 = 0 THEN 't' ELSE '' END AS reaction_title, s || CASE WHEN k % 2 = 0 THEN ' (2 eq)' ELSE '' END || CASE WHEN k % 3 = 0 THEN ': C' ELSE '' END || '; acid' AS reactants,
 p || ' (5%, ' || CASE WHEN k % 4 = 0 THEN 'Catalyst' ELSE 'base' END || ')' AS reagents, 'water' AS solvent, coalesce(label, '') AS product_label, CASE WHEN label IS NULL THEN '' ELSE 'CO' END AS product_smiles,
-CASE WHEN label = '2a' AND k % 2 = 0 THEN CAST(k % 100 AS DOUBLE) WHEN label = '2b' THEN k % 100 + 0.5 END AS yield_pct FROM y""")
+CASE WHEN label = '2a' AND k % 2 = 0 THEN CAST(k % 100 AS DOUBLE) WHEN label = '2b' THEN k % 100 + 0.5 END AS yield_pct FROM y"""
+
+
+@query(FLAT_SQL)
 def flatten_products(t: Tables) -> DataFrame:
     return reshape.flatten_products(extracted(t)).select("source_image", "entry_id", "reaction_title", "reactants", "reagents", "solvent", "product_label", "product_smiles", "yield_pct")
 
 
+@query(f"WITH f AS ({FLAT_SQL}) SELECT source_image, nullif(entry_id, '') AS entry_id, nullif(reactants, '') AS reactants, nullif(product_label, '') AS product_label, nullif(product_smiles, '') AS product_smiles, yield_pct, '{','.join(schemas.FLAT_COLUMNS)}' AS header FROM f")
+def flat_csv(t: Tables) -> DataFrame:
+    """The flat product table, written as CSV and read back, with its header; empty cells are null."""
+    path = scratch_path(t.spark, "flat")
+    writers.write_flat_csv(reshape.flatten_products(extracted(t)), path)
+    got = t.spark.read.csv(path, header=True, escape='"')
+    return got.select("source_image", "entry_id", "reactants", "product_label", "product_smiles", S("yield_pct").cast("double").alias("yield_pct"), F.lit(",".join(got.columns)).alias("header"))
+
+
 @query(EXTRACTED + """y AS (SELECT k, s, p, CASE WHEN label = '2a' THEN CASE WHEN k % 2 = 0 THEN CAST(k % 100 AS VARCHAR) END ELSE k % 100 || '.5' END AS v, label FROM (SELECT *, unnest(['2a', '2b']) AS label FROM o) WHERE k % 3 <> 1),
 z AS (SELECT k, string_agg('; yield: ' || v || ' %', '' ORDER BY label) AS y FROM y WHERE v IS NOT NULL GROUP BY 1)
 SELECT 'f' || k AS stem, '0_1' AS reaction_id, s || '=' || CASE WHEN k % 3 = 0 THEN 'C' ELSE '' END || ',=' AS reactants, CASE WHEN k % 4 = 0 THEN 'catalyst' ELSE 'reagent' END || ': ' || p || CASE WHEN k % 5 = 0 THEN '; temperature: rt' ELSE '' END || '; time: 2 h; solvent: water' || CASE WHEN k % 7 = 0 THEN '; reagent: dark' ELSE '' END || coalesce(y, '') AS conditions,
