@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions import molecules, text
+from crucible.operators import structures
 from crucible.operators.assign import assign
 from crucible.schemas import ROLES
+from crucible.scratch import written
 
 
 def f1(precision: Column, recall: Column) -> Column:
@@ -278,16 +280,12 @@ def reaction_issues(reactions: DataFrame) -> DataFrame:
     return reactions.withColumn("issues", F.array_compact(issues))
 
 
-def composition_distance(pred: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
-    """Mean difference of element counts between reactions assigned at least total distance; unmatched ones count their whole size.
-
-    Not a graph edit distance: structures that differ only in their bonds are at distance 0.
-    """
-    def counted(df: DataFrame, i: str) -> DataFrame:
-        m = molecules.merged_counts(F.transform(F.concat("reactants", "products"), molecules.atom_counts))
-        return df.select(*by, F.col("idx").alias(i), m.alias("_m")).withColumn(f"_n{i}", F.aggregate(F.map_values("_m"), F.lit(0), lambda a, x: a + x))
+def _assigned_distance(pred: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """Mean distance of count maps (by, idx, _m) assigned one-to-one at least total distance; unmatched ones count their whole size."""
+    def sized(df: DataFrame, i: str) -> DataFrame:
+        return df.select(*by, F.col("idx").alias(i), "_m", F.aggregate(F.map_values("_m"), F.lit(0), lambda a, x: a + x).alias(f"_n{i}"))
 
-    p, g = counted(pred, "pred_idx"), counted(gold, "gold_idx").withColumnRenamed("_m", "_mg")
+    p, g = sized(pred, "pred_idx"), sized(gold, "gold_idx").withColumnRenamed("_m", "_mg")
     pairs = p.join(g, by).withColumn("distance", F.aggregate(F.map_values(molecules.count_difference("_m", "_mg")), F.lit(0), lambda a, x: a + F.abs(x)).cast("double"))
     gain = F.col("_npred_idx") + F.col("_ngold_idx") - F.col("distance")  # what the pair saves against both unmatched
     chosen = assign(pairs.withColumn("_gain", gain.cast("double")).where("_gain > 0"), by, "pred_idx", "gold_idx", "_gain")
@@ -297,6 +295,33 @@ def composition_distance(pred: DataFrame, gold: DataFrame, by: list[str]) -> Dat
     return out.select(*by, "n_pred", "n_gold", ((F.col("_whole") - F.col("_saved")) / F.greatest("n_pred", "n_gold")).alias("distance"))
 
 
+def composition_distance(pred: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """Mean difference of element counts between reactions assigned at least total distance; unmatched ones count their whole size.
+
+    Structures that differ only in their bonds are at distance 0; ``structure_distance`` tells them apart.
+    """
+    counted = lambda df: df.select(*by, "idx", molecules.merged_counts(F.transform(F.concat("reactants", "products"), molecules.atom_counts)).alias("_m"))
+    return _assigned_distance(counted(pred), counted(gold), by)
+
+
+def structure_distance(pred: DataFrame, gold: DataFrame, by: list[str], rounds: int = 3) -> DataFrame:
+    """``composition_distance`` on refined colours of atoms (``structures.colours``), averaged over the rounds.
+
+    0 where the reactions hold equal graphs, however written; structures that can't be read count nothing. Colours are found once for each
+    distinct structure of both tables.
+    """
+    spread = lambda df: df.select(*by, "idx", F.explode_outer(F.concat("reactants", "products")).alias("structure"))
+    rows = [written(spread(df), "reaction-structures") for df in (pred, gold)]
+    known = written(structures.features(rows[0].select("structure").union(rows[1].select("structure")), rounds=rounds), "structure-features")
+
+    def counted(df: DataFrame) -> DataFrame:
+        each = df.join(known, "structure", "left").select(*by, "idx", F.explode_outer("features").alias("_k", "_n")).groupBy(*by, "idx", "_k").agg(F.sum("_n").cast("int").alias("_n"))
+        entry = F.when(F.col("_k").isNotNull(), F.struct(F.col("_k"), F.col("_n")))
+        return each.groupBy(*by, "idx").agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
+
+    return _assigned_distance(counted(rows[0]), counted(rows[1]), by).withColumn("distance", F.col("distance") / (rounds + 1))
+
+
 def similarity_alignment(pairs: DataFrame, by: list[str], n_pred: str = "n_pred", n_gold: str = "n_gold", score: str = "similarity") -> DataFrame:
     """Mean similarity of molecules aligned greedily by it, over the greater number of molecules; ``pairs``: (pred_idx, gold_idx, score, counts)."""
     chosen = assign(pairs, by, "pred_idx", "gold_idx", score, optimal=False)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crucible.functions import molecules, similarity, text
-from crucible.operators import assign, boxes, enrich, graph, hazards, lookups, metrics, ranking, reactiondb, reshape, rollup, tiers
+from crucible.operators import assign, boxes, enrich, graph, hazards, lookups, metrics, ranking, reactiondb, reshape, rollup, structures, tiers
 from crucible.plans.analytics import db
 from crucible.plans.evaluation import PRF, counted, figures
 from crucible.plans.hierarchy import CODED, coded
@@ -92,6 +92,17 @@ def composition_distance(t: Tables) -> DataFrame:
     return rounded(metrics.composition_distance(rows.where("k % 2 = 1"), rows.where("k % 2 = 0"), ["nation"]).select("nation", *big("n_pred", "n_gold"), "distance"), "distance")
 
 
+@query("""WITH n AS (SELECT unnest(range(1, 8)) AS n), a AS (SELECT n, unnest(range(1, n + 1)) AS i FROM n), k AS (SELECT n, r, least(least(i - 1, r), least(n - i, r)) AS x, greatest(least(i - 1, r), least(n - i, r)) AS y FROM a, range(0, 4) t(r)),
+f AS (SELECT n, r, x, y, count(*) AS c FROM k GROUP BY ALL), z AS (SELECT u.n AS m, v.n, 1 AS one FROM n u, n v),
+d AS (SELECT m, n, sum(abs(coalesce(c, 0) - coalesce(e, 0))) / 4 AS distance FROM (SELECT z.m, z.n, r, x, y, max(CASE WHEN f.n = z.m THEN c END) AS c, max(CASE WHEN f.n = z.n THEN c END) AS e FROM z JOIN f ON f.n IN (z.m, z.n) GROUP BY ALL) GROUP BY ALL)
+SELECT p_partkey, round(distance, 6) AS distance FROM part JOIN d ON m = p_size % 7 + 1 AND n = p_partkey % 7 + 1""")
+def structure_distances(t: Tables) -> DataFrame:
+    """Two chains for each part: an atom's colour after r rounds is how far the ends are, up to r."""
+    chain = lambda n: F.expr(f"repeat('C', CAST({n} AS INT))")
+    rows = t.part.select("p_partkey", chain("p_size % 7 + 1").alias("a"), chain("p_partkey % 7 + 1").alias("b"))
+    return rounded(structures.pair_distances(rows, "a", "b").select("p_partkey", "distance"), "distance")
+
+
 @query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'no reactants' WHEN 1 THEN 'no products' WHEN 2 THEN 'unparseable; gained O' WHEN 3 THEN 'gained C,N' ELSE '' END AS issues FROM part""")
 def reaction_issues(t: Tables) -> DataFrame:
     k = S("p_size") % 5
