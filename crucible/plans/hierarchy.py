@@ -9,7 +9,7 @@ from crucible.functions import classes
 from crucible.operators import boxes, hazards, splits, tiers
 from crucible.plans.registry import Tables, big, query, rounded
 from crucible.scratch import scratch_path, written
-from crucible.streaming import commits, streams
+from crucible.streaming import commits, stateful, streams
 
 S = F.col
 
@@ -372,6 +372,31 @@ def stream_stuck_runs(t: Tables) -> DataFrame:
     return through(t, streams.stuck_runs(rows, "run", "ts", "kind", steps=8), "append")
 
 
+STUCK = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run, ts, CASE WHEN event_type = 'purchase' AND value > 100 THEN 'done' ELSE event_type END AS kind FROM events),
+r AS (SELECT run, count(*) AS n, bool_or(kind = 'done') AS done, max(ts) AS last FROM e GROUP BY 1), k AS (SELECT run, string_agg(kind || ':' || c, ',' ORDER BY kind) AS kinds FROM (SELECT run, kind, count(*) AS c FROM e GROUP BY ALL) GROUP BY 1), w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM e)
+"""
+
+
+def watched(t: Tables) -> tuple[DataFrame, str]:
+    """(alerts, checkpoint) of users as runs; a purchase above 100 ends one."""
+    path = scratch_path(t.spark, "watch")
+    rows = event_stream(t).select(S("user_id").cast("string").alias("run"), "ts", F.when((S("event_type") == "purchase") & (S("value") > 100), "done").otherwise(S("event_type")).alias("kind"))
+    with stateful.rocksdb(t.spark):
+        alerts = streams.to_table(stateful.run_alerts(rows, "run", "ts", "kind", steps=60, minutes=720), f"{path}/out", f"{path}/checkpoint")
+    return alerts, f"{path}/checkpoint"
+
+
+@query(STUCK + """SELECT run, 'steps' AS alert, n AS steps, kinds FROM r JOIN k USING (run) WHERE n > 60 UNION ALL SELECT run, 'timeout', n, kinds FROM r JOIN k USING (run), w WHERE NOT done AND last + INTERVAL 12 HOUR <= mark""")
+def stream_run_alerts(t: Tables) -> DataFrame:
+    return watched(t)[0].select("run", "alert", "steps", "kinds")
+
+
+@query(STUCK + """SELECT run, n, n > 60 AS alerted FROM r, w WHERE NOT done AND last + INTERVAL 12 HOUR > mark""")
+def stream_run_state(t: Tables) -> DataFrame:
+    """Runs that are still open, as the state store holds them."""
+    return stateful.state_rows(t.spark, watched(t)[1], "total").select("run", "n", "alerted")
+
+
 @query("SELECT event_id, event_type AS model, CASE event_type WHEN 'view' THEN 1.5 WHEN 'click' THEN 2.0 END AS input_per_m FROM events")
 def stream_with_prices(t: Tables) -> DataFrame:
     prices = t.spark.createDataFrame([("view", 1.5, 3.0), ("click", 2.0, 4.0)], "model string, input_per_m double, output_per_m double")

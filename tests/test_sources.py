@@ -1,5 +1,6 @@
 """Readers, writers and streams on small files."""
 
+import datetime
 import json
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from crucible import schemas
 from crucible.operators import graph, ranking, rollup, tiers
 from crucible.sources import readers, writers
-from crucible.streaming import commits, streams
+from crucible.streaming import commits, stateful, streams
 
 
 def put(path, text):
@@ -210,3 +211,18 @@ def test_compare_and_fallback(spark, missing):
     b = spark.createDataFrame([("x", 3.0)] + ([] if missing else [("y", 1.0)]), "k string, v double")
     got = {r.k: (r.delta, r.improved) for r in rollup.compare_runs(a, b, "k", "v").collect()}
     assert got == {"x": (2.0, True), "y": (None, None) if missing else (-1.0, False)}
+
+
+def test_run_alerts_over_batches(spark, tmp_path):
+    """Five batches: a run over its steps, one that is done, one that goes silent and times out, one that is still open; and what the state holds."""
+    kind = "run string, time timestamp, kind string"
+    hours = [[("many", 0, "a"), ("done", 0, "a"), ("quiet", 0, "a"), ("open", 0, "b")], [("many", 1, "a"), ("many", 1, "b"), ("done", 1, "done"), ("open", 1, "a")], [("many", 2, "a"), ("open", 2, "a")], [("open", 3, "a")], [("open", 4, "c")]]
+    for k, rows in enumerate(hours):
+        spark.createDataFrame([(r, datetime.datetime(2024, 1, 1, h), c) for r, h, c in rows], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with stateful.rocksdb(spark):
+        got = streams.to_table(stateful.run_alerts(stream, "run", "time", "kind", steps=3, minutes=90), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert {tuple(r) for r in got.collect()} == {("many", "steps", 4, "a:3,b:1"), ("many", "timeout", 4, "a:3,b:1"), ("open", "steps", 4, "a:3,b:1"), ("quiet", "timeout", 1, "a:1")}
+    total = stateful.state_rows(spark, str(tmp_path / "state"), "total").select("run", "n", "alerted").collect()
+    assert [tuple(r) for r in total] == [("open", 5, True)]
+    assert {tuple(r) for r in stateful.state_rows(spark, str(tmp_path / "state"), "kinds").collect()} == {("open", "a", 3), ("open", "b", 1), ("open", "c", 1)}
