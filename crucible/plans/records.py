@@ -10,7 +10,8 @@ from crucible.functions import molecules, text
 from crucible.operators import metrics, reshape, rollup
 from crucible.plans.registry import Tables, big, query, rounded
 from crucible.scratch import scratch_path
-from crucible.sources import readers, writers
+from crucible.sources import logfiles, readers, writers
+from crucible.streaming import streams
 
 S = F.col
 
@@ -116,6 +117,28 @@ def parse_conversation(t: Tables) -> DataFrame:
     return out.select("file", "message", "agent", F.regexp_replace("text", r"^[ \t\r\n]+|[ \t\r\n]+$", "").alias("text"))
 
 
+@query("""SELECT CAST(turn + 1 AS BIGINT) AS message, role || '_' || conv_id AS agent, trim(regexp_replace(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) AS text FROM conversations""")
+def read_transcripts(t: Tables) -> DataFrame:
+    """A transcript file for each conversation, through the registered source; heads name the role and the conversation."""
+    path = scratch_path(t.spark, "transcripts")
+    lines = F.concat(F.array(F.format_string("---------- TextMessage (%s_%d) ----------", "role", "conv_id")), F.split("text", "\n"))
+    rows = t.conversations.select("conv_id", "turn", F.posexplode(lines).alias("k", "value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "k")
+    rows.select("conv_id", "value").write.partitionBy("conv_id").text(path)
+    logfiles.register(t.spark)
+    return t.spark.read.format("transcripts").load(path).select(*big("message"), "agent", F.regexp_replace("text", r"^[ \t\r\n]+|[ \t\r\n]+$", "").alias("text"))
+
+
+@query("""SELECT 'f' || event_id AS stem, event_type <> 'error' AS ok, round(value, 1) AS elapsed_s, CAST(event_id % 7 AS BIGINT) AS tool_calls, user_id AS input_tokens, event_id AS output_tokens FROM events""")
+def stream_run_logs(t: Tables) -> DataFrame:
+    """Events as lines of eight run logs, streamed two files a batch through the registered source."""
+    path = scratch_path(t.spark, "logs")
+    line = F.format_string("[%d/%d] %s  f%d.png (%.1fs, %d tools, in=%d, out=%d)", "event_id", F.lit(9), F.when(S("event_type") == "error", "FAILED").otherwise("OK"), "event_id", F.round("value", 1), S("event_id") % 7, "user_id", "event_id")
+    t.events.select(line.alias("value")).repartition(8).write.text(f"{path}/in")
+    logfiles.register(t.spark)
+    stream = t.spark.readStream.format("runlogs").option("suffix", ".txt").option("maxFilesPerTrigger", 2).load(f"{path}/in")
+    return streams.to_table(stream, f"{path}/out", f"{path}/checkpoint").select("stem", "ok", "elapsed_s", *big("tool_calls"), "input_tokens", "output_tokens")
+
+
 @query("""SELECT p_partkey AS key, 'C.N' AS "REACTANTS", p_brand AS "PRODUCTS", p_brand AS product, CASE WHEN p_size % 2 = 0 THEN 'C.N' ELSE 'C' END AS reactant, CASE WHEN p_size % 3 = 0 THEN 'O.CO' ELSE '' END AS "SOLVENT", CASE WHEN p_size % 3 = 1 THEN 'Pd' ELSE '' END AS "CATALYST" FROM part""")
 def read_reaction_xml(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "xml")
