@@ -90,7 +90,7 @@ b AS (SELECT nation, k, count(*) FILTER (p = '1-URGENT') AS p, count(*) FILTER (
 s AS (SELECT nation, CAST(sum(least(p, g)) AS BIGINT) AS matched, CAST(sum(p) AS BIGINT) AS n_pred, CAST(sum(g) AS BIGINT) AS n_gold FROM b GROUP BY 1) SELECT nation, matched, n_pred, n_gold, {PRF} FROM s"""
 
 
-def sides(t: Tables, priority: str) -> DataFrame:
+def one_sided(t: Tables, priority: str) -> DataFrame:
     """Orders as reactions: reactants are kinds of their parts, the product is how many flags their lines have."""
     line = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set((F.col("l_partkey") % 5).cast("string"))).alias("reactants"), F.array(F.countDistinct("l_returnflag").cast("string")).alias("products"))
     orders = t.orders.where(F.col("o_orderpriority") == priority).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -99,12 +99,12 @@ def sides(t: Tables, priority: str) -> DataFrame:
 
 @query(side_sql("parts"))
 def reactant_match(t: Tables) -> DataFrame:
-    return counted(metrics.side_match(sides(t, "1-URGENT"), sides(t, "2-HIGH"), ["nation"], "reactants"), "nation")
+    return counted(metrics.side_match(one_sided(t, "1-URGENT"), one_sided(t, "2-HIGH"), ["nation"], "reactants"), "nation")
 
 
 @query(side_sql("kinds"))
 def product_match(t: Tables) -> DataFrame:
-    return counted(metrics.side_match(sides(t, "1-URGENT"), sides(t, "2-HIGH"), ["nation"], "products"), "nation")
+    return counted(metrics.side_match(one_sided(t, "1-URGENT"), one_sided(t, "2-HIGH"), ["nation"], "products"), "nation")
 
 
 def conditions(t: Tables) -> tuple[DataFrame, DataFrame]:
