@@ -42,6 +42,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", cy
     documents ascend by -ln(u)/weight, u a hash of id and seed, and those are taken once more whose middle word is within what is left.
     Equal keys (repeated ids) are ordered by size. ``weights`` has one row (id, weight) for an id; ids that it lacks, and weights that are
     null, not finite or not positive count as 1. Null sources are one source, ordered last. No row, no source: an empty result.
+    A text of any length counts whole and is not cut.
 
     The prefix sum is in two steps, so no source gathers in one task: sums over 4,096 key ranges of each source find the range in which
     its budget ends, and only that range's rows are sorted.

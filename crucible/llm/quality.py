@@ -132,7 +132,8 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", thr
 
     Moments are learnt from all labelled rows outside fold ``fold`` of crc32(id) mod 5; only the text is an input. Texts that are null or
     empty get the score of an empty text. Labels other than 0 and 1, null ids and labels of absent documents teach nothing; repeated rows
-    count as often as they stand. With fewer than two rows of either class the score is the smoothed share of class 1.
+    count as often as they stand. With fewer than two rows of either class the score is the smoothed share of class 1. A text of any length
+    counts whole; an empty table gives an empty result; other columns are not read, whatever their names.
     """
     found = written(feature_table(docs, id_col, text_col), "quality-features").withColumn("held_out", held_out("_id", fold))
     model = fit(found.where(~F.col("held_out")), labels, label_col, shrink, id_col=id_col)

@@ -95,7 +95,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, seed:
     fingerprint: 16 lower-case hex digits. component_id: the smallest id whose fingerprint is reachable by links of at most ``distance`` bits.
     Texts without words, null ones included, have fingerprint zero and link like any other. Equal fingerprints are one class: they are
     collapsed before pairs are sought, so large groups of copies cost one row. Repeated ids keep a row each; rows with a null id get the
-    component of their fingerprint. An empty table gives an empty result; other columns of ``docs`` are not read.
+    component of their fingerprint. A text of any length counts whole. An empty table gives an empty result; other columns of ``docs`` are not read.
     """
     marks = written(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
     classes = written(marks.groupBy("fp").agg(F.min("_id").alias("least")), "fingerprint-classes")

@@ -73,6 +73,7 @@ def count_tokens(docs: DataFrame, model_file: str, cache: str | None = None, lim
     ``cache`` is a Parquet table of (content, tokenizer, n_tokens), by SHA-256 digests of the text and of the model file with the library's
     version. Contents that it lacks are encoded once, however many rows hold them, and appended; None starts a new one in the shared
     folder. A null text counts as empty, with 0 bytes and tokens. Repeated and null ids keep a row each.
+    A text of any length is encoded whole; an empty table gives an empty result; other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(model_file)

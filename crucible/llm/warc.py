@@ -262,7 +262,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, lines: int = 300) ->
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to), one for each row of ``pages``, as read back from archives.
 
     Writes the archives and the index, looks up every page's key in it and reads the records it points to. See ``write_archives`` for nulls
-    and repeated rows; an empty table gives an empty result.
+    and repeated rows; an empty table gives an empty result. A page of any length is one record, held whole by the task that writes or reads it.
+    Other columns are not read, whatever their names.
     """
     spark: SparkSession = pages.sparkSession
     folder = folder or scratch_path(spark, "archives")

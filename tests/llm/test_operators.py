@@ -267,6 +267,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0), str(tmp_path / "b")).count() == 0
 
 
+def test_warc_null_and_repeated_ids(spark, tmp_path):
+    """Every row comes back; of equal payloads that with the smallest id is the response, null ids come last."""
+    rows = [(4, "http://a/x", "same"), (4, "http://a/x", "same"), (None, "http://a/x", "same"), (2, "http://b/y", "same"), (None, None, None), (None, "http://c/z", "own"), (9, "http://c/z", "other")]
+    got = warc.round_trip(spark.createDataFrame([(*r, "s") for r in rows], "page_id long, url string, html string, key string").repartition(2), str(tmp_path / "a")).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.payload_bytes) for r in got) == sorted((i is None, i or 0, len(h or "")) for i, _, h in rows)
+    same = [r for r in got if r.payload_bytes == 4]
+    assert sorted((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to) for r in same) == [(False, 2, "response", None), (False, 4, "revisit", 2), (False, 4, "revisit", 2), (True, 0, "revisit", 2)]
+    assert [r.record_type for r in got if r.payload_bytes != 4] == ["response"] * 3
+
+
 def test_capture_index_lookups(spark, tmp_path):
     keys = [(f"com,host)/{k // 3:04d} {k % 3}", k, "f", k * 10, 10) for k in range(900)]
     manifest = spark.createDataFrame(keys, warc.MANIFEST).repartition(4)
