@@ -227,7 +227,8 @@ def brute_leaks(docs_, items, words_=12, share=0.6):
     return out
 
 
-def test_leaks_like_brute_force(spark):
+@pytest.mark.parametrize("crowd", [0, 2, 64])
+def test_leaks_like_brute_force(spark, crowd):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcd") for _ in range(2)) + rng.choice(["", "É", "9"])
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 9, 14, 25, 40])]
@@ -243,12 +244,26 @@ def test_leaks_like_brute_force(spark):
         docs_.append((d, rng.choice([" ", ", ", "\n"]).join(t).upper() if d % 3 else " ".join(t)))
     docs_ += [(100, None), (101, ""), (102, items[9][1] + " " + items[10][1])]
     df = spark.createDataFrame([*docs_, docs_[3], docs_[3]], "doc_id long, text string")
-    got = {(r.doc_id, r.item_id): r.matched for r in leaks.leaks(df, spark.createDataFrame([*items, (None, "x y"), (50, None), (51, "...")], "item_id long, text string")).collect()}
+    got = {(r.doc_id, r.item_id): r.matched for r in leaks.leaks(df, spark.createDataFrame([*items, (None, "x y"), (50, None), (51, "...")], "item_id long, text string"), crowd=crowd).collect()}
     want = brute_leaks(docs_, items)
     assert got == want and len(want) > 60
     assert {i for _, i in want} >= set(range(11))
 
 
+def test_leaks_of_a_shared_phrase(spark, monkeypatch):
+    """A phrase that all items and many texts hold makes no diagonal for each pair; the texts that hold more are found."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, f"{some(k % 5)} which of the following statements is true {some(20 + k % 7)}".strip()) for k in range(300)]
+    texts = [(d, f"{some(40)} Which of the following statements is true? {some(40)}") for d in range(1500)] + [(2000 + k, f"{some(30)} {' '.join(items[k][1].split()[:16])} {some(9)}") for k in range(0, 300, 50)]
+    kept, write = {}, leaks.written
+    monkeypatch.setattr(leaks, "written", lambda df, tag: kept.setdefault(tag, write(df, tag)))
+    got = leaks.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(2000 + k, k) for k in range(0, 300, 50)}
+    assert kept["diagonals"].count() < 100
+
+
 # --- 5
 
 
