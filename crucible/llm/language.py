@@ -117,7 +117,8 @@ def classify(docs: DataFrame, lang_col: str = "lang", fold: int = 0, most_grams:
     with null ids are training texts; an empty table gives an empty result; other columns are not read.
 
     Trees are sparse: they hold what was seen. Those of languages with together about ``most_grams`` grams go to the tasks in one
-    broadcast; where all languages have more, texts pass through several such groups, one after the other.
+    broadcast; where all languages have more, texts pass through several such groups, one after the other, and are written in between, so that
+    no task holds more than one group. A group holds one language at least, whose grams its different four-byte strings bound.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
@@ -172,5 +173,8 @@ def classify(docs: DataFrame, lang_col: str = "lang", fold: int = 0, most_grams:
         kept = ["_id", "_letter"] + ["_text"] * (k + 1 < len(groups))  # the last group lets the text go
         schema = asked.select(*kept, "lang_pred", "bits", "share").schema
         asked = asked.mapInArrow(lambda batches, shared=shared, kept=kept: predict(batches, shared, kept), schema)
+        if k + 1 < len(groups):
+            asked = written(asked, "asked-languages")
+            shared.destroy()  # so that tasks hold one group's trees at a time
     known = F.col("_letter") & F.col("lang_pred").isNotNull()
     return asked.select(F.col("_id").alias(id_col), held_out("_id", fold).alias("held_out"), F.when(known, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(known, 1 / F.col("share")).otherwise(0.0).alias("score"))
