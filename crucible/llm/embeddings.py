@@ -164,15 +164,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 20
 
     Rows with equal, non-null labels link if the cosine of their vectors, in double precision, is at least ``threshold``. n_links: other rows
     linked directly. component_id: the smallest id reachable by links, itself included. kept: the id is its component's. Vectors that are null,
-    zero or of no components, or hold null or non-finite components, link with nothing; nor do vectors of different lengths. Equal vectors are
+    zero or of no components, or hold null or non-finite components, link with nothing; nor do vectors of different lengths. Very large and very
+    small components count like others. Equal vectors are
     one class (by a 64-bit hash) and are counted, not paired; repeated rows count as often as they stand. Null ids are ignored as component ids.
     """
     spark = vectors.sparkSession
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     square = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)
-    good = F.coalesce(F.col("label").isNotNull() & (F.size("_v") > 0) & ~F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (square > 0) & (square < float("inf")), F.lit(False))
+    most = F.array_max(F.transform("_v", F.abs))
+    good = F.coalesce(F.col("label").isNotNull() & (F.size("_v") > 0) & ~F.exists("_v", lambda x: x.isNull() | F.isnan(x)) & (most > 0) & (most < float("inf")), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("label"), v.alias("_v"))
-    rows = rows.select("*", F.when(good, F.xxhash64("label", "_v")).alias("cid"), square.alias("_square"))
+    rows = rows.select("_id", "label", F.when(good, F.xxhash64("label", "_v")).alias("cid"), "_v", most.alias("_most"))
+    # powers of two round nothing off, and keep the squares of any finite components within doubles; two steps reach the smallest ones
+    half = F.pow(F.lit(2.0), -F.floor(F.log2("_most") / 2))
+    rows = rows.withColumn("_half", half).withColumn("_v", F.when(F.col("cid").isNotNull(), F.transform("_v", lambda x: x * F.col("_half") * F.col("_half")))).withColumn("_square", square).drop("_most", "_half")
     marks = written(rows.select("_id", "cid"), "vectors")
     unit = F.transform("_v", lambda x: x / F.sqrt(F.col("_square")))
     classes = written(rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.any_value(F.xxhash64("label")).alias("label"), F.any_value(unit).alias("x"), F.count(F.lit(1)).alias("copies"), F.min("_id").alias("least")), "vector-classes")

@@ -95,6 +95,13 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_of_any_finite_size(spark):
+    sizes = [1e200, 3e307, 1e-200, 5e-324, 1.0]
+    rows = [(10 * k + d, [size] * 2 if d < 2 else [size, -size], 1) for k, size in enumerate(sizes) for d in range(3)] + [(90, [float("inf"), 1.0], 1), (91, [0.0, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (0, i) if i >= 90 else (9, 0) if i % 10 < 2 else (4, 2) for i, _, _ in rows}
+
+
 def test_embedding_bounds():
     """Bounds by popcounts hold, and estimates are unbiased, for near and far pairs of any length."""
     rng = np.random.default_rng(3)
