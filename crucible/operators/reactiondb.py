@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The classes of the distribution.
 CLASSES = ("Acylation", "Aromatic Heterocycle Formation", "C-C Coupling", "Deprotection", "Functional Group Addition", "Functional Group Interconversion", "Heteroatom Alkylation and Arylation", "Miscellaneous", "Oxidation", "Protection", "Reduction")
@@ -47,10 +49,17 @@ def precedent_counts(alternatives: DataFrame, db: DataFrame, tag: str = "TAG", s
 
 
 def recommendation(alternatives: DataFrame, by: list[str]) -> DataFrame:
-    """The nearest recommended alternative with a precedent, as a sentence."""
+    """The nearest recommended alternative with a precedent, as a sentence. Of equal distances the first ``other`` counts, by its own type."""
     good = alternatives.where((F.col("ranking") == "Recommended") & (F.col("precedents") > 0))
     best = good.groupBy(*by).agg(F.min_by(F.struct("other", "precedents", "distance"), F.struct("distance", "other")).alias("b"))
-    return alternatives.select(*by).distinct().join(best, by, "left").select(*by, F.when(F.col("b").isNull(), "No recommended alternative has a precedent.").otherwise(F.format_string("Use %s (%d precedents, distance %.2f).", "b.other", "b.precedents", "b.distance")).alias("advice"))
+    said = F.format_string("Use %s (%d precedents, distance %s).", F.col("b.other").cast("string"), "b.precedents", two_digits("b.distance"))
+    return alternatives.select(*by).distinct().join(best, by, "left").select(*by, F.when(F.col("b").isNull(), "No recommended alternative has a precedent.").otherwise(said).alias("advice"))
+
+
+@F.pandas_udf(T.StringType())
+def two_digits(x: pd.Series) -> pd.Series:
+    """Two digits of the number itself, where ``format_string`` rounds its shortest decimal form (the double next to 9.045 lies below it)."""
+    return x.map(lambda v: f"{v:.2f}", na_action="ignore")
 
 
 def buyability(routes: DataFrame, prices: DataFrame, by: list[str], molecule: str = "molecule") -> DataFrame:
