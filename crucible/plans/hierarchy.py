@@ -203,9 +203,11 @@ def inclusion(t: Tables) -> DataFrame:
 
 
 def line_boxes(t: Tables) -> DataFrame:
-    line = t.lineitem
-    idx = F.col("l_linenumber") * 100_000 + F.col("l_partkey")
-    return line.select(F.col("l_orderkey").alias("image"), idx.cast("long").alias("idx"), F.col("l_quantity").alias("x1"), F.col("l_linenumber").cast("double").alias("y1"), (F.col("l_quantity") + 5 + 100 * F.col("l_discount")).alias("x2"), (F.col("l_linenumber") + 1 + 10 * F.col("l_tax")).alias("y2"), F.lit(1).alias("category"), "l_returnflag").dropDuplicates(["image", "idx"])
+    """Of lines with one image and number the table's first stays, by file and row: that is what DISTINCT ON takes in the order of the table."""
+    line = t.lineitem.select("*", S("_metadata.file_path").alias("_file"), S("_metadata.row_index").alias("_row"))
+    box = F.struct(S("l_quantity").alias("x1"), S("l_linenumber").cast("double").alias("y1"), (S("l_quantity") + 5 + 100 * S("l_discount")).alias("x2"), (S("l_linenumber") + 1 + 10 * S("l_tax")).alias("y2"), F.lit(1).alias("category"), "l_returnflag")
+    idx = (S("l_linenumber").cast("long") * 100_000 + S("l_partkey")).alias("idx")
+    return line.groupBy(S("l_orderkey").alias("image"), idx).agg(F.min_by(box, F.struct("_file", "_row")).alias("_box")).select("image", "idx", "_box.*")
 
 
 BOXES = """
