@@ -56,33 +56,39 @@ def canon(c: Column | str) -> Column:
     return F.when(lexically_valid(c), wildcards(c))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is found once: an expression inside a lambda is otherwise evaluated again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def element(token: Column) -> Column:
     """The element of an atom token: ``[13CH3]`` is C, ``n`` is N, ``*`` and hydrogen are null."""
     inner = F.regexp_extract(token, r"^\[?\d*([A-Z][a-z]?|[a-z])", 1)
-    symbol = F.when(F.substring(token, 1, 1) != "[", token).when(inner.rlike("^[A-Z][a-z]$") & ~inner.isin("Cl", "Br", "Si", "Se", "Sn", "Li", "Na", "Mg", "Al", "Ca", "Mn", "Fe", "Co", "Ni", "Cu", "Zn", "Pd", "Ag", "Pt", "Au", "Hg", "Ru", "Rh", "Ir", "Os", "Cs", "Ti", "Zr", "As", "Te", "Ge", "Ga", "In", "Sb", "Bi", "Pb", "Ba", "Be", "Ce", "Cr", "Mo", "Sc", "Sm", "Yb", "La"), F.substring(inner, 1, 1)).otherwise(inner)
-    symbol = F.initcap(symbol)
-    return F.when(~symbol.isin("H", "", "R"), symbol)
+    two = lambda inner: F.when(inner.rlike("^[A-Z][a-z]$") & ~inner.isin("Cl", "Br", "Si", "Se", "Sn", "Li", "Na", "Mg", "Al", "Ca", "Mn", "Fe", "Co", "Ni", "Cu", "Zn", "Pd", "Ag", "Pt", "Au", "Hg", "Ru", "Rh", "Ir", "Os", "Cs", "Ti", "Zr", "As", "Te", "Ge", "Ga", "In", "Sb", "Bi", "Pb", "Ba", "Be", "Ce", "Cr", "Mo", "Sc", "Sm", "Yb", "La"), F.substring(inner, 1, 1)).otherwise(inner)
+    symbol = F.initcap(F.when(F.substring(token, 1, 1) != "[", token).otherwise(bound(inner, two)))
+    return bound(symbol, lambda s: F.when(~s.isin("H", "", "R"), s))
 
 
 def atom_counts(c: Column | str) -> Column:
     """A map of heavy elements to their counts; an unparsed or missing string has none."""
     tokens = F.transform(F.regexp_extract_all(F.coalesce(column(c), F.lit("")), F.lit(ATOM), F.lit(1)), element)
     tokens = F.filter(tokens, lambda x: x.isNotNull())
-    kinds = F.array_sort(F.array_distinct(tokens))
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(tokens, lambda t: t == k))))
+    counted = lambda ts: bound(F.array_sort(F.array_distinct(ts)), lambda kinds: F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(ts, lambda t: t == k)))))
+    return bound(tokens, counted)
 
 
 def merged_counts(maps: Column) -> Column:
     """The sum of an array of count maps."""
-    keys = F.array_sort(F.array_distinct(F.flatten(F.transform(maps, lambda m: F.map_keys(m)))))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.aggregate(maps, F.lit(0), lambda a, m: a + F.coalesce(m[k], F.lit(0)))))
+    keys = lambda ms: F.array_sort(F.array_distinct(F.flatten(F.transform(ms, lambda m: F.map_keys(m)))))
+    total = lambda ms, k: F.aggregate(ms, F.lit(0), lambda a, m: a + F.coalesce(m[k], F.lit(0)))
+    return bound(maps, lambda ms: bound(keys(ms), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: total(ms, k)))))
 
 
 def count_difference(a: Column | str, b: Column | str) -> Column:
     """a - b by key, zero entries left out."""
-    a, b = column(a), column(b)
-    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
-    whole = F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(a[k], F.lit(0)) - F.coalesce(b[k], F.lit(0))))
+    less = lambda x, y, ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.coalesce(x[k], F.lit(0)) - F.coalesce(y[k], F.lit(0))))
+    keys = lambda x, y: F.array_sort(F.array_union(F.map_keys(x), F.map_keys(y)))
+    whole = bound(column(a), lambda x: bound(column(b), lambda y: bound(keys(x, y), lambda ks: less(x, y, ks))))
     return F.map_filter(whole, lambda k, v: v != 0)
 
 
@@ -109,4 +115,9 @@ def text_fingerprint(c: Column | str, bits: int = 256, gram: int = 4) -> Column:
     c = F.coalesce(column(c), F.lit(""))
     n = F.greatest(F.length(c) - gram + 1, F.lit(0))
     slots = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda k: F.pmod(F.xxhash64(F.substr(c, k, F.lit(gram))), F.lit(bits)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.size(F.filter(slots, lambda s: s == b)))
+    # sorted slots, the places where a slot's run ends, and for each run the zeros before it and its length
+    ends = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda k: ~F.get(x, k).eqNullSafe(F.get(x, k + 1)))
+    at = lambda x, e, k: F.when(k < 0, F.lit(-1)).otherwise(F.get(x, F.get(e, k)))
+    run = lambda x, e, k: F.concat(F.array_repeat(F.lit(0), at(x, e, k) - at(x, e, k - 1) - 1), F.array(F.get(e, k) - F.coalesce(F.when(k > 0, F.get(e, k - 1)), F.lit(-1))))
+    filled = lambda x, e: F.concat(F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 1), lambda k: run(x, e, k))), F.array_repeat(F.lit(0), F.lit(bits - 1) - F.element_at(x, -1)))
+    return bound(F.array_sort(slots), lambda x: F.when(F.size(x) == 0, F.array_repeat(F.lit(0), bits)).otherwise(bound(ends(x), lambda e: filled(x, e))))

@@ -237,8 +237,8 @@ def conformance(records: DataFrame, extra_keys: str | None = None) -> DataFrame:
 
 def failure_modes(pairs: DataFrame) -> DataFrame:
     """``failure`` of aligned molecule pairs (gold, pred: structures, either null): what went wrong, the first of the list that holds."""
-    gold, pred = molecules.canon("gold"), molecules.canon("pred")
-    difference = molecules.count_difference(molecules.atom_counts("gold"), molecules.atom_counts("pred"))
+    found = pairs.withColumns({"_g": molecules.canon("gold"), "_p": molecules.canon("pred"), "_d": molecules.count_difference(molecules.atom_counts("gold"), molecules.atom_counts("pred"))})
+    gold, pred, difference = F.col("_g"), F.col("_p"), F.col("_d")
     values = F.map_values(difference)
     same_atoms = F.size(values) == 0
     tag = (
@@ -247,7 +247,7 @@ def failure_modes(pairs: DataFrame) -> DataFrame:
         .when((F.size(values) == 1) & (F.map_keys(difference)[0] == "C") & (F.abs(values[0]) <= 2), "methylene_shift")
         .when(same_atoms & gold.rlike("[bcnops]") & pred.rlike("[bcnops]"), "substituent_position").when(same_atoms, "connectivity_misread").otherwise("other")
     )
-    return pairs.withColumn("failure", tag)
+    return found.withColumn("failure", tag).drop("_g", "_p", "_d")
 
 
 def paired_exact_match(pairs: DataFrame, gold: str = "gold", pred: str = "pred", by: list[str] | None = None) -> DataFrame:

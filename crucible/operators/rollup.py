@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crucible.functions import text
 from crucible.operators.containment import holding
@@ -45,18 +49,45 @@ def bootstrap(df: DataFrame, by: list[str], value: str, order: str, resamples: i
     """(n, mean, low, high): the 95 % percentile interval of the mean over resamples of each group; null below two rows.
 
     A resample draws each row a Poisson(1) number of times, by arithmetic on (resample, the integer ``order``, seed) that every SQL engine
-    repeats. So rows are weighted where they are, and what moves is a sum and a count for each group and resample. Resamples that draw no
+    repeats. So rows are weighted where they are, a block at a time, and what moves is a sum and a count for each group, resample and task. Resamples that draw no
     row don't count.
     """
     key = F.pmod(F.col(order).cast("long"), F.lit(PRIME))
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), key.alias("_k"))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
-    drawn = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    x = F.pmod(F.col("_b") * 1_000_003 + F.pmod(F.col("_k") * 7919, F.lit(PRIME)) + seed, F.lit(PRIME))
-    u = F.pmod(F.pmod(x * x, F.lit(PRIME)) * 48_271, F.lit(PRIME))
-    times = sum((F.when(F.col("_u") >= limit, 1).otherwise(0) for limit in POISSON[1:]), F.when(F.col("_u") >= POISSON[0], 1).otherwise(0))
-    weighed = drawn.withColumn("_u", u).select(*by, "_b", "_v", times.alias("_w")).where("_w > 0")
-    means = weighed.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
+    keys = rows.select(*by).schema
+    schema = T.StructType([*keys.fields, T.StructField("_b", T.LongType()), T.StructField("_s", T.DoubleType()), T.StructField("_n", T.LongType())])
+    start = np.arange(resamples, dtype=np.int64) * 1_000_003 + seed
+
+    def draw(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}  # sums and counts of each resample, of some groups
+
+        def out() -> Iterator[pd.DataFrame]:
+            for group, (s, n) in held.items():
+                yield pd.DataFrame({**{c: pd.Series([x] * resamples, dtype=object) for c, x in zip(by, group, strict=True)}, "_b": np.arange(resamples), "_s": s, "_n": n})
+            held.clear()
+
+        for frame in frames:
+            codes = frame.groupby(by, sort=False, dropna=False).ngroup().to_numpy() if by else np.zeros(len(frame), int)
+            for code in np.unique(codes):
+                places = np.flatnonzero(codes == code)
+                group = tuple(None if pd.isna(x := frame[c].iloc[places[0]]) else x for c in by)
+                if group not in held:
+                    if len(held) >= 256:
+                        yield from out()
+                    held[group] = (np.zeros(resamples), np.zeros(resamples, np.int64))
+                s, n = held[group]
+                v, k = frame["_v"].to_numpy()[places], frame["_k"].to_numpy()[places]
+                for at in range(0, len(v), 32):
+                    x = (start + (k[at : at + 32, None] * 7919) % PRIME) % PRIME
+                    u = (x * x) % PRIME * 48_271 % PRIME
+                    times = sum(((u >= limit).view(np.uint8) for limit in POISSON[1:]), (u >= POISSON[0]).view(np.uint8))
+                    n += times.sum(axis=0, dtype=np.int64)
+                    s += v[at : at + 32] @ times
+        yield from out()
+
+    parts = rows.mapInPandas(draw, schema).groupBy(*by, "_b").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    means = parts.where("_n > 0").select(*by, "_b", (F.col("_s") / F.col("_n")).alias("_m"))
     ends = means.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
     low, high = (F.when(F.col("n") > 1, F.round(F.col("_p")[k], 4)).alias(c) for k, c in enumerate(("low", "high")))
     return sizes.join(ends, by, "left").select(*by, "n", F.round("mean", 4).alias("mean"), low, high)
