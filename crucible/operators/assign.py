@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crucible.operators.graph import components, least_reachable
-from crucible.operators.matching import auction, greedy, per_group, sparse_assignment
+from crucible.operators.matching import auction, greedy, kept_in_groups, sparse_assignment
 from crucible.scratch import written
 
 
@@ -45,6 +45,8 @@ def chosen_of(left: np.ndarray, right: np.ndarray, gain: np.ndarray, dense: int
     """Places of the pairs of one connected set with the greatest total: a full matrix of up to ``dense`` cells, or the pairs alone."""
     if len(gain) == 1:
         return [0]
+    if len(gain) == 2:  # they share an end
+        return [int(np.argmax(gain))]
     (a, lefts), (b, rights) = (pd.factorize(x, sort=True) for x in (left, right))
     if len(lefts) * len(rights) > dense:
         return sparse_assignment(a, b, gain)
@@ -71,25 +73,27 @@ def assign(pairs: DataFrame, by: list[str], left: str, right: str, score: str, o
         return greedy(rows, by, left, right, [-F.col("score")], most)
     schema = rows.schema
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group[schema.names].sort_values([left, right], kind="stable")
-        lefts, rows_ = pd.factorize(group[left])
-        rights = pd.factorize(group[right], sort=True)[0]
-        gains, keep = group["score"].to_numpy(), []
+    def solve(a: np.ndarray, b: np.ndarray, gains: np.ndarray) -> list[int]:
+        if len(gains) == 1:
+            return [0]
+        (lefts, rows_), rights = pd.factorize(a), pd.factorize(b, sort=True)[0]
         sets = least_reachable(len(rows_) + len(rights), lefts, rights + len(rows_))[lefts]
-        order = np.argsort(sets, kind="stable")
+        order, keep = np.argsort(sets, kind="stable"), []
         for part in np.split(order, np.flatnonzero(np.diff(sets[order])) + 1):
             keep += part[chosen_of(lefts[part], rights[part], gains[part])].tolist()
-        return group.iloc[sorted(keep)]
+        return sorted(keep)
+
+    def solved(df: DataFrame, keys: list[str]) -> DataFrame:
+        return kept_in_groups(df, keys, [left, right], [left, right, "score"], solve).select(*schema.names)
 
     biggest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if biggest <= most:
-        return per_group(rows, by, solve, schema)
+        return solved(rows, by)
     node = lambda side, c: F.xxhash64(F.lit(side), *by, c)
     sets = components(rows.select(node("left", left).alias("a"), node("right", right).alias("b"))).select(F.col("node").alias("_node"), F.col("component").alias("_set"))
     dealt = written(rows.withColumn("_node", node("left", left)).join(sets, "_node").drop("_node"), "sets-of-pairs")
     huge = written(dealt.groupBy("_set").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > largest).select("_set"), "huge-sets")
-    small = per_group(dealt.join(huge, "_set", "left_anti").select(*schema.names, "_set"), ["_set"], solve, schema)
+    small = solved(dealt.join(huge, "_set", "left_anti").select(*schema.names, "_set"), ["_set"])
     if huge.isEmpty():
         return small
     rest = dealt.join(huge, "_set", "left_semi").select(*schema.names)

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crucible.operators.matching import greedy, per_group
+from crucible.operators.matching import greedy, kept_in_groups
 from crucible.operators.ranking import numbered
 
 
@@ -50,19 +49,23 @@ def dedupe_boxes(boxes: DataFrame, most: float = 0.9) -> DataFrame:
 
 def dedupe_kept(boxes: DataFrame, by: list[str], most: float = 0.6) -> DataFrame:
     """Boxes of a reaction in order, each compared with those kept before it; empty ones are dropped. Groups are single reactions."""
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group[(group.x2 > group.x1) & (group.y2 > group.y1)].sort_values("idx")
-        kept: list[int] = []
-        v = group[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
-        area = (v[:, 2] - v[:, 0]) * (v[:, 3] - v[:, 1])
-        for k in range(len(v)):
-            o = v[kept]
-            inter = np.clip(np.minimum(o[:, 2], v[k, 2]) - np.maximum(o[:, 0], v[k, 0]), 0, None) * np.clip(np.minimum(o[:, 3], v[k, 3]) - np.maximum(o[:, 1], v[k, 1]), 0, None)
-            if not (inter / (area[kept] + area[k] - inter) > most).any():
-                kept.append(k)
-        return group.iloc[kept]
-
-    return per_group(boxes, by, keep, boxes.schema)
+    def keep(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> list[int]:
+        kept: list[tuple[float, float, float, float, float]] = []
+        places = []
+        for k, (a, b, c, d) in enumerate(zip(x1.tolist(), y1.tolist(), x2.tolist(), y2.tolist(), strict=True)):
+            if not (c > a and d > b):
+                continue
+            area = (c - a) * (d - b)
+            for e, f, g, h, other in kept:
+                inter = max(min(g, c) - max(e, a), 0.0) * max(min(h, d) - max(f, b), 0.0)
+                if inter / (other + area - inter) > most:
+                    break
+            else:
+                kept.append((a, b, c, d, area))
+                places.append(k)
+        return places
+
+    return kept_in_groups(boxes, by, ["idx"], ["x1", "y1", "x2", "y2"], keep)
 
 
 def box_reaction_match(gold: DataFrame, pred: DataFrame, gold_boxes: DataFrame, pred_boxes: DataFrame, molecules_only: bool = False, merge_conditions: bool = False, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -132,8 +135,9 @@ def detection_ap(gold: DataFrame, pred: DataFrame, least: float = 0.5, step: int
     hit = greedy(met.select("image", "a_category", "a_idx", "b_idx", "score", "iou"), ["image", "a_category"], "a_idx", "b_idx", order).select("image", c("b_idx").alias("idx"), F.lit(1).alias("_hit"))
     rows = numbered(pred.select("category", "image", "idx", "score"), ["category"], [F.desc("score"), "image", "idx"], "_n")
     hits = numbered(rows.join(hit, ["image", "idx"]).select("category", "_n"), ["category"], ["_n"], "_tp").withColumns({"_precision": c("_tp") / c("_n"), "_stretch": F.floor((c("_tp") - 1) / step)})
-    later = hits.groupBy("category", "_stretch").agg(F.max("_precision").alias("_m")).withColumn("_after", F.max("_m").over(Window.partitionBy("category").orderBy("_stretch").rowsBetween(1, Window.unboundedFollowing))).drop("_m")
-    own = Window.partitionBy("category", "_stretch").orderBy("_tp").rowsBetween(0, Window.unboundedFollowing)
+    later = hits.groupBy("category", "_stretch").agg(F.max("_precision").alias("_m")).withColumn("_after", F.max("_m").over(Window.partitionBy("category").orderBy(F.desc("_stretch")).rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
+    # from the last hit back: a frame up to the end of a stretch would be read again for each of its rows
+    own = Window.partitionBy("category", "_stretch").orderBy(F.desc("_tp")).rowsBetween(Window.unboundedPreceding, 0)
     best = hits.withColumn("_own", F.max("_precision").over(own)).join(later, ["category", "_stretch"]).groupBy("category").agg(F.sum(F.greatest("_own", "_after")).alias("_sum"))
     totals = gold.groupBy("category").agg(F.count(F.lit(1)).alias("_total"))
     return totals.join(best, "category", "left").select("category", F.coalesce(c("_sum") / c("_total"), F.lit(0.0)).alias("ap"))

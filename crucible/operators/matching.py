@@ -44,6 +44,36 @@ def per_group(df: DataFrame, by: list[str], work: Callable[[pd.DataFrame], pd.Da
     return df.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
+def kept_in_groups(df: DataFrame, by: list[str], order: list[str], columns: list[str], keep: Callable[..., list[int]]) -> DataFrame:
+    """The rows of each group that ``keep`` names by place, from arrays of ``columns`` in ``order``. For many small groups: no frame is made for one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last group so far
+
+        def solved(table: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
+            arrays = [table.column(c).to_numpy() for c in columns]
+            places = [a + k for a, b in zip(starts[:-1], starts[1:], strict=True) for k in keep(*[x[a:b] for x in arrays])]
+            yield from table.take(pa.array(places, pa.int64())).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
+            new = np.zeros(table.num_rows, bool)
+            for c in by:
+                codes = table.column(c).chunk(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = [0, *np.flatnonzero(new).tolist()]
+            if len(starts) > 1:
+                yield from solved(table, starts)
+            held = table.slice(starts[-1])
+        if held is not None:
+            yield from solved(held.combine_chunks(), [0, held.num_rows])
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, df.schema)
+
+
 # --- greedy ----------------------------------------------------------------------------------------------------------
 
 
