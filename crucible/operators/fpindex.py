@@ -7,13 +7,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crucible.functions import similarity
 from crucible.operators import ranking
 from crucible.scratch import written
 
 _SLACK = 1e-9
 #: The Jaccard similarity that each metric's threshold stands for.
 JACCARD_OF = {"jaccard": lambda t: t, "dice": lambda t: t / (2 - t), "sokal_sneath": lambda t: 2 * t / (1 + t), "kulczynski1": lambda t: t / (1 + t)}
+#: Each metric from the positions that agree (c) and those that differ (d); a quotient by zero as ``similarity`` has it.
+_SCORE = {
+    "jaccard": lambda c, d: 1 - d / (c + d),
+    "dice": lambda c, d: 1 - d / (2 * c + d),
+    "sokal_sneath": lambda c, d: 1 - 2 * d / (c + 2 * d),
+    "kulczynski1": lambda c, d: F.when(d == 0, float("inf")).otherwise(c / d),
+}
+#: Jaccard similarities at which a search for the best looks before it goes down to its own threshold.
+_LEVELS = (0.8, 0.6, 0.45)
+#: Most tokens that a posting's key holds.
+_MOST = 3
 
 
 def tokens(fp: Column | str) -> Column:
@@ -23,19 +33,25 @@ def tokens(fp: Column | str) -> Column:
     return F.when(F.size(some) == 0, F.array(F.lit(-1).cast("long"))).otherwise(some)
 
 
-def _prefix(rows: DataFrame, key: str, counts: DataFrame, least: float, block: list[str]) -> DataFrame:
-    """(key, block, token, at, size) of each row's rarest tokens: as many as must hold one of those that two alike rows share."""
-    each = rows.select(key, *block, F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(counts, "token", "left")
-    at = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "token"))
-    return each.withColumn("at", at).where(F.col("at") <= F.col("size") - F.ceil(least * F.col("size") - _SLACK) + 1).drop("n")
+def _classes(rows: DataFrame, key: str, block: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows: key, cls; classes: cls, n, tokens, block columns) of rows (key, tokens, block columns): equal ones are a class, named by its least key."""
+    classes = written(rows.groupBy(*block, "tokens").agg(F.min(key).alias("cls"), F.count(F.lit(1)).alias("n")), "token-classes")
+    return written(rows.join(classes, [*block, "tokens"]).select(key, "cls"), "class-rows"), classes
+
+
+def _ordered(classes: DataFrame, counts: DataFrame, block: list[str]) -> DataFrame:
+    """The classes with ``rare``: their tokens from the rarest on."""
+    each = classes.select("cls", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    order = each.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("of", F.lit(0)).alias("of"), "token"))).alias("_o"))
+    return written(classes.join(order.select("cls", F.col("_o")["token"].alias("rare")), "cls").select("cls", "n", *block, "tokens", "rare"), "ordered-classes")
 
 
 @dataclass(frozen=True)
 class FingerprintIndex:
-    """``rows``: (db_id, fp, block columns); ``postings``: their rarest tokens; ``counts``: rows of each token; ``least``: the lowest threshold served."""
+    """``rows``: (db_id, cls); ``classes``: (cls, n, block columns, tokens, rare); ``counts``: classes of each token; ``least``: the lowest threshold served."""
 
     rows: DataFrame
-    postings: DataFrame
+    classes: DataFrame
     counts: DataFrame
     least: float
     metric: str
@@ -45,43 +61,163 @@ class FingerprintIndex:
 def build(db: DataFrame, least: float, metric: str = "jaccard", block: list[str] | None = None) -> FingerprintIndex:
     """Index (db_id, fp, block columns) for thresholds of ``least`` and above; ids must be distinct. Written once, used by many searches.
 
-    ``fp``: arrays of counts. ``metric``: one of ``JACCARD_OF``. Searches stay within equal ``block`` columns, a scaffold or a tag.
+    ``fp``: arrays of counts. ``metric``: one of ``JACCARD_OF``. Searches stay within equal ``block`` columns, a scaffold or a tag. Rows of equal
+    vectors and block columns are one class.
     """
     if metric not in JACCARD_OF or not 0 < least <= 1:
         raise ValueError("a threshold above 0, up to 1, of jaccard, dice, sokal_sneath or kulczynski1")
     block = block or []
-    rows = written(db.where(F.col("fp").isNotNull()).select("db_id", "fp", *block), "fingerprints")
-    sets = rows.select("db_id", *block, tokens("fp").alias("tokens"))
-    counts = written(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
-    postings = written(_prefix(sets, "db_id", counts, JACCARD_OF[metric](least), block).repartition("token").sortWithinPartitions("token", "size"), "postings")
-    return FingerprintIndex(rows, postings, counts, least, metric, tuple(block))
+    rows, classes = _classes(_token_rows(db, "db_id", "fp", block), "db_id", block)
+    counts = written(classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("of")), "token-counts")
+    return FingerprintIndex(rows, _ordered(classes, counts, block), counts, least, metric, tuple(block))
+
+
+def _token_rows(df: DataFrame, key: str, fp: str, block: list[str]) -> DataFrame:
+    rows = df.where(F.col(fp).isNotNull())
+    for c in block:
+        rows = rows.where(F.col(c).isNotNull())
+    return written(rows.select(key, *block, tokens(fp).alias("tokens")), "token-rows")
+
+
+def _least_shared(size: Column, t: float) -> Column:
+    """Tokens that a set of this size shares with any that reaches ``t`` and is no larger."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(t) * size - _SLACK)).cast("int")
+
+
+def _prefix_size(size: Column, t: float, width: int | Column) -> Column:
+    return F.least(size, size - _least_shared(size, t) + width)
+
+
+def _keys_of(p: Column, width: int) -> Column:
+    """All sets of ``width`` entries of an array as (at: the place of the last, from 1; key: a hash)."""
+    if width == 1:
+        return F.transform(p, lambda x, i: F.struct((i + 1).alias("at"), F.xxhash64(F.lit(1), x).alias("key")))
+    after = lambda i: F.slice(p, i + 2, F.greatest(F.size(p) - i - 1, F.lit(0)))
+    if width == 2:
+        return F.flatten(F.transform(p, lambda x, i: F.transform(after(i), lambda y, j: F.struct((i + j + 2).alias("at"), F.xxhash64(F.lit(2), x, y).alias("key")))))
+    deeper = lambda x, i: F.flatten(F.transform(after(i), lambda y, j: F.transform(after(i + j + 1), lambda z, k: F.struct((i + j + k + 3).alias("at"), F.xxhash64(F.lit(3), x, y, z).alias("key")))))
+    return F.flatten(F.transform(p, deeper))
+
+
+def _widths(size: Column, t: float, most: int) -> tuple[Column, Column]:
+    """The least and the greatest width of key by which a set of this size meets others: that of the larger set of a pair counts."""
+    largest = F.floor(size / t + _SLACK)
+    return F.least(_least_shared(size, t), F.lit(most)), F.least(_least_shared(largest, t), size, F.lit(most))
+
+
+def _postings(classes: DataFrame, t: float, most: int, block: list[str], name: str) -> DataFrame:
+    """(block, width, key, name: the class, size, at) of each class: the sets of its rarest tokens of which two alike classes must share one."""
+    size = F.size("rare")
+    low, high = _widths(size, t, most)
+    parts = []
+    for width in range(1, most + 1):
+        rows = classes.where((low <= width) & (high >= width))
+        each = F.explode(_keys_of(F.slice("rare", 1, _prefix_size(size, t, width)), width))
+        parts.append(rows.select(*block, F.col("cls").alias(name), size.alias("size"), each.alias("_k")).select(*block, name, "size", F.lit(width).alias("width"), "_k.at", "_k.key"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _best_width(index: FingerprintIndex, asked: DataFrame, t: float) -> int:
+    """The width of keys that makes postings and their meetings fewest, were tokens as many as alike frequent ones would be. Results don't depend on it."""
+    def posted(classes: DataFrame) -> list[float]:
+        size = F.size("rare")
+        sums = []
+        for width in range(1, _MOST + 1):
+            n, ways = _prefix_size(size, t, width).cast("double"), F.lit(1.0)
+            for k in range(width):
+                ways = ways * F.greatest(n - k, F.lit(0.0)) / (k + 1)
+            sums.append(F.sum(ways))
+        return [x or 0.0 for x in classes.agg(*sums).first()]
+
+    total, squares = index.counts.agg(F.sum(F.col("of").cast("double")), F.sum(F.col("of").cast("double") * F.col("of"))).first()
+    vocabulary = max(1.0, (total or 0.0) ** 2 / (squares or 1.0))
+    costs, ways = [], 1.0
+    for k, (own, there) in enumerate(zip(posted(asked), posted(index.classes), strict=True)):
+        ways *= max(1.0, vocabulary - k) / (k + 1)
+        costs.append(own + there + own * there / ways)
+    return 1 + costs.index(min(costs))
+
+
+def _met(index: FingerprintIndex, asked: DataFrame, t: float, width: int | None = None) -> DataFrame:
+    """Distinct (query_cls, cls) that can reach the Jaccard similarity ``t``.
+
+    Two vectors alike at t agree in t of the larger one's n non-zero positions at least, o tokens. In one order of all tokens, rare first, the
+    first w that they share are then among the leading n - o + w of both, and leave room for the others. So sets of w tokens are looked up,
+    w being at most the tokens that the larger vector must share.
+    """
+    block = list(index.block)
+    most = width or _best_width(index, asked, t)
+    own = _postings(asked, t, most, block, "query_cls").withColumnsRenamed({"size": "_n", "at": "_at"})
+    met = own.join(_postings(index.classes, t, most, block, "cls"), [*block, "width", "key"])
+    n, m = F.col("_n"), F.col("size")
+    shared = _least_shared(F.greatest(n, m), t)
+    room = F.least(n - F.col("_at"), m - F.col("at")) + F.col("width")
+    return met.where((F.least(n, m) >= shared) & (F.col("width") == F.least(shared, F.lit(most))) & (room >= shared)).select("query_cls", "cls").distinct()
 
 
-def candidates(index: FingerprintIndex, queries: DataFrame, least: float) -> DataFrame:
-    """Distinct (query_id, db_id) that can reach ``least``: they share a rare token early enough, and neither is too small for the other.
+def _asked(index: FingerprintIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, query_cls) and the classes of the queries."""
+    block = list(index.block)
+    rows, classes = _classes(_token_rows(queries, "query_id", "query_fp", block), "query_id", block)
+    return rows.withColumnRenamed("cls", "query_cls"), _ordered(classes, index.counts, block)
 
-    Two vectors alike at t agree in t of the larger one's non-zero positions at least. In one order of all tokens, rare first, the first that
-    they share is then among the leading n - tn + 1 of both, and leaves room for the others.
-    """
+
+def _served(index: FingerprintIndex, least: float) -> float:
     if least < index.least:
         raise ValueError(f"the index serves thresholds of {index.least} and above")
-    t, block = JACCARD_OF[index.metric](least), list(index.block)
-    asked = queries.where(F.col("query_fp").isNotNull()).select("query_id", *block, tokens("query_fp").alias("tokens"))
-    own = _prefix(asked, "query_id", index.counts, t, block).withColumnsRenamed({"size": "_n", "at": "_at"})
-    met = own.join(index.postings, ["token", *block])
-    n, m, larger = F.col("_n"), F.col("size"), F.greatest("_n", "size")
-    room = F.least(n - F.col("_at"), m - F.col("at")) + 1
-    return met.where((F.least(n, m) >= t * larger - _SLACK) & (room >= t * larger - _SLACK)).select("query_id", "db_id").distinct()
+    return JACCARD_OF[index.metric](least)
+
+
+def candidates(index: FingerprintIndex, queries: DataFrame, least: float, width: int | None = None) -> DataFrame:
+    """Distinct (query_id, db_id) that can reach ``least``; ``width``: most tokens of a key, by default the one that takes least work."""
+    t = _served(index, least)
+    rows, classes = _asked(index, queries)
+    return _met(index, classes, t, width).join(rows, "query_cls").join(index.rows, "cls").select("query_id", "db_id")
 
 
 def search(index: FingerprintIndex, queries: DataFrame, k: int, least: float, strict: bool = True, itself: bool = False) -> DataFrame:
     """(query_id, db_id, score, rank): the k rows most similar to each query (query_id, query_fp, block columns), above ``least`` (or at it).
 
-    Equal to a scan with ``similarity``; ties by id. A row is not its own neighbour unless ``itself``.
+    Equal to a scan with ``similarity``; ties by id. A row is not its own neighbour unless ``itself``. Equal queries are looked up once. The search goes
+    down from equal vectors in levels of similarity: a query that has found k + 1 rows at a level has its best among them, and only the
+    others go on to the next, so a table that holds many alike rows is not met at the lowest threshold.
     """
-    pairs = candidates(index, queries, least)
+    t, block = _served(index, least), list(index.block)
+    rows, open_ = _asked(index, queries)
+    found = []
+    for level in (1.0, *[x for x in _LEVELS if x > t], t):
+        if level == 1.0 and t < 1.0:
+            met = open_.select("cls", *block, "tokens").withColumnRenamed("cls", "query_cls").join(index.classes.select(F.col("cls"), "n", *block, "tokens"), [*block, "tokens"])
+            scored = met.select("query_cls", "cls", "n", F.lit(1.0).alias("_c"), F.lit(0.0).alias("_d"))
+        else:
+            left = open_.select(F.col("cls").alias("query_cls"), F.col("tokens").alias("_q"))
+            both = _met(index, open_, level).join(index.classes.select("cls", "n", F.col("tokens").alias("_t")), "cls").join(left, "query_cls")
+            place = lambda c: F.transform(c, lambda x: F.shiftright(x, 20))
+            agree = F.size(F.array_intersect("_q", "_t"))
+            union = F.size("_q") + F.size("_t") - F.size(F.array_intersect(place("_q"), place("_t")))
+            scored = both.select("query_cls", "cls", "n", agree.cast("double").alias("_c"), (union - agree).cast("double").alias("_d"))
+        c, d = F.col("_c"), F.col("_d")
+        good = scored.where(c >= level * (c + d) - _SLACK).withColumn("score", _SCORE[index.metric](c, d)).select("query_cls", "cls", "n", "score")
+        # of the first k + 1 rows, each one's class is among the first k + 1 by its least row
+        best = written(ranking.top(good, ["query_cls"], [F.desc("score"), F.col("cls")], k + 1, "_r").drop("_r"), "best-classes")
+        if level == t:
+            found.append(best)
+            break
+        full = written(best.groupBy("query_cls").agg(F.sum("n").alias("_n")).where(F.col("_n") > k).select("query_cls"), "full-classes")
+        found.append(best.join(full, "query_cls", "left_semi"))
+        open_ = written(open_.join(full.withColumnRenamed("query_cls", "cls"), "cls", "left_anti"), "open-queries")
+        if open_.isEmpty():
+            break
+    best = found[0]
+    for more in found[1:]:
+        best = best.union(more)
+    best = written(best.where(F.col("score") > least if strict else F.col("score") >= least), "best-classes")
+    first = ranking.top(index.rows.join(best.select("cls").distinct(), "cls", "left_semi"), ["cls"], [F.col("db_id")], k + 1, "_r")
+    listed = ranking.top(best.join(first, "cls").select("query_cls", "db_id", "score"), ["query_cls"], [F.desc("score"), F.col("db_id")], k + 1, "_r")
+    pairs = rows.join(listed, "query_cls").select("query_id", "db_id", "score")
     if not itself:
         pairs = pairs.where(F.col("query_id") != F.col("db_id"))
-    scored = pairs.join(index.rows.select("db_id", "fp"), "db_id").join(queries.select("query_id", "query_fp"), "query_id").withColumn("score", similarity.similarity("query_fp", "fp", index.metric))
-    good = scored.where(F.col("score") > least if strict else F.col("score") >= least).select("query_id", "db_id", "score")
-    return ranking.top(good, ["query_id"], [F.desc("score"), F.col("db_id")], k)
+    return ranking.top(pairs, ["query_id"], [F.desc("score"), F.col("db_id")], k)

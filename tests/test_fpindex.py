@@ -48,3 +48,27 @@ def test_thresholds_and_metrics_that_are_not_served(spark):
         fpindex.build(db, 0.5, "cosine")
     with pytest.raises(ValueError, match="0.5 and above"):
         fpindex.candidates(fpindex.build(db, 0.5), db.select(F.col("db_id").alias("query_id"), F.col("fp").alias("query_fp")), 0.4)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_keys_of_any_width_miss_no_pair(spark, width):
+    rows = made(2, n=150)
+    db = spark.createDataFrame(rows, "db_id long, fp array<int>, g string").repartition(3)
+    queries = db.where("db_id % 2 = 0").select(F.col("db_id").alias("query_id"), F.col("fp").alias("query_fp"), "g")
+    for least in (0.25, 0.5):
+        index = fpindex.build(db, least, "jaccard", ["g"])
+        got = {(r.query_id, r.db_id) for r in fpindex.candidates(index, queries, least, width).collect()}
+        pairs = queries.withColumnRenamed("g", "_g").crossJoin(db).where("g = _g")
+        want = {(r.query_id, r.db_id) for r in pairs.where(similarity.similarity("query_fp", "fp", "jaccard") >= least).select("query_id", "db_id").collect()}
+        assert want <= got and len(want) > 100
+
+
+def test_copies_are_met_once(spark):
+    """30,000 rows of 40 vectors, 6,000 of them queries: as rows, millions of pairs at the lowest threshold."""
+    fp = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.when((k == F.col("db_id") % 40) | (k == (F.col("db_id") + 1) % 40), 1).otherwise(0))
+    db = spark.range(30_000).select(F.col("id").alias("db_id")).select("db_id", fp.alias("fp"))
+    index = fpindex.build(db, 0.3)
+    queries = db.where("db_id % 5 = 0").select(F.col("db_id").alias("query_id"), F.col("fp").alias("query_fp"))
+    assert index.classes.count() == 40
+    got = fpindex.search(index, queries, 3, 0.3).where("query_id IN (0, 200)").collect()
+    assert {(r.query_id, r.rank, r.db_id, r.score) for r in got} == {(0, 1, 40, 1.0), (0, 2, 80, 1.0), (0, 3, 120, 1.0), (200, 1, 0, 1.0), (200, 2, 40, 1.0), (200, 3, 80, 1.0)}
