@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crucible.operators import ranking
-from crucible.scratch import written
+from crucible.scratch import in_parts, written
 
 
 def legs_of(reactions: DataFrame) -> DataFrame:
@@ -16,10 +16,12 @@ def legs_of(reactions: DataFrame) -> DataFrame:
     return rows.select("reaction", "product", "cost", F.size("_r").alias("n"), F.explode("_r").alias("molecule"))
 
 
-def _made(legs: DataFrame, known: DataFrame) -> DataFrame:
-    """(reaction, product, total) of the reactions whose reactants are all known, with what they and the reaction cost."""
-    met = legs.join(known.select("molecule", F.col("cost").alias("_c")), "molecule")
-    whole = met.groupBy("reaction", "product", "cost", "n").agg(F.count(F.lit(1)).alias("_k"), F.sum("_c").alias("_s")).where("_k = n")
+def _made(legs: DataFrame, known: DataFrame, fallen: DataFrame | None = None) -> DataFrame:
+    """(reaction, product, total) of the reactions whose reactants are all known (and some ``fallen``), with what they and the reaction cost."""
+    costs = known.select("molecule", F.col("cost").alias("_c"))
+    costs = costs.withColumn("_new", F.lit(True)) if fallen is None else costs.join(fallen.select("molecule", F.lit(True).alias("_new")), "molecule", "left")
+    met = in_parts(legs.join(costs, "molecule"), legs.count(), "reaction")
+    whole = met.groupBy("reaction", "product", "cost", "n").agg(F.count(F.lit(1)).alias("_k"), F.sum("_c").alias("_s"), F.count("_new").alias("_f")).where("_k = n AND _f > 0")
     return whole.select("reaction", "product", (F.col("cost") + F.col("_s")).alias("total"))
 
 
@@ -36,8 +38,7 @@ def least_costs(reactions: DataFrame, prices: DataFrame, max_depth: int = 5) ->
     now = written(bought.select("molecule", F.lit(0).alias("depth"), "cost", F.lit(None).cast(legs.schema["reaction"].dataType).alias("reaction")), "costs")
     history, fallen = now, now
     for depth in range(1, max_depth + 1):
-        touched = legs.join(fallen.select("molecule"), "molecule", "left_semi").select("reaction").distinct()
-        best = _made(legs.join(touched, "reaction", "left_semi"), now).groupBy("product").agg(F.min(F.struct("total", "reaction")).alias("_b")).select(F.col("product").alias("molecule"), "_b.total", F.col("_b.reaction").alias("_by"))
+        best = _made(legs, now, fallen).groupBy("product").agg(F.min(F.struct("total", "reaction")).alias("_b")).select(F.col("product").alias("molecule"), "_b.total", F.col("_b.reaction").alias("_by"))
         lower = best.join(now.select("molecule", "cost"), "molecule", "left").where(F.col("cost").isNull() | (F.col("total") < F.col("cost")))
         fallen = written(lower.select("molecule", F.lit(depth).alias("depth"), F.col("total").alias("cost"), F.col("_by").alias("reaction")), "fallen")
         if fallen.isEmpty():
@@ -55,8 +56,9 @@ def at_depth(history: DataFrame, depth: int) -> DataFrame:
 
 def best_ways(reactions: DataFrame, history: DataFrame, targets: DataFrame, k: int, max_depth: int = 5) -> DataFrame:
     """(target, way, reaction, cost): the k cheapest last reactions of each target (molecule), each with the best trees of its reactants."""
-    made = _made(legs_of(reactions), at_depth(history, max_depth - 1)).join(targets.select(F.col("molecule").alias("product")).distinct(), "product", "left_semi")
-    ranked = ranking.top(made, ["product"], [F.col("total"), F.col("reaction")], k, "way")
+    made = _made(written(legs_of(reactions), "legs"), at_depth(history, max_depth - 1))
+    # ranked before targets are chosen: what leaves a task is then k rows a product
+    ranked = ranking.top(made, ["product"], [F.col("total"), F.col("reaction")], k, "way").join(targets.select(F.col("molecule").alias("product")).distinct(), "product", "left_semi")
     return ranked.select(F.col("product").alias("target"), "way", "reaction", F.col("total").alias("cost"))
 
 

@@ -9,6 +9,7 @@ from crucible.functions import classes, text
 from crucible.operators import boxes, hazards, lookups, ordering, ranking, reactiondb, reshape, rollup, routes, splits, tiers
 from crucible.plans.hierarchy import BOXES, CODED, COUNTS, PAIRED, coded, hashed, line_boxes, predicted
 from crucible.plans.registry import Tables, big, query, rounded
+from crucible.scratch import in_parts
 
 S = F.col
 
@@ -160,7 +161,8 @@ c{d} AS (SELECT m, min(c) AS c FROM (SELECT m, c FROM c{d - 1} UNION ALL SELECT
 
 
 def hyperedges(t: Tables) -> tuple[DataFrame, DataFrame]:
-    r = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg((F.min("l_partkey") % 997).alias("product"), (F.min("l_suppkey") * 13 % 997).alias("_x"), F.min("l_quantity").alias("cost"))
+    lines = in_parts(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), t.lineitem.count(), "l_orderkey", "l_linenumber")
+    r = lines.groupBy("l_orderkey", "l_linenumber").agg((F.min("l_partkey") % 997).alias("product"), (F.min("l_suppkey") * 13 % 997).alias("_x"), F.min("l_quantity").alias("cost"))
     r = r.select((S("l_orderkey") * 10 + S("l_linenumber")).alias("reaction"), "product", F.array("_x", S("l_orderkey") % 997).alias("reactants"), "cost")
     return r, t.part.where("p_size <= 5").select((S("p_partkey") % 997).alias("molecule"), S("p_size").alias("price"))
 

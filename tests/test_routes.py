@@ -3,6 +3,7 @@
 import itertools
 import random
 
+from crucible import scratch
 from crucible.operators import reactiondb, routes
 from pyspark.sql import functions as F
 
@@ -69,3 +70,16 @@ def test_nothing_for_sale(spark):
     none = spark.createDataFrame([], "molecule string, price double")
     assert routes.least_costs(df, none).count() == 0
     assert routes.routes(df, none, spark.createDataFrame([("a",)], "molecule string")).count() == 0
+
+
+def test_tasks_group_a_bounded_number_of_rows(spark, monkeypatch):
+    """Reactions are grouped in parts of so many rows: more of them make more tasks, not greater ones."""
+    rows, prices = made(5, n=9, reactions=60)
+    df = spark.createDataFrame(rows, "reaction string, product string, reactants array<string>, cost double")
+    bought = spark.createDataFrame([*prices.items()], "molecule string, price double")
+    legs = routes.legs_of(df).cache()
+    known = bought.select("molecule", F.col("price").alias("cost"))
+    want = {(r.molecule, r.depth, r.cost, r.reaction) for r in routes.least_costs(df, bought, 3).collect()}
+    monkeypatch.setattr(scratch, "_PART", 10)
+    assert routes._made(legs, known).rdd.getNumPartitions() >= legs.count() // 10 > 4
+    assert {(r.molecule, r.depth, r.cost, r.reaction) for r in routes.least_costs(df, bought, 3).collect()} == want
