@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions import similarity
-from crucible.scratch import written
+from crucible.scratch import in_parts, written
 
 #: column of the database, node label, edge type, from the reaction or to it
 ROLES = (("PRODUCTS", "Molecule", "HAS_PRODUCT", True), ("REACTANTS", "Molecule", "IS_REACTANT_OF", False), ("SOLVENT", "Solvent", "USES_SOLVENT", True), ("CATALYST", "Catalyst", "USES_CATALYST", True), ("REAGENT", "Reagent", "USES_REAGENT", True), ("REF", "Reference", "REPORTS", False))
@@ -22,22 +22,42 @@ def node_id(label: Column | str, key: Column | str) -> Column:
     return F.xxhash64(label, F.col(key) if isinstance(key, str) else key)
 
 
+def keyed_edges(db: DataFrame, key: str = "REACTION", roles=ROLES) -> DataFrame:
+    """(type, label, reaction, key, out) of a reaction database: its edges by the keys of their ends, ``out`` where it leads from the reaction.
+
+    Dotted columns hold several names. The database is read once for all kinds of edges; these are written, and made distinct in parts of bounded size.
+    """
+    names = lambda c: F.array_distinct(F.filter(F.split(c, r"\."), lambda x: x != ""))
+    edge = lambda label, kind, out: lambda x: F.struct(F.lit(kind).alias("type"), F.lit(label).alias("label"), x.alias("key"), F.lit(out).alias("out"))
+    none = F.array().cast("array<struct<type: string, label: string, key: string, out: boolean>>")
+    each = [F.coalesce(F.transform(names(c), edge(label, kind, out)), none) for c, label, kind, out in roles if c in db.columns]
+    rows = db.select(F.col(key).alias("reaction"), F.explode(F.concat(*each)).alias("_e"))
+    rows = written(rows.select("_e.type", "_e.label", "reaction", "_e.key", "_e.out"), "edge-rows")
+    return in_parts(rows, rows.count(), "reaction", "key").distinct()
+
+
 def nodes_and_edges(db: DataFrame, key: str = "REACTION", roles=ROLES) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, label, key; edges: src, dst, type) of a reaction database; dotted columns hold several names."""
-    named = [(c, F.explode(F.array_distinct(F.filter(F.split(c, r"\."), lambda x: x != ""))), label, kind, out) for c, label, kind, out in roles if c in db.columns]
-    parts = [(db.select(F.col(key).alias("_r"), each.alias("key")), label, kind, out) for _, each, label, kind, out in named]
+    keyed = keyed_edges(db, key, roles)
     reaction = db.select(F.lit("Reaction").alias("label"), F.col(key).alias("key"))
-    nodes = reduce(DataFrame.union, [reaction, *[df.select(F.lit(label).alias("label"), "key") for df, label, *_ in parts]]).distinct().select(node_id(F.col("label"), "key").alias("id"), "label", "key")
-    ends = lambda a, b: [a.alias("src"), b.alias("dst")]
-    edges = [df.select(*(ends(node_id("Reaction", "_r"), node_id(label, "key")) if out else ends(node_id(label, "key"), node_id("Reaction", "_r"))), F.lit(kind).alias("type")) for df, label, kind, out in parts]
-    return nodes, reduce(DataFrame.union, edges).distinct()
+    nodes = reaction.union(keyed.select("label", "key")).distinct().select(node_id(F.col("label"), "key").alias("id"), "label", "key")
+    here, there = node_id("Reaction", "reaction"), node_id(F.col("label"), "key")
+    return nodes, keyed.select(F.when(F.col("out"), here).otherwise(there).alias("src"), F.when(F.col("out"), there).otherwise(here).alias("dst"), "type").distinct()
 
 
 def precedes(edges: DataFrame) -> DataFrame:
-    """(src, dst): a reaction makes what another consumes. An equi-join on the molecule, which adaptive execution splits where it is common."""
+    """(src, dst): a reaction makes what another consumes. An equi-join on the molecule, which adaptive execution splits where it is common.
+
+    Two reactions that share several molecules are paired at the least of them, by the lists of what each makes and consumes, so pairs are
+    not moved again to be made distinct.
+    """
     made = edges.where("type = 'HAS_PRODUCT'").select("src", F.col("dst").alias("molecule"))
     used = edges.where("type = 'IS_REACTANT_OF'").select(F.col("src").alias("molecule"), "dst")
-    return made.join(used, "molecule").where("src != dst").select("src", "dst").distinct()
+    listed = lambda side, c, name: side.groupBy(c).agg(F.collect_set("molecule").alias(name)).select(c, name, F.explode(name).alias("molecule"))
+    makers = listed(made.join(used.select("molecule").distinct(), "molecule", "left_semi"), "src", "_m")
+    met = makers.join(listed(used, "dst", "_u"), "molecule").where("src != dst")
+    once = F.when((F.size("_m") == 1) | (F.size("_u") == 1), F.lit(True)).otherwise(F.array_min(F.array_intersect("_m", "_u")) == F.col("molecule"))
+    return met.where(once).select("src", "dst")
 
 
 def precedes_counts(edges: DataFrame) -> DataFrame:
