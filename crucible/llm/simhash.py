@@ -7,6 +7,7 @@ ones, and as 64 bits can't tell all pairs near the threshold from others, an exa
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +152,46 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: int = 5, distance: int = 3, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def differing_pairs(maps: list[bytes], i: np.ndarray, j: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+    """``differing`` of the maps at each pair of places, the maps of a length folded at once; ``step`` words are compared at a time."""
+    words = np.fromiter(map(len, maps), np.int64, count=len(maps)) // 8
+    out = np.empty(len(i), dtype=np.int64)
+    level = np.minimum(words[i], words[j])
+    for n in np.unique(level).tolist():
+        here = np.flatnonzero(level == n)
+        used = np.unique(np.r_[i[here], j[here]])
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(maps[k], np.uint64).reshape(-1, n), axis=0) for k in used.tolist()])
+        x, y = np.searchsorted(used, i[here]), np.searchsorted(used, j[here])
+        for a in range(0, len(here), max(1, step // n)):
+            b = slice(a, a + max(1, step // n))
+            out[here[b]] = np.bitwise_count(folded[x[b]] ^ folded[y[b]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def similar_links(sets: list[np.ndarray], group: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of similar enough sets, as many as it takes to connect all that are linked; sets of one ``group`` are connected already."""
+    size = np.fromiter(map(len, sets), np.int64, count=len(sets))
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    mark = np.zeros(int(item.max()) + 1, dtype=np.int64)
+    root, left, right = group.copy(), [], []
+    for i in range(len(sets) - 1):
+        other = root[i + 1 :] != root[i]
+        if not other.any():
+            continue
+        own = item[first[i] : first[i] + size[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[item[first[i + 1] :]], first[i + 1 :] - first[i + 1])
+        mark[own] = 0
+        for j in (i + 1 + np.flatnonzero(other & (both * (num + den) >= num * (size[i] + size[i + 1 :])))).tolist():
+            if root[j] != root[i]:
+                left.append(i)
+                right.append(j)
+                root[root == root[j]] = root[i]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: int = 5, distance: int = 3, block: int = 2048, most_items: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, component_id), one for each row of ``docs``: the smallest id reachable by links of at least this Jaccard similarity.
 
     ``similarity``: numerator and denominator. Texts whose fingerprints are at most ``distance`` bits apart are found by multi-index hashing
@@ -161,6 +201,9 @@ def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: i
     rows meet its least set first; only those still in different components then meet in blocks. So no pair is missed, whatever its distance.
 
     Candidates are weighed by the parity maps of their sets, which bound the overlap from above, and those left are verified on whole sets.
+    Blocks send no pairs out, but each row's first candidate and the groups of rows that candidates connect; groups that the first candidates
+    leave in several components are compared whole, each in a task, and give as many links as it takes to connect them. So rows
+    grow with a group's size, not with its square.
     Equal sets are one class; texts without words are alike. Rows with a null id get the component of their text, repeated ids keep a row each,
     an empty table gives an empty result, other columns are not read. Words, shingles and sets are compared by 64-bit hashes.
     """
@@ -239,15 +282,17 @@ def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: i
                 items = list(shingle_sets(data, offsets, shingle))
                 yield pa.RecordBatch.from_arrays([pa.array([set_class(x) for x in items], pa.int64()), pa.array([x.tobytes() for x in items], pa.binary())], ["cls", "items"])
 
+    def whole_sets(nodes: DataFrame) -> DataFrame:
+        wanted = nodes.join(kinds, "cls").select(F.col("least").alias("_want")).distinct()
+        texts = rows.join(wanted, rows._id.eqNullSafe(wanted._want), "left_semi").select("_text")
+        return written(texts.mapInArrow(sets, "cls long, items binary").join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+
     def verified(found: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes whose whole sets are similar enough."""
         light = lambda c: classes.select(F.col("cls").alias(c), F.col("size").alias("n" + c), F.col("parity").alias("p" + c))
         maybe = found.distinct().join(light("a"), "a").join(light("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(weigh, "a long, b long")
         maybe = written(maybe, "set-pairs")
-        nodes = written(maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct(), "set-nodes")
-        wanted = nodes.join(kinds, "cls").select(F.col("least").alias("_want")).distinct()
-        texts = rows.join(wanted, rows._id.eqNullSafe(wanted._want), "left_semi").select("_text")
-        items = written(texts.mapInArrow(sets, "cls long, items binary").join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+        items = whole_sets(written(maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct(), "set-nodes"))
         full = maybe.join(items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
         return written(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "set-links")
 
@@ -286,23 +331,54 @@ def near_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: i
     rest = written(placed.join(open_, "key", "left_semi"), "open-rows")
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(group, a, b): a class and its candidate of the least class, where group is null, or a group (a hash of its rows) and a row's class."""
         for part in runs(batches, rows=20_000):
             get = lambda c: part.column(c).combine_chunks().to_numpy(zero_copy_only=False)  # noqa: E731, B023
             cls, size, at, component = get("cls"), get("size").astype(np.int64), get("at").astype(np.int64), get("component")
-            parity = part.column("parity").to_pylist()
+            parity, each = part.column("parity").to_pylist(), np.arange(len(cls))
+            root, least = each.copy(), cls.copy()
             for i, j in pairs(get("_block"), get("_role"), get("_self")):
                 good = (component[i] != component[j]) & (np.minimum(size[i] - at[i], size[j] - at[j]) * (num + den) >= (size[i] + size[j]) * num)
                 i, j = i[good], j[good]
-                # weighed here, so that only pairs within the bound leave the block
-                apart = np.fromiter((differing(parity[x], parity[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)), np.int64, count=len(i))
-                good = (size[i] + size[j] - apart) // 2 * (num + den) >= (size[i] + size[j]) * num
+                good = (size[i] + size[j] - differing_pairs(parity, i, j)) // 2 * (num + den) >= (size[i] + size[j]) * num
                 i, j = i[good], j[good]
-                if len(i):
-                    both = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                np.minimum.at(least, i, cls[j])
+                np.minimum.at(least, j, cls[i])
+                joined = np.flatnonzero(root != each)
+                root = local_roots(len(cls), np.r_[joined, i], np.r_[root[joined], j])
+            follows = np.flatnonzero(least < cls)
+            groups, ends = [], [0]
+            inside = np.flatnonzero(np.bincount(root, minlength=len(cls))[root] > 1)
+            inside = inside[np.lexsort((cls[inside], size[inside], root[inside]))]
+            for rows_ in np.split(inside, np.flatnonzero(np.diff(root[inside])) + 1) if len(inside) else []:
+                share = np.cumsum(size[rows_]) // most_items  # of a group with very large sets, each two shares meet
+                for x, y in combinations(np.unique(share).tolist(), 2) if share[0] != share[-1] else [(share[0], share[0])]:
+                    groups.append(cls[rows_[(share == x) | (share == y)]])
+                    ends.append(ends[-1] + len(groups[-1]))
+            names = np.array([set_class(np.sort(g)) for g in groups], dtype=np.int64)
+            n, m = len(follows), ends[-1]
+            of = np.r_[np.zeros(n, np.int64), np.repeat(names, np.diff(ends))]
+            a, b = np.r_[least[follows], np.zeros(m, np.int64)], np.concatenate([cls[follows], *groups])
+            yield pa.RecordBatch.from_arrays([pa.array(of, mask=np.r_[np.ones(n, bool), np.zeros(m, bool)]), pa.array(a), pa.array(b)], ["grp", "a", "b"])
+
+    def connect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, "grp", rows=4096):
+            name, cls, component = (part.column(c).combine_chunks().to_numpy() for c in ("grp", "cls", "component"))
+            items = part.column("items")
+            edges = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True])
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                i, j = similar_links([np.frombuffer(v, np.uint64) for v in items.slice(x, y - x).to_pylist()], component[x:y], num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[x:y][i]), pa.array(cls[x:y][j])], ["a", "b"])
 
     dealt = in_blocks(rest, ["key"], "cls", block=block, payload=(classes.select("cls", "parity"), "cls"))
-    linked = components(links.union(verified(dealt.select("cls", "size", "at", "component", "parity", "_block", "_role", "_self").mapInArrow(meet, "a long, b long"))))
+    met = written(dealt.select("cls", "size", "at", "component", "parity", "_block", "_role", "_self").mapInArrow(meet, "grp long, a long, b long"), "met")
+    links = written(links.union(verified(met.where("grp is null").select("a", "b"))), "links-so-far")
+    known = written(components(links), "candidate-components")
+    grouped = written(met.where("grp is not null").select("grp", F.col("b").alias("cls")).distinct().join(known.withColumnRenamed("node", "cls"), "cls", "left").select("grp", "cls", F.coalesce("component", "cls").alias("component")), "groups")
+    several = grouped.groupBy("grp").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("grp")
+    grouped = written(grouped.join(several, "grp", "left_semi"), "open-groups")
+    whole = grouped.join(whole_sets(written(grouped.select("cls").distinct(), "set-nodes")), "cls").select("grp", "cls", "component", "items")
+    linked = components(links.union(written(whole.repartition("grp").sortWithinPartitions("grp", "cls").mapInArrow(connect, "a long, b long"), "group-links")))
     members = linked.join(kinds.select("cls", "least"), F.col("node") == F.col("cls")).select("cls", "component", "least")
     least = written(members.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
     of_class = members.join(least, "component").select("cls", "component_id")

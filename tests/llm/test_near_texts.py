@@ -64,6 +64,50 @@ def test_given_documents_like_brute_force(spark, sf):
     assert set(kept(spark, rows)) == least_ids(rows)
 
 
+def test_links_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """Near copies whose shingles all belong to other texts too, so that none of them is the least of its shingles' rows."""
+    import numpy as np
+
+    from crucible import scratch
+    from crucible.llm import simhash
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+
+    def sets(texts):
+        raw = [t.encode() for t in texts]
+        return list(simhash.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])].astype(np.int64), 5))
+
+    base = [word() for _ in range(100)]
+    near = [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(100)]
+    low = min(map(simhash.set_class, sets(near)))
+    others = []
+    for k in range(96):
+        window = " ".join(base[k : k + 5])
+        own = sets([window])[0][0]
+        for found in (t for _ in range(20) for t in [[f"{window} {word()}" for _ in range(500)]]):
+            if good := [t for t, x in zip(found, sets(found), strict=True) if x[0] == own and simhash.set_class(x) < low]:
+                others.append(good[0])
+                break
+    assert len(others) > 80
+    rows = list(enumerate(others + near))
+    made = []
+
+    def counted(df, tag):
+        out = scratch.written(df, tag)
+        if tag in ("set-links", "group-links"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1 << 21, 700):  # the latter: groups are cut into shares
+        made.clear()
+        out = simhash.near_texts(docs, most_items=most).where("doc_id = component_id").collect()
+        assert {r.doc_id for r in out} == least_ids(rows)
+        assert sum(made) < 3 * len(rows), made
+
+
 def test_no_documents(spark):
     assert kept(spark, []) == []
 
