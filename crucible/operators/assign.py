@@ -45,7 +45,7 @@ def chosen_of(left: np.ndarray, right: np.ndarray, gain: np.ndarray, dense: int
     """Places of the pairs of one connected set with the greatest total: a full matrix of up to ``dense`` cells, or the pairs alone."""
     if len(gain) == 1:
         return [0]
-    if len(gain) == 2:  # they share an end
+    if len(gain) == 2 and (left[0] == left[1] or right[0] == right[1]):
         return [int(np.argmax(gain))]
     (a, lefts), (b, rights) = (pd.factorize(x, sort=True) for x in (left, right))
     if len(lefts) * len(rights) > dense:
