@@ -1,12 +1,19 @@
-"""Threshold search on fingerprints: an index by size and rarest tokens, so that only rows that can reach the threshold are scored."""
+"""Threshold search on fingerprints: an index by sizes and sets of rarest tokens, so that only rows that can reach the threshold are scored."""
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from crucible.llm.common import bit_map, mix, on_map
 from crucible.operators import ranking
 from crucible.scratch import written
 
@@ -22,8 +29,16 @@ _SCORE = {
 }
 #: Jaccard similarities at which a search for the best looks before it goes down to its own threshold.
 _LEVELS = (0.8, 0.6, 0.45)
-#: Most tokens that a posting's key holds.
-_MOST = 3
+#: Most tokens that a posting's key holds, and most keys of one width that a vector has.
+_MOST, _KEYS = 8, 4096
+#: Most tokens whose counts order them; they go to each task. Those beyond come first, in the order of their positions.
+_KNOWN = 1 << 18
+#: Bits of the map of the queries' keys, at most.
+_MAP = 27
+#: Keys that are made at once.
+_AT_ONCE = 1 << 18
+#: What a query's posting, a row's posting and a meeting of the two take, beside each other.
+_OWN, _THERE, _MEETING = 10.0, 1.0, 25.0
 
 
 def tokens(fp: Column | str) -> Column:
@@ -33,22 +48,55 @@ def tokens(fp: Column | str) -> Column:
     return F.when(F.size(some) == 0, F.array(F.lit(-1).cast("long"))).otherwise(some)
 
 
-def _classes(rows: DataFrame, key: str, block: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows: key, cls; classes: cls, n, tokens, block columns) of rows (key, tokens, block columns): equal ones are a class, named by its least key."""
-    classes = written(rows.groupBy(*block, "tokens").agg(F.min(key).alias("cls"), F.count(F.lit(1)).alias("n")), "token-classes")
-    return written(rows.join(classes, [*block, "tokens"]).select(key, "cls"), "class-rows"), classes
+def _place(token: Column) -> Column:
+    return F.shiftright(token, 20)
 
 
-def _ordered(classes: DataFrame, counts: DataFrame, block: list[str]) -> DataFrame:
-    """The classes with ``rare``: their tokens from the rarest on."""
-    each = classes.select("cls", F.explode("tokens").alias("token")).join(counts, "token", "left")
-    order = each.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("of", F.lit(0)).alias("of"), "token"))).alias("_o"))
-    return written(classes.join(order.select("cls", F.col("_o")["token"].alias("rare")), "cls").select("cls", "n", *block, "tokens", "rare"), "ordered-classes")
+def _tokens_of(lists: pa.Array) -> pa.Array:
+    """``tokens`` of an array of whole numbers."""
+    x = lists.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    at = np.flatnonzero(x)
+    row = np.searchsorted(ends, at, "right")
+    some = np.bincount(row, minlength=len(ends))
+    empty = some == 0
+    out = np.full(len(at) + int(empty.sum()), -1, np.int64)
+    out[np.arange(len(at)) + np.cumsum(empty)[row]] = (at - np.r_[0, ends][row]) * (1 << 20) + x[at]
+    sizes = np.r_[0, np.cumsum(some + empty)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(out), type=pa.list_(pa.field("element", pa.int64())))
+
+
+def _token_rows(df: DataFrame, key: str, fp: str, block: list[str]) -> DataFrame:
+    rows = df.where(F.col(fp).isNotNull())
+    for c in block:
+        rows = rows.where(F.col(c).isNotNull())
+    rows = rows.select(key, *block, F.col(fp).alias("tokens"))
+    kind = rows.schema["tokens"].dataType
+    if not isinstance(kind.elementType, T.IntegralType):
+        return written(rows.withColumn("tokens", tokens("tokens")), "token-rows")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _tokens_of(batch.columns[-1])], names=batch.schema.names)
+
+    return written(rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("tokens", T.ArrayType(T.LongType()))])), "token-rows")
+
+
+def _alike(a: DataFrame, b: DataFrame, block: list[str]) -> DataFrame:
+    """Rows of equal block columns and tokens; the hash comes first, so that sorts seldom compare arrays."""
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(*block, "tokens"))
+    return hashed(a).join(hashed(b), ["_h", *block, "tokens"])
+
+
+def _classes(rows: DataFrame, key: str, block: list[str]) -> DataFrame:
+    """(cls, n, tokens, block columns) of rows (key, tokens, block columns): equal ones are a class, named by its least key."""
+    return written(rows.groupBy(*block, "tokens").agg(F.min(key).alias("cls"), F.count(F.lit(1)).alias("n")), "token-classes")
 
 
 @dataclass(frozen=True)
 class FingerprintIndex:
-    """``rows``: (db_id, cls); ``classes``: (cls, n, block columns, tokens, rare); ``counts``: classes of each token; ``least``: the lowest threshold served."""
+    """``rows``: (db_id, block columns, tokens); ``classes``: (cls, n, block columns, tokens); ``counts``: classes of each token; ``least``: the lowest threshold served."""
 
     rows: DataFrame
     classes: DataFrame
@@ -67,102 +115,175 @@ def build(db: DataFrame, least: float, metric: str = "jaccard", block: list[str]
     if metric not in JACCARD_OF or not 0 < least <= 1:
         raise ValueError("a threshold above 0, up to 1, of jaccard, dice, sokal_sneath or kulczynski1")
     block = block or []
-    rows, classes = _classes(_token_rows(db, "db_id", "fp", block), "db_id", block)
+    rows = _token_rows(db, "db_id", "fp", block)
+    classes = _classes(rows, "db_id", block)
     counts = written(classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("of")), "token-counts")
-    return FingerprintIndex(rows, _ordered(classes, counts, block), counts, least, metric, tuple(block))
+    return FingerprintIndex(rows, classes, counts, least, metric, tuple(block))
 
 
-def _token_rows(df: DataFrame, key: str, fp: str, block: list[str]) -> DataFrame:
-    rows = df.where(F.col(fp).isNotNull())
-    for c in block:
-        rows = rows.where(F.col(c).isNotNull())
-    return written(rows.select(key, *block, tokens(fp).alias("tokens")), "token-rows")
-
-
-def _least_shared(size: Column, t: float) -> Column:
-    """Tokens that a set of this size shares with any that reaches ``t`` and is no larger."""
-    return F.greatest(F.lit(1), F.ceil(F.lit(t) * size - _SLACK)).cast("int")
-
-
-def _prefix_size(size: Column, t: float, width: int | Column) -> Column:
-    return F.least(size, size - _least_shared(size, t) + width)
-
-
-def _keys_of(p: Column, width: int) -> Column:
-    """All sets of ``width`` entries of an array as (at: the place of the last, from 1; key: a hash)."""
-    if width == 1:
-        return F.transform(p, lambda x, i: F.struct((i + 1).alias("at"), F.xxhash64(F.lit(1), x).alias("key")))
-    after = lambda i: F.slice(p, i + 2, F.greatest(F.size(p) - i - 1, F.lit(0)))
-    if width == 2:
-        return F.flatten(F.transform(p, lambda x, i: F.transform(after(i), lambda y, j: F.struct((i + j + 2).alias("at"), F.xxhash64(F.lit(2), x, y).alias("key")))))
-    deeper = lambda x, i: F.flatten(F.transform(after(i), lambda y, j: F.transform(after(i + j + 1), lambda z, k: F.struct((i + j + k + 3).alias("at"), F.xxhash64(F.lit(3), x, y, z).alias("key")))))
-    return F.flatten(F.transform(p, deeper))
-
-
-def _widths(size: Column, t: float, most: int) -> tuple[Column, Column]:
-    """The least and the greatest width of key by which a set of this size meets others: that of the larger set of a pair counts."""
-    largest = F.floor(size / t + _SLACK)
-    return F.least(_least_shared(size, t), F.lit(most)), F.least(_least_shared(largest, t), size, F.lit(most))
-
-
-def _postings(classes: DataFrame, t: float, most: int, block: list[str], name: str) -> DataFrame:
-    """(block, width, key, name: the class, size, at) of each class: the sets of its rarest tokens of which two alike classes must share one."""
-    size = F.size("rare")
-    low, high = _widths(size, t, most)
-    parts = []
-    for width in range(1, most + 1):
-        rows = classes.where((low <= width) & (high >= width))
-        each = F.explode(_keys_of(F.slice("rare", 1, _prefix_size(size, t, width)), width))
-        parts.append(rows.select(*block, F.col("cls").alias(name), size.alias("size"), each.alias("_k")).select(*block, name, "size", F.lit(width).alias("width"), "_k.at", "_k.key"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-def _best_width(index: FingerprintIndex, asked: DataFrame, t: float) -> int:
-    """The width of keys that makes postings and their meetings fewest, were tokens as many as alike frequent ones would be. Results don't depend on it."""
-    def posted(classes: DataFrame) -> list[float]:
-        size = F.size("rare")
-        sums = []
-        for width in range(1, _MOST + 1):
-            n, ways = _prefix_size(size, t, width).cast("double"), F.lit(1.0)
-            for k in range(width):
-                ways = ways * F.greatest(n - k, F.lit(0.0)) / (k + 1)
-            sums.append(F.sum(ways))
-        return [x or 0.0 for x in classes.agg(*sums).first()]
+def _sizes(classes: DataFrame) -> dict[int, int]:
+    """How many classes have each number of tokens; vectors are no longer than their positions, so these are few."""
+    return {r["m"]: r["n"] for r in classes.groupBy(F.size("tokens").alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
+
+@dataclass(frozen=True)
+class _Tokens:
+    """What a search knows of all tokens: ``known`` ones in order, their ranks from the rarest, the number of tokens ``alike`` frequent ones would be, and
+    whether each position has one token only (``plain``, as sets have)."""
+
+    known: np.ndarray
+    rank: np.ndarray
+    alike: float
+    plain: bool
+
+    def ranks(self, token: np.ndarray) -> np.ndarray:
+        """One order of all tokens, together with their positions."""
+        if not len(self.known):
+            return np.full(len(token), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.known, token), len(self.known) - 1)
+        return np.where(self.known[at] == token, self.rank[at], np.int32(-1))
+
+    def shared(self, n: int, m: int, t: float) -> int:
+        """Tokens that sets of n and m must share to reach ``t``. Where positions have several tokens, those that differ may still be at one position."""
+        return max(1, math.ceil((t * (n + m) / (1 + t) if self.plain else t * max(n, m)) - _SLACK))
+
+
+def _tokens_known(index: FingerprintIndex, asked: DataFrame) -> _Tokens:
     total, squares = index.counts.agg(F.sum(F.col("of").cast("double")), F.sum(F.col("of").cast("double") * F.col("of"))).first()
-    vocabulary = max(1.0, (total or 0.0) ** 2 / (squares or 1.0))
-    costs, ways = [], 1.0
-    for k, (own, there) in enumerate(zip(posted(asked), posted(index.classes), strict=True)):
-        ways *= max(1.0, vocabulary - k) / (k + 1)
-        costs.append(own + there + own * there / ways)
-    return 1 + costs.index(min(costs))
+    first = index.counts.orderBy(F.desc("of"), F.desc("token")).limit(_KNOWN).toArrow()  # a bounded number
+    token = first["token"].to_numpy().astype(np.int64)
+    order = np.argsort(token)
+    all_ = index.counts.select("token").union(asked.select(F.explode("tokens"))).distinct()
+    several = all_.groupBy(_place(F.col("token"))).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _Tokens(token[order], np.arange(len(token), 0, -1, dtype=np.int32)[order], max(1.0, (total or 0.0) ** 2 / (squares or 1.0)), several.isEmpty())
+
 
+def _band(size: int) -> int:
+    """Sizes of one band have keys in common: each small size alone, larger ones within some 15 %."""
+    return size if size <= 16 else 16 + math.ceil(math.log(size / 16) / math.log(1.15))
 
-def _met(index: FingerprintIndex, asked: DataFrame, t: float, width: int | None = None) -> DataFrame:
-    """Distinct (query_cls, cls) that can reach the Jaccard similarity ``t``.
 
-    Two vectors alike at t agree in t of the larger one's n non-zero positions at least, o tokens. In one order of all tokens, rare first, the
-    first w that they share are then among the leading n - o + w of both, and leave room for the others. So sets of w tokens are looked up,
-    w being at most the tokens that the larger vector must share.
+#: (band of the row's size, width, leading tokens) of the keys that a vector has, by its size.
+_Plan = dict[int, list[tuple[int, int, int]]]
+
+
+def _plans(own: dict[int, int], there: dict[int, int], t: float, known: _Tokens, width: int | None = None) -> tuple[_Plan, _Plan]:
+    """The keys of queries and of rows, from the numbers of both by size.
+
+    Of each band of the rows' sizes that width is taken that makes postings and their meetings least, were tokens as many as alike frequent ones
+    would be. Results don't depend on it. ``width``: take this one, or as many tokens as must be shared if these are fewer.
     """
-    block = list(index.block)
-    most = width or _best_width(index, asked, t)
-    own = _postings(asked, t, most, block, "query_cls").withColumnsRenamed({"size": "_n", "at": "_at"})
-    met = own.join(_postings(index.classes, t, most, block, "cls"), [*block, "width", "key"])
-    n, m = F.col("_n"), F.col("size")
-    shared = _least_shared(F.greatest(n, m), t)
-    room = F.least(n - F.col("_at"), m - F.col("at")) + F.col("width")
-    return met.where((F.least(n, m) >= shared) & (F.col("width") == F.least(shared, F.lit(most))) & (room >= shared)).select("query_cls", "cls").distinct()
+    bands: dict[int, list[int]] = {}
+    for m in sorted(there):
+        bands.setdefault(_band(m), []).append(m)
+    keys: _Plan = {}
+    held: _Plan = {}
+    for band, sizes in bands.items():
+        meet = {n: [(m, o) for m in sizes if (o := known.shared(n, m, t)) <= min(n, m)] for n in own}
+        meet = {n: some for n, some in meet.items() if some}
+        if not meet:
+            continue
+        least = {n: min(o for _, o in some) for n, some in meet.items()}
+        best = None
+        for w in [width] if width else range(1, min(_MOST, max(least.values())) + 1):
+            cost, mine, lead, wide = 0.0, {}, {}, False
+            for n, some in meet.items():
+                k = min(w, least[n])
+                mine[n] = (band, k, n - least[n] + k)
+                ways, pairs = math.comb(n - least[n] + k, k), max(1.0, math.comb(math.ceil(known.alike), k))
+                wide |= k > 1 and ways > _KEYS
+                cost += _OWN * own[n] * ways
+                for m, o in some:
+                    lead[m, k] = max(lead.get((m, k), 0), m - o + k)
+                    cost += _MEETING * own[n] * ways * there[m] * math.comb(m - o + k, k) / pairs
+            for (m, k), p in lead.items():
+                wide |= k > 1 and math.comb(p, k) > _KEYS
+                cost += _THERE * there[m] * math.comb(p, k)
+            if best is None or cost < best[0] and not wide:
+                best = cost, mine, lead
+        for n, key in best[1].items():
+            keys.setdefault(n, []).append(key)
+        for (m, k), p in best[2].items():
+            held.setdefault(m, []).append((band, k, p))
+    return keys, held
+
+
+def _postings(classes: DataFrame, plan: _Plan, known: _Tokens, block: list[str], keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``classes`` (with tokens and block columns) with a row for each set of tokens that ``plan`` looks up: ``key``, a hash of band, block columns and set, and ``room``,
+    the set's tokens and those after its last one, from the rarest on. ``keep``: places of the keys that count."""
+    known_ = classes.sparkSession.sparkContext.broadcast(known)
+    rows = classes.withColumn("_b", F.xxhash64(*block) if block else F.lit(0).cast("long"))
+    names = classes.columns
+    combos: dict[tuple[int, int], np.ndarray] = {}
+
+    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(key, room, row) by pieces of bounded size."""
+        lists = batch.column("tokens")
+        flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+        begin = np.cumsum(sizes) - sizes
+        rank, hashed, b = known_.value.ranks(flat), mix(flat.view(np.uint64) + np.uint64(1)), batch.column("_b").to_numpy().view(np.uint64)
+        for size in np.unique(sizes).tolist():
+            every = np.flatnonzero(sizes == size) if size in plan else ()
+            for band, width, lead in plan[size] if len(every) else ():
+                if (lead, width) not in combos:
+                    combos[lead, width] = np.array([*itertools.combinations(range(lead), width)], np.int32)
+                sets = combos[lead, width]
+                salt, step = mix(np.array([band * 16 + width], np.uint64)), max(1, _AT_ONCE // len(sets))
+                for a in range(0, len(every), step):
+                    some = every[a : a + step]
+                    places = begin[some, None] + np.arange(size)
+                    order = np.argsort(rank[places], axis=1, kind="stable")[:, :lead]  # of those not known, by position
+                    own = hashed[np.take_along_axis(places, order, axis=1)]
+                    key = own[:, sets[:, 0]]
+                    for k in range(1, width):
+                        key += own[:, sets[:, k]]
+                    key = mix(key ^ (b[some, None] + salt)).ravel()
+                    taken = np.arange(len(key)) if keep is None else keep(key)
+                    yield key[taken].view(np.int64), np.int32(size + width - 1) - sets[taken % len(sets), -1], some[taken // len(sets)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[tuple[np.ndarray, ...]] = []
+            for part in itertools.chain(keys_of(batch) if batch.num_rows else (), [None]):
+                if part is not None:
+                    parts.append(part)
+                if parts and (part is None or sum(len(x[0]) for x in parts) >= _AT_ONCE):
+                    key, room, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    parts = []
+                    taken = batch.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in names), pa.array(key), pa.array(room)], names=[*names, "key", "room"])
+
+    return rows.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("key", T.LongType()), T.StructField("room", T.IntegerType())]))
+
+
+def _met(index: FingerprintIndex, asked: DataFrame, sizes: tuple[dict[int, int], dict[int, int]], t: float, known: _Tokens, width: int | None = None) -> DataFrame | None:
+    """(query_cls, _q, cls, n, _t: the tokens of both), perhaps more than once, of those that can reach the Jaccard similarity ``t``.
+
+    Two vectors alike at t share o tokens at least, by their sizes (``shared``). In one order of all tokens, rare first, the first w that they
+    share are then among the leading n - o + w of both, and leave room for the others. So sets of w tokens are looked up, w being o at most.
+    A bit map of the queries' keys, of bounded size, tells tasks which of the rows' keys can meet any.
+    """
+    keys, held = _plans(*sizes, t, known, width)
+    if not keys:
+        return None
+    block, spark = list(index.block), asked.sparkSession
+    own = written(_postings(asked.select(F.col("cls").alias("query_cls"), *block, "tokens"), keys, known, block), "query-keys")
+    n = sum(sizes[0][m] * math.comb(p, w) for m, all_ in keys.items() for _, w, p in all_)
+    bits = min(_MAP, max(16, math.ceil(math.log2(8 * n))))
+    seen = spark.sparkContext.broadcast(bit_map(own.select(F.shiftrightunsigned("key", 64 - bits).alias("slot")), bits))
+    there = _postings(index.classes, held, known, block, lambda key: on_map(seen.value, (key >> np.uint64(64 - bits)).astype(np.int64)))
+    met = own.withColumnsRenamed({"tokens": "_q", "room": "_room"}).join(there.withColumnRenamed("tokens", "_t"), ["key", *block])
+    a, b = F.size("_q"), F.size("_t")
+    shared = F.ceil((t / (1 + t) * (a + b) if known.plain else t * F.greatest(a, b)) - 2 * _SLACK)
+    return met.where(F.least("_room", "room") >= shared).select("query_cls", "_q", "cls", "n", "_t")
 
 
 def _asked(index: FingerprintIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(query_id, query_cls) and the classes of the queries."""
     block = list(index.block)
-    rows, classes = _classes(_token_rows(queries, "query_id", "query_fp", block), "query_id", block)
-    return rows.withColumnRenamed("cls", "query_cls"), _ordered(classes, index.counts, block)
+    rows = _token_rows(queries, "query_id", "query_fp", block)
+    classes = _classes(rows, "query_id", block)
+    return written(_alike(rows, classes, block).select("query_id", F.col("cls").alias("query_cls")), "class-rows"), classes
 
 
 def _served(index: FingerprintIndex, least: float) -> float:
@@ -172,10 +293,23 @@ def _served(index: FingerprintIndex, least: float) -> float:
 
 
 def candidates(index: FingerprintIndex, queries: DataFrame, least: float, width: int | None = None) -> DataFrame:
-    """Distinct (query_id, db_id) that can reach ``least``; ``width``: most tokens of a key, by default the one that takes least work."""
+    """Distinct (query_id, db_id) that can reach ``least``; ``width``: most tokens of a key, by default those that take least work."""
     t = _served(index, least)
     rows, classes = _asked(index, queries)
-    return _met(index, classes, t, width).join(rows, "query_cls").join(index.rows, "cls").select("query_id", "db_id")
+    met = _met(index, classes, (_sizes(classes), _sizes(index.classes)), t, _tokens_known(index, classes), width)
+    if met is None:
+        return rows.select("query_id").crossJoin(index.rows.select("db_id")).where("false")
+    there = _alike(index.rows, index.classes, list(index.block)).select("db_id", "cls")
+    return met.select("query_cls", "cls").distinct().join(rows, "query_cls").join(there, "cls").select("query_id", "db_id")
+
+
+def _first_rows(index: FingerprintIndex, best: DataFrame, k: int) -> DataFrame:
+    """(cls, db_id): the first k rows of the classes (cls, n) of ``best``; one that is alone in its class gave it its name."""
+    block = list(index.block)
+    found = written(best.select("cls", "n").distinct(), "found-classes")
+    several = index.classes.join(found.where("n > 1").select("cls"), "cls", "left_semi").select("cls", *block, "tokens")
+    rows = ranking.top(_alike(index.rows, several, block).select("cls", "db_id"), ["cls"], [F.col("db_id")], k, "_r").drop("_r")
+    return rows.union(found.where("n = 1").select("cls", F.col("cls").alias("db_id")))
 
 
 def search(index: FingerprintIndex, queries: DataFrame, k: int, least: float, strict: bool = True, itself: bool = False) -> DataFrame:
@@ -187,20 +321,26 @@ def search(index: FingerprintIndex, queries: DataFrame, k: int, least: float, st
     """
     t, block = _served(index, least), list(index.block)
     rows, open_ = _asked(index, queries)
+    there = known = None
     found = []
     for level in (1.0, *[x for x in _LEVELS if x > t], t):
         if level == 1.0 and t < 1.0:
-            met = open_.select("cls", *block, "tokens").withColumnRenamed("cls", "query_cls").join(index.classes.select(F.col("cls"), "n", *block, "tokens"), [*block, "tokens"])
+            met = _alike(open_.select(F.col("cls").alias("query_cls"), *block, "tokens"), index.classes, block)
             scored = met.select("query_cls", "cls", "n", F.lit(1.0).alias("_c"), F.lit(0.0).alias("_d"))
         else:
-            left = open_.select(F.col("cls").alias("query_cls"), F.col("tokens").alias("_q"))
-            both = _met(index, open_, level).join(index.classes.select("cls", "n", F.col("tokens").alias("_t")), "cls").join(left, "query_cls")
-            place = lambda c: F.transform(c, lambda x: F.shiftright(x, 20))
+            if known is None:
+                there, known = _sizes(index.classes), _tokens_known(index, open_)
+            both = _met(index, open_, (_sizes(open_), there), level, known)
+            if both is None:
+                continue
             agree = F.size(F.array_intersect("_q", "_t"))
-            union = F.size("_q") + F.size("_t") - F.size(F.array_intersect(place("_q"), place("_t")))
+            place = lambda c: F.transform(c, _place)
+            shared = agree if known.plain else F.size(F.array_intersect(place("_q"), place("_t")))
+            union = F.size("_q") + F.size("_t") - shared
             scored = both.select("query_cls", "cls", "n", agree.cast("double").alias("_c"), (union - agree).cast("double").alias("_d"))
         c, d = F.col("_c"), F.col("_d")
         good = scored.where(c >= level * (c + d) - _SLACK).withColumn("score", _SCORE[index.metric](c, d)).select("query_cls", "cls", "n", "score")
+        good = good.repartition("query_cls").dropDuplicates(["query_cls", "cls"])
         # of the first k + 1 rows, each one's class is among the first k + 1 by its least row
         best = written(ranking.top(good, ["query_cls"], [F.desc("score"), F.col("cls")], k + 1, "_r").drop("_r"), "best-classes")
         if level == t:
@@ -211,11 +351,13 @@ def search(index: FingerprintIndex, queries: DataFrame, k: int, least: float, st
         open_ = written(open_.join(full.withColumnRenamed("query_cls", "cls"), "cls", "left_anti"), "open-queries")
         if open_.isEmpty():
             break
+    if not found:
+        return rows.select("query_id").crossJoin(index.rows.select("db_id")).where("false").select("query_id", "db_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     best = found[0]
     for more in found[1:]:
         best = best.union(more)
     best = written(best.where(F.col("score") > least if strict else F.col("score") >= least), "best-classes")
-    first = ranking.top(index.rows.join(best.select("cls").distinct(), "cls", "left_semi"), ["cls"], [F.col("db_id")], k + 1, "_r")
+    first = _first_rows(index, best, k + 1)
     listed = ranking.top(best.join(first, "cls").select("query_cls", "db_id", "score"), ["query_cls"], [F.desc("score"), F.col("db_id")], k + 1, "_r")
     pairs = rows.join(listed, "query_cls").select("query_id", "db_id", "score")
     if not itself:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from crucible.functions import similarity
 from crucible.operators import fpindex
+from crucible.plans import scoring
+from crucible.plans.registry import Tables
 
 
 def made(seed, n=400, width=120):
@@ -72,3 +74,40 @@ def test_copies_are_met_once(spark):
     assert index.classes.count() == 40
     got = fpindex.search(index, queries, 3, 0.3).where("query_id IN (0, 200)").collect()
     assert {(r.query_id, r.rank, r.db_id, r.score) for r in got} == {(0, 1, 40, 1.0), (0, 2, 80, 1.0), (0, 3, 120, 1.0), (200, 1, 0, 1.0), (200, 2, 40, 1.0), (200, 3, 80, 1.0)}
+
+
+def test_small_sets_meet_few_others(spark):
+    """6,000 sets of up to 9 of 100 positions: an eighth of the pairs that meet in a key reach the threshold at least, and no pair is missed."""
+    rng = random.Random(3)
+    sets = [set(rng.sample(range(100), rng.randint(1, 9))) for _ in range(6000)]
+    db = spark.createDataFrame([(i, [int(p in s) for p in range(100)]) for i, s in enumerate(sets)], "db_id long, fp array<int>").repartition(3)
+    queries = db.where("db_id % 50 = 0").select(F.col("db_id").alias("query_id"), F.col("fp").alias("query_fp"))
+    index = fpindex.build(db, 0.45)
+    got = {(r.query_id, r.db_id) for r in fpindex.candidates(index, queries, 0.45).collect()}
+    want = {(q, i): len(sets[q] & s) / len(sets[q] | s) for q in range(0, 6000, 50) for i, s in enumerate(sets) if len(sets[q] & s) / len(sets[q] | s) >= 0.45}
+    assert set(want) <= got and len(want) > 500
+    assert len(got) < 8 * len(want), f"{len(got)} pairs for {len(want)}"
+    found = {(r.query_id, r.db_id, r.rank, round(r.score, 9)) for r in fpindex.search(index, queries, 3, 0.45).collect()}
+    others = {q: sorted((-s, i) for (x, i), s in want.items() if x == q and i != q and s > 0.45)[:3] for q in range(0, 6000, 50)}
+    assert found == {(q, i, k, round(-s, 9)) for q, some in others.items() for k, (s, i) in enumerate(some, 1)}
+
+
+def test_tokens_of_arrays_are_those_of_the_expression(spark):
+    rows = [(0, [0, 2, 0, -1]), (1, []), (2, [0, 0]), (3, [None, 5]), (4, [7]), (5, None)]
+    df = spark.createDataFrame(rows, "db_id long, fp array<int>").coalesce(1)
+    want = {r.db_id: r.t for r in df.where("fp IS NOT NULL").select("db_id", fpindex.tokens("fp").alias("t")).collect()}
+    for kind in ("array<int>", "array<bigint>", "array<tinyint>", "array<double>"):
+        got = fpindex.build(df.withColumn("fp", F.col("fp").cast(kind)), 0.5).rows.collect()
+        assert {r.db_id: r.tokens for r in got} == want
+
+
+def test_contents_of_orders(spark, tmp_path):
+    """Each supplier's place once, whatever the keys; an order without lines has no vector."""
+    lines = [(1, 5), (1, 105), (1, 99), (2, None), (3, -5), (3, 50), (3, 49), (None, 7), (4, 1 << 40), (6, 0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, "F") for k in (1, 2, 3, 4, 5, 4)], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = scoring.contents(Tables(spark, str(tmp_path)))
+    assert dict(got.dtypes)["fp"] == "array<int>"
+    on = {1: [5, 99], 2: [], 3: [49, 50], 4: [(1 << 40) % 100]}
+    want = [(k, [int(p in on[k]) for p in range(100)], "F") for k in (1, 2, 3, 4, 4)]
+    assert sorted(map(tuple, got.select("db_id", "fp", "SCAFFOLD").collect())) == want
