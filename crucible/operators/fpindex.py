@@ -37,6 +37,8 @@ _KNOWN = 1 << 18
 _MAP = 27
 #: Keys that are made at once.
 _AT_ONCE = 1 << 18
+#: Tokens that a posting carries along, on average and at most; with more its pairs fetch them.
+_CARRIED = 12
 #: What a query's posting, a row's posting and a meeting of the two take, beside each other.
 _OWN, _THERE, _MEETING = 10.0, 1.0, 25.0
 
@@ -208,16 +210,17 @@ def _plans(own: dict[int, int], there: dict[int, int], t: float, known: _Tokens,
     return keys, held
 
 
-def _postings(classes: DataFrame, plan: _Plan, known: _Tokens, block: list[str], keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """``classes`` (with tokens and block columns) with a row for each set of tokens that ``plan`` looks up: ``key``, a hash of band, block columns and set, and ``room``,
+def _postings(classes: DataFrame, plan: _Plan, known: _Tokens, block: list[str], carry: bool, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``classes`` (with block columns, and their tokens if they ``carry`` them) with a row for each set of tokens that ``plan`` looks up: ``key``, a hash of band, block columns and set, ``size``, and ``room``,
     the set's tokens and those after its last one, from the rarest on. ``keep``: places of the keys that count."""
     known_ = classes.sparkSession.sparkContext.broadcast(known)
     rows = classes.withColumn("_b", F.xxhash64(*block) if block else F.lit(0).cast("long"))
-    names = classes.columns
+    kept = [f for f in classes.schema.fields if carry or f.name != "tokens"]
+    names = [f.name for f in kept]
     combos: dict[tuple[int, int], np.ndarray] = {}
 
-    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(key, room, row) by pieces of bounded size."""
+    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """(key, size, room, row) by pieces of bounded size."""
         lists = batch.column("tokens")
         flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
         begin = np.cumsum(sizes) - sizes
@@ -239,7 +242,7 @@ def _postings(classes: DataFrame, plan: _Plan, known: _Tokens, block: list[str],
                         key += own[:, sets[:, k]]
                     key = mix(key ^ (b[some, None] + salt)).ravel()
                     taken = np.arange(len(key)) if keep is None else keep(key)
-                    yield key[taken].view(np.int64), np.int32(size + width - 1) - sets[taken % len(sets), -1], some[taken // len(sets)]
+                    yield key[taken].view(np.int64), np.full(len(taken), size, np.int32), np.int32(size + width - 1) - sets[taken % len(sets), -1], some[taken // len(sets)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,12 +251,12 @@ def _postings(classes: DataFrame, plan: _Plan, known: _Tokens, block: list[str],
                 if part is not None:
                     parts.append(part)
                 if parts and (part is None or sum(len(x[0]) for x in parts) >= _AT_ONCE):
-                    key, room, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    key, size, room, row = (np.concatenate(x) for x in zip(*parts, strict=True))
                     parts = []
-                    taken = batch.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in names), pa.array(key), pa.array(room)], names=[*names, "key", "room"])
+                    taken = batch.select(names).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, *map(pa.array, (key, size, room))], names=[*names, "key", "size", "room"])
 
-    return rows.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("key", T.LongType()), T.StructField("room", T.IntegerType())]))
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("key", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("room", T.IntegerType())]))
 
 
 def _met(index: FingerprintIndex, asked: DataFrame, sizes: tuple[dict[int, int], dict[int, int]], t: float, known: _Tokens, width: int | None = None) -> DataFrame | None:
@@ -267,15 +270,21 @@ def _met(index: FingerprintIndex, asked: DataFrame, sizes: tuple[dict[int, int],
     if not keys:
         return None
     block, spark = list(index.block), asked.sparkSession
-    own = written(_postings(asked.select(F.col("cls").alias("query_cls"), *block, "tokens"), keys, known, block), "query-keys")
-    n = sum(sizes[0][m] * math.comb(p, w) for m, all_ in keys.items() for _, w, p in all_)
+    posted = lambda of, plan, each=lambda m: 1: sum(each(m) * of[m] * math.comb(p, w) for m, all_ in plan.items() for _, w, p in all_)
+    carry = posted(sizes[1], held, lambda m: m) <= _CARRIED * posted(sizes[1], held)
+    own = written(_postings(asked.select(F.col("cls").alias("query_cls"), *block, "tokens"), keys, known, block, carry), "query-keys")
+    n = posted(sizes[0], keys)
     bits = min(_MAP, max(16, math.ceil(math.log2(8 * n))))
     seen = spark.sparkContext.broadcast(bit_map(own.select(F.shiftrightunsigned("key", 64 - bits).alias("slot")), bits))
-    there = _postings(index.classes, held, known, block, lambda key: on_map(seen.value, (key >> np.uint64(64 - bits)).astype(np.int64)))
-    met = own.withColumnsRenamed({"tokens": "_q", "room": "_room"}).join(there.withColumnRenamed("tokens", "_t"), ["key", *block])
-    a, b = F.size("_q"), F.size("_t")
-    shared = F.ceil((t / (1 + t) * (a + b) if known.plain else t * F.greatest(a, b)) - 2 * _SLACK)
-    return met.where(F.least("_room", "room") >= shared).select("query_cls", "_q", "cls", "n", "_t")
+    there = _postings(index.classes, held, known, block, carry, lambda key: on_map(seen.value, (key >> np.uint64(64 - bits)).astype(np.int64)))
+    # a merge, since nothing tells beforehand how many keys there are
+    met = own.withColumnsRenamed({"tokens": "_q", "room": "_room", "size": "_size"}).join(there.withColumnRenamed("tokens", "_t").hint("merge"), ["key", *block])
+    shared = F.ceil((t / (1 + t) * (F.col("_size") + F.col("size")) if known.plain else t * F.greatest("_size", "size")) - 2 * _SLACK)
+    met = met.where(F.least("_room", "room") >= shared)
+    if carry:
+        return met.select("query_cls", "_q", "cls", "n", "_t")
+    pairs = met.select("query_cls", "cls").distinct()
+    return pairs.join(index.classes.select("cls", "n", F.col("tokens").alias("_t")), "cls").join(asked.select(F.col("cls").alias("query_cls"), F.col("tokens").alias("_q")), "query_cls")
 
 
 def _asked(index: FingerprintIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
